@@ -24,7 +24,7 @@ def explode_ids(df: DataFrame, column: str, out: str = "id") -> DataFrame:
 
 def split_trim(text: Column, sep: str = ",", omit_empty: bool = True) -> Column:
     """Separated list -> array of trimmed items."""
-    items = F.transform(F.split(text, f"\\Q{sep}\\E"), F.trim)
+    items = F.transform(F.split(text, f"\\Q{sep}\\E"), lambda x: F.trim(x))
     return F.filter(items, lambda x: x != "") if omit_empty else items
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.columns import col
-from millrace.session import fitted
-from millrace.skew import VALUE_SLICES, join_back, value_slices
+from millrace.session import at_most, fitted
+from millrace.skew import SMALL_ROWS, join_back, value_slices
 
 
 def melt(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -31,12 +31,13 @@ def exact_quantiles(
     columns: Sequence[str],
     probabilities: Sequence[float],
     *,
-    slices: int = VALUE_SLICES,
+    small_rows: int = SMALL_ROWS,
     approx: bool = False,
 ) -> DataFrame:
     """One row per (keys, column) with ``q``, the linearly interpolated quantiles in the order asked.
 
-    ``approx=True`` answers from one sketch pass instead.
+    Tables of at most ``small_rows`` rows use the built-in ``percentile``, which holds a group's
+    values in one task. ``approx=True`` answers from one sketch pass instead.
     """
     long = melt(df, keys, columns)
     group = [*keys, "column"]
@@ -44,8 +45,10 @@ def exact_quantiles(
     probs = F.array(*[F.lit(float(p)) for p in probabilities])
     if approx:
         return long.groupBy(*by).agg(F.percentile_approx("value", probs, F.lit(10_000)).alias("q"))
+    if at_most(df, small_rows):
+        return long.groupBy(*by).agg(F.percentile("value", probs).alias("q"))
 
-    placed = value_slices(long, group, "value", slices)
+    placed = value_slices(long, group, "value")
     sizes = placed.groupBy(*by, "__slice").agg(F.count(F.lit(1)).alias("__n"))
     in_order = Window.partitionBy(*by).orderBy("__slice")
     ranked = sizes.select(
@@ -78,13 +81,10 @@ def exact_quantiles(
         F.count(F.lit(1)).alias("__n"), F.first("__base").alias("__base"), F.first("__want").alias("__want")
     )
     inside = Window.partitionBy(*by, "__slice").orderBy("value")
-    spans = values.select(
-        *by,
-        "value",
-        (F.col("__base") + F.sum("__n").over(inside) - F.col("__n")).alias("__from"),
-        (F.col("__base") + F.sum("__n").over(inside)).alias("__to"),
-        F.explode("__want").alias("w"),
+    spans = values.withColumn("__to", F.col("__base") + F.sum("__n").over(inside)).withColumn(
+        "__from", F.col("__to") - F.col("__n")
     )
+    spans = spans.select(*by, "value", "__from", "__to", F.explode("__want").alias("w"))
 
     def holds(rank):
         return (F.col(f"w.{rank}") >= F.col("__from")) & (F.col(f"w.{rank}") < F.col("__to"))

@@ -21,6 +21,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "millra
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -57,9 +58,22 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def fitted(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise a table of fitted values; mark it for broadcast only if it is seen to be small.
+    """Compute a table of fitted values once and pin it.
 
-    Beyond ``max_rows`` the table is joined by shuffle, where adaptive execution splits skewed keys.
+    Up to ``max_rows`` rows become a local table, marked for broadcast. A larger table goes to the
+    checkpoint folder and is joined by shuffle, where adaptive execution splits skewed keys.
     """
-    table = materialize(df)
-    return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = held.limit(max_rows + 1).toArrow()
+        if rows.num_rows <= max_rows:
+            return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+        checkpoint_dir(df.sparkSession)
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
+
+
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Does the table hold no more than ``rows`` rows? Reads about that many rows, not the table."""
+    return df.limit(rows + 1).count() <= rows

@@ -13,14 +13,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.columns import col
-from millrace.session import fitted
+from millrace.session import BROADCAST_ROWS, at_most, fitted
 
 #: A key is hot above this many rows ...
 HOT_ROWS = 1_000_000
 #: ... and above this share of all rows, so at most ``HOT_SHARE`` keys can ever be hot.
 HOT_SHARE = 65_536
-#: Pieces a value range is cut into when it is ranked in parallel.
+#: Pieces a value range is cut into when it is ranked in parallel; a power of two.
 VALUE_SLICES = 256
+#: Up to this many rows one task orders a whole table as fast as slices would.
+SMALL_ROWS = 50_000
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -31,7 +33,7 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 def join_back(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join a derived table on null-safe keys, keeping one copy of the keys."""
-    if not keys:
+    if not keys:  # a one-row aggregate
         return with_scalars(df, table)
     renamed = table
     for k in keys:
@@ -115,18 +117,23 @@ def with_position(
     return joined.withColumn(out, (F.col("__base") + F.row_number().over(inside)).cast("long")).drop("__base")
 
 
-def value_slices(df: DataFrame, keys: Sequence[str], value: str, slices: int = VALUE_SLICES) -> DataFrame:
+def value_slices(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Add ``__slice``, the value's place among approximate quantiles of its group.
 
     Equal values share a slice and slices follow value order, so slices can be ranked apart.
     The quantiles come from mergeable sketches: one pass, map-side combined.
     """
     group = [col(k) for k in keys]
-    points = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    sketch = F.percentile_approx(col(value).cast("double"), points, F.lit(slices * 20)).alias("__bounds")
-    bounds = fitted(df.groupBy(*group).agg(sketch) if keys else df.agg(sketch))
+    points = ", ".join(f"{i / VALUE_SLICES}D" for i in range(1, VALUE_SLICES))
+    sketch = F.expr(f"percentile_approx(cast(`{value}` as double), array({points}), {VALUE_SLICES * 20})").alias("__bounds")
+    bounds = fitted(df.groupBy(*group).agg(sketch) if keys else df.agg(sketch), BROADCAST_ROWS // VALUE_SLICES)
     placed = join_back(df, bounds, keys)
-    number = F.size(F.filter(F.col("__bounds"), lambda b: b < col(value).cast("double")))
+    # bisection: how many bounds lie below the value
+    x = col(value).cast("double")
+    halves = F.expr("array(" + ", ".join(str(VALUE_SLICES >> i) for i in range(1, VALUE_SLICES.bit_length())) + ")")
+    number = F.aggregate(
+        halves, F.lit(0), lambda at, h: F.when(F.get(F.col("__bounds"), at + h - 1) < x, at + h).otherwise(at)
+    )
     return placed.withColumn("__slice", number.cast("long")).drop("__bounds")
 
 
@@ -137,20 +144,27 @@ def running_sums(
     sums: Sequence[str],
     *,
     descending: bool = False,
-    slices: int = VALUE_SLICES,
+    small_rows: int = SMALL_ROWS,
+    keep_slice: bool = False,
 ) -> DataFrame:
-    """Add ``cum_<c>``: running sums of ``sums`` by ``order`` within ``keys``; ``order`` is unique per key."""
+    """Add ``cum_<c>``: running sums of ``sums`` by ``order`` within ``keys``; ``order`` is unique per key.
+
+    A table of at most ``small_rows`` rows is one slice; a larger one is cut by value.
+    """
     group = [col(k) for k in keys]
     key = "__at"
     signed = df.withColumn(key, (-col(order) if descending else col(order)).cast("double"))
-    sliced = value_slices(signed, keys, key, slices)
+    if at_most(df, small_rows):
+        sliced = signed.withColumn("__slice", F.lit(0).cast("long"))
+    else:
+        sliced = value_slices(signed, keys, key)
     per = sliced.groupBy(*group, "__slice").agg(*[F.sum(col(c)).alias(f"__s_{c}") for c in sums])
     before = Window.partitionBy(*group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     base = per.select(
         *group, "__slice", *[F.coalesce(F.sum(f"__s_{c}").over(before), F.lit(0)).alias(f"__b_{c}") for c in sums]
-    )  # at most ``slices`` rows per key
+    )  # at most VALUE_SLICES rows per key
     joined = join_back(sliced, base, [*keys, "__slice"])
     inside = Window.partitionBy(*group, "__slice").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     for c in sums:
         joined = joined.withColumn(f"cum_{c}", F.col(f"__b_{c}") + F.sum(col(c)).over(inside))
-    return joined.drop(key, "__slice", *[f"__b_{c}" for c in sums])
+    return joined.drop(key, *([] if keep_slice else ["__slice"]), *[f"__b_{c}" for c in sums])
