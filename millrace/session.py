@@ -57,8 +57,8 @@ def materialize(df: DataFrame) -> DataFrame:
         held.unpersist()
 
 
-def fitted(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Compute a table of fitted values once and pin it.
+def pin(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """Compute a table of fitted values once; also tell whether it is small.
 
     Up to ``max_rows`` rows become a local table, marked for broadcast. A larger table goes to the
     checkpoint folder and is joined by shuffle, where adaptive execution splits skewed keys.
@@ -67,13 +67,18 @@ def fitted(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     try:
         rows = held.limit(max_rows + 1).toArrow()
         if rows.num_rows <= max_rows:
-            return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+            return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), True
         checkpoint_dir(df.sparkSession)
-        return held.checkpoint(eager=True)
+        return held.checkpoint(eager=True), False
     finally:
         held.unpersist()
 
 
+def fitted(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The pinned table alone."""
+    return pin(df, max_rows)[0]
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Does the table hold no more than ``rows`` rows? Reads about that many rows, not the table."""
     return df.limit(rows + 1).count() <= rows
