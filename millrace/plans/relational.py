@@ -242,12 +242,13 @@ def _(t):
 
 @query(
     "scenario_grid",
-    """select p_partkey, cast(d as date) as eval_date, s as shock
+    """select p_partkey, strftime(d, '%Y-%m-%d') as eval_date, s as shock
        from part, (select unnest(generate_series(date '2024-01-01', date '2024-06-01', interval 1 month)) as d),
             (select unnest([0.0, 0.05, 0.1]) as s)""",
 )
 def _(t):
-    return joins.scenario_grid(t.part.select("p_partkey"), "2024-01-01", "2024-06-01", 1, joins.shock_range(0, 0.1, 0.05))
+    grid = joins.scenario_grid(t.part.select("p_partkey"), "2024-01-01", "2024-06-01", 1, joins.shock_range(0, 0.1, 0.05))
+    return grid.withColumn("eval_date", F.col("eval_date").cast("string"))
 
 
 @query(
