@@ -4,35 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.columns import col, name_list, require
 from millrace.operators.summary import MAX_PIVOT
-from millrace.session import fitted, materialize, pin
-from millrace.skew import SMALL_ROWS, join_back
+from millrace.session import fitted
+from millrace.skew import SMALL_ROWS, join_back, numbered
 
 #: Fixed value: from this many categories on, automatic coding takes the compact encoders.
 HIGH_CARDINALITY = 15
 
 
 def label_codes(df: DataFrame, column: str, small_rows: int = SMALL_ROWS) -> DataFrame:
-    """(value, code): 0-based place of each distinct non-missing value in sorted order.
-
-    Few values are numbered by one window. Many are range-sorted and numbered partition by
-    partition, each offset by the sizes of the partitions before it.
-    """
-    values, small = pin(df.select(col(column).alias("value")).where(col(column).isNotNull()).distinct(), small_rows)
-    if small:
-        return fitted(values.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("long")))
-    placed = materialize(values.orderBy("value").withColumn("__at", F.monotonically_increasing_id()))
-    part = F.shiftright("__at", 33)
-    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))  # one row per partition
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = fitted(sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base")))
-    numbered = placed.withColumn("__part", part).join(offsets, "__part")
-    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    return numbered.select("value", (F.col("__base") + inside).cast("long").alias("code"))
+    """(value, code): 0-based place of each distinct non-missing value in sorted order."""
+    values = df.select(col(column).alias("value")).where(col(column).isNotNull()).distinct()
+    return numbered(values, [F.col("value")], "code", small_rows)
 
 
 def apply_codes(df: DataFrame, column: str, codes: DataFrame, out: str | None = None, invert: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from millrace.functions import dates, logs, nested, text
+from millrace.functions import dates, logs, nested, text, vocab
 from millrace.operators import series
 from millrace.plans.aggregates import rounded
 from millrace.plans.registry import query
@@ -175,3 +175,24 @@ def _(t):
 def _(t):
     out = t.lineitem.select("l_orderkey", "l_linenumber", series.ratio_percent(F.col("l_tax"), F.col("l_discount")).alias("percent"))
     return rounded(out, 6, "percent")
+
+
+# --- vocabularies ---------------------------------------------------------------------------
+
+_TOKENS = "select lang, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) as token from documents"
+
+
+@query(
+    "text_vocab",
+    f"select token, count(*) as n, row_number() over (order by count(*) desc, token) + 1 as id from ({_TOKENS}) group by 1",
+)
+def _(t):
+    return vocab.text_vocab(t.documents, "text", small_rows=1_000)
+
+
+@query(
+    "vocab_sizes",
+    f"select (select count(distinct token) + 2 from ({_TOKENS})) as vocab_size, (select count(distinct lang) from documents) as label_size",
+)
+def _(t):
+    return vocab.vocab_sizes(vocab.text_vocab(t.documents, "text"), vocab.label_vocab(t.documents, "lang"))

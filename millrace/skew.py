@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.columns import col
-from millrace.session import BROADCAST_ROWS, at_most, fitted
+from millrace.session import BROADCAST_ROWS, at_most, fitted, materialize, pin
 
 #: A key is hot above this many rows ...
 HOT_ROWS = 1_000_000
@@ -168,3 +168,22 @@ def running_sums(
     for c in sums:
         joined = joined.withColumn(f"cum_{c}", F.col(f"__b_{c}") + F.sum(col(c)).over(inside))
     return joined.drop(key, *([] if keep_slice else ["__slice"]), *[f"__b_{c}" for c in sums])
+
+
+def numbered(df: DataFrame, order: Sequence[Column], out: str = "number", small_rows: int = SMALL_ROWS) -> DataFrame:
+    """Add the 0-based place of each row in a total order.
+
+    A few rows are numbered by one window. Many are range-sorted and numbered partition by
+    partition, each offset by the sizes of the partitions before it.
+    """
+    held, small = pin(df, small_rows)
+    if small:
+        return fitted(held.withColumn(out, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")))
+    placed = materialize(held.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))  # one row per partition
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = fitted(sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base")))
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    joined = placed.withColumn("__part", part).join(offsets, "__part")
+    return joined.withColumn(out, (F.col("__base") + inside).cast("long")).drop("__part", "__base", "__at")
