@@ -44,7 +44,8 @@ def base64_decode(text: Column) -> Column:
 
 
 def base64_encode(text: Column) -> Column:
-    return F.base64(F.encode(text, "UTF-8"))
+    """One line of base64, however long (Spark may break lines at 76 characters)."""
+    return F.regexp_replace(F.base64(F.encode(text, "UTF-8")), r"[\r\n]", "")
 
 
 def base_name(path: Column) -> Column:

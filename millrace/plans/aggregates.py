@@ -8,7 +8,8 @@ from millrace.plans.registry import query
 
 
 def rounded(df, digits, *names):
-    return df.withColumns({n: F.round(F.col(n).cast("double"), digits) for n in names})
+    """Round for comparison; adding 0.0 turns a negative zero into zero."""
+    return df.withColumns({n: F.round(F.col(n).cast("double"), digits) + F.lit(0.0) for n in names})
 
 
 # --- summaries ------------------------------------------------------------------------------

@@ -141,8 +141,8 @@ def _(t):
 
 @query(
     "scale_standard",
-    """select l_orderkey, round((l_quantity - (select avg(l_quantity) from lineitem)) / (select stddev_pop(l_quantity) from lineitem), 6) as l_quantity,
-              round((l_extendedprice - (select avg(l_extendedprice) from lineitem)) / (select stddev_pop(l_extendedprice) from lineitem), 6) as l_extendedprice from lineitem""",
+    """select l_orderkey, round((l_quantity - (select avg(l_quantity) from lineitem)) / (select stddev_pop(l_quantity) from lineitem), 6) + 0.0 as l_quantity,
+              round((l_extendedprice - (select avg(l_extendedprice) from lineitem)) / (select stddev_pop(l_extendedprice) from lineitem), 6) + 0.0 as l_extendedprice from lineitem""",
 )
 def _(t):
     df = t.lineitem.select("l_orderkey", "l_quantity", "l_extendedprice")

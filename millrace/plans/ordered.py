@@ -76,11 +76,11 @@ def _ordered(t):
 
 @query(
     "ts_abs_changes",
-    _ORDERED + " select user_id, max(n) as length, round(coalesce(sum(abs(x - p1)), 0), 4) as absolute_sum_of_changes, round(sum(x * x), 3) as abs_energy from s group by 1",
+    _ORDERED + " select user_id, max(n) as length, round(coalesce(sum(abs(x - p1)), 0), 6) as absolute_sum_of_changes, round(sum(x * x), 6) as abs_energy from s group by 1",
 )
 def _(t):
     out = _ordered(t).select("user_id", "length", "absolute_sum_of_changes", "abs_energy")
-    return rounded(rounded(out, 4, "absolute_sum_of_changes"), 3, "abs_energy")
+    return rounded(out, 6, "absolute_sum_of_changes", "abs_energy")
 
 
 @query(

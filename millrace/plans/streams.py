@@ -25,7 +25,7 @@ def _(t):
 
 @query(
     "stream_fanout",
-    f"""with g as ({_GAP}) select 'rate' as output, count(*) as n, round(sum(value), 4) as total from g
+    f"""with g as ({_GAP.replace('round(value - lag(value) over (partition by user_id order by ts, event_id), 6)', 'value - lag(value) over (partition by user_id order by ts, event_id)')}) select 'rate' as output, count(*) as n, round(sum(value), 4) as total from g
         union all select 'gap', count(*), round(sum(gap), 4) from g where gap is not null
         union all select 'alert', count(*), round(sum(gap), 4) from g where abs(gap) > 50""",
 )

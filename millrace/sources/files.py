@@ -118,17 +118,16 @@ def export_by_value(df: DataFrame, column: str, path: str, fmt: str = "csv") ->
 # --- file sets ------------------------------------------------------------------------------
 
 def file_inventory(
-    spark: SparkSession, folder: str, pattern: str | None = None, recursive: bool = True, skip_empty: bool = True
+    spark: SparkSession, folder: str, pattern: str | None = None, recursive: bool = True
 ) -> DataFrame:
-    """(relative_path, length, modified) of files; contents are not read."""
+    """(relative_path, length, modified) of files that hold something; contents are not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     base = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
     files = reader.load(folder).select("path", "length", F.col("modificationTime").alias("modified"))
     relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", ""), "^" + _literal(base) + "/", "")
-    out = files.select(relative.alias("relative_path"), "length", "modified")
-    return out.where("length > 0") if skip_empty else out
+    return files.select(relative.alias("relative_path"), "length", "modified").where("length > 0")
 
 
 def _literal(text: str) -> str:
@@ -143,14 +142,18 @@ def to_transfer(inventory: DataFrame, already: DataFrame, sync: bool = True) ->
 
 
 def folder_metrics(spark: SparkSession, folder: str, modified_after: str, pattern: str | None = None) -> DataFrame:
-    """File count, total bytes, files modified after a time, and lines of text, as one row."""
-    files = file_inventory(spark, folder, pattern, skip_empty=False)
+    """File count, total bytes, files modified after a time, and lines of text, as one row.
+
+    Empty files are counted, but their times are not looked at.
+    """
+    files = file_inventory(spark, folder, pattern)
     reader = spark.read.option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    lines = reader.text(folder).agg(F.count(F.lit(1)).alias("lines")).scalar()
+    text = reader.text(folder)
+    lines = text.agg(F.count(F.lit(1)).alias("lines")).scalar()
     return files.agg(
-        F.count(F.lit(1)).alias("files"),
+        F.lit(len(text.inputFiles())).cast("long").alias("files"),
         F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"),
         F.count_if(F.col("modified") > F.lit(modified_after).cast("timestamp")).alias("modified_since"),
     ).withColumn("lines", lines)
