@@ -1,7 +1,7 @@
 """Exact quantiles whose cost does not fall on one task, even for one large group.
 
-Sketches place each value in a slice; slice counts show which slices hold the wanted ranks; only
-the distinct values of those slices are then shuffled and ranked.
+A sketch brackets each wanted rank between two values. One more pass counts everything outside the
+brackets and keeps distinct values, with counts, only inside them; those few are ranked.
 """
 
 from __future__ import annotations
@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from millrace.columns import col
 from millrace.session import at_most, fitted
-from millrace.skew import SMALL_ROWS, join_back, value_slices
+from millrace.skew import SMALL_ROWS, join_back
+
+#: Rank error of the sketch is at most 1/ACCURACY of the group; a bracket is four times that wide.
+ACCURACY = 10_000
 
 
 def melt(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -32,6 +35,7 @@ def exact_quantiles(
     probabilities: Sequence[float],
     *,
     small_rows: int = SMALL_ROWS,
+    accuracy: int = ACCURACY,
     approx: bool = False,
 ) -> DataFrame:
     """One row per (keys, column) with ``q``, the linearly interpolated quantiles in the order asked.
@@ -42,60 +46,63 @@ def exact_quantiles(
     long = melt(df, keys, columns)
     group = [*keys, "column"]
     by = [col(g) for g in group]
-    probs = F.array(*[F.lit(float(p)) for p in probabilities])
+    probs = [float(p) for p in probabilities]
+    wanted = F.array(*[F.lit(p) for p in probs])
     if approx:
-        return long.groupBy(*by).agg(F.percentile_approx("value", probs, F.lit(10_000)).alias("q"))
+        return long.groupBy(*by).agg(F.percentile_approx("value", wanted, F.lit(accuracy)).alias("q"))
     if at_most(df, small_rows):
-        return long.groupBy(*by).agg(F.percentile("value", probs).alias("q"))
-
-    placed = value_slices(long, group, "value")
-    sizes = placed.groupBy(*by, "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    in_order = Window.partitionBy(*by).orderBy("__slice")
-    ranked = sizes.select(
+        return long.groupBy(*by).agg(F.percentile("value", wanted).alias("q"))
+
+    # brackets [lo, hi] per probability, in rising order; NULL means open-ended
+    margin = 2.0 / accuracy
+    rising = sorted(set(probs))
+    ends = [x for p in rising for x in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    sketch = F.percentile_approx("value", F.array(*[F.lit(x) for x in ends]), F.lit(accuracy))
+    sketched = long.groupBy(*by).agg(sketch.alias("b"))
+    sides = [F.get("b", F.lit(j)).alias(f"__{'lh'[j % 2]}{j // 2}") for j in range(len(ends))]
+    placed = join_back(long, fitted(sketched.select(*by, *sides)), group)
+
+    x = F.col("value")
+    inside, past = F.lit(None).cast("int"), F.lit(-1)
+    for i in reversed(range(len(rising))):
+        above = F.lit(True) if ends[2 * i] == 0.0 else x >= F.col(f"__l{i}")
+        below = F.lit(True) if ends[2 * i + 1] == 1.0 else x <= F.col(f"__h{i}")
+        inside = F.when(above & below, F.lit(i)).otherwise(inside)
+    for i in range(len(rising)):
+        past = F.when(x > F.col(f"__h{i}"), F.lit(i)).otherwise(past)
+    cells = placed.select(*by, "value", inside.alias("__in"), past.alias("__past")).select(
         *by,
-        "__slice",
-        (F.sum("__n").over(in_order) - F.col("__n")).alias("__base"),
-        F.sum("__n").over(in_order).alias("__end"),
-        F.sum("__n").over(Window.partitionBy(*by)).alias("__total"),
-    )
-    wanted = F.transform(
-        probs,
-        lambda p: F.struct(
-            p.alias("p"),
-            F.floor(p * (F.col("__total") - 1)).alias("lo"),
-            F.ceil(p * (F.col("__total") - 1)).alias("hi"),
-            (p * (F.col("__total") - 1)).alias("at"),
-        ),
-    )
-    targets = ranked.withColumn("__want", wanted).where(
-        F.exists(
-            "__want",
-            lambda w: ((w["lo"] >= F.col("__base")) & (w["lo"] < F.col("__end")))
-            | ((w["hi"] >= F.col("__base")) & (w["hi"] < F.col("__end"))),
-        )
-    )
-    targets = fitted(targets.drop("__end", "__total"))  # <= 2 rows per probability and group
-
-    kept = join_back(placed, targets, [*group, "__slice"], how="inner")
-    values = kept.groupBy(*by, "__slice", "value").agg(
-        F.count(F.lit(1)).alias("__n"), F.first("__base").alias("__base"), F.first("__want").alias("__want")
+        F.coalesce("__in", "__past").alias("__bracket"),
+        F.col("__in").isNull().alias("__outside"),
+        F.when(F.col("__in").isNotNull(), x).alias("value"),
     )
-    inside = Window.partitionBy(*by, "__slice").orderBy("value")
-    spans = values.withColumn("__to", F.col("__base") + F.sum("__n").over(inside)).withColumn(
-        "__from", F.col("__to") - F.col("__n")
+    counts = cells.groupBy(*by, "__bracket", "__outside", "value").agg(F.count(F.lit(1)).alias("__n"))
+
+    sizes = counts.groupBy(*by, "__bracket", "__outside").agg(F.sum("__n").alias("__m"))
+    in_order = Window.partitionBy(*by).orderBy("__bracket", "__outside")
+    runs = sizes.select(
+        *by, "__bracket", "__outside",
+        (F.sum("__m").over(in_order) - F.col("__m")).alias("__base"),
+        F.sum("__m").over(Window.partitionBy(*by)).alias("__total"),
+    )  # a few rows per group
+    ranked = join_back(counts.where("not __outside"), runs, [*group, "__bracket", "__outside"])
+    w = Window.partitionBy(*by, "__bracket").orderBy("value")
+    spans = ranked.withColumn("__to", F.col("__base") + F.sum("__n").over(w)).withColumn("__from", F.col("__to") - F.col("__n"))
+
+    def at(p: float):
+        return F.lit(p) * (F.col("__total") - 1)
+
+    def pick(rank):
+        return F.max(F.when((rank >= F.col("__from")) & (rank < F.col("__to")), F.col("value")))
+
+    picked = spans.groupBy(*by).agg(
+        F.max("__total").alias("__total"),
+        *[f(F.floor(at(p)) if k == "lo" else F.ceil(at(p))).alias(f"__{k}{i}") for i, p in enumerate(probs) for k, f in (("lo", pick), ("hi", pick))],
     )
-    spans = spans.select(*by, "value", "__from", "__to", F.explode("__want").alias("w"))
-
-    def holds(rank):
-        return (F.col(f"w.{rank}") >= F.col("__from")) & (F.col(f"w.{rank}") < F.col("__to"))
-
-    picked = spans.where(holds("lo") | holds("hi")).groupBy(*by, "w.p", "w.at", "w.lo").agg(
-        F.max(F.when(holds("lo"), F.col("value"))).alias("vlo"),
-        F.max(F.when(holds("hi"), F.col("value"))).alias("vhi"),
-    )
-    value = F.col("vlo") + (F.col("vhi") - F.col("vlo")) * (F.col("at") - F.col("lo"))
-    by_p = picked.groupBy(*by).agg(F.map_from_entries(F.collect_set(F.struct("p", value.alias("v")))).alias("__m"))
-    return by_p.select(*by, F.transform(probs, lambda p: F.element_at("__m", p)).alias("q"))
+    values = [
+        F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (at(p) - F.floor(at(p))) for i, p in enumerate(probs)
+    ]
+    return picked.select(*by, F.array(*values).alias("q"))
 
 
 def wide_quantiles(

@@ -20,7 +20,7 @@ HOT_ROWS = 1_000_000
 #: ... and above this share of all rows, so at most ``HOT_SHARE`` keys can ever be hot.
 HOT_SHARE = 65_536
 #: Pieces a value range is cut into when it is ranked in parallel; a power of two.
-VALUE_SLICES = 256
+VALUE_SLICES = 4096
 #: Up to this many rows one task orders a whole table as fast as slices would.
 SMALL_ROWS = 50_000
 
@@ -125,7 +125,7 @@ def value_slices(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """
     group = [col(k) for k in keys]
     points = ", ".join(f"{i / VALUE_SLICES}D" for i in range(1, VALUE_SLICES))
-    sketch = F.expr(f"percentile_approx(cast(`{value}` as double), array({points}), {VALUE_SLICES * 20})").alias("__bounds")
+    sketch = F.expr(f"percentile_approx(cast(`{value}` as double), array({points}), {VALUE_SLICES * 5})").alias("__bounds")
     bounds = fitted(df.groupBy(*group).agg(sketch) if keys else df.agg(sketch), BROADCAST_ROWS // VALUE_SLICES)
     placed = join_back(df, bounds, keys)
     # bisection: how many bounds lie below the value
