@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.functions.logs import parse_log
-from millrace.operators import anomaly, encode, explain, metrics, models, scale, search, sessions, split, summary
+from millrace.operators import anomaly, encode, explain, meanshift, metrics, models, scale, search, sessions, split, summary
 from millrace.operators.joins import merge
 from millrace.operators.project import remap_anomaly
 from millrace.plans.aggregates import rounded
@@ -90,6 +90,15 @@ def _(t):
     return models.score_table(scored, "label", "clustering")
 
 
+@query("mean_shift")
+def _(t):
+    """Clusters of the order price and day, in standard units."""
+    df = t.orders.select("o_orderkey", "o_totalprice", F.datediff("o_orderdate", F.lit("1995-01-01")).cast("double").alias("day"))
+    scaled = scale.scale(df, ["o_totalprice", "day"], "standard")
+    model = meanshift.train_mean_shift(scaled, ["o_totalprice", "day"], 1.5, max_iter=6)
+    return model.transform(scaled).groupBy("predictions").agg(F.count("*").alias("n"))
+
+
 @query("score_unlabelled", "select p_partkey from part")
 def _(t):
     model = models.train(_prices(t), models.Algorithm("LinearRegression", "regression"), "p_retailprice", ["size", "serial"])

@@ -102,6 +102,11 @@ def _(t):
     return rounded(out, 6, "autocorrelation_lag_2", "autocorrelation_lag_3")
 
 
+@query("ts_wavelet_peaks")
+def _(t):
+    return series.wavelet_peaks(t.events, "user_id", "ts", "value", ["event_id"])
+
+
 # --- rules ----------------------------------------------------------------------------------
 
 _RULES = (
