@@ -136,7 +136,7 @@ def cooldown(
         return out[[*names, "__slice", "__entry", "__exit"]]
 
     exits = (
-        sliced.where("__slice <> 0")
+        sliced.where("__slice is not null")
         .groupBy(*[col(k) for k in keys], "__slice")
         .applyInPandas(slice_exits, T.StructType([*key_fields, *_longs("__slice", "__entry", "__exit")]))
     )

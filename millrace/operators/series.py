@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from millrace.columns import col
 from millrace.quantiles import exact_quantiles
-from millrace.skew import HOT_ROWS, join_back, micros, time_slices, with_position, with_previous
+from millrace.skew import HOT_ROWS, join_back, micros, time_slices, with_markers, with_position, with_previous
 
 
 def rate_gap(
@@ -35,8 +35,8 @@ def series_index(
 ) -> DataFrame:
     """Add ``iteration``: 0-based place of the row in its series."""
     sliced = time_slices(df, keys, ts, width_seconds, hot_rows)
-    placed = with_position(sliced, keys, "__slice", [col(ts), *[col(t) for t in ties]], "iteration")
-    return placed.withColumn("iteration", F.col("iteration") - 1).drop("__slice")
+    placed = with_position(sliced, keys, [col(ts), *[col(t) for t in ties]], "iteration")
+    return placed.withColumn("iteration", F.col("iteration") - 1)
 
 
 def window_average(
@@ -52,7 +52,7 @@ def window_average(
         raise ValueError("a slice must be at least as long as the window")
     sliced = time_slices(df, keys, ts, width_seconds, hot_rows)
     reach = F.floor((micros(col(ts)) + seconds * 1_000_000) / F.lit(width_seconds * 1_000_000)).cast("long")
-    hot = F.col("__slice") != 0
+    hot = F.col("__slice").isNotNull()
     copies = sliced.withColumn(
         "__in", F.explode(F.when(hot, F.sequence("__slice", reach)).otherwise(F.array("__slice")))
     )
@@ -61,7 +61,7 @@ def window_average(
         .orderBy(micros(col(ts)))
         .rangeBetween(-seconds * 1_000_000, Window.currentRow)
     )
-    out = copies.withColumn("window_avg", F.avg(col(value)).over(frame)).where(F.col("__in") == F.col("__slice"))
+    out = copies.withColumn("window_avg", F.avg(col(value)).over(frame)).where(F.col("__in").eqNullSafe(F.col("__slice")))
     return out.drop("__in", "__slice")
 
 
@@ -92,19 +92,23 @@ def _in_position_blocks(
     """Rows with position, series length, mean and variance, laid out in blocks that overlap by ``halo`` rows."""
     x = col(value).cast("double")
     sliced = time_slices(df, [key], ts, width_seconds, hot_rows)
-    sizes = sliced.groupBy(col(key), "__slice").agg(F.count(x).alias("__n"), F.sum(x).alias("__s"))
+    present = sliced.where(x.isNotNull()).select(col(key), "__slice", col(ts).alias("__ts"), *[col(t).alias(f"__t_{t}") for t in ties], x.alias("x"))
+    sizes = present.groupBy(col(key), "__slice").agg(F.count("x").alias("__n"), F.sum("x").alias("__s"))
     whole = Window.partitionBy(col(key))
     before = whole.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select(
+    markers = sizes.select(
         col(key), "__slice",
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"),
+        (F.coalesce(F.sum("__n").over(before), F.lit(0)) - 1).alias("__step"),
         F.sum("__n").over(whole).alias("n"),
         (F.sum("__s").over(whole) / F.sum("__n").over(whole)).alias("mu"),
     )
-    inside = Window.partitionBy(col(key), "__slice").orderBy(col(ts), *[col(t) for t in ties])
-    placed = join_back(sliced.where(x.isNotNull()), base, [key, "__slice"]).select(
-        col(key), x.alias("x"), "n", "mu", (F.col("__base") + F.row_number().over(inside) - 1).alias("pos")
-    )
+    stacked = with_markers(present.withColumn("__step", F.lit(1).cast("long")), markers)
+    inside = Window.partitionBy(col(key), "__slice").orderBy("__marker", "__ts", *[f"__t_{t}" for t in ties])
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    placed = stacked.select(
+        col(key), "x", "__marker", F.sum("__step").over(so_far).alias("pos"),
+        F.first("n").over(so_far).alias("n"), F.first("mu").over(so_far).alias("mu"),
+    ).where("__marker = 1").drop("__marker")
     first = F.greatest(F.floor((F.col("pos") - halo) / block), F.lit(0))
     last = F.floor((F.col("pos") + halo) / block)
     return placed.withColumn("home", F.floor(F.col("pos") / block)).withColumn("block", F.explode(F.sequence(first, last)))

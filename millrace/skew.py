@@ -63,10 +63,21 @@ def micros(ts: Column) -> Column:
 def time_slices(
     df: DataFrame, keys: Sequence[str], ts: str, width_seconds: int, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Add ``__slice``: 0 for ordinary keys, the number of the time slice for hot keys."""
+    """Add ``__slice``: NULL for ordinary keys, the number of the time slice for hot keys."""
     marked = join_back(df, F.broadcast(hot_keys(df, keys, hot_rows)), keys)  # <= HOT_SHARE rows
     number = F.floor(micros(col(ts)) / F.lit(width_seconds * 1_000_000)).cast("long")
-    return marked.withColumn("__slice", F.when(F.col("__hot"), number).otherwise(F.lit(0).cast("long"))).drop("__hot")
+    return marked.withColumn("__slice", F.when(F.col("__hot"), number)).drop("__hot")
+
+
+def with_markers(df: DataFrame, markers: DataFrame) -> DataFrame:
+    """Stack the rows and what their slices inherit; ``__marker`` is 0 for a marker and 1 for a row.
+
+    Ordered by ``__marker`` first, a marker opens its slice, so one window over the stacked table sees
+    it: the inherited value travels in the window's own shuffle instead of a join.
+    """
+    return df.withColumn("__marker", F.lit(1)).unionByName(
+        markers.withColumn("__marker", F.lit(0)), allowMissingColumns=True
+    )
 
 
 def with_previous(
@@ -81,40 +92,34 @@ def with_previous(
 ) -> DataFrame:
     """Add ``__prev_<v>`` for each value: that of the row before, by time and ties, within the key."""
     sliced = time_slices(df, keys, ts, width_seconds, hot_rows)
-    order = [col(ts), *[col(t) for t in ties]]
     group = [col(k) for k in keys]
-    last = sliced.groupBy(*group, "__slice").agg(
-        F.max_by(F.struct(*[col(v) for v in values]), F.struct(*order)).alias("__last")
+    order = [col(ts), *[col(t) for t in ties]]
+    held = F.struct(*[col(v) for v in values])
+    last = (
+        sliced.where("__slice is not null")
+        .groupBy(*group, "__slice")
+        .agg(F.max_by(held, F.struct(*order)).alias("__last"))
     )
-    carry = last.withColumn(
-        "__carry", F.lag("__last").over(Window.partitionBy(*group).orderBy("__slice"))
-    ).where(F.col("__carry").isNotNull()).drop("__last")
-    joined = join_back(sliced, carry, [*keys, "__slice"])
-    inside = Window.partitionBy(*group, "__slice").orderBy(*order)
-    first = F.row_number().over(inside) == 1
-    for v in values:
-        joined = joined.withColumn(
-            f"__prev_{v}",
-            F.when(first, F.col(f"__carry.`{v}`")).otherwise(F.lag(col(v)).over(inside)),
-        )
-    return joined.drop("__carry", "__slice")
-
-
-def with_position(
-    df: DataFrame,
-    keys: Sequence[str],
-    slice_col: str,
-    order: Sequence[Column],
-    out: str,
-) -> DataFrame:
-    """Exact 1-based row number within ``keys`` by (slice, order), computed slice by slice."""
+    # the last row of a slice opens the key's next slice that holds rows
+    following = F.lead("__slice").over(Window.partitionBy(*group).orderBy("__slice"))
+    markers = last.withColumn("__slice", following).where("__slice is not null")
+    stacked = with_markers(sliced.withColumn("__last", held), markers)
+    inside = Window.partitionBy(*group, "__slice").orderBy("__marker", *order)
+    previous = stacked.withColumn("__previous", F.lag("__last").over(inside)).where("__marker = 1")
+    out = previous.withColumns({f"__prev_{v}": F.col(f"__previous.`{v}`") for v in values})
+    return out.drop("__previous", "__last", "__marker", "__slice")
+
+
+def with_position(sliced: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """Exact 1-based place of each row within ``keys``, from a table cut by ``time_slices``."""
     group = [col(k) for k in keys]
-    sizes = df.groupBy(*group, col(slice_col)).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*group).orderBy(col(slice_col)).rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    joined = join_back(df, base, [*keys, slice_col])
-    inside = Window.partitionBy(*group, col(slice_col)).orderBy(*order)
-    return joined.withColumn(out, (F.col("__base") + F.row_number().over(inside)).cast("long")).drop("__base")
+    sizes = sliced.where("__slice is not null").groupBy(*group, "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    markers = sizes.select(*group, "__slice", F.sum("__n").over(before).alias("__step")).where("__step is not null")
+    stacked = with_markers(sliced.withColumn("__step", F.lit(1).cast("long")), markers)
+    inside = Window.partitionBy(*group, "__slice").orderBy("__marker", *order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = stacked.withColumn(out, F.sum("__step").over(inside)).where("__marker = 1")
+    return placed.drop("__step", "__marker", "__slice")
 
 
 def value_slices(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -158,16 +163,13 @@ def running_sums(
         sliced = signed.withColumn("__slice", F.lit(0).cast("long"))
     else:
         sliced = value_slices(signed, keys, key)
-    per = sliced.groupBy(*group, "__slice").agg(*[F.sum(col(c)).alias(f"__s_{c}") for c in sums])
+    per = sliced.groupBy(*group, "__slice").agg(*[F.sum(col(c)).alias(c) for c in sums])
     before = Window.partitionBy(*group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    base = per.select(
-        *group, "__slice", *[F.coalesce(F.sum(f"__s_{c}").over(before), F.lit(0)).alias(f"__b_{c}") for c in sums]
-    )  # at most VALUE_SLICES rows per key
-    joined = join_back(sliced, base, [*keys, "__slice"])
-    inside = Window.partitionBy(*group, "__slice").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    for c in sums:
-        joined = joined.withColumn(f"cum_{c}", F.col(f"__b_{c}") + F.sum(col(c)).over(inside))
-    return joined.drop(key, *([] if keep_slice else ["__slice"]), *[f"__b_{c}" for c in sums])
+    markers = per.select(*group, "__slice", *[F.sum(col(c)).over(before).alias(c) for c in sums])  # <= VALUE_SLICES per key
+    stacked = with_markers(sliced, markers)
+    inside = Window.partitionBy(*group, "__slice").orderBy("__marker", key).rowsBetween(Window.unboundedPreceding, 0)
+    summed = stacked.withColumns({f"cum_{c}": F.sum(col(c)).over(inside) for c in sums}).where("__marker = 1")
+    return summed.drop(key, "__marker", *([] if keep_slice else ["__slice"]))
 
 
 def numbered(df: DataFrame, order: Sequence[Column], out: str = "number", small_rows: int = SMALL_ROWS) -> DataFrame:
