@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.columns import col
+from millrace.session import spread
 from millrace.skew import HOT_ROWS, join_back, micros, time_slices
 
 RULE_SCHEMA = "rule string, metric string, denominator string, scale double, op string, threshold double"
@@ -136,7 +137,7 @@ def cooldown(
         return out[[*names, "__slice", "__entry", "__exit"]]
 
     exits = (
-        sliced.where("__slice is not null")
+        spread(sliced.where("__slice is not null"), [*keys, "__slice"])
         .groupBy(*[col(k) for k in keys], "__slice")
         .applyInPandas(slice_exits, T.StructType([*key_fields, *_longs("__slice", "__entry", "__exit")]))
     )
@@ -170,7 +171,7 @@ def cooldown(
         return out[[*names, "__us"]]
 
     fired = (
-        join_back(sliced, carry, [*keys, "__slice"])
+        spread(join_back(sliced, carry, [*keys, "__slice"]), [*keys, "__slice"])
         .groupBy(*[col(k) for k in keys], "__slice")
         .applyInPandas(mark, T.StructType([*key_fields, *_longs("__us")]))
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from millrace.columns import col, require
 from millrace.operators.scale import Scaler, fit_scaler
 from millrace.quantiles import exact_quantiles
+from millrace.session import materialize, spread
 
 EULER = 0.5772156649015329
 
@@ -92,7 +93,7 @@ def train_isolation_forest(
     df: DataFrame, key: str | Sequence[str], features: Sequence[str], trees: int = 100, sample: int = 256,
     contamination: float | None = None, seed: int = 1,
 ) -> IsolationForest:
-    """Each tree grows on its own small sample, drawn by hashing the key; one group per tree.
+    """Each tree grows on its own small random sample; one group per tree. The key only fixes row order.
 
     With a contamination share the threshold is that quantile of the training scores, else 0.5.
     """
@@ -100,27 +101,26 @@ def train_isolation_forest(
     keys = [key] if isinstance(key, str) else list(key)
     rows = df.select(*[col(k) for k in keys], *[col(f).cast("double").alias(f) for f in features]).na.drop()
     n = rows.count()
-    unit = F.lit(float(1 << 31))
-    h = F.pmod(F.xxhash64(*[col(k) for k in keys], F.lit(seed)), F.lit(1 << 31)).cast("double") / unit
+    # About twice as many rows as the trees need. Each draw is a row's own, so copies of one row are
+    # thinned like any others and no tree's group can grow with a repeated key.
     if n > 4 * trees * sample:
-        # about twice as many rows as the trees need, each given to one tree
-        picked = rows.where(h < 2 * trees * sample / n).withColumn(
-            "__tree", F.pmod(F.xxhash64(F.lit(seed + 1), *[col(k) for k in keys]), F.lit(trees))
-        )
+        share = 2 * trees * sample / n
+        drawn = rows.withColumn("__u", F.rand(seed)).where(F.col("__u") < share)
+        picked = drawn.withColumn("__tree", F.floor(F.col("__u") / share * trees).cast("long")).drop("__u")
     else:
-        spread = rows.withColumn("__tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))))
-        g = F.pmod(F.xxhash64(F.lit(seed), "__tree", *[col(k) for k in keys]), F.lit(1 << 31)).cast("double") / unit
-        picked = spread.where(g < 2 * sample / max(n, 1))
+        spread_rows = rows.withColumn("__tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))))
+        picked = spread_rows.where(F.rand(seed) < 2 * sample / max(n, 1))
+    picked = materialize(picked)
     names = list(features)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         number = int(pdf["__tree"].iloc[0])
-        x = pdf.sort_values(keys)[names].to_numpy(float)
+        x = pdf.sort_values([*keys, *names])[names].to_numpy(float)
         rng = np.random.default_rng([seed, number])
         x = x[rng.permutation(len(x))[:sample]]
         return pd.DataFrame({"tree": [number], "nodes": [json.dumps(grow_tree(x, rng))]})
 
-    grown = picked.groupBy("__tree").applyInPandas(build, "tree long, nodes string").orderBy("tree").collect()
+    grown = spread(picked, ["__tree"]).groupBy("__tree").applyInPandas(build, "tree long, nodes string").orderBy("tree").collect()
     arrays = tuple(np.asarray(json.loads(r["nodes"]), float) for r in grown)
     forest = IsolationForest(tuple(features), arrays, min(sample, n))
     if contamination is None:

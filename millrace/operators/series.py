@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from millrace.columns import col
 from millrace.quantiles import exact_quantiles
+from millrace.session import spread
 from millrace.skew import HOT_ROWS, join_back, micros, time_slices, with_markers, with_position, with_previous
 
 
@@ -218,4 +219,4 @@ def wavelet_peaks(
         return pd.DataFrame({key: [pdf[key].iloc[0]], **counts})
 
     rows = df.select(col(key), micros(col(ts)).alias("__us"), *[col(t) for t in ties], col(value))
-    return rows.groupBy(col(key)).applyInPandas(count, T.StructType(fields))
+    return spread(rows, [key]).groupBy(col(key)).applyInPandas(count, T.StructType(fields))

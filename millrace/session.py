@@ -85,6 +85,16 @@ def fitted(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return pin(df, max_rows)[0]
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash rows by key over the session's shuffle partitions, ahead of grouped Python work.
+
+    Partitions small in bytes may still be heavy in Python, so they are not to be merged at run time;
+    the grouping that follows needs no further shuffle.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *[F.col("`" + k.replace("`", "``") + "`") for k in keys])
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Does the table hold no more than ``rows`` rows? Reads about that many rows, not the table."""
     return df.limit(rows + 1).count() <= rows

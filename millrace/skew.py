@@ -19,8 +19,8 @@ from millrace.session import BROADCAST_ROWS, at_most, fitted, materialize, pin
 HOT_ROWS = 1_000_000
 #: ... and above this share of all rows, so at most ``HOT_SHARE`` keys can ever be hot.
 HOT_SHARE = 65_536
-#: Pieces a value range is cut into when it is ranked in parallel; a power of two.
-VALUE_SLICES = 4096
+#: A value range is cut at approximate quantiles (a power of two), and each piece evenly again.
+COARSE_SLICES, FINE_SLICES = 64, 64
 #: Up to this many rows one task orders a whole table as fast as slices would.
 SMALL_ROWS = 50_000
 
@@ -123,23 +123,25 @@ def with_position(sliced: DataFrame, keys: Sequence[str], order: Sequence[Column
 
 
 def value_slices(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Add ``__slice``, the value's place among approximate quantiles of its group.
+    """Add ``__slice``, the value's place among the pieces of its group's range.
 
-    Equal values share a slice and slices follow value order, so slices can be ranked apart.
-    The quantiles come from mergeable sketches: one pass, map-side combined.
+    Equal values share a slice and slices follow value order, so slices can be ranked apart. The
+    coarse cuts are quantiles from mergeable sketches: one pass, map-side combined.
     """
     group = [col(k) for k in keys]
-    points = ", ".join(f"{i / VALUE_SLICES}D" for i in range(1, VALUE_SLICES))
-    sketch = F.expr(f"percentile_approx(cast(`{value}` as double), array({points}), {VALUE_SLICES * 5})").alias("__bounds")
-    bounds = fitted(df.groupBy(*group).agg(sketch) if keys else df.agg(sketch), BROADCAST_ROWS // VALUE_SLICES)
+    points = ", ".join(f"{i / COARSE_SLICES}D" for i in range(COARSE_SLICES + 1))
+    sketch = F.expr(f"percentile_approx(cast(`{value}` as double), array({points}), {COARSE_SLICES * 20})").alias("__bounds")
+    bounds = fitted(df.groupBy(*group).agg(sketch) if keys else df.agg(sketch), BROADCAST_ROWS // COARSE_SLICES)
     placed = join_back(df, bounds, keys)
-    # bisection: how many bounds lie below the value
-    x = col(value).cast("double")
-    halves = F.expr("array(" + ", ".join(str(VALUE_SLICES >> i) for i in range(1, VALUE_SLICES.bit_length())) + ")")
-    number = F.aggregate(
-        halves, F.lit(0), lambda at, h: F.when(F.get(F.col("__bounds"), at + h - 1) < x, at + h).otherwise(at)
-    )
-    return placed.withColumn("__slice", number.cast("long")).drop("__bounds")
+    # bisection: how many of the inner bounds lie below the value
+    x, b = col(value).cast("double"), F.col("__bounds")
+    halves = F.expr("array(" + ", ".join(str(COARSE_SLICES >> i) for i in range(1, COARSE_SLICES.bit_length())) + ")")
+    coarse = F.aggregate(halves, F.lit(0), lambda at, h: F.when(F.get(b, at + h) < x, at + h).otherwise(at))
+    placed = placed.withColumn("__coarse", coarse)
+    lo, hi = F.get(b, F.col("__coarse")), F.get(b, F.col("__coarse") + 1)
+    even = F.floor((x - lo) / (hi - lo) * FINE_SLICES)
+    fine = F.when(hi > lo, F.least(F.greatest(even, F.lit(0)), F.lit(FINE_SLICES - 1))).otherwise(0)
+    return placed.withColumn("__slice", (F.col("__coarse") * FINE_SLICES + fine).cast("long")).drop("__bounds", "__coarse")
 
 
 def running_sums(
@@ -158,14 +160,15 @@ def running_sums(
     """
     group = [col(k) for k in keys]
     key = "__at"
-    signed = df.withColumn(key, (-col(order) if descending else col(order)).cast("double"))
-    if at_most(df, small_rows):
+    # read several times below: computed once and written out
+    signed = materialize(df.withColumn(key, (-col(order) if descending else col(order)).cast("double")))
+    if at_most(signed, small_rows):
         sliced = signed.withColumn("__slice", F.lit(0).cast("long"))
     else:
         sliced = value_slices(signed, keys, key)
     per = sliced.groupBy(*group, "__slice").agg(*[F.sum(col(c)).alias(c) for c in sums])
     before = Window.partitionBy(*group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    markers = per.select(*group, "__slice", *[F.sum(col(c)).over(before).alias(c) for c in sums])  # <= VALUE_SLICES per key
+    markers = per.select(*group, "__slice", *[F.sum(col(c)).over(before).alias(c) for c in sums])  # at most COARSE_SLICES * FINE_SLICES per key
     stacked = with_markers(sliced, markers)
     inside = Window.partitionBy(*group, "__slice").orderBy("__marker", key).rowsBetween(Window.unboundedPreceding, 0)
     summed = stacked.withColumns({f"cum_{c}": F.sum(col(c)).over(inside) for c in sums}).where("__marker = 1")
