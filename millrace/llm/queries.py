@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, quality, simhash, tokens, urls, warc
+from millrace.llm import chat, quality, simhash, suffix, tokens, urls, warc
 from millrace.llm.common import table
 
 #: Files of public tokenizers; a parameter of the operators that read them.
@@ -78,6 +78,10 @@ from m group by conv_id
 """
 
 
+def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, folder, "documents"))
+
+
 def op6_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), RULES)
 
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_warc": op3_warc,
     "op4_chat": op4_chat,
+    "op5_repeats": op5_repeats,
     "op6_urls": op6_urls,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
