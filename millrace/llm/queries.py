@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, quality, simhash, suffix, tokens, urls, warc
+from millrace.llm import chat, decontam, quality, sentencepieces, simhash, suffix, tokens, urls, warc
 from millrace.llm.common import table
 
 #: Files of public tokenizers; a parameter of the operators that read them.
@@ -101,6 +101,16 @@ group by all
 """
 
 
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    known = sentencepieces.load(PIECES)
+    read = sentencepieces.decode(sentencepieces.encode(table(spark, folder, "documents"), known), known)
+    return read.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -115,6 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat": op4_chat,
     "op5_repeats": op5_repeats,
     "op6_urls": op6_urls,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
 }
