@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontam, quality, sentencepieces, simhash, suffix, tokens, urls, warc
+from millrace.llm import chat, decontam, pii, quality, sentencepieces, simhash, suffix, tokens, urls, warc
 from millrace.llm.common import table
 
 #: Files of public tokenizers; a parameter of the operators that read them.
@@ -21,6 +21,12 @@ RULES = (
 )
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = pii.personal_data(docs, pii.fit(docs))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     return quality.quality(docs, quality.fit(docs, labels))
@@ -120,6 +126,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_quality": op2_quality,
     "op3_warc": op3_warc,
     "op4_chat": op4_chat,

@@ -114,9 +114,20 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; of rows with that id and
-    fingerprint all stay, as do rows without an id."""
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE
+) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component, with all columns.
+
+    Of several rows of one id the least by all columns stays, if that id stays. Rows without an id cannot be
+    told apart and stay.
+    """
     found = near_duplicates(docs, id_col, text_col, words, distance)
     copies = found.where(quoted(id_col) != F.col("component_id")).select(quoted(id_col)).distinct()
-    return docs.join(copies, id_col, "left_anti")
+    kept = docs.join(copies, id_col, "left_anti").select(docs.columns)
+    repeated = narrow(docs, id=id_col).where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias(id_col))
+    if repeated.isEmpty():
+        return kept
+    row = F.min(F.struct(*[quoted(c) for c in docs.columns])).alias("row")
+    one = kept.join(repeated, id_col, "left_semi").select(docs.columns).groupBy(quoted(id_col)).agg(row).select("row.*")
+    return kept.join(repeated, id_col, "left_anti").select(docs.columns).unionByName(one)
