@@ -361,7 +361,7 @@ PLAIN = (
 #: Forms of personal data that a corpus may lack, labelled by the fixed patterns; w stands for a word.
 FORMS = (
     "w@w.org", "w.w@w.w.com", "w_99@w-w.net", "w99@w.de", "w.w@w.example.com", "+99 99 9999 9999", "+9-999-999-9999", "+9 999 999 9999",
-    "+99 (999) 999-9999", "+9 (999) 999-9999", "99.9.99.9", "9.99.99.9",
+    "+99 (999) 999-9999", "+9 (999) 999-9999", "99.9.99.9", "9.99.99.9", "199.199.199.199", "99.199.9.199", "199.9.199.99",
 )
 
 

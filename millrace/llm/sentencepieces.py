@@ -11,7 +11,7 @@ rest meet their encodings by shuffle. Which unit goes which way has no bearing o
 
 from __future__ import annotations
 
-import re
+import pickle
 from array import array
 from collections import Counter
 from collections.abc import Callable
@@ -30,13 +30,10 @@ PILOT_DOCS, FREQUENT, FREQUENT_CHARS = 20_000, 262_144, 64
 #: A unit is cut after this many characters.
 UNIT_CHARS = 4_096
 #: Words whose units or ids a task remembers; documents and bytes of text in a block.
-REMEMBERED, BLOCK_DOCS, BLOCK_BYTES = 300_000, 256, 500_000
+REMEMBERED, BLOCK_DOCS, BLOCK_BYTES = 300_000, 4_096, 2_000_000
 #: What a character without a piece costs beyond the worst piece.
 UNKNOWN_COST = 10.0
 
-#: Characters that no piece may go on over, besides runs of spaces.
-_BREAKS = "\t\n\v\f"
-_WORD = re.compile(r" *[^ \t\n\v\f]+| +|[\t\n\v\f]")
 
 
 @dataclass(frozen=True)
@@ -68,23 +65,39 @@ def load(path: str) -> Vocabulary:
 
 def vocabulary(surfaces: list[str], ids: list[int], scores: list[float], byte_ids: list[int], unknown: int) -> Vocabulary:
     pairs = frozenset(a + b for s in surfaces for a, b in zip(s, s[1:]))
-    if any(p[1] == " " and p != "  " or p[0] in _BREAKS or p[1] in _BREAKS for p in pairs):
-        raise ValueError("a piece goes on over white space; units cannot be cut there")
+    if max(map(len, surfaces), default=0) >= _LONGEST:
+        raise ValueError(f"a piece has {_LONGEST} or more characters")
+    if any(p[1] == " " and p != "  " for p in pairs):
+        raise ValueError("a piece goes on over a space; words cannot be cut there")
     return Vocabulary(surfaces, ids, scores, byte_ids, unknown, pairs)
 
 
 class Units:
-    """Words and units of a text."""
+    """Words and units of a text. A word is what stands between two spaces, with the space before it."""
 
     def __init__(self, pairs: frozenset):
         self.pairs = pairs
 
     @staticmethod
     def words(text: str) -> list[str]:
-        return _WORD.findall(" " + text) if text else []
+        """Words without the space before each. Of several spaces the others stay with the word that follows."""
+        if not text:
+            return []
+        found = text.split(" ")
+        if "" not in found:
+            return found
+        out, gap = [], ""
+        for word in found:
+            if word:
+                out.append(gap + word)
+                gap = ""
+            else:
+                gap += " "
+        return [*out, gap[1:]] if gap else out
 
     def of(self, word: str) -> list[str]:
         """Cut between characters that are neighbours in no piece, and after ``UNIT_CHARS``."""
+        word = " " + word
         out, start, pairs = [], 0, self.pairs
         for i in range(1, len(word)):
             if word[i - 1 : i + 1] not in pairs or i - start >= UNIT_CHARS:
@@ -98,68 +111,83 @@ def piece_table(spark: SparkSession, known: Vocabulary) -> DataFrame:
     return spark.createDataFrame(list(zip(known.surfaces, known.ids, known.scores)), "surface string, id int, score double")
 
 
+#: An edge is a number and a score. The number holds its end, 255 less its size, and its piece id plus one.
+_END, _SIZE, _LONGEST = 40, 32, 255
+
+
 def _path(edges: Column) -> Column:
-    """Fold edges ``(end, size, score, id)``, sorted, to the best edge into each place."""
-    node = "struct<score:double,size:int,id:int>"
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("size"), F.lit(0).alias("id"))).cast(f"array<{node}>")
+    """Fold edges ``(code, score)``, sorted, to the best edge into each place: ``(score, start, id + 1)``."""
+    begin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id")))
 
     def step(best: Column, e: Column) -> Column:
-        score = F.element_at(best, e.end - e["size"] + 1).score + e.score
-        here = F.array(F.struct(score.alias("score"), e["size"].alias("size"), e.id.alias("id")))
+        end = F.shiftright(e.code, _END).cast("int")
+        start = end - _LONGEST + F.shiftright(e.code, _SIZE).bitwiseAND(F.lit(_LONGEST)).cast("int")
+        score = F.get(best, start).score + e.score
+        here = F.array(F.struct(score.alias("score"), start.alias("start"), e.code.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("id")))
+        # the longest edge into a place comes first
         return (
-            F.when(F.size(best) <= e.end, F.concat(best, here))
-            .when(score > F.element_at(best, -1).score, F.concat(F.slice(best, 1, F.size(best) - 1), here))
+            F.when(F.size(best) <= end, F.concat(best, here))
+            .when(score > F.get(best, end).score, F.concat(F.slice(best, F.lit(1), end), here))
             .otherwise(best)
         )
 
-    return F.aggregate(edges, start, step)
+    return F.aggregate(edges, begin, step)
 
 
 def _back(best: Column) -> Column:
-    """From the last place back: ``(place, size, id)`` of the edges on the path, in order."""
-    edge = "struct<place:int,size:int,id:int>"
+    """From the last place back: ``(place, id + 1)`` of the edges on the path, in order."""
     last = F.size(best) - 1
-    state = F.struct(last.alias("at"), F.array().cast(f"array<{edge}>").alias("path"))
+    state = F.struct(last.alias("at"), F.array().cast("array<struct<place:int,id:int>>").alias("path"))
 
     def step(s: Column, i: Column) -> Column:
-        node = F.element_at(best, i + 1)
-        here = F.struct((i - node["size"]).alias("place"), node["size"].alias("size"), node.id.alias("id"))
-        return F.when(s.at == i, F.struct((i - node["size"]).alias("at"), F.concat(F.array(here), s.path).alias("path"))).otherwise(s)
+        node = F.get(best, i)
+        here = F.struct(node.start.alias("place"), node.id.alias("id"))
+        return F.when(s.at == i, F.struct(node.start.alias("at"), F.concat(F.array(here), s.path).alias("path"))).otherwise(s)
 
     return F.aggregate(F.sequence(last, F.lit(1), F.lit(-1)), state, step, lambda s: s.path)
 
 
+def _openings(spark: SparkSession, known: Vocabulary) -> DataFrame:
+    """The longest piece that begins with three given characters."""
+    most: dict[str, int] = {}
+    for s in known.surfaces:
+        if len(s) >= 3:
+            most[s[:3]] = max(len(s), most.get(s[:3], 0))
+    return spark.createDataFrame(list(most.items()), "opening string, most int")
+
+
 def lattice(units: DataFrame, known: Vocabulary) -> DataFrame:
     """``units(unit)``, distinct and not empty -> ``(unit, ids)``: the path of the highest sum of scores.
 
-    Of paths with equal sums the one with the shortest last piece is taken, place by place. A character without a piece
-    of its own is an edge of the worst score less ``UNKNOWN_COST`` and becomes its bytes' pieces.
+    Of paths with equal sums the one with the longest last piece is taken, place by place. A character without a piece
+    of its own is an edge of the worst score less ``UNKNOWN_COST`` and becomes its bytes' pieces. Substrings are as
+    long as the longest piece that begins like them.
     """
-    size = F.length("unit")
-    starts = units.select("unit", F.explode(F.sequence(F.lit(1), size)).alias("start"))
-    lengths = starts.select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(known.longest), size - F.col("start") + 1))).alias("size"))
-    parts = lengths.select("unit", "start", "size", F.substring("unit", F.col("start"), F.col("size")).alias("surface"))
-    table = F.broadcast(piece_table(units.sparkSession, known))  # a tokenizer's fixed vocabulary
+    spark = units.sparkSession
+    tail = F.substring("unit", F.col("start"), F.lit(known.longest))
+    starts = units.select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("start")).select("unit", "start", tail.alias("tail"))
+    # both tables have the size of a tokenizer's fixed vocabulary
+    bound = starts.join(F.broadcast(_openings(spark, known)), F.substring("tail", 1, 3) == F.col("opening"), "left")
+    most = F.least(F.coalesce("most", F.lit(2)), F.length("tail"))
+    lengths = bound.select("unit", "start", "tail", F.explode(F.sequence(F.lit(1), most)).alias("size"))
+    parts = lengths.select("unit", "start", "size", F.substring("tail", F.lit(1), F.col("size")).alias("surface"))
+    edges = parts.join(F.broadcast(piece_table(spark, known)), "surface", "left").where(F.col("id").isNotNull() | (F.col("size") == 1))
     worst = min(known.scores, default=0.0) - UNKNOWN_COST
-    edges = parts.join(table, "surface", "left").where(F.col("id").isNotNull() | (F.col("size") == 1))
-    edge = F.struct(
-        (F.col("start") + F.col("size") - 1).alias("end"),
-        "size",
-        F.coalesce("score", F.lit(worst)).alias("score"),
-        F.coalesce("id", F.lit(-1)).alias("id"),
-    )
+    end = (F.col("start") + F.col("size") - 1).cast("long")
+    code = F.shiftleft(end, _END) + F.shiftleft((F.lit(_LONGEST) - F.col("size")).cast("long"), _SIZE) + F.coalesce(F.col("id") + 1, F.lit(0))
+    edge = F.struct(code.alias("code"), F.coalesce("score", F.lit(worst)).alias("score"))
     grouped = edges.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
     best = grouped.select("unit", _path(F.sort_array("edges")).alias("best"))
     path = best.select("unit", _back(F.col("best")).alias("path"))
 
     def ids(e: Column) -> Column:
         if not known.byte_ids:
-            return F.array(F.when(e.id >= 0, e.id).otherwise(F.lit(known.unknown)))
+            return F.array(F.when(e.id > 0, e.id - 1).otherwise(F.lit(known.unknown)))
         digits = F.hex(F.substring("unit", e.place + 1, F.lit(1)))
         places = F.sequence(F.lit(1), F.length(digits), F.lit(2))
         value = lambda k: F.conv(F.substring(digits, k, F.lit(2)), 16, 10).cast("int")
         table = F.array(*[F.lit(b) for b in known.byte_ids])
-        return F.when(e.id >= 0, F.array(e.id)).otherwise(F.transform(places, lambda k: F.element_at(table, value(k) + 1)))
+        return F.when(e.id > 0, F.array(e.id - 1)).otherwise(F.transform(places, lambda k: F.get(table, value(k))))
 
     return path.select("unit", F.flatten(F.transform("path", ids)).alias("ids"))
 
@@ -220,29 +248,26 @@ def encode(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col:
     pairs = known.pairs
 
     def scan(batches):
-        """Blocks of documents: ids, packed texts, and their units that are not frequent."""
+        """Blocks of documents: ids, and packed texts with the units in them that are not frequent."""
         hot, cutter, seen = common.value, Units(pairs), {}
         packer = zstandard.ZstdCompressor(level=3)
         held, size = [], 0
 
         def out():
             missing: dict[str, None] = {}
-            for _, text in held:
-                for word in Units.words(text):
-                    rare = seen.get(word)
-                    if rare is None:
-                        if len(seen) > REMEMBERED:
-                            seen.clear()
-                        rare = seen[word] = tuple(u for u in cutter.of(word) if u not in hot)
-                    if rare:
-                        missing.update(dict.fromkeys(rare))
-            texts = [t.encode() for _, t in held]
-            packed = np.array([len(t) for t in texts], dtype="<i8").tobytes() + b"".join(texts)
-            columns = [[[i for i, _ in held]], [packer.compress(packed)], [list(missing)]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["ids", "packed", "missing"])
+            for word in set().union(*[cutter.words(t) for _, t in held]):
+                rare = seen.get(word)
+                if rare is None:
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
+                    rare = seen[word] = tuple([u for u in cutter.of(word) if u not in hot])
+                if rare:
+                    missing.update(dict.fromkeys(rare))
+            body = pickle.dumps((sorted(missing), packer.compress(pickle.dumps([t for _, t in held]))))
+            return pa.RecordBatch.from_arrays([pa.array([[i for i, _ in held]], kinds), pa.array([body])], names=["ids", "body"])
 
         for batch in batches:
-            types = [pa.list_(batch.schema.field("id").type), pa.binary(), pa.list_(pa.string())]
+            kinds = pa.list_(batch.schema.field("id").type)
             for piece in pieces(batch):
                 for id_, text in zip(piece.column("id").to_pylist(), piece.column("text").to_pylist()):
                     held.append((id_, text or ""))
@@ -253,44 +278,44 @@ def encode(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col:
         if held:
             yield out()
 
+    def ask(batches):
+        for batch in batches:
+            for body, block in zip(batch.column("body").to_pylist(), batch.column("block").to_pylist()):
+                units = pickle.loads(body)[0]
+                if units:
+                    columns = [pa.array([block] * len(units), pa.int64()), pa.array(range(len(units)), pa.int32()), pa.array(units, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["block", "place", "unit"])
+
     def join(batches):
         """Ids of each document of a block, from frequent units and those the block has got."""
         hot, cutter, seen = common.value, Units(pairs), {}
         opener = zstandard.ZstdDecompressor()
 
-        def ids_of(word: str, own: dict[str, bytes]) -> bytes:
-            return b"".join([hot[u] if u in hot else own[u] for u in cutter.of(word)])
-
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("ids", "packed", "missing", "found")]
-            for ids, packed, missing, found in zip(*columns):
-                own = {missing[f["place"]]: array("i", f["ids"]).tobytes() for f in found or ()}
-                data = opener.decompress(packed)
-                lengths = np.frombuffer(data, dtype="<i8", count=len(ids))
-                at, out = 8 * len(ids), []
-                for n in lengths.tolist():
-                    parts_ = []
-                    for word in Units.words(data[at : at + n].decode()):
-                        got = seen.get(word)
-                        if got is None:
-                            got = ids_of(word, own)
-                            if len(seen) > REMEMBERED:
-                                seen.clear()
-                            seen[word] = got
-                        parts_.append(got)
-                    out.append(np.frombuffer(b"".join(parts_), dtype=np.int32))
-                    at += n
+            for ids, body, found in zip(*[batch.column(c) for c in ("ids", "body", "found")]):
+                units, packed = pickle.loads(body.as_py())
+                texts = [cutter.words(t) for t in pickle.loads(opener.decompress(packed))]
+                own = {units[f["place"]]: array("i", f["ids"]).tobytes() for f in found.as_py() or ()}
+                mine = {}
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                for word in set().union(*texts):
+                    got = seen.get(word)
+                    if got is None:
+                        got = seen[word] = b"".join([hot[u] if u in hot else own[u] for u in cutter.of(word)])
+                    mine[word] = got
+                out = [np.frombuffer(b"".join([mine[w] for w in words]), dtype=np.int32) for words in texts]
                 offsets = np.zeros(len(out) + 1, dtype=np.int32)
                 np.cumsum([len(o) for o in out], out=offsets[1:])
                 values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("ids").type.value_type), values], names=["id", "ids"])
+                yield pa.RecordBatch.from_arrays([ids.values, values], names=["id", "ids"])
 
-    blocks = source.mapInArrow(scan, f"ids array<{kind}>, packed binary, missing array<string>")
+    blocks = source.mapInArrow(scan, f"ids array<{kind}>, body binary")
     blocks = blocks.withColumn("block", F.monotonically_increasing_id()).repartition(parts, "block")  # shuffled once, read twice
-    asked = blocks.select("block", F.posexplode("missing").alias("place", "unit"))
+    asked = blocks.mapInArrow(ask, "block long, place int, unit string")
     encoded = lattice(asked.select("unit").distinct(), known)
     found = asked.join(encoded, "unit").groupBy("block").agg(F.collect_list(F.struct("place", "ids")).alias("found"))
-    out = blocks.join(found, "block", "left").select("ids", "packed", "missing", "found").mapInArrow(join, f"id {kind}, ids array<int>")
+    out = blocks.join(found, "block", "left").select("ids", "body", "found").mapInArrow(join, f"id {kind}, ids array<int>")
     return out.withColumnRenamed("id", id_col)
 
 

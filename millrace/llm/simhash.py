@@ -55,14 +55,14 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """``(id, fp)`` per row; ``fp`` holds the 64 bits as a signed long."""
+    """``(id, hash, fp)`` per row: ``hash`` is Spark's of the text, ``fp`` holds the 64 bits as a signed long."""
 
     def build(piece: pa.RecordBatch) -> pa.RecordBatch:
         found = np.array([fingerprint(t, words) for t in raw(piece)], dtype=np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([piece.column("id"), pa.array(found)], names=["id", "fp"])
+        return pa.RecordBatch.from_arrays([piece.column("id"), piece.column("hash"), pa.array(found)], names=["id", "hash", "fp"])
 
-    source = narrow(docs, id=id_col, text=text_col)
-    return source.mapInArrow(per_piece(build), f"id {source.schema['id'].dataType.simpleString()}, fp long")
+    source = narrow(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("hash"), "text")
+    return source.mapInArrow(per_piece(build), f"id {source.schema['id'].dataType.simpleString()}, hash long, fp long")
 
 
 def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -94,6 +94,17 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, distance: int) -> DataFrame:
+    """``(id, hash, fp, component_id)`` per row."""
+    prints = written(fingerprints(docs, id_col, text_col, words), "prints")
+    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    linked = components(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
+    placed = nodes.join(linked, "fp", "left")
+    least = placed.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
+    final = placed.join(least, "root", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    return prints.join(final, "fp")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE
 ) -> DataFrame:
@@ -103,13 +114,7 @@ def near_duplicates(
     no words: its fingerprint is zero, linked like any other. Rows of the same id are rows like others; a null
     id takes the smallest id of its component and is null if there is none. Empty table: no rows.
     """
-    prints = written(fingerprints(docs, id_col, text_col, words), "prints")
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    linked = components(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
-    placed = nodes.join(linked, "fp", "left")
-    least = placed.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
-    final = placed.join(least, "root", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    out = prints.join(final, "fp")
+    out = _grouped(docs, id_col, text_col, words, distance)
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return out.select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
 
@@ -119,15 +124,26 @@ def keep_one(
 ) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component, with all columns.
 
-    Of several rows of one id the least by all columns stays, if that id stays. Rows without an id cannot be
-    told apart and stay.
+    Of several rows of one id in one component the least by all columns stays. Rows without an id cannot be told
+    apart and stay.
     """
-    found = near_duplicates(docs, id_col, text_col, words, distance)
-    copies = found.where(quoted(id_col) != F.col("component_id")).select(quoted(id_col)).distinct()
-    kept = docs.join(copies, id_col, "left_anti").select(docs.columns)
-    repeated = narrow(docs, id=id_col).where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias(id_col))
-    if repeated.isEmpty():
+    found = _grouped(docs, id_col, text_col, words, distance)
+    found = written(found.where("id is not null").select("id", "hash", "component_id"), "groups")
+    hashed = F.xxhash64(quoted(text_col))
+
+    def where(rows: DataFrame, how: str) -> DataFrame:
+        return docs.join(rows, (quoted(id_col) == F.col("__id")) & (hashed == F.col("__hash")), how)
+
+    def keys(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), "component_id").distinct()
+
+    kept = where(keys(found.where("id != component_id")), "left_anti")
+    several = found.where("id = component_id").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    if several.isEmpty():
         return kept
+    crowd = keys(found.where("id = component_id").join(several, "id"))
     row = F.min(F.struct(*[quoted(c) for c in docs.columns])).alias("row")
-    one = kept.join(repeated, id_col, "left_semi").select(docs.columns).groupBy(quoted(id_col)).agg(row).select("row.*")
-    return kept.join(repeated, id_col, "left_anti").select(docs.columns).unionByName(one)
+    one = where(crowd, "inner").groupBy("__id").agg(row).select("row.*")
+    single = found.where("id = component_id").join(several, "id", "left_anti")
+    alone = where(keys(single), "left_semi").unionByName(docs.where(quoted(id_col).isNull()))
+    return alone.unionByName(one)
