@@ -14,11 +14,11 @@ from __future__ import annotations
 import pickle
 from array import array
 from collections import Counter
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +29,14 @@ from millrace.llm.common import narrow, pieces, raw, written
 PILOT_DOCS, FREQUENT, FREQUENT_CHARS = 20_000, 262_144, 64
 #: A unit is cut after this many characters.
 UNIT_CHARS = 4_096
-#: Words whose units or ids a task remembers; documents and bytes of text in a block.
-REMEMBERED, BLOCK_DOCS, BLOCK_BYTES = 300_000, 4_096, 2_000_000
+#: Distinct words that a task counts at a time; documents and characters of text in a block.
+COUNTED, BLOCK_DOCS, BLOCK_CHARS = 200_000, 4_096, 2_000_000
+#: Tasks per shuffle partition where units are encoded: an edge list takes far more room than its unit.
+LATTICE_TASKS = 8
+#: Words whose ids a task keeps from block to block.
+KEPT = 100_000
+#: Pairs of characters below this are looked up in a table.
+NEAR = 1_024
 #: What a character without a piece costs beyond the worst piece.
 UNKNOWN_COST = 10.0
 
@@ -76,7 +82,11 @@ class Units:
     """Words and units of a text. A word is what stands between two spaces, with the space before it."""
 
     def __init__(self, pairs: frozenset):
-        self.pairs = pairs
+        codes = np.array([(ord(a), ord(b)) for a, b in pairs], dtype=np.int64).reshape(-1, 2)
+        small = (codes < NEAR).all(axis=1)
+        self.near = np.zeros((NEAR, NEAR), dtype=bool)
+        self.near[codes[small, 0], codes[small, 1]] = True
+        self.far = np.sort(np.append(codes[~small, 0] << 21 | codes[~small, 1], -1))
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -95,16 +105,33 @@ class Units:
                 gap += " "
         return [*out, gap[1:]] if gap else out
 
-    def of(self, word: str) -> list[str]:
-        """Cut between characters that are neighbours in no piece, and after ``UNIT_CHARS``."""
-        word = " " + word
-        out, start, pairs = [], 0, self.pairs
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in pairs or i - start >= UNIT_CHARS:
-                out.append(word[start:i])
-                start = i
-        out.append(word[start:])
-        return out
+    def of(self, words: list[str]) -> tuple[list[str], list[int]]:
+        """Units of all words in a row, and how many each word has.
+
+        A word, with its space, is cut between characters that are neighbours in no piece, and after ``UNIT_CHARS``.
+        """
+        if not words:
+            return [], []
+        joined = " " + " ".join(words)
+        starts = np.cumsum([0, *[len(w) + 1 for w in words]])
+        codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        left, right = codes[:-1], codes[1:]
+        cut = np.ones(len(codes), dtype=bool)
+        small = (left < NEAR) & (right < NEAR)
+        cut[1:][small] = ~self.near[left[small], right[small]]
+        rest = np.flatnonzero(~small)
+        pair = (left[rest] << 21) | right[rest]
+        at = np.minimum(np.searchsorted(self.far, pair), len(self.far) - 1)
+        cut[1:][rest] = self.far[at] != pair
+        cut[starts[:-1]] = True
+        for k in np.flatnonzero(np.diff(starts) > UNIT_CHARS):
+            places = np.flatnonzero(cut[starts[k] : starts[k + 1]])
+            for a, b in zip(places, [*places[1:], starts[k + 1] - starts[k]]):
+                cut[starts[k] + a : starts[k] + b : UNIT_CHARS] = True
+        places = np.flatnonzero(cut)
+        counts = np.diff(np.searchsorted(places, starts)).tolist()
+        places = [*places.tolist(), len(joined)]
+        return [joined[a:b] for a, b in zip(places, places[1:])], counts
 
 
 def piece_table(spark: SparkSession, known: Vocabulary) -> DataFrame:
@@ -116,35 +143,42 @@ _END, _SIZE, _LONGEST = 40, 32, 255
 
 
 def _path(edges: Column) -> Column:
-    """Fold edges ``(code, score)``, sorted, to the best edge into each place: ``(score, start, id + 1)``."""
-    begin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id")))
+    """Fold edges ``(code, score)``, sorted, to the best edge into each place: ``(score, start, id)``.
 
-    def step(best: Column, e: Column) -> Column:
+    The place at hand stands beside those that are done; a character without a piece has the id -1.
+    """
+    done = F.array().cast("array<struct<score:double,start:int,id:int>>")
+    begin = F.struct(done.alias("done"), F.lit(0).alias("end"), F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id"))
+
+    def closed(s: Column) -> Column:
+        return F.array_append(s.done, F.struct(s.score.alias("score"), s.start.alias("start"), s.id.alias("id")))
+
+    def step(s: Column, e: Column) -> Column:
         end = F.shiftright(e.code, _END).cast("int")
         start = end - _LONGEST + F.shiftright(e.code, _SIZE).bitwiseAND(F.lit(_LONGEST)).cast("int")
-        score = F.get(best, start).score + e.score
-        here = F.array(F.struct(score.alias("score"), start.alias("start"), e.code.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("id")))
+        id_ = e.code.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int") - 1
+        score = F.when(start == s.end, s.score).otherwise(F.get(s.done, start).score) + e.score
+
+        def place(done: Column) -> Column:
+            return F.struct(done.alias("done"), end.alias("end"), score.alias("score"), start.alias("start"), id_.alias("id"))
+
         # the longest edge into a place comes first
-        return (
-            F.when(F.size(best) <= end, F.concat(best, here))
-            .when(score > F.get(best, end).score, F.concat(F.slice(best, F.lit(1), end), here))
-            .otherwise(best)
-        )
+        return F.when(end != s.end, place(closed(s))).when(score > s.score, place(s.done)).otherwise(s)
 
-    return F.aggregate(edges, begin, step)
+    return F.aggregate(edges, begin, step, closed)
 
 
 def _back(best: Column) -> Column:
-    """From the last place back: ``(place, id + 1)`` of the edges on the path, in order."""
+    """The ids on the path, in order; a character without a piece stands as minus its place, counted from 1."""
     last = F.size(best) - 1
-    state = F.struct(last.alias("at"), F.array().cast("array<struct<place:int,id:int>>").alias("path"))
+    state = F.struct(last.alias("at"), F.array().cast("array<int>").alias("path"))
 
     def step(s: Column, i: Column) -> Column:
         node = F.get(best, i)
-        here = F.struct(node.start.alias("place"), node.id.alias("id"))
-        return F.when(s.at == i, F.struct(node.start.alias("at"), F.concat(F.array(here), s.path).alias("path"))).otherwise(s)
+        id_ = F.when(node.id < 0, -i).otherwise(node.id)
+        return F.when(s.at == i, F.struct(node.start.alias("at"), F.array_append(s.path, id_).alias("path"))).otherwise(s)
 
-    return F.aggregate(F.sequence(last, F.lit(1), F.lit(-1)), state, step, lambda s: s.path)
+    return F.aggregate(F.sequence(last, F.lit(1), F.lit(-1)), state, step, lambda s: F.reverse(s.path))
 
 
 def _openings(spark: SparkSession, known: Vocabulary) -> DataFrame:
@@ -178,18 +212,19 @@ def lattice(units: DataFrame, known: Vocabulary) -> DataFrame:
     edge = F.struct(code.alias("code"), F.coalesce("score", F.lit(worst)).alias("score"))
     grouped = edges.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
     best = grouped.select("unit", _path(F.sort_array("edges")).alias("best"))
-    path = best.select("unit", _back(F.col("best")).alias("path"))
+    path = best.select("unit", _back(F.col("best")).alias("ids"))
 
-    def ids(e: Column) -> Column:
+    def spelled(i: Column) -> Column:
         if not known.byte_ids:
-            return F.array(F.when(e.id > 0, e.id - 1).otherwise(F.lit(known.unknown)))
-        digits = F.hex(F.substring("unit", e.place + 1, F.lit(1)))
+            return F.array(F.when(i < 0, F.lit(known.unknown)).otherwise(i))
+        digits = F.hex(F.substring("unit", -i, F.lit(1)))
         places = F.sequence(F.lit(1), F.length(digits), F.lit(2))
         value = lambda k: F.conv(F.substring(digits, k, F.lit(2)), 16, 10).cast("int")
         table = F.array(*[F.lit(b) for b in known.byte_ids])
-        return F.when(e.id > 0, F.array(e.id - 1)).otherwise(F.transform(places, lambda k: F.get(table, value(k))))
+        return F.when(i < 0, F.transform(places, lambda k: F.get(table, value(k)))).otherwise(F.array(i))
 
-    return path.select("unit", F.flatten(F.transform("path", ids)).alias("ids"))
+    whole = F.when(F.exists("ids", lambda i: i < 0), F.flatten(F.transform("ids", spelled))).otherwise(F.col("ids"))
+    return path.select("unit", whole.alias("ids"))
 
 
 def _counted(docs: DataFrame, known: Vocabulary) -> DataFrame:
@@ -202,9 +237,9 @@ def _counted(docs: DataFrame, known: Vocabulary) -> DataFrame:
 
         def out():
             found: Counter = Counter()
-            for word, n in words.items():
-                for unit in cutter.of(word):
-                    found[unit] += n
+            units, sizes = cutter.of(list(words))
+            for unit, n in zip(units, np.repeat(list(words.values()), sizes).tolist()):
+                found[unit] += n
             words.clear()
             return pa.RecordBatch.from_pydict({"unit": list(found), "n": list(found.values())})
 
@@ -212,7 +247,7 @@ def _counted(docs: DataFrame, known: Vocabulary) -> DataFrame:
             for piece in pieces(batch):
                 for text in raw(piece):
                     words.update(Units.words(text.decode()))
-                if len(words) > REMEMBERED:
+                if len(words) > COUNTED:
                     yield out()
         if words:
             yield out()
@@ -230,7 +265,9 @@ def frequent(docs: DataFrame, known: Vocabulary) -> dict[str, bytes]:
         if total > FREQUENT:
             break
         least = n
-    found = lattice(counted.where(F.col("n") >= least).select("unit"), known).toArrow()  # <= FREQUENT units of <= FREQUENT_CHARS
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = counted.where(F.col("n") >= least).select("unit").repartition(LATTICE_TASKS * parts, "unit")
+    found = lattice(units, known).toArrow()  # <= FREQUENT units of <= FREQUENT_CHARS
     return {u: array("i", i).tobytes() for u, i in zip(found.column("unit").to_pylist(), found.column("ids").to_pylist())}
 
 
@@ -249,21 +286,15 @@ def encode(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col:
 
     def scan(batches):
         """Blocks of documents: ids, and packed texts with the units in them that are not frequent."""
-        hot, cutter, seen = common.value, Units(pairs), {}
+        hot, cutter = common.value, Units(pairs)
         packer = zstandard.ZstdCompressor(level=3)
         held, size = [], 0
 
         def out():
-            missing: dict[str, None] = {}
-            for word in set().union(*[cutter.words(t) for _, t in held]):
-                rare = seen.get(word)
-                if rare is None:
-                    if len(seen) > REMEMBERED:
-                        seen.clear()
-                    rare = seen[word] = tuple([u for u in cutter.of(word) if u not in hot])
-                if rare:
-                    missing.update(dict.fromkeys(rare))
-            body = pickle.dumps((sorted(missing), packer.compress(pickle.dumps([t for _, t in held]))))
+            texts = [t for _, t in held]
+            words = set().union(*map(cutter.words, texts))
+            missing = sorted(set(cutter.of(list(words))[0]).difference(hot))
+            body = pickle.dumps((missing, packer.compress(pickle.dumps(texts))))
             return pa.RecordBatch.from_arrays([pa.array([[i for i, _ in held]], kinds), pa.array([body])], names=["ids", "body"])
 
         for batch in batches:
@@ -272,7 +303,7 @@ def encode(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col:
                 for id_, text in zip(piece.column("id").to_pylist(), piece.column("text").to_pylist()):
                     held.append((id_, text or ""))
                     size += len(held[-1][1])
-                    if size > BLOCK_BYTES or len(held) >= BLOCK_DOCS:
+                    if size > BLOCK_CHARS or len(held) >= BLOCK_DOCS:
                         yield out()
                         held, size = [], 0
         if held:
@@ -288,23 +319,32 @@ def encode(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col:
 
     def join(batches):
         """Ids of each document of a block, from frequent units and those the block has got."""
-        hot, cutter, seen = common.value, Units(pairs), {}
+        hot, cutter, kept = common.value, Units(pairs), {}
         opener = zstandard.ZstdDecompressor()
 
         for batch in batches:
             for ids, body, found in zip(*[batch.column(c) for c in ("ids", "body", "found")]):
-                units, packed = pickle.loads(body.as_py())
+                missing, packed = pickle.loads(body.as_py())
                 texts = [cutter.words(t) for t in pickle.loads(opener.decompress(packed))]
-                own = {units[f["place"]]: array("i", f["ids"]).tobytes() for f in found.as_py() or ()}
-                mine = {}
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                for word in set().union(*texts):
-                    got = seen.get(word)
-                    if got is None:
-                        got = seen[word] = b"".join([hot[u] if u in hot else own[u] for u in cutter.of(word)])
-                    mine[word] = got
-                out = [np.frombuffer(b"".join([mine[w] for w in words]), dtype=np.int32) for words in texts]
+                own = {}
+                if found.is_valid:
+                    rows = found.values.flatten()
+                    codes = rows[1].flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+                    sizes = pc.list_value_length(rows[1]).to_numpy(zero_copy_only=False)
+                    for place, n, end in zip(rows[0].to_pylist(), sizes.tolist(), np.cumsum(sizes).tolist()):
+                        own[missing[place]] = codes[end - n : end].tobytes()
+                words = list(set().union(*texts).difference(kept))
+                units, sizes = cutter.of(words)
+                encoded = [hot[u] if u in hot else own[u] for u in units]
+                fresh, at = {}, 0
+                for word, n in zip(words, sizes):
+                    fresh[word] = encoded[at] if n == 1 else b"".join(encoded[at : at + n])
+                    at += n
+                if len(kept) < KEPT:  # frequent words come early
+                    kept.update(fresh)
+                    fresh = {}
+                get = kept.get if not fresh else lambda w, fresh=fresh: kept.get(w) or fresh[w]
+                out = [np.frombuffer(b"".join(map(get, words)), dtype=np.int32) for words in texts]
                 offsets = np.zeros(len(out) + 1, dtype=np.int32)
                 np.cumsum([len(o) for o in out], out=offsets[1:])
                 values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out)))
@@ -312,8 +352,8 @@ def encode(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col:
 
     blocks = source.mapInArrow(scan, f"ids array<{kind}>, body binary")
     blocks = blocks.withColumn("block", F.monotonically_increasing_id()).repartition(parts, "block")  # shuffled once, read twice
-    asked = blocks.mapInArrow(ask, "block long, place int, unit string")
-    encoded = lattice(asked.select("unit").distinct(), known)
+    asked = blocks.mapInArrow(ask, "block long, place int, unit string")  # a unit once for each block
+    encoded = lattice(asked.select("unit").repartition(LATTICE_TASKS * parts, "unit").distinct(), known)
     found = asked.join(encoded, "unit").groupBy("block").agg(F.collect_list(F.struct("place", "ids")).alias("found"))
     out = blocks.join(found, "block", "left").select("ids", "body", "found").mapInArrow(join, f"id {kind}, ids array<int>")
     return out.withColumnRenamed("id", id_col)
@@ -324,22 +364,27 @@ def decode(encoded: DataFrame, known: Vocabulary, ids_col: str = "ids", out_col:
 
     Null ids are null text; an id that is no piece gives nothing; bytes that are no UTF-8 give U+FFFD.
     """
-    surfaces = {i: s.encode() for s, i in zip(known.surfaces, known.ids)} | {i: bytes([b]) for b, i in enumerate(known.byte_ids)}
+    count = max([-1, *known.ids, *known.byte_ids]) + 1
+    surfaces = [b""] * (count + 1)  # the last one for ids that are no piece
+    for i, piece in [*zip(known.ids, [s.encode() for s in known.surfaces]), *zip(known.byte_ids, [bytes([b]) for b in range(256)])]:
+        surfaces[i] = piece
     shared = encoded.sparkSession.sparkContext.broadcast(surfaces)  # a tokenizer's fixed vocabulary
 
     def run(batches):
-        get = shared.value.get
+        table = np.array([*shared.value, None], dtype=object)[:-1]
         for batch in batches:
-            found = []
-            for ids in batch.column(ids_col).to_pylist():
-                text = None if ids is None else b"".join([get(i, b"") for i in ids])
-                found.append(text if text is None else (text[1:] if text[:1] == b" " else text).decode(errors="replace"))
+            lists = batch.column(ids_col)
+            ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            parts = table[np.where((ids >= 0) & (ids < count), ids, count)].tolist()
+            found, at = [], 0
+            for n in pc.list_value_length(lists).to_pylist():
+                if n is None:
+                    found.append(None)
+                    continue
+                text = b"".join(parts[at : at + n])
+                at += n
+                found.append((text[1:] if text[:1] == b" " else text).decode(errors="replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, out_col])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{fields}, `{out_col}` string")
-
-
-def byte_pieces(known: Vocabulary) -> Callable[[Column], Column]:
-    """Number of byte pieces in an array of ids."""
-    return lambda ids: F.size(F.filter(ids, lambda i: i.isin(known.byte_ids))) if known.byte_ids else F.lit(0)

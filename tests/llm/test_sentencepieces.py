@@ -73,3 +73,15 @@ def test_small_vocabulary_without_bytes(documents):
     assert got == {i: viterbi(t, known) for i, t in rows}
     with pytest.raises(ValueError, match="over a space"):
         sp.vocabulary(["a b"], [1], [0.0], [], 0)
+
+
+def test_decoding_of_odd_ids(spark, known):
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [5, -1, 10**6]), (4, [known.byte_ids[0xFF], None])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in sp.decode(rows, known).collect()} == {1: None, 2: "", 3: "\x02", 4: "\ufffd"}
+
+
+def test_few_kept_words(documents, known, monkeypatch):
+    monkeypatch.setattr(sp, "KEPT", 2)
+    monkeypatch.setattr(sp, "BLOCK_DOCS", 2)
+    rows = [(k, f"word{k % 7} other{k} the The") for k in range(30)] + [(50, ""), (51, None)]
+    assert {r.doc_id: list(r.ids) for r in sp.encode(documents(rows, 1), known).collect()} == {i: viterbi(t, known) for i, t in rows}
