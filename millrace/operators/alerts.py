@@ -111,6 +111,7 @@ def cooldown(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Rows that fire when, after a firing, a key stays silent until strictly more than the period has passed.
+    Rows without a time never fire.
 
     Firing depends on the firing before, so an ordinary key is walked in one group. A hot key is cut
     in time slices: each slice first works out, for every firing it could open with, the firing it
@@ -118,18 +119,20 @@ def cooldown(
     all slices mark their firings at once.
     """
     period = period_seconds * 1_000_000
-    width = max(3600, 32 * period_seconds)
     key_fields = [df.schema[k] for k in keys]
-    times = df.select(*[col(k) for k in keys], micros(col(ts)).alias("__us"), col(ts).alias("__ts")).groupBy(
-        *[col(k) for k in keys], "__us"
-    ).agg(F.min("__ts").alias("__ts"))
-    sliced = time_slices(times, keys, "__ts", width, hot_rows).drop("__ts")
+    timed = df.where(col(ts).isNotNull()).select(*[col(k) for k in keys], micros(col(ts)).alias("__us"), col(ts).alias("__ts"))
+    times = timed.groupBy(*[col(k) for k in keys], "__us").agg(F.min("__ts").alias("__ts"))
+    sliced, hot = time_slices(times, keys, "__ts", hot_rows, min_seconds=32 * period_seconds)
+    # no time of a slice lies before the cut that opens it
+    opening = F.get("__bounds", (F.col("__slice") - 1).cast("int"))
+    sliced = sliced.withColumn("__open", opening).drop("__ts", "__bounds")
     names = list(keys)
 
     def slice_exits(pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(pdf["__us"].to_numpy(np.int64))
         number = int(pdf["__slice"].iloc[0])
-        entry, last = _exits(t, number * width * 1_000_000, period)
+        opened = pdf["__open"].iloc[0]
+        entry, last = _exits(t, int(t[0]) if pd.isna(opened) else int(opened), period)
         out = pd.DataFrame({"__entry": entry, "__exit": last})
         out["__slice"] = number
         for k in names:
@@ -157,6 +160,7 @@ def cooldown(
             out[k] = pdf[k].iloc[0]
         return out[[*names, "__slice", "__carry"]]
 
+    # at most SLICES slices a key, each with the firings it can open with inside one period
     carry = exits.groupBy(*[col(k) for k in keys]).applyInPandas(
         walk, T.StructType([*key_fields, *_longs("__slice", "__carry")])
     )
@@ -170,8 +174,9 @@ def cooldown(
             out[k] = pdf[k].iloc[0]
         return out[[*names, "__us"]]
 
+    carried = join_back(sliced, carry, [*keys, "__slice"]) if hot else sliced.withColumn("__carry", F.lit(None).cast("long"))
     fired = (
-        spread(join_back(sliced, carry, [*keys, "__slice"]), [*keys, "__slice"])
+        spread(carried, [*keys, "__slice"])
         .groupBy(*[col(k) for k in keys], "__slice")
         .applyInPandas(mark, T.StructType([*key_fields, *_longs("__us")]))
     )

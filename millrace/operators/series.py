@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from millrace.columns import col
 from millrace.quantiles import exact_quantiles
 from millrace.session import spread
-from millrace.skew import HOT_ROWS, join_back, micros, time_slices, with_markers, with_position, with_previous
+from millrace.skew import HOT_ROWS, join_back, micros, slice_of, time_slices, with_markers, with_position, with_previous
 
 
 def rate_gap(
@@ -31,39 +31,36 @@ def gap_alerts(df: DataFrame, gap: str = "gap", threshold: float = 50.0) -> Data
 
 
 def series_index(
-    df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str] = (), width_seconds: int = 3600,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str] = (), hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Add ``iteration``: 0-based place of the row in its series."""
-    sliced = time_slices(df, keys, ts, width_seconds, hot_rows)
-    placed = with_position(sliced, keys, [col(ts), *[col(t) for t in ties]], "iteration")
+    """Add ``iteration``: 0-based place of the row in its series; rows without a time come first."""
+    placed = with_position(df, keys, ts, ties, "iteration", hot_rows)
     return placed.withColumn("iteration", F.col("iteration") - 1)
 
 
 def window_average(
-    df: DataFrame, keys: Sequence[str], ts: str, value: str, seconds: int = 10, width_seconds: int = 3600,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], ts: str, value: str, seconds: int = 10, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add ``window_avg``: mean of the key's values over the last ``seconds``, this row included.
 
     Rows of a hot key near the end of a slice are also given to the next slice, where they serve as
-    history and are dropped again.
+    history and are dropped again; a slice is longer than the window. Rows without a time are a window of their own.
     """
-    if width_seconds < seconds:
-        raise ValueError("a slice must be at least as long as the window")
-    sliced = time_slices(df, keys, ts, width_seconds, hot_rows)
-    reach = F.floor((micros(col(ts)) + seconds * 1_000_000) / F.lit(width_seconds * 1_000_000)).cast("long")
-    hot = F.col("__slice").isNotNull()
-    copies = sliced.withColumn(
-        "__in", F.explode(F.when(hot, F.sequence("__slice", reach)).otherwise(F.array("__slice")))
-    )
-    frame = (
-        Window.partitionBy(*[col(k) for k in keys], "__in")
-        .orderBy(micros(col(ts)))
-        .rangeBetween(-seconds * 1_000_000, Window.currentRow)
-    )
-    out = copies.withColumn("window_avg", F.avg(col(value)).over(frame)).where(F.col("__in").eqNullSafe(F.col("__slice")))
-    return out.drop("__in", "__slice")
+    sliced, hot = time_slices(df, keys, ts, hot_rows, min_seconds=seconds)
+    us = micros(col(ts))
+
+    def average(*more: str) -> Column:
+        over = Window.partitionBy(*[col(k) for k in keys], *more).orderBy(us)
+        return F.avg(col(value)).over(over.rangeBetween(-seconds * 1_000_000, Window.currentRow))
+
+    if not hot:
+        return df.withColumn("window_avg", average())
+    reach = F.coalesce(slice_of(us + seconds * 1_000_000, F.col("__bounds")), F.col("__slice"))
+    reach = F.when(F.col("__slice") < 0, F.col("__slice")).otherwise(reach)
+    cut = F.col("__slice").isNotNull()
+    copies = sliced.withColumn("__in", F.explode(F.when(cut, F.sequence("__slice", reach)).otherwise(F.array("__slice"))))
+    out = copies.withColumn("window_avg", average("__in")).where(F.col("__in").eqNullSafe(F.col("__slice")))
+    return out.drop("__in", "__slice", "__bounds")
 
 
 def average_alerts(df: DataFrame, keys: Sequence[str], ts: str, value: str, limit: float = 70.0, seconds: int = 10, scale: float = 100.0, **options) -> DataFrame:
@@ -87,15 +84,22 @@ def minimal_features(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def _in_position_blocks(
-    df: DataFrame, key: str, ts: str, value: str, ties: Sequence[str], halo: int, block: int,
-    width_seconds: int, hot_rows: int,
+    df: DataFrame, key: str, ts: str, value: str, ties: Sequence[str], halo: int, block: int, hot_rows: int
 ) -> DataFrame:
     """Rows with position, series length, mean and variance, laid out in blocks that overlap by ``halo`` rows."""
     x = col(value).cast("double")
-    sliced = time_slices(df, [key], ts, width_seconds, hot_rows)
+    sliced, hot = time_slices(df, [key], ts, hot_rows)
     present = sliced.where(x.isNotNull()).select(col(key), "__slice", col(ts).alias("__ts"), *[col(t).alias(f"__t_{t}") for t in ties], x.alias("x"))
-    sizes = present.groupBy(col(key), "__slice").agg(F.count("x").alias("__n"), F.sum("x").alias("__s"))
     whole = Window.partitionBy(col(key))
+    order = ["__ts", *[f"__t_{t}" for t in ties]]
+    first = F.greatest(F.floor((F.col("pos") - halo) / block), F.lit(0))
+    last = F.floor((F.col("pos") + halo) / block)
+    home = F.floor(F.col("pos") / block)
+    if not hot:
+        place = (F.row_number().over(whole.orderBy(*order)) - 1).cast("long")
+        placed = present.select(col(key), "x", place.alias("pos"), F.count("x").over(whole).alias("n"), F.avg("x").over(whole).alias("mu"))
+        return placed.withColumn("home", home).withColumn("block", F.explode(F.sequence(first, last)))
+    sizes = present.groupBy(col(key), "__slice").agg(F.count("x").alias("__n"), F.sum("x").alias("__s"))
     before = whole.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     markers = sizes.select(
         col(key), "__slice",
@@ -104,20 +108,18 @@ def _in_position_blocks(
         (F.sum("__s").over(whole) / F.sum("__n").over(whole)).alias("mu"),
     )
     stacked = with_markers(present.withColumn("__step", F.lit(1).cast("long")), markers)
-    inside = Window.partitionBy(col(key), "__slice").orderBy("__marker", "__ts", *[f"__t_{t}" for t in ties])
+    inside = Window.partitionBy(col(key), "__slice").orderBy("__marker", *order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     placed = stacked.select(
         col(key), "x", "__marker", F.sum("__step").over(so_far).alias("pos"),
         F.first("n").over(so_far).alias("n"), F.first("mu").over(so_far).alias("mu"),
     ).where("__marker = 1").drop("__marker")
-    first = F.greatest(F.floor((F.col("pos") - halo) / block), F.lit(0))
-    last = F.floor((F.col("pos") + halo) / block)
-    return placed.withColumn("home", F.floor(F.col("pos") / block)).withColumn("block", F.explode(F.sequence(first, last)))
+    return placed.withColumn("home", home).withColumn("block", F.explode(F.sequence(first, last)))
 
 
 def ordered_features(
     df: DataFrame, key: str, ts: str, value: str, ties: Sequence[str] = (), lags: Sequence[int] = (2, 3),
-    peak_support: int = 2, block: int = 1_000_000, width_seconds: int = 3600, hot_rows: int = HOT_ROWS,
+    peak_support: int = 2, block: int = 1_000_000, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Length, absolute sum of changes, energy, peaks and autocorrelations per series, in time order.
 
@@ -125,7 +127,7 @@ def ordered_features(
     NULL for a flat series or one not longer than the lag.
     """
     halo = max([peak_support, 1, *lags])
-    rows = _in_position_blocks(df, key, ts, value, ties, halo, block, width_seconds, hot_rows)
+    rows = _in_position_blocks(df, key, ts, value, ties, halo, block, hot_rows)
     w = Window.partitionBy(col(key), "block").orderBy("pos")
     x, d = F.col("x"), F.col("x") - F.col("mu")
     near = [f(x, i).over(w) for i in range(1, peak_support + 1) for f in (F.lag, F.lead)]

@@ -2,7 +2,8 @@
 
 A plain window runs each key in one task. Here a *hot* key is cut into slices of its order
 column, each slice runs as its own window group, and what a slice needs from the ones before it
-(a count, a sum, the last row) is carried over from a table with one row per slice.
+(a count, a sum, the last row) is carried over from a table with one row per slice. Keys are counted
+once beforehand; a table without hot keys is then read by the plain window alone.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from millrace.session import BROADCAST_ROWS, at_most, fitted, materialize, pin
 HOT_ROWS = 1_000_000
 #: ... and above this share of all rows, so at most ``HOT_SHARE`` keys can ever be hot.
 HOT_SHARE = 65_536
+#: Most time slices of a hot key. A slice holds about a quarter of ``HOT_ROWS`` or ``1 / SLICES`` of its
+#: key's rows, whichever is more; rows of one time stay together.
+SLICES = 1_024
 #: A value range is cut at approximate quantiles (a power of two), and each piece evenly again.
 COARSE_SLICES, FINE_SLICES = 64, 64
 #: Up to this many rows one task orders a whole table as fast as slices would.
@@ -45,14 +49,15 @@ def join_back(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows and more than 1/``HOT_SHARE`` of the table.
+    """Keys with more than ``hot_rows`` rows and more than 1/``HOT_SHARE`` of the table, with the rows of a slice.
 
     The second condition bounds the result at ``HOT_SHARE`` rows whatever the input.
     """
     counts = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.sum("__n")).scalar()
+    share = F.greatest(F.lit(hot_rows), F.floor(total / HOT_SHARE)) / 4
     return counts.where((F.col("__n") > hot_rows) & (F.col("__n") * HOT_SHARE > total)).select(
-        *[col(k) for k in keys], F.lit(True).alias("__hot")
+        *[col(k) for k in keys], F.least(F.lit(SLICES), F.ceil(F.col("__n") / F.greatest(share, F.lit(1)))).alias("__cuts")
     )
 
 
@@ -60,13 +65,47 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def slice_of(us: Column, bounds: Column) -> Column:
+    """How many of the sorted bounds are at or below a time: by bisection."""
+    halves = F.expr("array(" + ", ".join(str(SLICES >> i) for i in range(SLICES.bit_length())) + ")")
+    place = F.aggregate(halves, F.lit(0), lambda at, h: F.when(F.get(bounds, at + h - 1) <= us, at + h).otherwise(at))
+    return place.cast("long")
+
+
+def _time_bounds(df: DataFrame, hot: DataFrame, keys: Sequence[str], ts: str, min_seconds: int) -> DataFrame:
+    """``(keys, __bounds)``: the times at which a hot key is cut, at least ``min_seconds`` apart."""
+    group = [col(k) for k in keys]
+    points = ", ".join(f"{i / SLICES}D" for i in range(1, SLICES))
+    us = join_back(df.select(*group, micros(col(ts)).alias("__us")), hot, keys, "inner")
+    sketch = F.expr(f"percentile_approx(__us, array({points}), {SLICES * 20})")
+    cuts = us.groupBy(*group).agg(F.first("__cuts").alias("__cuts"), sketch.alias("__all"))
+    n = F.col("__cuts")
+    some = F.filter("__all", lambda _, i: F.floor((i + 1) * n / SLICES) > F.floor(i * n / SLICES))
+    apart = F.aggregate(
+        some,
+        F.array().cast("array<bigint>"),
+        lambda kept, x: F.when((F.size(kept) == 0) | (x - F.get(kept, F.size(kept) - 1) > min_seconds * 1_000_000), F.concat(kept, F.array(x))).otherwise(kept),
+    )
+    return cuts.select(*group, F.coalesce(apart, F.array().cast("array<bigint>")).alias("__bounds"))
+
+
 def time_slices(
-    df: DataFrame, keys: Sequence[str], ts: str, width_seconds: int, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Add ``__slice``: NULL for ordinary keys, the number of the time slice for hot keys."""
-    marked = join_back(df, F.broadcast(hot_keys(df, keys, hot_rows)), keys)  # <= HOT_SHARE rows
-    number = F.floor(micros(col(ts)) / F.lit(width_seconds * 1_000_000)).cast("long")
-    return marked.withColumn("__slice", F.when(F.col("__hot"), number)).drop("__hot")
+    df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int = HOT_ROWS, min_seconds: int = 0
+) -> tuple[DataFrame, bool]:
+    """Add ``__slice`` and ``__bounds``, both NULL for ordinary keys; also tell whether any key is hot.
+
+    Slices of a hot key are numbered from 0 in order of time; rows without a time are slice -1, ahead of
+    all others as in any ordering. Slices hold about equal numbers of rows and span at least ``min_seconds``.
+    """
+    hot = fitted(hot_keys(df, keys, hot_rows))  # <= HOT_SHARE rows
+    if hot.isEmpty():
+        return df.withColumns({"__slice": F.lit(None).cast("long"), "__bounds": F.lit(None).cast("array<bigint>")}), False
+    # all keys together have about 4 * HOT_SHARE + SLICES cuts
+    bounds = F.broadcast(fitted(_time_bounds(df, hot, keys, ts, min_seconds)))
+    marked = join_back(df, bounds, keys)
+    us = micros(col(ts))
+    number = F.when(us.isNull(), F.lit(-1).cast("long")).otherwise(slice_of(us, F.col("__bounds")))
+    return marked.withColumn("__slice", F.when(F.col("__bounds").isNotNull(), number)), True
 
 
 def with_markers(df: DataFrame, markers: DataFrame) -> DataFrame:
@@ -87,14 +126,16 @@ def with_previous(
     ties: Sequence[str],
     values: Sequence[str],
     *,
-    width_seconds: int = 3600,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``__prev_<v>`` for each value: that of the row before, by time and ties, within the key."""
-    sliced = time_slices(df, keys, ts, width_seconds, hot_rows)
+    sliced, hot = time_slices(df, keys, ts, hot_rows)
     group = [col(k) for k in keys]
     order = [col(ts), *[col(t) for t in ties]]
     held = F.struct(*[col(v) for v in values])
+    if not hot:
+        before = Window.partitionBy(*group).orderBy(*order)
+        return df.withColumns({f"__prev_{v}": F.lag(col(v)).over(before) for v in values})
     last = (
         sliced.where("__slice is not null")
         .groupBy(*group, "__slice")
@@ -107,19 +148,24 @@ def with_previous(
     inside = Window.partitionBy(*group, "__slice").orderBy("__marker", *order)
     previous = stacked.withColumn("__previous", F.lag("__last").over(inside)).where("__marker = 1")
     out = previous.withColumns({f"__prev_{v}": F.col(f"__previous.`{v}`") for v in values})
-    return out.drop("__previous", "__last", "__marker", "__slice")
+    return out.drop("__previous", "__last", "__marker", "__slice", "__bounds")
 
 
-def with_position(sliced: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
-    """Exact 1-based place of each row within ``keys``, from a table cut by ``time_slices``."""
-    group = [col(k) for k in keys]
+def with_position(
+    df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], out: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Exact 1-based place of each row within ``keys``, by time and ties."""
+    sliced, hot = time_slices(df, keys, ts, hot_rows)
+    group, order = [col(k) for k in keys], [col(ts), *[col(t) for t in ties]]
+    if not hot:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
     sizes = sliced.where("__slice is not null").groupBy(*group, "__slice").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     markers = sizes.select(*group, "__slice", F.sum("__n").over(before).alias("__step")).where("__step is not null")
     stacked = with_markers(sliced.withColumn("__step", F.lit(1).cast("long")), markers)
     inside = Window.partitionBy(*group, "__slice").orderBy("__marker", *order).rowsBetween(Window.unboundedPreceding, 0)
     placed = stacked.withColumn(out, F.sum("__step").over(inside)).where("__marker = 1")
-    return placed.drop("__step", "__marker", "__slice")
+    return placed.drop("__step", "__marker", "__slice", "__bounds")
 
 
 def value_slices(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -32,6 +32,53 @@ def test_previous_value(ticks):
         assert rows(got) == rows(plain)
 
 
+@pytest.fixture(scope="module")
+def uneven(spark):
+    """A hot key with missing times, many rows of one time and a burst within a second."""
+    n = F.col("id")
+    us = (
+        F.when(n % 17 == 0, None)
+        .when(n % 5 == 0, F.lit(1_700_000_000_000_000))
+        .when(n % 3 == 0, F.lit(1_700_000_900_000_000) + n * 37 % 900)
+        .otherwise(F.lit(1_699_990_000_000_000) + n * 7_919_000)
+    )
+    key = F.when(n % 11 == 0, "b").when(n % 13 == 0, None).otherwise("a")
+    return spark.range(4000).select("id", key.alias("k"), F.timestamp_micros(us).alias("ts"), (n * 7919 % 1000 / 7).alias("x")).persist()
+
+
+@pytest.mark.parametrize("hot", [7, 300])
+def test_hot_keys_give_the_same_answer(uneven, hot):
+    plain = 10**9
+
+    def same(build, *columns):
+        one, two = (build(h).select("id", *[F.round(c, 9).alias(c) for c in columns]) for h in (hot, plain))
+        assert rows(one) == rows(two) and one.count() == 4000
+
+    same(lambda h: series.series_index(uneven, ["k"], "ts", ["id"], hot_rows=h), "iteration")
+    same(lambda h: series.rate_gap(uneven, ["k"], "ts", "x", ["id"], hot_rows=h), "gap")
+    same(lambda h: series.window_average(uneven, ["k"], "ts", "x", 10, hot_rows=h), "window_avg")
+    for period in (1, 600):
+        one, two = (sorted(r["id"] for r in alerts.cooldown(uneven, ["k"], "ts", period, ["id"], hot_rows=h).collect()) for h in (hot, plain))
+        assert one == two
+        events = [(str(r["k"]), r["us"], r["id"]) for r in uneven.select("k", F.unix_micros("ts").alias("us"), "id").collect() if r["us"] is not None]
+        assert one == _walk(events, period * 1_000_000)
+
+
+def test_slices_are_bounded_by_rows(uneven):
+    sliced, hot = skew.time_slices(uneven, ["k"], "ts", hot_rows=400)
+    times = sliced.where("__slice >= 0").groupBy("k", "__slice", "ts").count()
+    sizes = times.groupBy("k", "__slice").agg((F.sum("count") - F.max("count")).alias("others")).collect()
+    assert hot and len(sizes) > 10
+    assert max(r["others"] for r in sizes) <= 200  # besides the rows of one time
+
+
+def test_no_hot_key_reads_the_source_once(spark, data):
+    events = spark.read.parquet(f"{data}/events.parquet")
+    for out in (series.rate_gap(events, ["user_id"], "ts", "value", ["event_id"]), series.series_index(events, ["user_id"], "ts"), series.window_average(events, ["user_id"], "ts", "value"), series.ordered_features(events, "user_id", "ts", "value")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") <= 2
+
+
 def test_hot_keys_are_found(ticks):
     assert [r["k"] for r in skew.hot_keys(ticks, ["k"], 500).collect()] == ["hot"]
 
@@ -39,7 +86,7 @@ def test_hot_keys_are_found(ticks):
 def test_index(ticks):
     w = Window.partitionBy("k").orderBy("ts", "id")
     plain = ticks.select("id", (F.row_number().over(w) - 1).cast("long").alias("iteration"))
-    got = series.series_index(ticks, ["k"], "ts", ["id"], width_seconds=600, hot_rows=100).select("id", "iteration")
+    got = series.series_index(ticks, ["k"], "ts", ["id"], hot_rows=100).select("id", "iteration")
     assert rows(got) == rows(plain)
 
 
@@ -47,14 +94,14 @@ def test_window_average(ticks):
     us = F.unix_micros("ts")
     w = Window.partitionBy("k").orderBy(us).rangeBetween(-10_000_000, 0)
     plain = ticks.select("id", F.round(F.avg("x").over(w), 9).alias("a"))
-    got = series.window_average(ticks, ["k"], "ts", "x", 10, width_seconds=60, hot_rows=100)
+    got = series.window_average(ticks, ["k"], "ts", "x", 10, hot_rows=100)
     assert rows(got.select("id", F.round("window_avg", 9).alias("a"))) == rows(plain)
 
 
 def test_series_features_do_not_depend_on_blocks(ticks):
     names = ["k", "length", "number_peaks_2"]
     a = series.ordered_features(ticks, "k", "ts", "x", ["id"])
-    b = series.ordered_features(ticks, "k", "ts", "x", ["id"], block=40, width_seconds=300, hot_rows=100)
+    b = series.ordered_features(ticks, "k", "ts", "x", ["id"], block=40, hot_rows=100)
     assert rows(a.select(names)) == rows(b.select(names))
     for c in ("abs_energy", "absolute_sum_of_changes", "autocorrelation_lag_2", "autocorrelation_lag_3"):
         x, y = (dict((r["k"], r[c]) for r in d.select("k", c).collect()) for d in (a, b))
