@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from millrace.llm.common import narrow, pieces, raw, written
 
@@ -34,7 +35,7 @@ COUNTED, BLOCK_DOCS, BLOCK_CHARS = 200_000, 4_096, 2_000_000
 #: Tasks per shuffle partition where units are encoded: an edge list takes far more room than its unit.
 LATTICE_TASKS = 8
 #: Words whose ids a task keeps from block to block.
-KEPT = 100_000
+KEPT = 50_000
 #: Pairs of characters below this are looked up in a table.
 NEAR = 1_024
 #: What a character without a piece costs beyond the worst piece.
@@ -255,7 +256,38 @@ def _counted(docs: DataFrame, known: Vocabulary) -> DataFrame:
     return docs.join(F.broadcast(some), "id").select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def frequent(docs: DataFrame, known: Vocabulary) -> dict[str, bytes]:
+def _digests(units: list[str]) -> np.ndarray:
+    """128 bits of each unit, as two columns."""
+    return np.frombuffer(b"".join([xxh3_128_digest(u.encode()) for u in units]), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+
+
+class Frequent:
+    """Ids of units, found by a digest of 128 bits; a few bytes per unit."""
+
+    def __init__(self, units: list[str], ids: list[list[int]]):
+        digests = _digests(units)
+        order = np.argsort(digests[:, 0], kind="stable")
+        fresh = np.ones(len(order), dtype=bool)
+        fresh[1:] = digests[order[1:], 0] != digests[order[:-1], 0]
+        order = order[fresh]  # a unit whose first half another one has is left to the shuffle
+        self.first, self.second = digests[order, 0], digests[order, 1]
+        ids = [ids[k] for k in order]
+        self.ends = np.cumsum([len(i) for i in ids], dtype=np.int64) * 4
+        self.codes = np.array([i for own in ids for i in own], dtype=np.int32).tobytes()
+
+    def places(self, units: list[str]) -> np.ndarray:
+        """The place of each unit, -1 for one that is not here."""
+        if not units or not len(self.first):
+            return np.full(len(units), -1)
+        digests = _digests(units)
+        at = np.minimum(np.searchsorted(self.first, digests[:, 0]), len(self.first) - 1)
+        return np.where((self.first[at] == digests[:, 0]) & (self.second[at] == digests[:, 1]), at, -1)
+
+    def ids(self, place: int) -> bytes:
+        return self.codes[self.ends[place - 1] if place else 0 : self.ends[place]]
+
+
+def frequent(docs: DataFrame, known: Vocabulary) -> Frequent:
     """At most ``FREQUENT`` units with their ids, those that a bounded look finds most often."""
     counted = written(_counted(docs, known).where(F.length("unit") <= FREQUENT_CHARS), "units")
     sizes = counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("units")).collect()  # <= 10,000 rows
@@ -268,7 +300,7 @@ def frequent(docs: DataFrame, known: Vocabulary) -> dict[str, bytes]:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     units = counted.where(F.col("n") >= least).select("unit").repartition(LATTICE_TASKS * parts, "unit")
     found = lattice(units, known).toArrow()  # <= FREQUENT units of <= FREQUENT_CHARS
-    return {u: array("i", i).tobytes() for u, i in zip(found.column("unit").to_pylist(), found.column("ids").to_pylist())}
+    return Frequent(found.column("unit").to_pylist(), found.column("ids").to_pylist())
 
 
 def encode(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,8 +325,9 @@ def encode(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col:
         def out():
             texts = [t for _, t in held]
             words = set().union(*map(cutter.words, texts))
-            missing = sorted(set(cutter.of(list(words))[0]).difference(hot))
-            body = pickle.dumps((missing, packer.compress(pickle.dumps(texts))))
+            units = sorted(set(cutter.of(list(words))[0]))
+            missing = [u for u, place in zip(units, hot.places(units).tolist()) if place < 0]
+            body = pickle.dumps([packer.compress(pickle.dumps(part)) for part in (missing, texts)])
             return pa.RecordBatch.from_arrays([pa.array([[i for i, _ in held]], kinds), pa.array([body])], names=["ids", "body"])
 
         for batch in batches:
@@ -310,9 +343,10 @@ def encode(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col:
             yield out()
 
     def ask(batches):
+        opener = zstandard.ZstdDecompressor()
         for batch in batches:
             for body, block in zip(batch.column("body").to_pylist(), batch.column("block").to_pylist()):
-                units = pickle.loads(body)[0]
+                units = pickle.loads(opener.decompress(pickle.loads(body)[0]))
                 if units:
                     columns = [pa.array([block] * len(units), pa.int64()), pa.array(range(len(units)), pa.int32()), pa.array(units, pa.string())]
                     yield pa.RecordBatch.from_arrays(columns, names=["block", "place", "unit"])
@@ -324,8 +358,8 @@ def encode(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col:
 
         for batch in batches:
             for ids, body, found in zip(*[batch.column(c) for c in ("ids", "body", "found")]):
-                missing, packed = pickle.loads(body.as_py())
-                texts = [cutter.words(t) for t in pickle.loads(opener.decompress(packed))]
+                missing, texts = (pickle.loads(opener.decompress(part)) for part in pickle.loads(body.as_py()))
+                texts = [cutter.words(t) for t in texts]
                 own = {}
                 if found.is_valid:
                     rows = found.values.flatten()
@@ -335,7 +369,7 @@ def encode(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col:
                         own[missing[place]] = codes[end - n : end].tobytes()
                 words = list(set().union(*texts).difference(kept))
                 units, sizes = cutter.of(words)
-                encoded = [hot[u] if u in hot else own[u] for u in units]
+                encoded = [own[u] if place < 0 else hot.ids(place) for u, place in zip(units, hot.places(units).tolist())]
                 fresh, at = {}, 0
                 for word, n in zip(words, sizes):
                     fresh[word] = encoded[at] if n == 1 else b"".join(encoded[at : at + n])
@@ -353,7 +387,10 @@ def encode(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col:
     blocks = source.mapInArrow(scan, f"ids array<{kind}>, body binary")
     blocks = blocks.withColumn("block", F.monotonically_increasing_id()).repartition(parts, "block")  # shuffled once, read twice
     asked = blocks.mapInArrow(ask, "block long, place int, unit string")  # a unit once for each block
-    encoded = lattice(asked.select("unit").repartition(LATTICE_TASKS * parts, "unit").distinct(), known)
+    asked = asked.repartition(LATTICE_TASKS * parts, "unit")
+    # counting the other columns, too, lets both uses read one shuffle
+    uses = asked.groupBy("unit").agg(F.count("block").alias("blocks"), F.count("place").alias("places"))
+    encoded = lattice(uses.where("blocks > 0 and places > 0").select("unit"), known)
     found = asked.join(encoded, "unit").groupBy("block").agg(F.collect_list(F.struct("place", "ids")).alias("found"))
     out = blocks.join(found, "block", "left").select("ids", "body", "found").mapInArrow(join, f"id {kind}, ids array<int>")
     return out.withColumnRenamed("id", id_col)

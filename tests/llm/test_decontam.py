@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from llm_fixtures import documents  # noqa: F401
 
 from millrace.llm import decontam
 

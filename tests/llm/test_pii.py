@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from llm_fixtures import documents  # noqa: F401
 
 from millrace.llm import pii
 

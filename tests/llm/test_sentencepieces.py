@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from llm_fixtures import documents  # noqa: F401
 
 from millrace.llm import sentencepieces as sp
 

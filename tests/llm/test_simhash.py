@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from llm_fixtures import documents  # noqa: F401
 import xxhash
 
 from millrace.llm import simhash
