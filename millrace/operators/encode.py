@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.columns import col, name_list, require
-from millrace.operators.summary import MAX_PIVOT
 from millrace.session import fitted
 from millrace.skew import SMALL_ROWS, join_back, numbered
 
@@ -46,11 +45,9 @@ def decode(df: DataFrame, maps: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def categories(df: DataFrame, column: str) -> tuple[list, bool]:
-    """Sorted categories and whether missing occurs; refused beyond one column per category."""
-    rows = df.select(col(column)).distinct().limit(MAX_PIVOT + 2).collect()
+    """Sorted categories, about to become columns, and whether missing occurs."""
+    rows = df.select(col(column)).distinct().collect()
     values = sorted(r[0] for r in rows if r[0] is not None)
-    if len(values) > MAX_PIVOT:
-        raise ValueError(f"{column} has more than {MAX_PIVOT} categories, use hash or target encoding")
     return values, len(values) < len(rows)
 
 

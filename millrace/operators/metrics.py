@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.columns import col
-from millrace.operators.summary import MAX_PIVOT
 from millrace.skew import join_back, running_sums, with_scalars
 
 
+#: Cluster sizes that stand in one row while sizes of the two sides meet.
+SIZES_PER_PIECE = 1_000
+
+
 def confusion_counts(df: DataFrame, label: str, prediction: str = "predictions") -> DataFrame:
     return df.groupBy(col(label).alias("label"), col(prediction).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -24,10 +27,7 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str = "predictions",
     counts = confusion_counts(df, label, prediction)
     names = counts.select("label").union(counts.select("prediction")).where("label is not null").distinct()
     if classes is None:
-        rows = names.limit(MAX_PIVOT + 1).collect()
-        if len(rows) > MAX_PIVOT:
-            raise ValueError(f"more than {MAX_PIVOT} classes")
-        classes = sorted(r[0] for r in rows)
+        classes = sorted(r[0] for r in names.collect())  # a column each; confusion_counts is the long form
     wide = counts.groupBy("label").agg(
         *[F.coalesce(F.sum(F.when(F.col("prediction") == c, F.col("n"))), F.lit(0)).alias(f"pred_{c}") for c in classes]
     )
@@ -113,18 +113,19 @@ def _expected_information(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
 def adjusted_mutual_info(df: DataFrame, label: str, prediction: str = "predictions") -> DataFrame:
     """Mutual information corrected for chance, arithmetic-mean normaliser.
 
-    Chance depends only on the class sizes; equal sizes are counted once.
+    Chance depends only on the class sizes; equal sizes are counted once. The formula has a term for each two
+    sizes; of N rows there are at most sqrt(2 N) sizes on a side, met in pieces by shuffle.
     """
     cells = confusion_counts(df, label, prediction)
     a = cells.groupBy("label").agg(F.sum("n").alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("ta"))
     b = cells.groupBy("prediction").agg(F.sum("n").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("tb"))
-    sizes = b.limit(MAX_PIVOT + 1).collect()
-    if len(sizes) > MAX_PIVOT:
-        raise ValueError(f"more than {MAX_PIVOT} different cluster sizes")
-    other = F.array(*[F.struct(F.lit(r["b"]).alias("b"), F.lit(r["tb"]).alias("tb")) for r in sizes])
+    pieces = max(1, b.count() // SIZES_PER_PIECE)
+    others = b.groupBy(F.pmod(F.hash("b"), F.lit(pieces)).alias("piece")).agg(F.collect_list(F.struct("b", "tb")).alias("os"))
     pairs = (
         a.withColumn("n", cells.agg(F.sum("n")).scalar())
-        .withColumn("o", F.explode(other))
+        .withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+        .join(others, "piece")
+        .withColumn("o", F.explode("os"))
         .select("a", "o.b", "n", (F.col("ta") * F.col("o.tb")).alias("times"))
     )
     emi = pairs.repartition(F.hash("a", "b")).mapInPandas(_expected_information, "emi double").agg(F.sum("emi").alias("emi"))

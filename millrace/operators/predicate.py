@@ -19,10 +19,37 @@ _COMPARE = {
     ast.Eq: operator.eq, ast.NotEq: operator.ne, ast.Lt: operator.lt,
     ast.LtE: operator.le, ast.Gt: operator.gt, ast.GtE: operator.ge,
 }
+
+
+def _over_zero(x: Column) -> Column:
+    """IEEE: a number over zero is an infinity with the number's sign, zero and NaN over zero are NaN."""
+    return F.when((x == 0) | F.isnan(x), float("nan")).when(x > 0, float("inf")).when(x < 0, float("-inf"))
+
+
+def _divide(a: Column, b: Column) -> Column:
+    x, y = a.cast("double"), b.cast("double")
+    return F.when(y == 0, _over_zero(x)).otherwise(F.try_divide(x, y))
+
+
+def _floor_divide(a: Column, b: Column) -> Column:
+    x, y = a.cast("double"), b.cast("double")
+    return F.when(y == 0, _over_zero(x)).otherwise(F.rint(F.try_divide(x - _modulo(a, b), y)))
+
+
+def _modulo(a: Column, b: Column) -> Column:
+    """The remainder with the sign of the divisor; NaN for a zero divisor."""
+    x, y = a.cast("double"), b.cast("double")
+    rest = F.try_mod(x, y)
+    moved = F.when((rest != 0) & ((rest < 0) != (y < 0)), rest + y).otherwise(rest)
+    return F.when(y == 0, F.when(x.isNotNull(), float("nan"))).otherwise(moved)
+
+
 _ARITHMETIC = {
     ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul,
-    ast.Div: operator.truediv, ast.Mod: operator.mod,
+    ast.Div: _divide, ast.FloorDiv: _floor_divide, ast.Mod: _modulo, ast.Pow: F.pow,
 }
+#: Operators whose result may be NaN though no operand is missing.
+_MAY_BE_NAN = (ast.Div, ast.FloorDiv, ast.Mod, ast.Pow)
 #: A quoted string, a back-quoted name, or one of the symbols that stand for and / or / not.
 _TOKENS = re.compile(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|`([^`]+)`|([&|~])""")
 _WORDS = {"&": " and ", "|": " or ", "~": " not "}
@@ -57,6 +84,8 @@ def predicate(df: DataFrame, text: str) -> Column:
                 return F.lit(v)
             case ast.UnaryOp(op=ast.USub(), operand=inner):
                 return -value(inner)
+            case ast.UnaryOp(op=ast.UAdd(), operand=inner):
+                return value(inner)
             case ast.BinOp(left=a, op=op, right=b) if type(op) in _ARITHMETIC:
                 return _ARITHMETIC[type(op)](value(a), value(b))
         raise ValueError(f"not a value: {ast.unparse(node)}")
@@ -69,6 +98,9 @@ def predicate(df: DataFrame, text: str) -> Column:
             ok = ok & col(name).isNotNull()
             if is_float(kinds.get(name)):
                 ok = ok & ~F.isnan(col(name))
+        for node in nodes:
+            if any(isinstance(x, ast.BinOp) and isinstance(x.op, _MAY_BE_NAN) for x in ast.walk(node)):
+                ok = ok & ~F.isnan(value(node))
         return ok
 
     def compare(a: ast.expr, op: ast.cmpop, b: ast.expr) -> Column:

@@ -119,10 +119,11 @@ def target_class_hits(
 ) -> DataFrame:
     """Add ``hit``: 1 where the sample is predicted as the target class.
 
-    Regression compares whole parts, cut toward zero; classes compare as text.
+    Regression compares whole parts, cut toward zero; a prediction that is missing or no such number is no hit.
+    Classes compare as text.
     """
     if regression:
-        same = col(prediction).cast("double").cast("long") == F.lit(int(float(target)))
+        same = col(prediction).try_cast("double").try_cast("long") == F.lit(int(float(target)))
     else:
         same = col(prediction).cast("string") == F.lit(str(target))
     return df.withColumn("hit", F.coalesce(same, F.lit(False)).cast("int"))

@@ -57,27 +57,27 @@ def search(
     df: DataFrame, candidates: Sequence[Algorithm], label: str, key: str | Sequence[str], features: Sequence[str],
     folds: int = 5, parallelism: int = 4, budget_seconds: float | None = None,
 ) -> DataFrame:
-    """(name, options, loss), best first. Candidates run as concurrent Spark jobs over one kept table;
-    none is started once the time budget is spent."""
+    """(name, options, loss), best first. Candidates run as concurrent Spark jobs over one kept table.
+    None is started once the time budget is spent; those left have a NULL loss and come last."""
     spark = df.sparkSession
     held = df.persist()
     started = time.monotonic()
 
     def one(algorithm: Algorithm):
-        if budget_seconds is not None and time.monotonic() - started > budget_seconds:
-            return None
-        loss = cv_loss(held, algorithm, label, key, features, folds)
-        return (algorithm.name, str(dict(sorted(algorithm.input_variables.items()))), float(loss))
+        spent = budget_seconds is not None and time.monotonic() - started > budget_seconds
+        loss = None if spent else float(cv_loss(held, algorithm, label, key, features, folds))
+        return (algorithm.name, str(dict(sorted(algorithm.input_variables.items()))), loss)
 
     try:
         with ThreadPoolExecutor(parallelism) as pool:
-            rows = [r for r in pool.map(one, candidates) if r is not None]
+            rows = list(pool.map(one, candidates))
     finally:
         held.unpersist()
-    return spark.createDataFrame(rows, "name string, options string, loss double").orderBy("loss", "name", "options")
+    losses = spark.createDataFrame(rows, "name string, options string, loss double")
+    return losses.orderBy(F.col("loss").asc_nulls_last(), "name", "options")
 
 
 def best(losses: DataFrame, candidates: Sequence[Algorithm]) -> Algorithm:
     """The candidate with the smallest loss."""
-    top = losses.orderBy("loss", "name", "options").first()
+    top = losses.where("loss is not null").orderBy("loss", "name", "options").first()
     return next(a for a in candidates if a.name == top["name"] and str(dict(sorted(a.input_variables.items()))) == top["options"])

@@ -9,14 +9,11 @@ from pyspark.sql import functions as F
 
 from millrace.columns import col, require
 from millrace.functions.text import explode_ids
-from millrace.operators.summary import MAX_PIVOT, value_list
+from millrace.operators.summary import value_list
 
 
 def _pattern_total(df: DataFrame, pattern: str) -> int:
-    top = df.agg(F.max(col(pattern)).cast("long")).first()[0] or 0
-    if top > MAX_PIVOT:
-        raise ValueError(f"{top} patterns are too many for one column each")
-    return top
+    return df.agg(F.max(col(pattern)).cast("long")).first()[0] or 0
 
 
 def _pattern_aggs(pattern: str, patterns: int) -> list[Column]:

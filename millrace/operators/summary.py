@@ -8,24 +8,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.columns import col, is_float, is_numeric, numeric_columns, require
+from millrace.columns import col, is_float, is_numeric, normalize_missing, numeric_columns, require
 from millrace.quantiles import exact_quantiles, wide_quantiles
 from millrace.session import fitted
 from millrace.skew import join_back, with_scalars
 
-#: Widest set of values an operator turns into columns.
-MAX_PIVOT = 2_000
 
-
-def value_list(df: DataFrame, column: str, limit: int = MAX_PIVOT) -> list:
+def value_list(df: DataFrame, column: str) -> list:
     """Sorted distinct non-missing values that are about to become columns.
 
-    One row per value reaches the driver; more than ``limit`` values are refused, not cut.
+    The names of a result's columns are known on the driver, so one row per value comes there. Where values
+    are too many for a column each, take the long form of the operator (``counts_by_value``, ``confusion_counts``).
+    """
+    return sorted(r[0] for r in df.select(col(column)).where(col(column).isNotNull()).distinct().collect())
+
+
+def counts_by_value(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Long form of the operators that make a column of each value: ``(keys, column, value, n)``.
+
+    Any number of values; missing values have a row of their own with a NULL value.
     """
-    rows = df.select(col(column)).where(col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} values, too many for one column each")
-    return sorted(r[0] for r in rows)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in require(df, columns)])
+    long = normalize_missing(df).select(*[col(k) for k in keys], F.explode(pairs).alias("__p"))
+    return long.groupBy(*[col(k) for k in keys], "__p.column", "__p.value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def bin_index(x: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -53,8 +58,9 @@ def group_histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int =
     The range table is fitted first and joined back; counting is map-side combined, so a large
     group costs no more than any other rows.
     """
-    ranges = fitted(_ranges(df.where(col(value).isNotNull()), keys, value))
-    placed = join_back(df.where(col(value).isNotNull()).select(*[col(k) for k in keys], col(value)), ranges, keys)
+    present = normalize_missing(df.select(*[col(k) for k in keys], col(value))).where(col(value).isNotNull())
+    ranges = fitted(_ranges(present, keys, value))
+    placed = join_back(present, ranges, keys)
     counted = placed.groupBy(
         *[col(k) for k in keys], bin_index(col(value), F.col("__lo"), F.col("__hi"), bins).alias("bin")
     ).agg(F.count(F.lit(1)).alias("n"))
@@ -109,6 +115,7 @@ def summarize(
     map-side combined; the three results have one row per ref value and meet on it.
     """
     columns = require(df, columns) if columns else numeric_columns(df, (ref, label))
+    df = normalize_missing(df)
     stats = fitted(moments(df, ref, columns, label))
     medians = wide_quantiles(df, [ref], columns, {"median": 0.5}, approx=approx)
 

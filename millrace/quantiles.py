@@ -95,10 +95,15 @@ def exact_quantiles(
     def pick(rank):
         return F.max(F.when((rank >= F.col("__from")) & (rank < F.col("__to")), F.col("value")))
 
-    picked = spans.groupBy(*by).agg(
+    picked = fitted(spans.groupBy(*by).agg(
         F.max("__total").alias("__total"),
         *[f(F.floor(at(p)) if k == "lo" else F.ceil(at(p))).alias(f"__{k}{i}") for i, p in enumerate(probs) for k, f in (("lo", pick), ("hi", pick))],
-    )
+    ))
+    lost = F.lit(False)
+    for i in range(len(probs)):
+        lost = lost | F.col(f"__lo{i}").isNull() | F.col(f"__hi{i}").isNull()
+    if not picked.where(lost).isEmpty():  # a rank fell outside its bracket: take wider ones
+        return exact_quantiles(df, keys, columns, probs, small_rows=small_rows, accuracy=max(2, accuracy // 8))
     values = [
         F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (at(p) - F.floor(at(p))) for i, p in enumerate(probs)
     ]

@@ -31,15 +31,17 @@ def na_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+#: How a number is written. A trailing D or F, which the cast would take, makes a code of it.
+NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)\s*$"
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Cast all-text columns to long, double or boolean where every present value allows it; one pass."""
-    kinds = (("bigint", r"^\s*[+-]?\d+\s*$"), ("double", None), ("boolean", r"(?i)^\s*(true|false)\s*$"))
+    kinds = (("bigint", r"^\s*[+-]?\d+\s*$"), ("double", NUMBER), ("boolean", r"(?i)^\s*(true|false)\s*$"))
     aggs = [F.count(col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]
     for i, c in enumerate(df.columns):
         for kind, shape in kinds:
-            fits = col(c).try_cast(kind).isNotNull()
-            if shape:
-                fits = fits & col(c).rlike(shape)
+            fits = col(c).try_cast(kind).isNotNull() & col(c).rlike(shape)
             aggs.append(F.count_if(fits).alias(f"{kind}{i}"))
     seen = df.agg(*aggs).first()
 

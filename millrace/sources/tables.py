@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.columns import col
-from millrace.operators.summary import MAX_PIVOT
 
 
 def create_and_load(
@@ -57,10 +56,7 @@ def cells_pivot(cells: DataFrame, names: Sequence[str] | None = None) -> DataFra
     """One row per row key, a column ``family:qualifier`` per cell name, NULL where a row lacks the cell."""
     name = F.concat_ws(":", "family", "qualifier")
     if names is None:
-        found = cells.select(name.alias("n")).distinct().limit(MAX_PIVOT + 1).collect()
-        if len(found) > MAX_PIVOT:
-            raise ValueError(f"more than {MAX_PIVOT} cell names")
-        names = sorted(r["n"] for r in found)
+        names = sorted(r["n"] for r in cells.select(name.alias("n")).distinct().collect())  # a column each
     named = cells.withColumn("__name", name)
     # one aggregation picks versions and pivots at once
     return named.groupBy("rowkey").agg(

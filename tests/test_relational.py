@@ -1,11 +1,18 @@
 import math
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from millrace.operators import joins, project, sets
+from millrace.operators.encode import dummy, one_hot
+from millrace.operators.metrics import confusion_matrix
 from millrace.operators.predicate import query
+from millrace.operators.project import target_class_hits
+from millrace.operators.summary import chart_heatmap, counts_by_value, group_histogram, summarize
+from millrace.sources.files import infer_types
+from millrace.sources.sql import run_sql
 
 NAN, INF = float("nan"), float("inf")
 
@@ -134,3 +141,57 @@ def test_align_by_id(spark):
     a = spark.createDataFrame([("s", 1)], "id string, x int")
     b = spark.createDataFrame([("s", 2), ("t", 3)], "id string, y int")
     assert rows(joins.align_by_id([a, b], "id")) == [("s", 1, 2), ("t", None, 3)]
+
+
+def test_arithmetic_follows_ieee(spark):
+    rows = [(0, 1.0, 0.0), (1, -1.0, 0.0), (2, 0.0, 0.0), (3, -7.0, 3.0), (4, 7.0, -3.0), (5, None, 2.0), (6, 7.5, 2.0), (7, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "id int, a double, b double").withColumn("n", F.col("a").try_cast("int")).withColumn("m", F.col("b").try_cast("int"))
+    table = df.toPandas()
+    for text in ("a / b > 1", "a / b < -1", "a % b == 0", "a % b > 0", "a % b < 0", "a // b == -3", "a // b == 3", "a ** 2 > 48", "+a > 5", "a / b != 0", "-a ** 2 == -49"):
+        want = table.query(text).id.tolist()
+        assert ids(query(df, text)) == want, text
+    assert ids(query(df, "a in [b * 3.75, 1]")) == [0, 2, 6]
+    assert ids(query(df, "n / m > 1 or n % m == 2")) == [0, 3, 6]
+
+
+def test_predictions_that_are_no_numbers(spark):
+    df = spark.createDataFrame([(0, 3.7), (1, float("nan")), (2, 1e300), (3, None), (4, 3.0)], "id int, predictions double")
+    assert [r["hit"] for r in target_class_hits(df, 3, regression=True).orderBy("id").collect()] == [1, 0, 0, 0, 1]
+
+
+def test_sql_leaves_views_as_they_were(spark):
+    spark.range(3).createOrReplaceTempView("mine")
+    out = run_sql(spark, "select count(*) as n from mine join other using (id)", {"mine": spark.range(5), "other": spark.range(4)})
+    assert out.first()["n"] == 4 and spark.table("mine").count() == 3
+    assert not spark.catalog.tableExists("other")
+    spark.catalog.dropTempView("mine")
+
+
+def test_codes_stay_text(spark):
+    df = spark.createDataFrame([("12D", "1.5", "7", "1e3", "nan"), ("7F", "-2", "8", ".5", "inf")], "a string, b string, c string, d string, e string")
+    assert [t for _, t in infer_types(df).dtypes] == ["string", "double", "bigint", "double", "double"]
+
+
+def test_nan_is_missing_in_summaries(spark):
+    df = spark.createDataFrame([("k", 1.0), ("k", float("nan")), ("k", 2.0)], "k string, x double")
+    out = summarize(df, "k").first()
+    assert out["x_max"] == 2.0 and out["x_mean"] == 1.5 and out["x_median"] == 1.5
+    assert sum(r["n"] for r in group_histogram(df, ["k"], "x", 4).collect()) == 2
+
+
+def test_many_values_as_columns(spark):
+    df = spark.range(2001).select(F.format_string("v%05d", "id").alias("v"), F.lit("r").alias("r"), "id")
+    counts = counts_by_value(df, ["r"], ["v"])
+    assert counts.count() == 2001 and counts.where("n != 1").isEmpty()
+    assert len(one_hot(df, "v").columns) == 2003 and len(dummy(df, "v").columns) == 2002
+    assert len(chart_heatmap(df, "r", "v").columns) == 2002
+    small = df.where("id < 3").withColumn("predictions", F.col("v"))
+    assert len(confusion_matrix(small, "v").columns) == 4
+
+
+def test_a_lost_bracket_is_widened(spark, monkeypatch):
+    from millrace import quantiles
+
+    df = spark.range(20_000).select(F.exp(F.col("id") / 500).alias("x"))
+    tight = quantiles.exact_quantiles(df, [], ["x"], [0.25, 0.5], small_rows=0, accuracy=10**7).first()["q"]
+    assert np.allclose(tight, np.quantile(np.exp(np.arange(20_000) / 500), [0.25, 0.5]))
