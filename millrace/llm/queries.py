@@ -112,8 +112,7 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    known = sentencepieces.load(PIECES)
-    read = sentencepieces.decode(sentencepieces.encode(table(spark, folder, "documents"), known), known)
+    read = sentencepieces.encode(table(spark, folder, "documents"), sentencepieces.load(PIECES), decoded=True)
     return read.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -303,8 +303,11 @@ def frequent(docs: DataFrame, known: Vocabulary) -> Frequent:
     return Frequent(found.column("unit").to_pylist(), found.column("ids").to_pylist())
 
 
-def encode(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``(<id_col>, ids)``, the piece ids of the whole text.
+def encode(
+    docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
+) -> DataFrame:
+    """One row per input row: ``(<id_col>, ids)``, the piece ids of the whole text, and with ``decoded`` also
+    ``text``, what the ids decode to (``decode`` in the same pass over the rows).
 
     A null or empty text has no pieces. Rows of the same id are encoded each on its own; a null id stays null;
     an empty table gives no rows.
@@ -314,6 +317,7 @@ def encode(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col:
     source = narrow(docs, id=id_col, text=text_col)
     kind = source.schema["id"].dataType.simpleString()
     common = spark.sparkContext.broadcast(frequent(source, known))  # <= FREQUENT units
+    vocabulary_ = spark.sparkContext.broadcast(known)  # a tokenizer's fixed vocabulary
     pairs = known.pairs
 
     def scan(batches):
@@ -355,6 +359,7 @@ def encode(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col:
         """Ids of each document of a block, from frequent units and those the block has got."""
         hot, cutter, kept = common.value, Units(pairs), {}
         opener = zstandard.ZstdDecompressor()
+        decoder = Decoder(vocabulary_.value) if decoded else None
 
         for batch in batches:
             for ids, body, found in zip(*[batch.column(c) for c in ("ids", "body", "found")]):
@@ -379,48 +384,66 @@ def encode(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col:
                     fresh = {}
                 get = kept.get if not fresh else lambda w, fresh=fresh: kept.get(w) or fresh[w]
                 out = [np.frombuffer(b"".join(map(get, words)), dtype=np.int32) for words in texts]
-                offsets = np.zeros(len(out) + 1, dtype=np.int32)
-                np.cumsum([len(o) for o in out], out=offsets[1:])
-                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out)))
-                yield pa.RecordBatch.from_arrays([ids.values, values], names=["id", "ids"])
+                for k in range(0, len(out), 500):
+                    yield rows_of(ids.values.slice(k, 500), out[k : k + 500], decoder)
+
+    def rows_of(ids, lists, decoder):
+        sizes = [len(o) for o in lists]
+        values = np.concatenate(lists)
+        columns = [ids, pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(values))]
+        if decoder:
+            columns.append(pa.array(decoder(values, sizes), pa.string()))
+        return pa.RecordBatch.from_arrays(columns, names=["id", "ids", "text"][: len(columns)])
 
     blocks = source.mapInArrow(scan, f"ids array<{kind}>, body binary")
     blocks = blocks.withColumn("block", F.monotonically_increasing_id()).repartition(parts, "block")  # shuffled once, read twice
     asked = blocks.mapInArrow(ask, "block long, place int, unit string")  # a unit once for each block
-    asked = asked.repartition(LATTICE_TASKS * parts, "unit")
+    asked = asked.where("unit is not null").repartition(LATTICE_TASKS * parts, "unit")
     # counting the other columns, too, lets both uses read one shuffle
     uses = asked.groupBy("unit").agg(F.count("block").alias("blocks"), F.count("place").alias("places"))
     encoded = lattice(uses.where("blocks > 0 and places > 0").select("unit"), known)
     found = asked.join(encoded, "unit").groupBy("block").agg(F.collect_list(F.struct("place", "ids")).alias("found"))
-    out = blocks.join(found, "block", "left").select("ids", "body", "found").mapInArrow(join, f"id {kind}, ids array<int>")
+    out = blocks.join(found, "block", "left").select("ids", "body", "found").mapInArrow(join, f"id {kind}, ids array<int>" + ", text string" * decoded)
     return out.withColumnRenamed("id", id_col)
 
 
+class Decoder:
+    """Texts of piece ids; pieces of bytes are joined before they are read as UTF-8."""
+
+    def __init__(self, known: Vocabulary):
+        self.count = max([-1, *known.ids, *known.byte_ids]) + 1
+        surfaces = np.full(self.count + 1, b"", dtype=object)  # the last one for ids that are no piece
+        for i, piece in [*zip(known.ids, [s.encode() for s in known.surfaces]), *zip(known.byte_ids, [bytes([b]) for b in range(256)])]:
+            surfaces[i] = piece
+        self.surfaces = surfaces
+
+    def __call__(self, ids: np.ndarray, sizes: list[int | None]) -> list[str | None]:
+        """Texts of lists of the given sizes that stand in a row; None has no text."""
+        parts = self.surfaces[np.where((ids >= 0) & (ids < self.count), ids, self.count)].tolist()
+        found, at = [], 0
+        for n in sizes:
+            if n is None:
+                found.append(None)
+                continue
+            text = b"".join(parts[at : at + n])
+            at += n
+            found.append((text[1:] if text[:1] == b" " else text).decode(errors="replace"))
+        return found
+
+
 def decode(encoded: DataFrame, known: Vocabulary, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
-    """Add the text of piece ids; pieces of bytes are joined before they are read as UTF-8.
+    """Add the text of piece ids.
 
     Null ids are null text; an id that is no piece gives nothing; bytes that are no UTF-8 give U+FFFD.
     """
-    count = max([-1, *known.ids, *known.byte_ids]) + 1
-    surfaces = [b""] * (count + 1)  # the last one for ids that are no piece
-    for i, piece in [*zip(known.ids, [s.encode() for s in known.surfaces]), *zip(known.byte_ids, [bytes([b]) for b in range(256)])]:
-        surfaces[i] = piece
-    shared = encoded.sparkSession.sparkContext.broadcast(surfaces)  # a tokenizer's fixed vocabulary
+    shared = encoded.sparkSession.sparkContext.broadcast(known)  # a tokenizer's fixed vocabulary
 
     def run(batches):
-        table = np.array([*shared.value, None], dtype=object)[:-1]
+        decoder = Decoder(shared.value)
         for batch in batches:
             lists = batch.column(ids_col)
             ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
-            parts = table[np.where((ids >= 0) & (ids < count), ids, count)].tolist()
-            found, at = [], 0
-            for n in pc.list_value_length(lists).to_pylist():
-                if n is None:
-                    found.append(None)
-                    continue
-                text = b"".join(parts[at : at + n])
-                at += n
-                found.append((text[1:] if text[:1] == b" " else text).decode(errors="replace"))
+            found = decoder(ids, pc.list_value_length(lists).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, out_col])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
