@@ -398,7 +398,7 @@ def encode(
     blocks = source.mapInArrow(scan, f"ids array<{kind}>, body binary")
     blocks = blocks.withColumn("block", F.monotonically_increasing_id()).repartition(parts, "block")  # shuffled once, read twice
     asked = blocks.mapInArrow(ask, "block long, place int, unit string")  # a unit once for each block
-    asked = asked.where("unit is not null").repartition(LATTICE_TASKS * parts, "unit")
+    asked = asked.where("unit is not null and block is not null").repartition(LATTICE_TASKS * parts, "unit")
     # counting the other columns, too, lets both uses read one shuffle
     uses = asked.groupBy("unit").agg(F.count("block").alias("blocks"), F.count("place").alias("places"))
     encoded = lattice(uses.where("blocks > 0 and places > 0").select("unit"), known)
