@@ -15,6 +15,7 @@ import pickle
 from array import array
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ UNIT_CHARS = 4_096
 COUNTED, BLOCK_DOCS, BLOCK_CHARS = 200_000, 4_096, 2_000_000
 #: Tasks per shuffle partition where units are encoded: an edge list takes far more room than its unit.
 LATTICE_TASKS = 8
-#: Words whose ids a task keeps from block to block.
-KEPT = 50_000
+#: Words that a task keeps from block to block; frequent ones come early.
+KEPT = 150_000
 #: Pairs of characters below this are looked up in a table.
 NEAR = 1_024
 #: What a character without a piece costs beyond the worst piece.
@@ -283,8 +284,11 @@ class Frequent:
         at = np.minimum(np.searchsorted(self.first, digests[:, 0]), len(self.first) - 1)
         return np.where((self.first[at] == digests[:, 0]) & (self.second[at] == digests[:, 1]), at, -1)
 
-    def ids(self, place: int) -> bytes:
-        return self.codes[self.ends[place - 1] if place else 0 : self.ends[place]]
+    def ids(self, places: np.ndarray) -> list[bytes]:
+        """The ids at these places, as bytes; for -1 anything."""
+        codes, ends = self.codes, self.ends[places].tolist() if len(self.ends) else [0] * len(places)
+        starts = np.where(places > 0, self.ends[places - 1], 0).tolist() if len(self.ends) else ends
+        return [codes[a:b] for a, b in zip(starts, ends)]
 
 
 def frequent(docs: DataFrame, known: Vocabulary) -> Frequent:
@@ -322,16 +326,27 @@ def encode(
 
     def scan(batches):
         """Blocks of documents: ids, and packed texts with the units in them that are not frequent."""
-        hot, cutter = common.value, Units(pairs)
+        hot, cutter, plain = common.value, Units(pairs), set()
         packer = zstandard.ZstdCompressor(level=3)
         held, size = [], 0
 
         def out():
-            texts = [t for _, t in held]
-            words = set().union(*map(cutter.words, texts))
-            units = sorted(set(cutter.of(list(words))[0]))
-            missing = [u for u, place in zip(units, hot.places(units).tolist()) if place < 0]
-            body = pickle.dumps([packer.compress(pickle.dumps(part)) for part in (missing, texts)])
+            texts = [cutter.words(t) for _, t in held]
+            counts = list(map(len, texts))
+            listed = list(dict.fromkeys(chain.from_iterable(texts)))  # in order of appearance
+            numbers = dict(zip(listed, range(len(listed))))
+            order = np.fromiter(map(numbers.__getitem__, chain.from_iterable(texts)), dtype="<u4", count=sum(counts))
+            words = list(numbers.keys() - plain)
+            units, sizes = cutter.of(words)
+            rare = hot.places(units) < 0
+            missing = sorted({units[k] for k in np.flatnonzero(rare)})
+            if len(plain) < KEPT:  # words without a rare unit need no second look
+                found = np.add.reduceat(rare, np.cumsum([0, *sizes[:-1]])) if words else []
+                plain.update(words[k] for k in np.flatnonzero(np.logical_not(found)))
+            # of the numbers all first bytes are packed together, then all second ones, and so on
+            places = order.view(np.uint8).reshape(-1, 4).T.tobytes()
+            parts = [pickle.dumps(missing), pickle.dumps((listed, counts)), places]
+            body = pickle.dumps([packer.compress(part) for part in parts])
             return pa.RecordBatch.from_arrays([pa.array([[i for i, _ in held]], kinds), pa.array([body])], names=["ids", "body"])
 
         for batch in batches:
@@ -363,8 +378,9 @@ def encode(
 
         for batch in batches:
             for ids, body, found in zip(*[batch.column(c) for c in ("ids", "body", "found")]):
-                missing, texts = (pickle.loads(opener.decompress(part)) for part in pickle.loads(body.as_py()))
-                texts = [cutter.words(t) for t in texts]
+                missing, listed, places = map(opener.decompress, pickle.loads(body.as_py()))
+                missing, (words, counts) = pickle.loads(missing), pickle.loads(listed)
+                order = np.frombuffer(places, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
                 own = {}
                 if found.is_valid:
                     rows = found.values.flatten()
@@ -372,27 +388,35 @@ def encode(
                     sizes = pc.list_value_length(rows[1]).to_numpy(zero_copy_only=False)
                     for place, n, end in zip(rows[0].to_pylist(), sizes.tolist(), np.cumsum(sizes).tolist()):
                         own[missing[place]] = codes[end - n : end].tobytes()
-                words = list(set().union(*texts).difference(kept))
-                units, sizes = cutter.of(words)
-                encoded = [own[u] if place < 0 else hot.ids(place) for u, place in zip(units, hot.places(units).tolist())]
-                fresh, at = {}, 0
-                for word, n in zip(words, sizes):
-                    fresh[word] = encoded[at] if n == 1 else b"".join(encoded[at : at + n])
+                fresh = [w for w in words if w not in kept]
+                units, sizes = cutter.of(fresh)
+                places = hot.places(units)
+                encoded = hot.ids(places)
+                for k in np.flatnonzero(places < 0).tolist():
+                    encoded[k] = own[units[k]]
+                mine, at = {}, 0
+                for word, n in zip(fresh, sizes):
+                    mine[word] = encoded[at] if n == 1 else b"".join(encoded[at : at + n])
                     at += n
-                if len(kept) < KEPT:  # frequent words come early
-                    kept.update(fresh)
-                    fresh = {}
-                get = kept.get if not fresh else lambda w, fresh=fresh: kept.get(w) or fresh[w]
-                out = [np.frombuffer(b"".join(map(get, words)), dtype=np.int32) for words in texts]
-                for k in range(0, len(out), 500):
-                    yield rows_of(ids.values.slice(k, 500), out[k : k + 500], decoder)
-
-    def rows_of(ids, lists, decoder):
-        sizes = [len(o) for o in lists]
-        values = np.concatenate(lists)
-        columns = [ids, pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(values))]
+                spelled = [kept[w] if w in kept else mine[w] for w in words]
+                if len(kept) < KEPT:
+                    kept.update(mine)
+                # the ids of all words of the block, one document after another
+                codes = np.frombuffer(b"".join(spelled), dtype=np.int32)
+                sizes = np.array([len(x) for x in spelled], dtype=np.int64) // 4
+                each = sizes[order]
+                ends = np.cumsum(each)
+                starts = (np.cumsum(sizes) - sizes)[order] - (ends - each)
+                values = codes[np.repeat(starts, each) + np.arange(int(ends[-1]) if len(ends) else 0)]
+                bounds = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
+                for k in range(0, len(counts), 500):
+                    last = min(k + 500, len(counts))
+                    yield rows_of(ids.values.slice(k, last - k), values[bounds[k] : bounds[last]], bounds[k : last + 1] - bounds[k], decoder)
+
+    def rows_of(ids, values, bounds, decoder):
+        columns = [ids, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))]
         if decoder:
-            columns.append(pa.array(decoder(values, sizes), pa.string()))
+            columns.append(pa.array(decoder(values, np.diff(bounds).tolist()), pa.string()))
         return pa.RecordBatch.from_arrays(columns, names=["id", "ids", "text"][: len(columns)])
 
     blocks = source.mapInArrow(scan, f"ids array<{kind}>, body binary")
