@@ -19,7 +19,7 @@ HEADLINE = (
     "chart_box", "session_features", "confusion_matrix", "regression_scores", "roc_points", "ks_drift", "var_es",
     "encode_label", "onehot", "hash_encode", "target_encode", "scale_standard", "scale_robust", "split_train_test",
     "rate_gap", "window_avg_time", "ts_autocorr", "cooldown_alerts", "metric_rules", "parse_log_rules", "text_vocab",
-    "iou_pairs", "nms_boxes", "io_csv_roundtrip", "stream_gap", "linear_attribution",
+    "iou_pairs", "nms_boxes", "io_csv_roundtrip", "stream_gap", "linear_attribution", "isolation_scores", "permutation_importance",
 )
 
 

@@ -265,13 +265,13 @@ def _scored(t):
 
 
 def _clusters(t):
-    """Cluster guess: place of the largest of the first ten components."""
-    head = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))
-    guess = (F.array_position(head, F.array_max(head)) - 1).cast("int")
+    """Cluster guess: place of the largest of all components, modulo ten."""
+    whole = F.transform("embedding", lambda x: x.cast("double"))
+    guess = ((F.array_position(whole, F.array_max(whole)) - 1) % 10).cast("int")
     return t.embeddings.select("vec_id", "label", guess.alias("predictions"))
 
 
-_CLUSTERS = "select vec_id, label, cast(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 as integer) as predictions from embeddings"
+_CLUSTERS = "select vec_id, label, cast((list_position(embedding, list_max(embedding)) - 1) % 10 as integer) as predictions from embeddings"
 
 
 @query("confusion_counts", f"select label, predictions as prediction, count(*) as n from ({_CLUSTERS}) group by all")
@@ -321,9 +321,19 @@ def _(t):
     return rounded(metrics.clustering_scores(_clusters(t), "label").select(*names), 6, *names)
 
 
-@query("adjusted_mutual_info")
+@query(
+    "adjusted_mutual_info",
+    f"""with c as (select label, predictions, count(*) as nij from ({_CLUSTERS}) group by all), n as (select sum(nij)::double as n from c),
+        a as (select label, sum(nij)::double as a from c group by 1), b as (select predictions, sum(nij)::double as b from c group by 1),
+        mi as (select sum(nij / n * ln(nij * n / (a * b))) as mi from c join a using (label) join b using (predictions), n),
+        h as (select (select -sum(a / n * ln(a / n)) from a, n) as hu, (select -sum(b / n * ln(b / n)) from b, n) as hv),
+        k as (select a, b, n, unnest(range(greatest(1, a + b - n)::bigint, least(a, b)::bigint + 1)) as k from a, b, n),
+        e as (select sum(k / n * ln(n * k / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(n - a + 1) + lgamma(n - b + 1) - lgamma(n + 1)
+                     - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(n - a - b + k + 1))) as e from k)
+        select round((mi - e) / ((hu + hv) / 2 - e), 6) as adjusted_mutual_info from mi, h, e""",
+)
 def _(t):
-    return metrics.adjusted_mutual_info(_clusters(t), "label")
+    return rounded(metrics.adjusted_mutual_info(_clusters(t), "label"), 6, "adjusted_mutual_info")
 
 
 @query(
@@ -351,30 +361,38 @@ def _(t):
 
 # --- drift and risk -------------------------------------------------------------------------
 
-@query(
-    "ks_drift",
-    """with s as (select 'l_quantity' as "column", l_quantity as v, l_returnflag = 'A' as a from lineitem where l_returnflag <> 'N'
-                  union all select 'l_extendedprice', l_extendedprice, l_returnflag = 'A' from lineitem where l_returnflag <> 'N'
-                  union all select 'l_discount', case when l_returnflag = 'A' then l_discount else l_discount + 0.001 end, l_returnflag = 'A' from lineitem where l_returnflag <> 'N'),
+_KS = """with s as (select 'l_quantity' as "column", l_quantity as v, l_returnflag = 'A' as a from lineitem
+                  union all select 'l_extendedprice', l_extendedprice, l_returnflag = 'A' from lineitem
+                  union all select 'l_discount', case when l_returnflag = 'A' then l_discount else l_discount + 0.001 end, l_returnflag = 'A' from lineitem),
        g as (select "column", v, count(*) filter (a) as x, count(*) filter (not a) as y from s group by all),
        c as (select "column", sum(x) over w as cx, sum(y) over w as cy, sum(x) over (partition by "column") as nx, sum(y) over (partition by "column") as ny
-             from g window w as (partition by "column" order by v))
-       select "column", round(max(abs(cx / nx - cy / ny)), 9) as statistic, cast(max(nx) as bigint) as n_ref, cast(max(ny) as bigint) as n_test from c group by 1""",
-)
-def _(t):
+             from g window w as (partition by "column" order by v)),
+       d as (select "column", max(abs(cx / nx - cy / ny)) as d, max(nx) as n, max(ny) as m from c group by 1)
+"""
+
+
+def _ks(t):
+    """Rows of one return flag against all others, one column a little moved."""
     columns = ["l_quantity", "l_extendedprice", "l_discount"]
     ref = t.lineitem.where("l_returnflag = 'A'").select(*columns)
-    test = t.lineitem.where("l_returnflag = 'R'").select(*columns).withColumn("l_discount", F.col("l_discount") + 0.001)
-    out = drift.ks_drift(ref, test, columns)
-    return rounded(out.select("column", "statistic", "n_ref", "n_test"), 9, "statistic")
+    test = t.lineitem.where("l_returnflag <> 'A'").select(*columns).withColumn("l_discount", F.col("l_discount") + 0.001)
+    return drift.ks_drift(ref, test, columns)
 
 
-@query("ks_decision")
+@query("ks_drift", _KS + """select "column", round(d, 9) as statistic, cast(n as bigint) as n_ref, cast(m as bigint) as n_test from d""")
 def _(t):
-    columns = ["l_quantity", "l_extendedprice", "l_discount"]
-    ref = t.lineitem.where("l_returnflag = 'A'").select(*columns)
-    test = t.lineitem.where("l_returnflag = 'R'").select(*columns).withColumn("l_discount", F.col("l_discount") + 0.001)
-    return drift.ks_drift(ref, test, columns).select("column", "p_value", "drift")
+    return rounded(_ks(t).select("column", "statistic", "n_ref", "n_test"), 9, "statistic")
+
+
+@query(
+    "ks_decision",
+    _KS + """, p as (select "column", d * sqrt(n * m / (n + m)) as z from d),
+       q as (select "column", case when z < 0.2 then 1.0 else least(greatest(
+               list_sum(list_transform(range(1, 101), lambda k: (case when k % 2 = 1 then 2.0 else -2.0 end) * exp(-2.0 * k * k * z * z))), 0.0), 1.0) end as p from p)
+       select "column", round(p, 9) as p_value, cast(p < 0.05 / 3 as integer) as drift from q""",
+)
+def _(t):
+    return rounded(_ks(t).select("column", "p_value", "drift"), 9, "p_value")
 
 
 _DAILY = "select date_trunc('day', ts) as day, event_type as asset, sum(value - 25) as pnl from events group by all"
