@@ -445,20 +445,23 @@ def find(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     return base, sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def _parts(text: str, start: int, end: int, most: int = 400) -> Iterable[tuple[int, int]]:
-    """A very long stretch word by word, several words to a part; a longer word is a part of its own."""
+def _parts(text: str, start: int, end: int, most: int = 400) -> list[tuple[int, int]]:
+    """A stretch in parts of at most ``most`` characters that share ``MAX_TOKENS`` tokens, so that every segment
+    lies whole in one of them. A longer token can be part of no entity."""
     if end - start <= most:
         return [(start, end)]
-    out, first = [], None
-    for m in _CHUNK.finditer(text, start, end):
-        if first is not None and m.end() - first > most:
-            out.append((first, before))
-            first = None
-        first = m.start() if first is None else first
-        before = m.end()
-    if first is not None:
-        out.append((first, before))
-    return [p for p in out if p[1] - p[0] <= most]
+    tokens = [(start + m.start(), start + m.end()) for m in _TOKEN.finditer(text[start:end])]
+    out, first = [], 0
+    while first < len(tokens):
+        last = first
+        while last < len(tokens) and tokens[last][1] - tokens[first][0] <= most:
+            last += 1
+        if last > first:
+            out.append((tokens[first][0], tokens[last - 1][1]))
+        if last == len(tokens):
+            break
+        first = max(first + 1, last - MAX_TOKENS)
+    return out
 
 
 def written_spans(spans: Iterable[Span]) -> str:
@@ -470,8 +473,7 @@ def personal_data(docs: DataFrame, field: Field, id_col: str = "doc_id", text_co
 
     The counts and ``base`` are those of the fixed patterns, ``spans`` holds these and the field's, each as
     ``kind:start:end`` in code points, by start and then kind, joined by commas. A null text is empty; rows of the
-    same id are searched each on its own; a null id stays null; an empty table gives no rows. A word of over 400
-    characters is searched by the patterns only.
+    same id are searched each on its own; a null id stays null; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)  # fixed number of weights
     source = narrow(docs, id=id_col, text=text_col)

@@ -115,6 +115,21 @@ def test_added_spans(field):
         assert added(plain) == set()
 
 
+def test_long_stretches_are_searched_whole(field):
+    """Added spans in words and runs of words far longer than one part, also across the parts' borders."""
+    phone = "(974) 555-3436"
+    for filler in ("x1-" * 200, "1.5 " * 300, "z9 " * 131):
+        text = f"{filler} {phone} {filler} {phone} {filler}"
+        spans = [(k, text[a:b]) for k, a, b in pii.find(text, field)[1]]
+        assert spans.count(("phone", phone)) == 2
+        places = pii.find(text, field)[1]
+        assert all(x[2] <= y[1] for x, y in zip(places, places[1:]))
+    for start, end, size in ((0, 5000, 5000), (3, 900, 900)):
+        parts = pii._parts("ab1." * 1300, start, end)
+        covered = {k for a, b in parts for k in range(a, b)}
+        assert covered == set(range(start, end)) and max(b - a for a, b in parts) <= 400 and size
+
+
 def test_rows_and_redaction(documents, field):
     rows = [(1, "mail a.b@c.de now"), (1, "mail a.b@c.de now"), (2, None), (3, ""), (None, "+1 974 555 3436"), (4, "1.2.3.4 " * 9000), (5, "x" * 5000 + "1" * 5000)]
     table = documents(rows)
