@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,18 @@ from millrace.quantiles import melt
 from millrace.skew import running_sums
 
 
+@dataclass(frozen=True)
+class DriftModel:
+    """A reference table and how another is compared with it."""
+
+    reference: DataFrame
+    features: tuple[str, ...]
+    compare: Callable[[DataFrame, DataFrame], DataFrame]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.compare(self.reference, df)
+
+
 def ks_p_value(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
     """Asymptotic two-sided p-value of the two-sample statistic (Kolmogorov's series)."""
     lam = d * F.sqrt(n * m / (n + m))

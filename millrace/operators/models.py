@@ -72,6 +72,30 @@ REGISTRY: dict[tuple[str, str], Callable] = {
 }
 
 
+def _own_models() -> dict[tuple[str, str], Callable]:
+    """(type, name) -> trainer(table, features, options) of the models that are not Spark's.
+
+    Drift models keep the reference table and are applied to another one by ``transform``.
+    """
+    from millrace.operators import anomaly, explain, meanshift
+    from millrace.operators.drift import DriftModel, ks_drift
+
+    def forest(df, features, o):
+        o = {"trees": o.pop("n_estimators", 100), **o}
+        return anomaly.train_isolation_forest(df, o.pop("key", features), features, **o)
+
+    def spot(reference, test, features, key):
+        return explain.drift_classifier(reference, test, key, features)
+
+    return {
+        ("anomaly", "IsolationForest"): forest,
+        ("anomaly", "OneClassSVM"): lambda df, features, o: anomaly.train_one_class(df, features, **o),
+        ("clustering", "MeanShift"): lambda df, features, o: meanshift.train_mean_shift(df, features, **o),
+        ("drift", "KolmogorovSmirnov"): lambda df, features, o: DriftModel(df, tuple(features), lambda a, b: ks_drift(a, b, features, **o)),
+        ("drift", "SpotDiff"): lambda df, features, o: DriftModel(df, tuple(features), lambda a, b: spot(a, b, features, **o)),
+    }
+
+
 def feature_names(df: DataFrame, label: str | None, features: Sequence[str] | None) -> list[str]:
     return require(df, features) if features else numeric_columns(df, (label,))
 
@@ -89,9 +113,12 @@ def train(df: DataFrame, algorithm: Algorithm, label: str | None = None, feature
         from millrace.operators.ridge import train_bayesian_ridge
 
         return train_bayesian_ridge(df, label, feature_names(df, label, features), **algorithm.input_variables)
+    own = _own_models()
     key = (algorithm.type, algorithm.name)
+    if key in own:
+        return own[key](df, feature_names(df, label, features), dict(algorithm.input_variables))
     if key not in REGISTRY:
-        raise ValueError(f"unknown algorithm {key}; one of {sorted(REGISTRY)}")
+        raise ValueError(f"unknown algorithm {key}; one of {sorted([*REGISTRY, *own])}")
     names = feature_names(df, label, features)
     assembler = VectorAssembler(inputCols=names, outputCol="__features", handleInvalid="error")
     prepared, back, classes = df, None, 0

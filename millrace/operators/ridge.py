@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,24 +26,21 @@ class LinearFit:
         return df.withColumn("predictions", total)
 
 
-def moment_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """Sum over rows of z zᵀ with z = (1, columns). Tasks multiply their batches; one small matrix
-    per task is then summed entry by entry."""
-    width = len(columns) + 1
+def centred_moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows without a missing value, the columns' means, and sums of products of deviations from them.
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((width, width))
-        for pdf in batches:
-            z = np.column_stack([np.ones(len(pdf)), pdf.to_numpy(float)])
-            total += z.T @ z
-        yield pd.DataFrame({"entry": np.arange(width * width), "x": total.ravel()})
-
-    rows = df.select(*[col(c).cast("double").alias(c) for c in columns]).na.drop()
-    sums = rows.mapInPandas(partial, "entry long, x double").groupBy("entry").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(width * width)
-    for r in sums:
-        out[r["entry"]] = r["x"]
-    return out.reshape(width, width)
+    The means come first, so columns far from zero lose no digits.
+    """
+    rows = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).na.drop()
+    first = rows.agg(F.count(F.lit(1)), *[F.avg(f"c{i}") for i in range(len(columns))]).first()
+    mean = np.array([x or 0.0 for x in first[1:]])
+    gaps = [F.col(f"c{i}") - F.lit(float(m)) for i, m in enumerate(mean)]
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    sums = rows.agg(*[F.sum(gaps[i] * gaps[j]) for i, j in pairs]).first()
+    out = np.zeros((len(columns), len(columns)))
+    for (i, j), x in zip(pairs, sums):
+        out[i, j] = out[j, i] = x or 0.0
+    return first[0], mean, out
 
 
 def train_bayesian_ridge(
@@ -52,10 +48,7 @@ def train_bayesian_ridge(
     alpha_1: float = 1e-6, alpha_2: float = 1e-6, lambda_1: float = 1e-6, lambda_2: float = 1e-6,
 ) -> LinearFit:
     """Evidence maximisation over noise precision ``alpha`` and weight precision ``lambda``."""
-    m = moment_matrix(df, [*features, label])
-    n = m[0, 0]
-    mean = m[0, 1:] / n
-    centred = m[1:, 1:] - n * np.outer(mean, mean)
+    n, mean, centred = centred_moments(df, [*features, label])
     xx, xy, yy = centred[:-1, :-1], centred[:-1, -1], centred[-1, -1]
     values, vectors = np.linalg.eigh(xx)
     values = np.maximum(values, 0.0)

@@ -165,6 +165,25 @@ def _(t):
     return ends.select("predictions", "n", ((F.col("predictions") == 1) | (F.col("hi") <= least)).alias("apart"))
 
 
+@query(
+    "anomaly_by_record",
+    """select unnest(['IsolationForest', 'OneClassSVM']) as name, unnest([ceil(count(*) * 0.05)::bigint, ceil(count(*) * 0.1)::bigint]) as flagged, true as same from part""",
+)
+def _(t):
+    """Outlier models trained by record, saved and loaded: rows they flag, and whether both score alike."""
+    out = None
+    for name, options in (("IsolationForest", {"n_estimators": 50, "contamination": 0.05, "key": "p_partkey"}), ("OneClassSVM", {"nu": 0.1})):
+        model = models.train(_prices(t), models.Algorithm(name, "anomaly", options), None, ["size", "p_retailprice"])
+        path = scratch_folder(t.spark, "model")
+        save_model(model, path)
+        loaded, trained = (remap_anomaly(m.transform(_prices(t))).select("p_partkey", "predictions") for m in (load_model(path), model))
+        both = loaded.join(trained.withColumnRenamed("predictions", "want"), "p_partkey")
+        row = both.agg(F.sum("predictions").cast("long").alias("flagged"), F.bool_and(F.col("predictions") == F.col("want")).alias("same"))
+        row = row.select(F.lit(name).alias("name"), "flagged", "same")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(
     "one_class_distance",
     """with s as (select p_partkey, sqrt(power((p_size - (select avg(p_size) from part)) / (select stddev_pop(p_size) from part), 2)

@@ -19,7 +19,9 @@ from millrace.skew import micros
 def gap_stream(df: DataFrame, keys: Sequence[str], ts: str, value: str, ties: Sequence[str] = ()) -> DataFrame:
     """Add ``gap`` to a stream: change since the key's previous row, also across batches.
 
-    A batch's rows of one key are put in (time, ties) order; the state is the last value.
+    A batch's rows of one key are put in (time, ties) order; the state is the last value. Between batches order of
+    arrival counts: a row older than the last one of an earlier batch is compared with that one, like any other. Where
+    rows come late, order them first or use ``rate_gap`` on the stored table. A batch's rows of a key are held at once.
     """
     order = ["__us", *ties]
     rows = df.withColumn("__us", micros(col(ts)))

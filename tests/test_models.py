@@ -138,3 +138,36 @@ def test_wavelet_peaks(spark):
     assert out["number_cwt_peaks_2"] == len(wavelet_peak_places(x, 2)) and out["number_cwt_peaks_3"] >= 3
     with pytest.raises(ValueError):
         wavelet_peaks(df, "k", "t", "x", max_points=10)
+
+
+def test_own_models_by_record_and_back(spark, tmp_path):
+    from millrace.sources.models import load_model, save_model
+
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(0, 1, (150, 2)), rng.normal(9, 1, (50, 2))])
+    df = spark.createDataFrame([(i, float(a), float(b), int(a > 4), float(a - b)) for i, (a, b) in enumerate(x)], "id long, a double, b double, y int, z double")
+    records = [
+        (models.Algorithm("IsolationForest", "anomaly", {"n_estimators": 10, "key": "id"}), None),
+        (models.Algorithm("OneClassSVM", "anomaly", {"nu": 0.1}), None),
+        (models.Algorithm("MeanShift", "clustering", {"bandwidth": 3.0}), None),
+        (models.Algorithm("BayesianRidgeRegression", "regression"), "z"),
+        (models.Algorithm("AdaBoost", "classification", {"n_estimators": 2}), "y"),
+        (models.Algorithm("LogisticRegression", "classification"), "y"),
+    ]
+    for i, (algorithm, label) in enumerate(records):
+        model = models.train(df, algorithm, label, ["a", "b"])
+        save_model(model, f"{tmp_path}/{i}")
+        one, two = (m.transform(df).select("id", F.col("predictions").cast("string")).orderBy("id").collect() for m in (model, load_model(f"{tmp_path}/{i}")))
+        assert one == two and len(one) == 200
+    ks = models.train(df.where("y = 0"), models.Algorithm("KolmogorovSmirnov", "drift"), None, ["a", "b"])
+    assert {r["drift"] for r in ks.transform(df.where("y = 1")).collect()} == {1}
+    spot = models.train(df.where("y = 0"), models.Algorithm("SpotDiff", "drift", {"key": "id"}), None, ["a", "b"])
+    assert spot.transform(df.where("y = 1")).first()["auc"] > 0.9
+
+
+def test_ridge_far_from_zero(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, 300) + 1e8
+    df = spark.createDataFrame([(float(v), float(3 * (v - 1e8) + 5)) for v in x], "x double, y double")
+    fit = models.train(df, models.Algorithm("BayesianRidgeRegression", "regression"), "y", ["x"])
+    assert abs(fit.coefficients["x"] - 3) < 1e-3
