@@ -12,7 +12,6 @@ rest meet their encodings by shuffle. Which unit goes which way has no bearing o
 from __future__ import annotations
 
 import pickle
-from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 from itertools import chain
@@ -23,7 +22,6 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
 
 from millrace.llm.common import narrow, pieces, raw, written
 
@@ -257,41 +255,7 @@ def _counted(docs: DataFrame, known: Vocabulary) -> DataFrame:
     return docs.join(F.broadcast(some), "id").select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def _digests(units: list[str]) -> np.ndarray:
-    """128 bits of each unit, as two columns."""
-    return np.frombuffer(b"".join([xxh3_128_digest(u.encode()) for u in units]), dtype=">u8").astype(np.uint64).reshape(-1, 2)
-
-
-class Frequent:
-    """Ids of units, found by a digest of 128 bits; a few bytes per unit."""
-
-    def __init__(self, units: list[str], ids: list[list[int]]):
-        digests = _digests(units)
-        order = np.argsort(digests[:, 0], kind="stable")
-        fresh = np.ones(len(order), dtype=bool)
-        fresh[1:] = digests[order[1:], 0] != digests[order[:-1], 0]
-        order = order[fresh]  # a unit whose first half another one has is left to the shuffle
-        self.first, self.second = digests[order, 0], digests[order, 1]
-        ids = [ids[k] for k in order]
-        self.ends = np.cumsum([len(i) for i in ids], dtype=np.int64) * 4
-        self.codes = np.array([i for own in ids for i in own], dtype=np.int32).tobytes()
-
-    def places(self, units: list[str]) -> np.ndarray:
-        """The place of each unit, -1 for one that is not here."""
-        if not units or not len(self.first):
-            return np.full(len(units), -1)
-        digests = _digests(units)
-        at = np.minimum(np.searchsorted(self.first, digests[:, 0]), len(self.first) - 1)
-        return np.where((self.first[at] == digests[:, 0]) & (self.second[at] == digests[:, 1]), at, -1)
-
-    def ids(self, places: np.ndarray) -> list[bytes]:
-        """The ids at these places, as bytes; for -1 anything."""
-        codes, ends = self.codes, self.ends[places].tolist() if len(self.ends) else [0] * len(places)
-        starts = np.where(places > 0, self.ends[places - 1], 0).tolist() if len(self.ends) else ends
-        return [codes[a:b] for a, b in zip(starts, ends)]
-
-
-def frequent(docs: DataFrame, known: Vocabulary) -> Frequent:
+def frequent(docs: DataFrame, known: Vocabulary) -> dict[str, bytes]:
     """At most ``FREQUENT`` units with their ids, those that a bounded look finds most often."""
     counted = written(_counted(docs, known).where(F.length("unit") <= FREQUENT_CHARS), "units")
     sizes = counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("units")).collect()  # <= 10,000 rows
@@ -304,7 +268,39 @@ def frequent(docs: DataFrame, known: Vocabulary) -> Frequent:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     units = counted.where(F.col("n") >= least).select("unit").repartition(LATTICE_TASKS * parts, "unit")
     found = lattice(units, known).toArrow()  # <= FREQUENT units of <= FREQUENT_CHARS
-    return Frequent(found.column("unit").to_pylist(), found.column("ids").to_pylist())
+    return {u: np.array(i, dtype=np.int32).tobytes() for u, i in zip(found.column("unit").to_pylist(), found.column("ids").to_pylist())}
+
+
+def _pack(batches):
+    """Rows ``(block, place, ids)`` as one binary for each block of a batch: narrow numbers, one column after another."""
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        places = batch.column("place").to_numpy()[order]
+        lists = batch.column("ids").take(pa.array(order))
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = lists.flatten().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        cuts = np.flatnonzero(np.diff(blocks[order], prepend=-1, append=-1))
+        parts = []
+        for a, b in zip(cuts, cuts[1:]):
+            columns = [places[a:b], sizes[a:b], codes[ends[a] : ends[b]]]
+            wide = [int(c.max(initial=0) > 0xFFFF) for c in columns]
+            head = np.array([b - a, *wide], dtype="<u4").tobytes()
+            parts.append(head + b"".join(c.astype("<u4" if w else "<u2").tobytes() for c, w in zip(columns, wide)))
+        yield pa.RecordBatch.from_arrays([pa.array(blocks[order][cuts[:-1]], pa.int64()), pa.array(parts, pa.binary())], names=["block", "part"])
+
+
+def _unpacked(part: bytes) -> tuple[np.ndarray, bytes, np.ndarray]:
+    """Places, ids of four bytes each, and where each list of them ends in bytes."""
+    n, *wide = np.frombuffer(part, dtype="<u4", count=4).tolist()
+    at, columns = 16, []
+    for k, w in enumerate(wide):
+        kind = "<u4" if w else "<u2"
+        count = n if k < 2 else -1
+        columns.append(np.frombuffer(part, dtype=kind, count=count, offset=at) if n else np.empty(0, dtype=kind))
+        at += columns[-1].nbytes
+    return columns[0], columns[2].astype(np.int32).tobytes(), np.cumsum(columns[1], dtype=np.int64) * 4
 
 
 def encode(
@@ -338,7 +334,7 @@ def encode(
             order = np.fromiter(map(numbers.__getitem__, chain.from_iterable(texts)), dtype="<u4", count=sum(counts))
             words = list(numbers.keys() - plain)
             units, sizes = cutter.of(words)
-            rare = hot.places(units) < 0
+            rare = np.array([u not in hot for u in units], dtype=bool)
             missing = sorted({units[k] for k in np.flatnonzero(rare)})
             if len(plain) < KEPT:  # words without a rare unit need no second look
                 found = np.add.reduceat(rare, np.cumsum([0, *sizes[:-1]])) if words else []
@@ -382,18 +378,18 @@ def encode(
                 missing, (words, counts) = pickle.loads(missing), pickle.loads(listed)
                 order = np.frombuffer(places, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
                 own = {}
-                if found.is_valid:
-                    rows = found.values.flatten()
-                    codes = rows[1].flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-                    sizes = pc.list_value_length(rows[1]).to_numpy(zero_copy_only=False)
-                    for place, n, end in zip(rows[0].to_pylist(), sizes.tolist(), np.cumsum(sizes).tolist()):
-                        own[missing[place]] = codes[end - n : end].tobytes()
+                for part in found.as_py() or ():
+                    places, codes, ends = _unpacked(part)
+                    at = 0
+                    for place, end in zip(places.tolist(), ends.tolist()):
+                        own[missing[place]] = codes[at:end]
+                        at = end
                 fresh = [w for w in words if w not in kept]
                 units, sizes = cutter.of(fresh)
-                places = hot.places(units)
-                encoded = hot.ids(places)
-                for k in np.flatnonzero(places < 0).tolist():
-                    encoded[k] = own[units[k]]
+                encoded = list(map(hot.get, units))
+                for k, ids_ in enumerate(encoded):
+                    if ids_ is None:
+                        encoded[k] = own[units[k]]
                 mine, at = {}, 0
                 for word, n in zip(fresh, sizes):
                     mine[word] = encoded[at] if n == 1 else b"".join(encoded[at : at + n])
@@ -426,7 +422,8 @@ def encode(
     # counting the other columns, too, lets both uses read one shuffle
     uses = asked.groupBy("unit").agg(F.count("block").alias("blocks"), F.count("place").alias("places"))
     encoded = lattice(uses.where("blocks > 0 and places > 0").select("unit"), known)
-    found = asked.join(encoded, "unit").groupBy("block").agg(F.collect_list(F.struct("place", "ids")).alias("found"))
+    packed = asked.join(encoded, "unit").select("block", "place", "ids").mapInArrow(_pack, "block long, part binary")
+    found = packed.groupBy("block").agg(F.collect_list("part").alias("found"))
     out = blocks.join(found, "block", "left").select("ids", "body", "found").mapInArrow(join, f"id {kind}, ids array<int>" + ", text string" * decoded)
     return out.withColumnRenamed("id", id_col)
 
