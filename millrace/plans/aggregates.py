@@ -432,7 +432,15 @@ def _(t):
     return rounded(finance.pnl_histogram(t.events.select((F.col("value") - 25).alias("pnl")), "pnl"), 9, "fraction")
 
 
-@query("cube_stats")
+@query(
+    "cube_stats",
+    """with b as (select p_retailprice as face, p_size / 1000 as coupon, (date '2018-05-01' + to_months((p_partkey % 240 + 1)::integer))::date as maturity from part),
+       g as (select b.*, d as eval_date, s as shock from b, unnest([date '2018-12-01', date '2019-01-01', date '2019-02-01', date '2019-03-01']) t(d), unnest([0.0::double, 0.05, 0.1]) u(s)),
+       v as (select *, greatest(date_diff('month', eval_date, maturity) / 12, 0) as years, coupon + shock as rate from g),
+       p as (select eval_date, shock, case when years > 0 then face / pow(1 + rate, years)
+               + list_sum(list_transform(range(0, ceil(years)::bigint), lambda k: face * coupon / pow(1 + rate, years - k))) else 0 end as pv from v)
+       select eval_date, shock, round(sum(pv), 4) as total, round(avg(pv), 4) as mean, round(stddev_pop(pv), 4) as std, count(*) as n from p group by all""",
+)
 def _(t):
     """Every part read as a bond: price as face value, size in percent as coupon, 1-20 years to run."""
     bonds = t.part.select(
