@@ -26,15 +26,15 @@ from pyspark.sql import functions as F
 from millrace.llm.common import narrow, pieces, raw, written
 
 #: Documents looked at for frequent units, most units sent to every task, and the longest of them.
-PILOT_DOCS, FREQUENT, FREQUENT_CHARS = 20_000, 262_144, 64
+PILOT_DOCS, FREQUENT, FREQUENT_CHARS = 10_000, 262_144, 64
 #: A unit is cut after this many characters.
 UNIT_CHARS = 4_096
 #: Distinct words that a task counts at a time; documents and characters of text in a block.
-COUNTED, BLOCK_DOCS, BLOCK_CHARS = 200_000, 4_096, 2_000_000
+COUNTED, BLOCK_DOCS, BLOCK_CHARS = 200_000, 8_192, 4_000_000
 #: Tasks per shuffle partition where units are encoded: an edge list takes far more room than its unit.
 LATTICE_TASKS = 8
 #: Words that a task keeps from block to block; frequent ones come early.
-KEPT = 150_000
+KEPT = 200_000
 #: Pairs of characters below this are looked up in a table.
 NEAR = 1_024
 #: What a character without a piece costs beyond the worst piece.
@@ -323,7 +323,7 @@ def encode(
     def scan(batches):
         """Blocks of documents: ids, and packed texts with the units in them that are not frequent."""
         hot, cutter, plain = common.value, Units(pairs), set()
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=1)
         held, size = [], 0
 
         def out():
@@ -422,7 +422,8 @@ def encode(
     # counting the other columns, too, lets both uses read one shuffle
     uses = asked.groupBy("unit").agg(F.count("block").alias("blocks"), F.count("place").alias("places"))
     encoded = lattice(uses.where("blocks > 0 and places > 0").select("unit"), known)
-    packed = asked.join(encoded, "unit").select("block", "place", "ids").mapInArrow(_pack, "block long, part binary")
+    # both sides are dealt alike, and a task's share of the encodings fits a hash table: no need to sort
+    packed = asked.join(encoded.hint("shuffle_hash"), "unit").select("block", "place", "ids").mapInArrow(_pack, "block long, part binary")
     found = packed.groupBy("block").agg(F.collect_list("part").alias("found"))
     out = blocks.join(found, "block", "left").select("ids", "body", "found").mapInArrow(join, f"id {kind}, ids array<int>" + ", text string" * decoded)
     return out.withColumnRenamed("id", id_col)
