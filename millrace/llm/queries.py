@@ -112,8 +112,8 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    read = sentencepieces.encode(table(spark, folder, "documents"), sentencepieces.load(PIECES), decoded=True)
-    return read.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+    read = sentencepieces.encode(table(spark, folder, "documents"), sentencepieces.load(PIECES), digest=True)
+    return read.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded_sha256")
 
 
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,6 +11,7 @@ rest meet their encodings by shuffle. Which unit goes which way has no bearing o
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 from collections import Counter
 from dataclasses import dataclass, field
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import narrow, pieces, raw, written
 
 #: Documents looked at for frequent units, most units sent to every task, and the longest of them.
-PILOT_DOCS, FREQUENT, FREQUENT_CHARS = 20_000, 262_144, 64
+PILOT_DOCS, FREQUENT, FREQUENT_CHARS = 10_000, 262_144, 64
 #: A unit is cut after this many characters.
 UNIT_CHARS = 4_096
 #: Distinct words that a task counts at a time; documents and characters of text in a block.
@@ -304,10 +305,11 @@ def _unpacked(part: bytes) -> tuple[np.ndarray, bytes, np.ndarray]:
 
 
 def encode(
-    docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
+    docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, digest: bool = False
 ) -> DataFrame:
-    """One row per input row: ``(<id_col>, ids)``, the piece ids of the whole text, and with ``decoded`` also
-    ``text``, what the ids decode to (``decode`` in the same pass over the rows).
+    """One row per input row: ``(<id_col>, ids)``, the piece ids of the whole text, with ``decoded`` also
+    ``text``, what the ids decode to (``decode`` in the same pass over the rows), and with ``digest`` also
+    ``decoded_sha256``, that text's SHA-256 in lower-case hex.
 
     A null or empty text has no pieces. Rows of the same id are encoded each on its own; a null id stays null;
     an empty table gives no rows.
@@ -318,6 +320,7 @@ def encode(
     kind = source.schema["id"].dataType.simpleString()
     common = spark.sparkContext.broadcast(frequent(source, known))  # <= FREQUENT units
     vocabulary_ = spark.sparkContext.broadcast(known)  # a tokenizer's fixed vocabulary
+    names = ["id", "ids", *["text"] * decoded, *["decoded_sha256"] * digest]
     pairs = known.pairs
 
     def scan(batches):
@@ -370,7 +373,7 @@ def encode(
         """Ids of each document of a block, from frequent units and those the block has got."""
         hot, cutter, kept = common.value, Units(pairs), {}
         opener = zstandard.ZstdDecompressor()
-        decoder = Decoder(vocabulary_.value) if decoded else None
+        decoder = Decoder(vocabulary_.value) if decoded or digest else None
 
         for batch in batches:
             for ids, body, found in zip(*[batch.column(c) for c in ("ids", "body", "found")]):
@@ -411,9 +414,12 @@ def encode(
 
     def rows_of(ids, values, bounds, decoder):
         columns = [ids, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))]
-        if decoder:
-            columns.append(pa.array(decoder(values, np.diff(bounds).tolist()), pa.string()))
-        return pa.RecordBatch.from_arrays(columns, names=["id", "ids", "text"][: len(columns)])
+        texts = decoder(values, np.diff(bounds).tolist()) if decoder else []
+        if decoded:
+            columns.append(pa.array(texts, pa.string()))
+        if digest:
+            columns.append(pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()))
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     blocks = source.mapInArrow(scan, f"ids array<{kind}>, body binary")
     blocks = blocks.withColumn("block", F.monotonically_increasing_id()).repartition(parts, "block")  # shuffled once, read twice
@@ -425,7 +431,7 @@ def encode(
     # both sides are dealt alike, and a task's share of the encodings fits a hash table: no need to sort
     packed = asked.join(encoded.hint("shuffle_hash"), "unit").select("block", "place", "ids").mapInArrow(_pack, "block long, part binary")
     found = packed.groupBy("block").agg(F.collect_list("part").alias("found"))
-    out = blocks.join(found, "block", "left").select("ids", "body", "found").mapInArrow(join, f"id {kind}, ids array<int>" + ", text string" * decoded)
+    out = blocks.join(found, "block", "left").select("ids", "body", "found").mapInArrow(join, f"id {kind}, ids array<int>" + ", text string" * decoded + ", decoded_sha256 string" * digest)
     return out.withColumnRenamed("id", id_col)
 
 
