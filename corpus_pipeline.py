@@ -39,8 +39,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    read = sentencepieces.encode(docs, sentencepieces.load(PIECES), decoded=True)
-    return read.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+    read = sentencepieces.encode(docs, sentencepieces.load(PIECES), digest=True)
+    return read.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded_sha256")
 
 
 STAGES = [
