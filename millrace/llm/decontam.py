@@ -26,7 +26,6 @@ SHINGLE, OVERLAP = 5, 0.8
 K1, B, BLOCK, INDEX_ITEMS = 1.2, 0.75, 16, 2_048
 
 _WORDS = re.compile(r"\w+")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 def words(text: str | None) -> list[str]:
@@ -34,13 +33,9 @@ def words(text: str | None) -> list[str]:
 
 
 def question_and_answer(text: str | None) -> tuple[list[str], list[str]]:
-    """Words of the two parts of an item: up to the last question mark and what follows; without one, all
-    sentences but the last and the last. An item that has but one part is its own answer."""
-    text = (text or "").strip()
-    head, mark, tail = text.rpartition("?")
-    if not mark:
-        *first, tail = _SENTENCE.split(text)
-        head = " ".join(first)
+    """Words of the two parts of an item: up to the last question mark and what follows. An item that has but one
+    part, as one without a question mark, is its own question and answer."""
+    head, _, tail = (text or "").rpartition("?")
     question, answer = words(head), words(tail)
     return (question or answer), (answer or question)
 
@@ -80,7 +75,7 @@ class Index:
             scores = {t: np.log1p((len(items) - seen[t] + 0.5) / (seen[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in count.items()}
             # a passage that holds enough shingles lacks at most so many words of each part
             lost = 0
-            for part in (item.question, item.answer):
+            for part in {item.question, item.answer}:
                 size = len(shingles(list(part)))
                 lost += size - needed(size, share)
             threshold = sum(sorted(scores.values())[: max(1, len(scores) - lost)])
@@ -147,13 +142,13 @@ class Index:
 def _verified(item: Item, near: list[str], share: float) -> tuple[float, float] | None:
     held = shingles(near) | {tuple(near[k : k + n]) for n in {len(p) for p in (item.question, item.answer)} if n < SHINGLE for k in range(len(near) - n + 1)}
     found = []
-    for part in (item.question, item.answer):
+    for part in dict.fromkeys((item.question, item.answer)):
         own = shingles(list(part))
         hits = len(own & held)
         if hits < needed(len(own), share):
             return None
         found.append(hits / len(own))
-    return found[0], found[1]
+    return found[0], found[-1]
 
 
 def _search(index: Index, share: float):

@@ -91,3 +91,16 @@ def test_bounds_lose_nothing():
     got = {(a, b): s for a, b, s in zip(*index.retrieve(p, t))}
     assert set(got) == set(zip(*map(list, np.nonzero(full >= 1 - 1e-9))))
     assert all(abs(full[k] - s) < 1e-9 for k, s in got.items())
+
+
+def test_changes_in_a_short_last_sentence(spark, documents):
+    """Without a question mark the whole item counts, however short its last sentence is."""
+    words = [f"w{k}" for k in range(60)]
+    first = " ".join(words[:50])
+    bench = spark.createDataFrame([(1, f"{first}. {' '.join(words[50:54])}."), (2, f"{first}? {' '.join(words[50:54])}")], "item_id long, text string")
+    docs = [(1, f"so {first}. w50 w51 typo w53. end"), (2, f"so {first}. end"), (3, f"so {' '.join(words[:40])}. end"), (4, f"{first} {' '.join(words[50:54])}")]
+    got = decontam.contaminated(documents(docs), bench).collect()
+    # 50 shingles, of which 40 are needed; an item with a question keeps its answer apart
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1), (4, 1), (4, 2)}
+    assert {r.doc_id: (r.question_overlap, r.answer_overlap) for r in got if r.item_id == 1} == {1: (0.96, 0.96), 2: (0.92, 0.92), 4: (1.0, 1.0)}
+    assert [r.doc_id for r in decontam.clean(documents(docs), bench).collect()] == [3]
