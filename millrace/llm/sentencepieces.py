@@ -4,6 +4,8 @@ A text is taken with a space in front and cut into *units* at places that no pie
 cross; the best path through a unit's pieces is then a part of the best path through the text. Units are
 encoded once each: substrings of bounded length are exploded, equi-joined to the piece table, the edges found
 are grouped by unit, and a fold over the edges (``aggregate``) finds the path of the highest sum of scores.
+A unit of more than ``UNIT_CHARS`` characters is not exploded: the task that holds its text finds the same path
+in one go over the characters, with a byte for each place to trace it back.
 
 Units that a bounded look at the corpus shows to be frequent are encoded first and sent to every task. The
 rest meet their encodings by shuffle. Which unit goes which way has no bearing on the result.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 from itertools import chain
@@ -28,7 +31,7 @@ from millrace.llm.common import narrow, pieces, raw, written
 
 #: Documents looked at for frequent units, most units sent to every task, and the longest of them.
 PILOT_DOCS, FREQUENT, FREQUENT_CHARS = 10_000, 262_144, 64
-#: A unit is cut after this many characters.
+#: Units of more characters than this are not exploded, but searched where their text is.
 UNIT_CHARS = 4_096
 #: Distinct words that a task counts at a time; documents and characters of text in a block.
 COUNTED, BLOCK_DOCS, BLOCK_CHARS = 200_000, 8_192, 4_000_000
@@ -109,7 +112,7 @@ class Units:
     def of(self, words: list[str]) -> tuple[list[str], list[int]]:
         """Units of all words in a row, and how many each word has.
 
-        A word, with its space, is cut between characters that are neighbours in no piece, and after ``UNIT_CHARS``.
+        A word, with its space, is cut between characters that are neighbours in no piece.
         """
         if not words:
             return [], []
@@ -125,10 +128,6 @@ class Units:
         at = np.minimum(np.searchsorted(self.far, pair), len(self.far) - 1)
         cut[1:][rest] = self.far[at] != pair
         cut[starts[:-1]] = True
-        for k in np.flatnonzero(np.diff(starts) > UNIT_CHARS):
-            places = np.flatnonzero(cut[starts[k] : starts[k + 1]])
-            for a, b in zip(places, [*places[1:], starts[k + 1] - starts[k]]):
-                cut[starts[k] + a : starts[k] + b : UNIT_CHARS] = True
         places = np.flatnonzero(cut)
         counts = np.diff(np.searchsorted(places, starts)).tolist()
         places = [*places.tolist(), len(joined)]
@@ -182,13 +181,64 @@ def _back(best: Column) -> Column:
     return F.aggregate(F.sequence(last, F.lit(1), F.lit(-1)), state, step, lambda s: F.reverse(s.path))
 
 
-def _openings(spark: SparkSession, known: Vocabulary) -> DataFrame:
-    """The longest piece that begins with three given characters."""
+def _longest(known: Vocabulary) -> dict[str, int]:
+    """Size of the longest piece that begins with three given characters."""
     most: dict[str, int] = {}
     for s in known.surfaces:
         if len(s) >= 3:
             most[s[:3]] = max(len(s), most.get(s[:3], 0))
-    return spark.createDataFrame(list(most.items()), "opening string, most int")
+    return most
+
+
+def _openings(spark: SparkSession, known: Vocabulary) -> DataFrame:
+    return spark.createDataFrame(list(_longest(known).items()), "opening string, most int")
+
+
+class LongUnits:
+    """The path that ``lattice`` finds, for a unit of any length, in linear time."""
+
+    def __init__(self, known: Vocabulary):
+        self.known = known
+        self.scores = dict(zip(known.surfaces, known.scores))
+        self.ids = dict(zip(known.surfaces, known.ids))
+        self.most = _longest(known)
+        self.worst = min(known.scores, default=0.0) - UNKNOWN_COST
+
+    def __call__(self, unit: str) -> bytes:
+        score_of, most, worst, n = self.scores.get, self.most.get, self.worst, len(unit)
+        ring = self.known.longest + 1  # an edge reaches no further
+        best: list[float | None] = [None] * ring  # sums into the places ahead
+        sizes = bytearray(n + 1)  # of the best edge into each place
+        best[0] = 0.0
+        for start in range(n):
+            here = best[start % ring]
+            best[start % ring] = None
+            for size in range(1, min(most(unit[start : start + 3], 2), n - start) + 1):
+                score = score_of(unit[start : start + size], worst if size == 1 else None)
+                if score is None:
+                    continue
+                end = start + size
+                before = best[end % ring]
+                # the longest edge into a place comes first
+                if before is None or here + score > before:
+                    best[end % ring] = here + score
+                    sizes[end] = size
+        out, count, at = np.empty(n, dtype=np.uint8), n, n
+        while at:  # sizes on the path, from the back
+            count -= 1
+            out[count] = sizes[at]
+            at -= sizes[at]
+        ids, at = array("i"), 0
+        for size in out[count:].tolist():
+            id_ = self.ids.get(unit[at : at + size])
+            if id_ is not None:
+                ids.append(id_)
+            elif self.known.byte_ids:
+                ids.extend(self.known.byte_ids[b] for b in unit[at].encode())
+            else:
+                ids.append(self.known.unknown)
+            at += size
+        return ids.tobytes()
 
 
 def lattice(units: DataFrame, known: Vocabulary) -> DataFrame:
@@ -229,7 +279,7 @@ def lattice(units: DataFrame, known: Vocabulary) -> DataFrame:
 
 
 def _counted(docs: DataFrame, known: Vocabulary) -> DataFrame:
-    """``(unit, n)`` of a bounded look at the corpus."""
+    """``(unit, n)`` of a bounded look at the corpus, for units of at most ``FREQUENT_CHARS``."""
     some = docs.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(PILOT_DOCS)
     pairs = known.pairs
 
@@ -240,7 +290,8 @@ def _counted(docs: DataFrame, known: Vocabulary) -> DataFrame:
             found: Counter = Counter()
             units, sizes = cutter.of(list(words))
             for unit, n in zip(units, np.repeat(list(words.values()), sizes).tolist()):
-                found[unit] += n
+                if len(unit) <= FREQUENT_CHARS:
+                    found[unit] += n
             words.clear()
             return pa.RecordBatch.from_pydict({"unit": list(found), "n": list(found.values())})
 
@@ -258,7 +309,7 @@ def _counted(docs: DataFrame, known: Vocabulary) -> DataFrame:
 
 def frequent(docs: DataFrame, known: Vocabulary) -> dict[str, bytes]:
     """At most ``FREQUENT`` units with their ids, those that a bounded look finds most often."""
-    counted = written(_counted(docs, known).where(F.length("unit") <= FREQUENT_CHARS), "units")
+    counted = written(_counted(docs, known), "units")
     sizes = counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("units")).collect()  # <= 10,000 rows
     least, total = 10_001, 0
     for n, units in sorted(sizes, reverse=True):
@@ -338,7 +389,7 @@ def encode(
             words = list(numbers.keys() - plain)
             units, sizes = cutter.of(words)
             rare = np.array([u not in hot for u in units], dtype=bool)
-            missing = sorted({units[k] for k in np.flatnonzero(rare)})
+            missing = sorted({units[k] for k in np.flatnonzero(rare) if len(units[k]) <= UNIT_CHARS})
             if len(plain) < KEPT:  # words without a rare unit need no second look
                 found = np.add.reduceat(rare, np.cumsum([0, *sizes[:-1]])) if words else []
                 plain.update(words[k] for k in np.flatnonzero(np.logical_not(found)))
@@ -373,6 +424,7 @@ def encode(
         """Ids of each document of a block, from frequent units and those the block has got."""
         hot, cutter, kept = common.value, Units(pairs), {}
         opener = zstandard.ZstdDecompressor()
+        long = None
         decoder = Decoder(vocabulary_.value) if decoded or digest else None
 
         for batch in batches:
@@ -391,7 +443,10 @@ def encode(
                 units, sizes = cutter.of(fresh)
                 encoded = list(map(hot.get, units))
                 for k, ids_ in enumerate(encoded):
-                    if ids_ is None:
+                    if ids_ is None and len(units[k]) > UNIT_CHARS:
+                        long = long or LongUnits(vocabulary_.value)
+                        encoded[k] = long(units[k])
+                    elif ids_ is None:
                         encoded[k] = own[units[k]]
                 mine, at = {}, 0
                 for word, n in zip(fresh, sizes):

@@ -90,3 +90,28 @@ def test_few_kept_words(documents, known, monkeypatch):
     monkeypatch.setattr(sp, "BLOCK_DOCS", 2)
     rows = [(k, f"word{k % 7} other{k} the The") for k in range(30)] + [(50, ""), (51, None)]
     assert {r.doc_id: list(r.ids) for r in sp.encode(documents(rows, 1), known).collect()} == {i: viterbi(t, known) for i, t in rows}
+
+
+def test_long_units_take_the_best_path(documents, known):
+    """Stretches without a natural cut, beyond ``UNIT_CHARS``, have the ids of the whole."""
+    rng = random.Random(9)
+    say = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = ["".join(say("acgt", 9000)), "=" * 5000, " " * 5001, "x" * 5000, say("abcdefghijklmnopqrstuvwxyz", 9000)]
+    texts += [say("a=\u0378", 4095), say("acgt", 4096), say("acgt", 4097), "the " + "=" * 5000 + " end", say("ab\u0378", 9000) + " " + say("acgt", 5000) + " of"]
+    rows = list(enumerate(t for t in [*texts, *texts[:2]]))
+    out = sp.encode(documents(rows), known, decoded=True).collect()
+    assert {r.doc_id: list(r.ids) for r in out} == {i: viterbi(t, known) for i, t in rows}
+    assert {r.doc_id: r.text for r in out} == dict(rows)
+
+
+def test_both_ways_of_search_agree(documents, monkeypatch):
+    """Equal sums and characters without a piece go the same way whether a unit is exploded or not."""
+    surfaces = [" ", "a", "b", "ab", " ab", "aba", "c", "bb", "abab"]
+    known = sp.vocabulary(surfaces, list(range(1, 10)), [-3.0, -2.0, -2.0, -4.0, -4.0, -6.0, -9.0, -4.0, -8.0], [], 0)
+    rng = random.Random(2)
+    rows = [(k, "".join(rng.choice("abbac z") for _ in range(rng.randint(1, 60)))) for k in range(60)]
+    monkeypatch.setattr(sp, "FREQUENT", 0)
+    want = {i: viterbi(t, known) for i, t in rows}
+    for chars in (0, 5, 4096):
+        monkeypatch.setattr(sp, "UNIT_CHARS", chars)
+        assert {r.doc_id: list(r.ids) for r in sp.encode(documents(rows), known).collect()} == want
