@@ -209,31 +209,39 @@ class Field:
 
     def decode(self, s: Stretch) -> list[Span]:
         """The segmentation of the highest score; single tokens of no type score 0."""
-        n, kinds = len(s.at) - 1, len(KINDS) + 1
-        score = self.scores(s)
+        return self.decode_blocks(s.at, [s])
+
+    def decode_blocks(self, at: list[int], blocks: Iterable[Stretch]) -> list[Span]:
+        """``decode`` of the tokens ``at`` with the candidates of all blocks, in order of their first tokens."""
+        n, kinds = len(at) - 1, len(KINDS) + 1
         best = np.full((n + 1, kinds), -np.inf)
         best[0, 0] = 0
-        back: dict[tuple[int, int], tuple[int, int]] = {}
-        ends: dict[int, list[int]] = {}
-        for k, j in enumerate(s.last.tolist()):
-            ends.setdefault(j + 1, []).append(k)
-        for j in range(1, n + 1):
-            step = best[j - 1] + self.follow[:, 0]
-            best[j, 0] = step.max()
-            back[j, 0] = (j - 1, int(step.argmax()))
-            for k in ends.get(j, ()):
-                i = int(s.first[k])
+        back = np.zeros((n + 1, kinds, 2), dtype=np.int64)
+        done = 0
+
+        def reach(place: int) -> None:
+            nonlocal done
+            while done < place:
+                step = best[done] + self.follow[:, 0]
+                done += 1
+                best[done, 0] = step.max()
+                back[done, 0] = done - 1, step.argmax()
+
+        for s in blocks:
+            for i, j, score in zip(s.first.tolist(), (s.last + 1).tolist(), self.scores(s)):
+                reach(i)
                 for t in range(1, kinds):
                     step = best[i] + self.follow[:, t]
-                    value = step.max() + score[k, t - 1]
+                    value = step.max() + score[t - 1]
                     if value > best[j, t]:
                         best[j, t] = value
-                        back[j, t] = (i, int(step.argmax()))
+                        back[j, t] = i, step.argmax()
+        reach(n)
         out, j, t = [], n, int(best[n].argmax()) if n else 0
         while j:
-            i, before = back[j, t]
+            i, before = back[j, t].tolist()
             if t:
-                out.append((KINDS[t - 1], s.at[i], s.at[j]))
+                out.append((KINDS[t - 1], at[i], at[j]))
             j, t = i, before
         return out[::-1]
 
@@ -439,9 +447,17 @@ def find(text: str, field: Field) -> tuple[list[Span], list[Span]]:
         held = ((bisect_right(starts, m.start()), m.start()) for m in _TRIGGER.finditer(text, a, b))
         if all(k and reach[k - 1] > at for k, at in held):
             continue
-        for first, last in _parts(text, a, b):
-            near = base[bisect_right(reach, first) : bisect_left(starts, last)]
-            added += [s for s in field.decode(candidates(text, first, last, near)) if not added or s[1] >= added[-1][2]]
+        at = [a + m.start() for m in _TOKEN.finditer(text[a:b])] + [b]
+
+        def blocks(parts: list[tuple[int, int]], at: list[int], end: int) -> Iterable[Stretch]:
+            for (first, last), (following, _) in zip(parts, [*parts[1:], (end, end)]):
+                near = base[bisect_right(reach, first) : bisect_left(starts, last)]
+                s, shift = candidates(text, first, last, near), bisect_left(at, first)
+                own = s.first < bisect_left(at, following) - shift  # the others are the next part's
+                yield Stretch(at, s.first[own] + shift, s.last[own] + shift, s.rows[own])
+
+        before = added[-1][2] if added else 0
+        added += [s for s in field.decode_blocks(at, blocks(_parts(text, a, b), at, b)) if s[1] >= before]
     return base, sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -144,3 +144,17 @@ def test_rows_and_redaction(documents, field):
     assert texts[1] == "mail [EMAIL] now" and texts[2] is None and texts[3] == "" and texts[None] == "[PHONE]" and texts[4] == "[IP] " * 9000
     assert pii.personal_data(documents([]), field).count() == 0
     assert pii.redacted("+1 4111 1111", [("phone", 0, 7), ("card", 3, 12)]) == "[PHONE]"
+
+
+def test_long_stretches_are_decoded_jointly():
+    """Parts of a stretch are units of work only: the spans are those of one decoding over the whole."""
+    rng = np.random.default_rng(8)
+    for _ in range(5):
+        field = pii.Field(rng.normal(0, 1, (pii.BUCKETS, len(pii.KINDS))), rng.normal(0, 1, (5, 5)))
+        text = "1" + "".join(rng.choice(list("1234567 .ab("), 1500)) + "1"
+        base, both = pii.find(text, field)
+        want = []
+        for a, b in pii.stretches(text):
+            want += field.decode(pii.candidates(text, a, b, base))
+        assert max(b - a for a, b in pii.stretches(text)) > 400
+        assert both == sorted(base + want, key=lambda s: (s[1], pii.KINDS.index(s[0])))
