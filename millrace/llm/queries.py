@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontam, pii, quality, sentencepieces, simhash, suffix, tokens, urls, warc
+from millrace.llm import chat, collocations, decontam, pii, prefixes, projections, quality, sentencepieces, simhash, suffix, tokens, urls, warc
 from millrace.llm.common import table
 
 #: Files of public tokenizers; a parameter of the operators that read them.
@@ -124,6 +124,100 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(table(spark, folder, "documents"), tokens.sentencepiece_vocabulary(PIECES))
 
 
+def op11_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return projections.near_vectors(table(spark, folder, "embeddings"))
+
+
+OP11_SQL = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e, label is not null and coalesce(len(embedding), 0) > 0
+    and coalesce(len(list_filter(embedding, lambda x: isfinite(x::double))) = len(embedding) and len(list_filter(embedding, lambda x: x <> 0)) > 0, false) as ok
+  from embeddings
+), l as (
+  select a.vec_id as u, b.vec_id as v from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where a.ok and b.ok and list_cosine_similarity(a.e, b.e) >= 0.93
+), r(id, c) as (
+  select vec_id, vec_id from v union select r.id, l.v from r join l on r.c = l.u
+), c as (select id, min(c) as component_id from r group by id),
+n as (select u, count(*) as n_links from l group by u)
+select v.vec_id, coalesce(n.n_links, 0) as n_links, c.component_id, v.vec_id = c.component_id as kept
+from v join c on c.id = v.vec_id left join n on n.u = v.vec_id
+"""
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    return prefixes.trie(prefixes.grafted(prefixes.numbered_turns(conversations)), conversations)
+
+
+OP12_SQL = """
+with t as (
+  select conv_id as c, {'r': coalesce(role, ''), 'x': coalesce(text, '')} as turn,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as p
+  from conversations where conv_id is not null
+), own as (
+  select c, list(turn order by p) as ts, xor(list_reduce(
+    list_prepend(4294967295::bigint, list_transform(string_split(c::varchar, ''), lambda ch: ascii(ch)::bigint)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda y, z: case when y & 1 = 1 then xor(y >> 1, 3988292384) else y >> 1 end)
+  ), 4294967295) % 9 as h from t group by c
+), made as (
+  select o.c, list_concat(coalesce(list_slice(d.ts, 1, o.h), []), coalesce(list_slice(o.ts, o.h + 1, len(o.ts)), [])) as ts
+  from own o left join own d on d.c = o.c - o.c % 5
+), member as (
+  select c, ts, d, list_slice(ts, 1, d) as path from (select c, ts, unnest(range(0, len(ts) + 1)) as d from made)
+), node as (
+  select path, d, min(c) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (len(ts) = d), '')) as ends_sha256,
+    case when d > 0 then strlen(path[d].x) else 0 end * (count(*) - 1) as saved
+  from member group by path, d
+), up as (
+  select list_slice(path, 1, d - 1) as path, d - 1 as d, count(*) as n_children from node where d > 0 group by all
+), leafy as (select node.*, coalesce(n_children, 0) as n_children from node left join up using (path, d)),
+below as (
+  select list_slice(path, 1, e) as path, e as d, sum((n_children = 0)::int)::bigint as n_leaves, sum(saved)::bigint as saved_tokens
+  from (select *, unnest(range(0, d + 1)) as e from leafy) group by all
+)
+select n.conv_id, n.d as depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
+from leafy n join below b using (path, d) left join node p on p.d = n.d - 1 and p.path = list_slice(n.path, 1, n.d - 1)
+"""
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+OP13_SQL = r"""
+with piece as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), w as (
+  select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from piece
+), g as (
+  select lang, array_to_string(list_slice(ws, i, i + k - 1), ' ') as phrase, k from (
+    select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from w, (values (1), (2), (3), (4)) o(k))
+), f as (select lang, phrase, k, count(*) as a from g group by all),
+total as (select lang, sum(a)::bigint as n from f where k = 1 group by lang),
+cand as (select * from f where k >= 2 and a >= 30),
+cut as (
+  select c.lang, c.phrase, c.a, j, array_to_string(list_slice(string_split(c.phrase, ' '), 1, j), ' ') as head,
+    array_to_string(list_slice(string_split(c.phrase, ' '), j + 1, c.k), ' ') as tail
+  from (select *, unnest(range(1, k)) as j from cand) c
+), scored as (
+  select cut.lang, cut.phrase, cut.a, x.a as l, y.a as r, (2000000::hugeint * cut.a // (x.a + y.a))::bigint as score, j
+  from cut join f x on x.lang = cut.lang and x.phrase = head join f y on y.lang = cut.lang and y.phrase = tail
+), low as (
+  select lang, phrase, a, unnest(arg_min({'l': l, 'r': r, 'score': score}, {'score': score, 'j': j})) from scored group by lang, phrase, a
+), part as (
+  select distinct lang, array_to_string(list_slice(ws, i, i + m - 1), ' ') as phrase, a as whole from (
+    select lang, ws, a, m, unnest(range(1, k - m + 2)) as i from (
+      select lang, string_split(phrase, ' ') as ws, a, k, unnest(range(2, k)) as m from cand))
+), kept as (
+  select * from low where not exists (select 1 from part p where p.lang = low.lang and p.phrase = low.phrase and 100 * p.whole >= 80 * low.a)
+)
+select lang, rank, phrase, a, l, r, n, score from (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) join total using (lang)
+where rank <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
@@ -135,5 +229,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
+    "op11_near_vectors": op11_near_vectors,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_collocations": op13_collocations,
+}
+ORACLES = {
+    "op3_warc": OP3_SQL,
+    "op4_chat": OP4_SQL,
+    "op6_urls": OP6_SQL,
+    "op11_near_vectors": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
+    "op13_collocations": OP13_SQL,
 }
-ORACLES = {"op3_warc": OP3_SQL, "op4_chat": OP4_SQL, "op6_urls": OP6_SQL}
