@@ -1,9 +1,9 @@
 """Phrase collocations from sorted streams of n-gram counts.
 
-1. One scan hashes each pair of neighbouring words, in numpy; equal pairs are added up within a task, then by
-   hash range. Pairs of ``min_count`` or more mark a bit of a filter of fixed size. A phrase can only be frequent if each of
+1. One scan hashes each word and each pair of neighbouring words, in numpy; equal hashes are added up within a task, then by
+   hash range. Those of ``min_count`` or more mark a bit of a filter of fixed size. A phrase can only be frequent if each of
    its pairs is, so the filter lets all frequent phrases through (and some others, which their exact counts remove).
-2. A second scan counts words, and the phrases whose pairs all pass, as strings.
+2. A second scan counts the words, and the phrases whose pairs all pass, as strings.
 3. The counts of all lengths are one stream. It is laid out twice: sorted by the words from the front (prefix order)
    and from the back (suffix order). In prefix order a phrase follows all its prefixes and precedes its
    extensions to the right, so one pass over the sorted rows meets them in lockstep, without any look-up table; in suffix
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import narrow, pieces, raw, written
 
 LONGEST, MIN_COUNT, COVERED, TOP = 4, 30, 80, 2_000
-#: Bits of the filter of frequent pairs: 16 MB, whatever the input.
+#: Bits of the filter of frequent words and pairs: 16 MB, whatever the input.
 FILTER_BITS = 27
-#: Pairs a task holds before it adds them up; phrases it counts before it hands them on; bytes of one line taken at once.
+#: Hashes a task holds before it adds them up; phrases it counts before it hands them on; bytes of one line taken at once.
 HELD_PAIRS, HELD_PHRASES, SLICE = 1 << 21, 150_000, 1 << 20
 #: Remembered word hashes of a task.
 KNOWN_WORDS = 200_000
@@ -90,10 +90,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def pair_hashes(words: list[bytes], known: _WordHash, lang: int) -> np.ndarray:
-    """A 64-bit hash of each pair of neighbours, piece borders included."""
-    h = np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
-    return _mix(_mix(h[:-1] + _U(lang)) * _U(3) + h[1:])
+def hashes(words: list[bytes], known: _WordHash, lang: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words and of each pair of neighbours, piece borders included."""
+    plain = np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
+    single = _mix(plain + _U(lang))
+    return single, _mix(single[:-1] * _U(3) + plain[1:])
 
 
 def _inside(sizes: list[int], n: int, seen: int) -> np.ndarray:
@@ -122,8 +123,8 @@ def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes[first], np.add.reduceat(counts, first)
 
 
-def frequent_pairs(docs: DataFrame, min_count: int = MIN_COUNT) -> bytes:
-    """A bit for each value of the first ``FILTER_BITS`` bits of a pair's hash: set if a pair there is frequent."""
+def frequent_hashes(docs: DataFrame, min_count: int = MIN_COUNT) -> bytes:
+    """A bit for each value of the first ``FILTER_BITS`` bits of a hash: set if a word or pair there is frequent."""
     spark = docs.sparkSession
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     part_bits = min(max(6, (2 * shuffle - 1).bit_length()), 16)
@@ -142,10 +143,9 @@ def frequent_pairs(docs: DataFrame, min_count: int = MIN_COUNT) -> bytes:
         for lang, texts in _by_lang(batches):
             salt = xxhash.xxh64_intdigest(lang)
             for words, sizes, seen in blocks(texts):
-                found = pair_hashes(words, known, salt)[_inside(sizes, len(words), seen)]
-                if len(found):
-                    held.append(found)
-                    n += len(found)
+                single, pairs = hashes(words, known, salt)
+                held += [single[seen:], pairs[_inside(sizes, len(words), seen)]]
+                n += len(held[-2]) + len(held[-1])
                 if n >= HELD_PAIRS:
                     yield flush()
                     held, n = [], 0
@@ -194,12 +194,16 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_
     The row of a language without words (null) counts all its word occurrences.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(frequent_pairs(docs, min_count))
+    sent = spark.sparkContext.broadcast(frequent_hashes(docs, min_count))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, total = _WordHash(), {}, Counter()
         frequent = np.frombuffer(sent.value, dtype=np.uint8)
 
+        def may_be(found: np.ndarray) -> np.ndarray:
+            at = found >> _U(64 - FILTER_BITS)
+            return ((frequent[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1).astype(bool)
+
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, found in held.items():
                 for k in range(0, len(found), 50_000) if found else ():
@@ -210,14 +214,13 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_
             salt = xxhash.xxh64_intdigest(lang)
             found = held.setdefault(lang, Counter())
             for words, sizes, seen in blocks(texts, longest):
-                found.update(words[seen:])
                 total[lang] += len(words) - seen
+                single, pairs = hashes(words, known, salt)
+                found.update([words[i] for i in (np.flatnonzero(may_be(single[seen:])) + seen).tolist()])
                 if len(words) < 2:
                     continue
                 # pairs seen before still open phrases that go on in new words
-                inside = _inside(sizes, len(words), 0)
-                where = pair_hashes(words, known, salt) >> _U(64 - FILTER_BITS)
-                passed = inside & ((frequent[(where >> _U(3)).astype(np.int64)] >> (where & _U(7)).astype(np.uint8)) & 1).astype(bool)
+                passed = _inside(sizes, len(words), 0) & may_be(pairs)
                 for n in range(2, longest + 1):
                     starts = np.flatnonzero(passed) if n == 2 else np.flatnonzero(passed[: len(chained) - 1] & chained[1:])
                     chained = np.zeros(len(passed), dtype=bool)
