@@ -8,7 +8,7 @@ from millrace.plans.ordered import COOLDOWN_SQL, METRIC_SQL, _GAP, _RULES, metri
 from millrace.plans.registry import query
 from millrace.session import scratch_folder
 from millrace.sources.files import export_by_value
-from millrace.streaming import run, sources, stateful
+from millrace.streaming import ordered, run, sources, stateful
 from millrace.streaming.exchange import start_exchange
 
 
@@ -17,6 +17,34 @@ def _stream(t, *columns):
     return stream.select(*columns) if columns else stream
 
 
+def _late(t, *columns, batches=4):
+    """Events in files that arrive one by one, each row up to two days after newer ones, and what closes the stream."""
+    events = t.events.select(*columns).withColumn("ts", F.col("ts").cast("timestamp"))
+    arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(172_800_000_000))
+    first, last = events.agg(F.min(arrival), F.max(arrival)).first()
+    batch = F.floor((arrival - first) * batches / (last - first + 1))
+    folder = scratch_folder(t.spark, "late")
+    for number in range(batches):
+        events.where(batch == number).write.mode("append").parquet(folder)
+    stream = sources.record_stream(t.spark, folder, events.schema, files_per_batch=1)
+    return ordered.closable(stream, "ts")
+
+
+@query("stream_gap_late", _GAP)
+def _(t):
+    """Rows that come out of order wait until the watermark has passed them."""
+    stream, close = _late(t, "event_id", "user_id", "ts", "value")
+    gaps = ordered.ordered_gaps(stream, ["user_id"], "ts", "value", ["event_id"], "2 days")
+    return rounded(run.drain(t.spark, gaps, "late-gap", close), 6, "gap").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("stream_cooldown_late", COOLDOWN_SQL)
+def _(t):
+    stream, close = _late(t, "event_id", "user_id", "ts", "value")
+    fired = ordered.ordered_cooldown(stream.where((F.col("value") > 10) | (F.col("ts") >= ordered.END)).drop("value"), ["user_id"], "ts", 86_400, ["event_id"], "2 days")
+    return run.drain(t.spark, fired, "late-cooldown", close).select("user_id", "event_id")
+
+
 @query("stream_gap", _GAP)
 def _(t):
     gaps = stateful.gap_stream(_stream(t, "event_id", "user_id", "ts", "value"), ["user_id"], "ts", "value", ["event_id"])
@@ -80,6 +108,20 @@ def _(t):
     return rounded(out.select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "average"), 6, "average")
 
 
+@query(
+    "stream_hop_average_closed",
+    """with w as (select event_type, ts, value, unnest(generate_series(0, 2)) as k from events),
+       s as (select event_type, value, time_bucket(interval 10 minutes, ts) - k * interval 10 minutes as start from w)
+       select event_type, strftime(start, '%Y-%m-%d %H:%M:%S') as start, round(avg(value), 6) as average from s group by all""",
+)
+def _(t):
+    """Every window: those still open at the end of the input come out when the stream is closed."""
+    stream, close = _late(t, "event_id", "event_type", "ts", "value")
+    means = stateful.hop_average(stream, ["event_type"], "ts", "value", "30 minutes", "10 minutes", "2 days")
+    out = run.drain(t.spark, means, "late-hops", close)
+    return rounded(out.select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "average"), 6, "average")
+
+
 @query("stream_new_files", "select 'lang=' || lang as folder from documents group by 1")
 def _(t):
     """Folders in which files arrived; a second look finds nothing new."""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -17,12 +18,26 @@ def trigger(polling_minutes: float | None) -> dict:
     return {"processingTime": f"{polling_minutes * 60:g} seconds"}
 
 
+@contextmanager
+def _store(stream: DataFrame) -> Iterator[None]:
+    """States with timers need RocksDB: a query with one, started inside, keeps its state there. Others keep the session's store."""
+    name, conf = "spark.sql.streaming.stateStore.providerClass", stream.sparkSession.conf
+    before = conf.get(name)
+    if "TransformWithState" in stream._jdf.queryExecution().analyzed().toString():
+        conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        conf.set(name, before)
+
+
 def start_table(
     stream: DataFrame, path: str, checkpoint: str, polling_minutes: float | None = None, fmt: str = "parquet"
 ) -> StreamingQuery:
     """Append a stream to files, exactly once."""
     writer = stream.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
-    return writer.trigger(**trigger(polling_minutes)).start(path)
+    with _store(stream):
+        return writer.trigger(**trigger(polling_minutes)).start(path)
 
 
 def start_fanout(
@@ -46,11 +61,18 @@ def start_fanout(
             held.unpersist()
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return writer.trigger(**trigger(polling_minutes)).start()
+    with _store(stream):
+        return writer.trigger(**trigger(polling_minutes)).start()
 
 
-def drain(spark: SparkSession, stream: DataFrame, stem: str = "stream") -> DataFrame:
-    """Run a stream over all input present, then return its output as a table."""
+def drain(spark: SparkSession, stream: DataFrame, stem: str = "stream", close: Callable[[], None] | None = None) -> DataFrame:
+    """Run a stream over all input present, then return its output as a table.
+
+    With ``close`` (from ``ordered.closable``) the stream then ends: waiting rows and open windows come out as well.
+    """
     path, checkpoint = scratch_folder(spark, stem), scratch_folder(spark, f"{stem}-progress")
     start_table(stream, path, checkpoint).awaitTermination()
+    if close:
+        close()
+        start_table(stream, path, checkpoint).awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)

@@ -3,12 +3,14 @@
 import os
 import time
 
+import pandas as pd
 import pytest
 from conftest import rows
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import alerts, series
-from millrace.streaming import run, sources, stateful
+from millrace.streaming import ordered, run, sources, stateful
 from millrace.streaming.exchange import start_exchange
 
 
@@ -91,3 +93,64 @@ def test_payloads_and_triggers(spark):
     assert [(r["key"], r["rate"]) for r in sources.extract_rate(df).collect()] == [("a", 1.5)]
     assert run.trigger(None) == {"availableNow": True}
     assert run.trigger(0) == {"processingTime": "0 seconds"} and run.trigger(1.5) == {"processingTime": "90 seconds"}
+
+
+@pytest.fixture()
+def shuffled(spark, dropped, tmp_path):
+    """The same ticks in four files; a row may come up to an hour after newer ones."""
+    _, table = dropped
+    late = F.col("ts").cast("long") + F.pmod(F.xxhash64("id"), F.lit(3600))
+    numbered = table.withColumn("file", F.ntile(4).over(Window.orderBy(late)))
+    folder = tmp_path / "shuffled"
+    for i in range(1, 5):
+        numbered.where(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(str(folder))
+        time.sleep(0.05)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield str(folder), table
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_late_rows_leave_in_order(spark, shuffled):
+    folder, table = shuffled
+    stream, close = ordered.closable(source(spark, folder, table), "ts")
+    got = run.drain(spark, ordered.ordered_gaps(stream, ["key"], "ts", "rate", ["id"], "1 hour"), close=close)
+    want = series.rate_gap(table, ["key"], "ts", "rate", ["id"])
+    assert rows(got.select("id", "gap")) == rows(want.select("id", "gap"))
+    # order of arrival gives other gaps
+    plain = run.drain(spark, stateful.gap_stream(source(spark, folder, table), ["key"], "ts", "rate", ["id"]))
+    assert rows(plain.select("id", "gap")) != rows(want.select("id", "gap"))
+
+
+def test_rows_wait_until_the_stream_is_closed(spark, shuffled):
+    folder, table = shuffled
+    stream, _ = ordered.closable(source(spark, folder, table), "ts")
+    got = run.drain(spark, ordered.ordered_gaps(stream, ["key"], "ts", "rate", ["id"], "1 hour"))
+    newest = table.agg(F.max("ts")).first()[0]
+    stretch = 3600 / ordered.STRETCHES
+    left = table.join(got.select("id"), "id", "left_anti").agg(F.min("ts"), F.count("id")).first()
+    assert left[1] > 0 and (newest - left[0]).total_seconds() <= 3600 + stretch
+    want = series.rate_gap(table, ["key"], "ts", "rate", ["id"]).join(got.select("id"), "id")
+    assert rows(got.select("id", "gap")) == rows(want.select("id", "gap"))
+
+
+def test_late_rows_under_a_cooldown(spark, shuffled):
+    folder, table = shuffled
+    stream, close = ordered.closable(source(spark, folder, table), "ts")
+    got = run.drain(spark, ordered.ordered_cooldown(stream, ["key"], "ts", 300, ["id"], "1 hour"), close=close)
+    assert rows(got.select("id")) == rows(alerts.cooldown(table, ["key"], "ts", 300, ["id"]).select("id"))
+
+
+def test_open_windows_come_out_at_the_end(spark, shuffled):
+    folder, table = shuffled
+    stream, close = ordered.closable(source(spark, folder, table), "ts")
+    got = run.drain(spark, stateful.hop_average(stream, ["key"], "ts", "rate", "10 minutes", "5 minutes", "1 hour"), close=close)
+    want = table.groupBy("key", F.window("ts", "10 minutes", "5 minutes").alias("w")).agg(F.avg("rate").alias("average"))
+    assert rows(got) == rows(want.select("key", "w.start", "w.end", "average"))
+
+
+def test_state_in_order_without_spark():
+    """A stretch's rows are packed in parts and read as one table, nulls included."""
+    a, b = pd.DataFrame({"x": [1.5, None], "s": ["é", None]}), pd.DataFrame({"x": [2.5], "s": ["z"]})
+    got = ordered._unpacked(ordered._packed(a) + ordered._packed(b))
+    assert got["x"].tolist()[0::2] == [1.5, 2.5] and got["s"].tolist() == ["é", None, "z"]
