@@ -59,15 +59,11 @@ REGISTRY: dict[tuple[str, str], Callable] = {
     ("classification", "GaussianNaiveBayes"): lambda k, o: NaiveBayes(**{"modelType": "gaussian", **o}),
     ("classification", "RandomForest"): lambda k, o: RandomForestClassifier(**{"seed": 1, "numTrees": 100, **o}),
     ("classification", "GradientBoosting"): _boosted_classifier,
-    ("classification", "XGBoost"): _boosted_classifier,
-    ("classification", "CatBoost"): _boosted_classifier,
     ("regression", "LinearRegression"): lambda k, o: LinearRegression(**o),
     # a robust linear fit stands in for the kernel machine, whose cost is quadratic in the rows
     ("regression", "SupportVectorRegression"): lambda k, o: LinearRegression(**{"loss": "huber", **o}),
     ("regression", "RandomForest"): lambda k, o: RandomForestRegressor(**{"seed": 1, "numTrees": 100, **o}),
     ("regression", "GradientBoosting"): lambda k, o: GBTRegressor(**{"seed": 1, "maxIter": 20, **o}),
-    ("regression", "XGBoost"): lambda k, o: GBTRegressor(**{"seed": 1, "maxIter": 20, **o}),
-    ("regression", "CatBoost"): lambda k, o: GBTRegressor(**{"seed": 1, "maxIter": 20, **o}),
     ("clustering", "KMeans"): lambda k, o: KMeans(**{"k": 2, "seed": 1, **o}),
 }
 
@@ -113,6 +109,12 @@ def train(df: DataFrame, algorithm: Algorithm, label: str | None = None, feature
         from millrace.operators.ridge import train_bayesian_ridge
 
         return train_bayesian_ridge(df, label, feature_names(df, label, features), **algorithm.input_variables)
+    if algorithm.name in ("XGBoost", "CatBoost") and algorithm.is_supervised:
+        from millrace.operators.gradient import train_second_order
+        from millrace.operators.ordered_targets import train_ordered_targets
+
+        fit = train_second_order if algorithm.name == "XGBoost" else train_ordered_targets
+        return fit(df, algorithm, label, feature_names(df, label, features))
     own = _own_models()
     key = (algorithm.type, algorithm.name)
     if key in own:

@@ -14,11 +14,13 @@ from pyspark.sql import SparkSession
 
 from millrace.operators.anomaly import DistanceRule, IsolationForest
 from millrace.operators.boosting import BoostedTrees
+from millrace.operators.gradient import GradientTrees, Tree
 from millrace.operators.meanshift import MeanShiftModel
+from millrace.operators.ordered_targets import CodedTrees
 from millrace.operators.ridge import LinearFit
 from millrace.operators.scale import Scaler
 
-_OWN = {c.__name__: c for c in (BoostedTrees, DistanceRule, IsolationForest, LinearFit, MeanShiftModel, Scaler)}
+_OWN = {c.__name__: c for c in (BoostedTrees, CodedTrees, DistanceRule, GradientTrees, IsolationForest, LinearFit, MeanShiftModel, Scaler, Tree)}
 _TREES = {"classifier": DecisionTreeClassificationModel, "regressor": DecisionTreeRegressionModel}
 
 
@@ -55,6 +57,10 @@ def save_model(model, path: str) -> None:
         for i, tree in enumerate(model.trees):
             tree.write().overwrite().save(f"{path}/trees/{i}")
         model = dataclasses.replace(model, trees=(len(model.trees),))
+    if isinstance(model, CodedTrees):  # a table per category column
+        for i, table in enumerate(model.statistics):
+            table.write.mode("overwrite").parquet(f"{path}/statistics/{i}")
+        model, kind = dataclasses.replace(model, statistics=(len(model.statistics),)), "coded"
     text = json.dumps({"kind": kind, "model": _plain(model)})
     spark = SparkSession.getActiveSession()
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/own")
@@ -68,6 +74,8 @@ def load_model(path: str):
         return PipelineModel.load(path)
     record = json.loads(spark.read.text(f"{path}/own").first()[0])
     model = _restored(record["model"])
+    if record["kind"] == "coded":
+        return dataclasses.replace(model, statistics=tuple(spark.read.parquet(f"{path}/statistics/{i}") for i in range(model.statistics[0])))
     if record["kind"]:
         trees = tuple(_TREES[record["kind"]].load(f"{path}/trees/{i}") for i in range(model.trees[0]))
         model = dataclasses.replace(model, trees=trees)
