@@ -2,8 +2,9 @@
 
 1. One scan hashes each word and each pair of neighbouring words, in numpy; equal hashes are added up within a task, then by
    hash range. Those of ``min_count`` or more mark a bit of a filter of fixed size. A phrase can only be frequent if each of
-   its pairs is, so the filter lets all frequent phrases through (and some others, which their exact counts remove).
-2. A second scan counts the words, and the phrases whose pairs all pass, as strings.
+   its pairs is, so a second scan hashes only longer phrases of pairs that pass, and makes a filter of them in the same way.
+   Both filters let all frequent phrases through (and some others, which their exact counts remove).
+2. A third scan counts the words and phrases that pass, as strings.
 3. The counts of all lengths are one stream. It is laid out twice: sorted by the words from the front (prefix order)
    and from the back (suffix order). In prefix order a phrase follows all its prefixes and precedes its
    extensions to the right, so one pass over the sorted rows meets them in lockstep, without any look-up table; in suffix
@@ -27,10 +28,10 @@ from pyspark.sql import functions as F
 from millrace.llm.common import narrow, pieces, raw, written
 
 LONGEST, MIN_COUNT, COVERED, TOP = 4, 30, 80, 2_000
-#: Bits of the filter of frequent words and pairs: 16 MB, whatever the input.
-FILTER_BITS = 27
+#: Bits of each of two filters (16 MB, whatever the input) and of the hashes that are counted for them.
+FILTER_BITS, HASH_BITS = 27, 48
 #: Hashes a task holds before it adds them up; phrases it counts before it hands them on; bytes of one line taken at once.
-HELD_PAIRS, HELD_PHRASES, SLICE = 1 << 21, 150_000, 1 << 20
+HELD_HASHES, HELD_PHRASES, SLICE = 3_000_000, 150_000, 1 << 20
 #: Remembered word hashes of a task.
 KNOWN_WORDS = 200_000
 #: The rows of a language are ranked in this many parts before the best of each are ranked together.
@@ -90,15 +91,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def hashes(words: list[bytes], known: _WordHash, lang: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words and of each pair of neighbours, piece borders included."""
-    plain = np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
-    single = _mix(plain + _U(lang))
-    return single, _mix(single[:-1] * _U(3) + plain[1:])
-
-
 def _inside(sizes: list[int], n: int, seen: int) -> np.ndarray:
-    """Which pairs lie within a piece and hold a word that was not seen before."""
+    """Which pairs of neighbours lie within a piece and hold a word that was not seen before."""
     inside = np.ones(max(n - 1, 0), dtype=bool)
     ends = np.cumsum(sizes[:-1], dtype=np.int64) - 1
     inside[ends] = False
@@ -107,6 +101,38 @@ def _inside(sizes: list[int], n: int, seen: int) -> np.ndarray:
     return inside
 
 
+class Filter:
+    """A bit for each value of the first bits of a hash: may it be frequent?"""
+
+    def __init__(self, bits: bytes):
+        self.bits = np.frombuffer(bits, dtype=np.uint8)
+        self.unused = _U(64 - (8 * len(bits)).bit_length() + 1)
+
+    def __call__(self, found: np.ndarray) -> np.ndarray:
+        at = found >> self.unused
+        return ((self.bits[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def hashes(words: list[bytes], known: _WordHash, lang: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words alone, of the words in their language and of each pair of neighbours, piece borders included."""
+    plain = np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
+    single = _mix(plain + _U(lang))
+    return plain, single, _mix(single[:-1] * _U(3) + plain[1:])
+
+
+def longer(plain: np.ndarray, pairs: np.ndarray, passed: np.ndarray, longest: int, also: Filter | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(n, hashes, passed)`` for phrases of 3 and more words, by first word: those whose parts passed, and ``also`` lets through."""
+    found = pairs
+    for n in range(3, longest + 1):
+        if len(passed) < 2:
+            return
+        found = _mix(found[:-1] * _U(3) + plain[n - 1 :])
+        passed = passed[:-1] & passed[1:]
+        if also is not None:
+            passed = passed & also(found)
+        yield n, found, passed
+
+
 def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
     for batch in batches:
         for piece in pieces(batch):
@@ -123,32 +149,58 @@ def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes[first], np.add.reduceat(counts, first)
 
 
-def frequent_hashes(docs: DataFrame, min_count: int = MIN_COUNT) -> bytes:
-    """A bit for each value of the first ``FILTER_BITS`` bits of a hash: set if a word or pair there is frequent."""
+def _packed(values: np.ndarray, counts: np.ndarray, base: int) -> tuple[bytes, bytes]:
+    """Sorted hashes as steps of four bytes (of eight, should one be too large), and their counts."""
+    steps = np.diff(values, prepend=_U(base))
+    return steps.astype("<u4" if int(steps.max()) < 1 << 32 else "<u8").tobytes(), counts.astype("<u4").tobytes()
+
+
+def _unpacked(steps: bytes, counts: bytes, base: int) -> tuple[np.ndarray, np.ndarray]:
+    n = np.frombuffer(counts, "<u4").astype(np.int64)
+    width = len(steps) // len(n)
+    return np.cumsum(np.frombuffer(steps, f"<u{width}"), dtype=np.uint64) + _U(base), n
+
+
+def frequent_hashes(docs: DataFrame, longest: int, min_count: int, shorter: bytes | None = None) -> bytes:
+    """The bits of a ``Filter`` of what occurs ``min_count`` times: words and pairs, or, given their filter, longer phrases of
+    pairs that pass.
+
+    Hashes are shortened to ``HASH_BITS``; two that fall together can only let too much through.
+    """
     spark = docs.sparkSession
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     part_bits = min(max(6, (2 * shuffle - 1).bit_length()), 16)
+    sent = spark.sparkContext.broadcast(shorter) if shorter is not None else None
+    low = HASH_BITS - part_bits
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, n = _WordHash(), [], 0
+        may_be = Filter(sent.value) if sent is not None else None
 
         def flush() -> pa.RecordBatch:
-            pairs, counts = np.unique(np.concatenate(held), return_counts=True)
-            edges = np.searchsorted(pairs, np.arange(1, 1 << part_bits, dtype=np.uint64) << _U(64 - part_bits))
-            counts = counts.astype("<u4")
-            cut = [(k, p, c) for k, (p, c) in enumerate(zip(np.split(pairs, edges), np.split(counts, edges))) if len(p)]
-            parts = pa.array([k for k, _, _ in cut], pa.int32())
-            return pa.RecordBatch.from_arrays([parts, pa.array([p.tobytes() for _, p, _ in cut]), pa.array([c.tobytes() for _, _, c in cut])], names=["part", "pairs", "counts"])
+            every = np.concatenate(held)
+            held.clear()
+            values, counts = np.unique(every >> _U(64 - HASH_BITS), return_counts=True)
+            edges = np.searchsorted(values, np.arange(1, 1 << part_bits, dtype=np.uint64) << _U(low))
+            cut = [(k, *_packed(v, c, k << low)) for k, (v, c) in enumerate(zip(np.split(values, edges), np.split(counts, edges))) if len(v)]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*cut), (pa.int32(), pa.binary(), pa.binary()))], names=["part", "steps", "counts"])
 
         for lang, texts in _by_lang(batches):
             salt = xxhash.xxh64_intdigest(lang)
-            for words, sizes, seen in blocks(texts):
-                single, pairs = hashes(words, known, salt)
-                held += [single[seen:], pairs[_inside(sizes, len(words), seen)]]
-                n += len(held[-2]) + len(held[-1])
-                if n >= HELD_PAIRS:
+            for words, sizes, seen in blocks(texts, longest):
+                plain, single, pairs = hashes(words, known, salt)
+                if may_be is None:
+                    held += [single[seen:], pairs[_inside(sizes, len(words), seen)]]
+                    n += len(held[-2]) + len(held[-1])
+                else:
+                    passed = _inside(sizes, len(words), 0) & may_be(pairs)
+                    for size, found, good in longer(plain, pairs, passed, longest):
+                        good[: max(0, seen - size + 1)] = False
+                        held.append(found[good])
+                        n += len(held[-1])
+                if n >= HELD_HASHES:
                     yield flush()
-                    held, n = [], 0
+                    n = 0
         if n:
             yield flush()
 
@@ -157,34 +209,36 @@ def frequent_hashes(docs: DataFrame, min_count: int = MIN_COUNT) -> bytes:
 
         def gather() -> None:
             nonlocal held, n
-            held = [_summed(np.concatenate([p for p, _ in held]), np.concatenate([c for _, c in held]))]
+            held = [_summed(np.concatenate([v for v, _ in held]), np.concatenate([c for _, c in held]))]
             n = 0
 
         def bits() -> pa.RecordBatch:
             gather()
-            pairs = held[0][0][held[0][1] >= min_count]
-            here = (pairs >> _U(64 - FILTER_BITS)) - (_U(now) << _U(FILTER_BITS - part_bits))
+            frequent = held[0][0][held[0][1] >= min_count]
+            here = (frequent >> _U(HASH_BITS - FILTER_BITS)) - (_U(now) << _U(FILTER_BITS - part_bits))
             flags = np.zeros(1 << (FILTER_BITS - part_bits), dtype=np.uint8)
             flags[here.astype(np.int64)] = 1
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()])], names=["part", "bits"])
 
         for batch in batches:
-            for part, pairs, counts in zip(batch.column("part").to_pylist(), batch.column("pairs"), batch.column("counts")):
+            for part, steps, counts in zip(batch.column("part").to_pylist(), batch.column("steps"), batch.column("counts")):
                 if held and part != now:
                     yield bits()
                     held, n = [], 0
                 now = part
-                held.append((np.frombuffer(pairs.as_buffer(), "<u8"), np.frombuffer(counts.as_buffer(), "<u4").astype(np.int64)))
+                held.append(_unpacked(steps.as_buffer(), counts.as_buffer(), part << low))
                 n += len(held[-1][0])
-                if n >= 2 * HELD_PAIRS:
+                if n >= HELD_HASHES:
                     gather()
         if held:
             yield bits()
 
-    dealt = docs.mapInArrow(hashed, "part int, pairs binary, counts binary").repartition(shuffle, "part").sortWithinPartitions("part")
+    dealt = docs.mapInArrow(hashed, "part int, steps binary, counts binary").repartition(shuffle, "part").sortWithinPartitions("part")
     out = np.zeros((1 << part_bits, 1 << (FILTER_BITS - part_bits - 3)), dtype=np.uint8)
     for row in dealt.mapInArrow(counted, "part int, bits binary").collect():  # 2^FILTER_BITS bits in all
         out[row.part] = np.frombuffer(row.bits, dtype=np.uint8)
+    if sent is not None:
+        sent.destroy()
     return out.tobytes()
 
 
@@ -194,15 +248,12 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_
     The row of a language without words (null) counts all its word occurrences.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(frequent_hashes(docs, min_count))
+    short = frequent_hashes(docs, longest, min_count)
+    sent = spark.sparkContext.broadcast((short, frequent_hashes(docs, longest, min_count, short)))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, total = _WordHash(), {}, Counter()
-        frequent = np.frombuffer(sent.value, dtype=np.uint8)
-
-        def may_be(found: np.ndarray) -> np.ndarray:
-            at = found >> _U(64 - FILTER_BITS)
-            return ((frequent[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1).astype(bool)
+        may_be, may_be_longer = (Filter(bits) for bits in sent.value)
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, found in held.items():
@@ -215,19 +266,13 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_
             found = held.setdefault(lang, Counter())
             for words, sizes, seen in blocks(texts, longest):
                 total[lang] += len(words) - seen
-                single, pairs = hashes(words, known, salt)
+                plain, single, pairs = hashes(words, known, salt)
                 found.update([words[i] for i in (np.flatnonzero(may_be(single[seen:])) + seen).tolist()])
-                if len(words) < 2:
-                    continue
                 # pairs seen before still open phrases that go on in new words
                 passed = _inside(sizes, len(words), 0) & may_be(pairs)
-                for n in range(2, longest + 1):
-                    starts = np.flatnonzero(passed) if n == 2 else np.flatnonzero(passed[: len(chained) - 1] & chained[1:])
-                    chained = np.zeros(len(passed), dtype=bool)
-                    chained[starts] = True
+                for n, good in [(2, passed), *((n, good) for n, _, good in longer(plain, pairs, passed, longest, may_be_longer))]:
+                    starts = np.flatnonzero(good)
                     found.update([b" ".join(words[i : i + n]) for i in starts[starts + n > seen].tolist()])
-                    if not len(starts):
-                        break
             if sum(map(len, held.values())) > HELD_PHRASES:
                 yield from flush()
                 held = {}

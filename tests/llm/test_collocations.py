@@ -63,7 +63,7 @@ def test_equals_plain_counting(spark, seed, min_count, top):
 
 def test_cut_everywhere(spark, monkeypatch):
     """Slices of a few words, flushes after a few pairs, a filter that lets most pairs pass, a hot first word over many parts."""
-    for name, value in (("SLICE", 16), ("HELD_PAIRS", 40), ("HELD_PHRASES", 30), ("FILTER_BITS", 9), ("KNOWN_WORDS", 3), ("RANK_PARTS", 3)):
+    for name, value in (("SLICE", 16), ("HELD_HASHES", 40), ("HELD_PHRASES", 30), ("FILTER_BITS", 9), ("HASH_BITS", 14), ("KNOWN_WORDS", 3), ("RANK_PARTS", 3)):
         monkeypatch.setattr(collocations, name, value)
     rows = corpus(3) + [("en", "the " + w + " city of the " * 3) for w in "abcdefghijklmnopqrstuvwxyz" for _ in range(3)]
     old = spark.conf.get("spark.sql.shuffle.partitions")
