@@ -31,7 +31,7 @@ LONGEST, MIN_COUNT, COVERED, TOP = 4, 30, 80, 2_000
 #: Bits of each of two filters (16 MB, whatever the input) and of the hashes that are counted for them.
 FILTER_BITS, HASH_BITS = 27, 48
 #: Hashes a task holds before it adds them up; phrases it counts before it hands them on; bytes of one line taken at once.
-HELD_HASHES, HELD_PHRASES, SLICE = 3_000_000, 150_000, 1 << 20
+HELD_HASHES, HELD_PHRASES, SLICE = 3_000_000, 600_000, 1 << 20
 #: Remembered word hashes of a task.
 KNOWN_WORDS = 200_000
 #: The rows of a language are ranked in this many parts before the best of each are ranked together.
