@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace.session import scratch_folder
 
 #: Rows and bytes of text that Python works on at a time.
-PIECE_ROWS, PIECE_BYTES = 2_000, 4_000_000
+PIECE_ROWS, PIECE_BYTES = 2_000, 1_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,15 +53,29 @@ def raw(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+@contextmanager
+def tidy() -> Iterator[None]:
+    """Hand unused memory back to the machine at the end: a worker lives on for other tasks, next to other workers."""
+    try:
+        yield
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not this C library
+            pass
+
+
 def per_piece(build: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str = "text"):
     """A function for ``mapInArrow`` that works piece by piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch, text):
-                out = build(piece)
-                if out is not None and out.num_rows:
-                    yield out
+        with tidy():
+            for batch in batches:
+                for piece in pieces(batch, text):
+                    out = build(piece)
+                    if out is not None and out.num_rows:
+                        yield out
 
     return run
 

@@ -34,8 +34,10 @@ RATE, DECAY = 0.5, 1e-4
 #: Characters on both sides of a training stretch.
 AROUND = 24
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
+_HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+# a match that opened inside a run of digits would have opened at its start
+_IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -59,11 +61,26 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _emails(text: str) -> Iterable[tuple[int, int]]:
+    """What ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+`` finds, from each at sign on: what stands before it back to the
+    match before, then a host."""
+    done = at = 0
+    while (at := text.find("@", at)) >= 0:
+        start = at
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        m = _HOST.match(text, at) if start < at else None
+        done = m.end() if m else at + 1
+        if m:
+            yield start, m.end()
+        at = done
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the fixed patterns, leftmost and not overlapping within a kind, by start and then kind."""
     out = []
     if "@" in text:
-        out += [("email", *m.span()) for m in _EMAIL.finditer(text)]
+        out += [("email", *span) for span in _emails(text)]
     out += [("ip", *m.span()) for m in _IP.finditer(text) if all(map(_octet, m.groups()))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import narrow, pieces, raw
+from millrace.llm.common import narrow, pieces, raw, tidy
 
 #: Hash buckets: the size of the model, whatever the corpus.
 BUCKETS = 16_384
@@ -224,9 +224,10 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         hasher = Hasher(len(shared.value.ratio))
-        for batch in batches:
-            for piece in pieces(batch, text_col):
-                mask = [_judge(t, hasher, shared.value)[-1] for t in raw(piece, text_col)]
-                yield piece.filter(pa.array(mask, pa.bool_()))
+        with tidy():
+            for batch in batches:
+                for piece in pieces(batch, text_col):
+                    mask = [_judge(t, hasher, shared.value)[-1] for t in raw(piece, text_col)]
+                    yield piece.filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -30,12 +30,13 @@ class Rule(NamedTuple):
 
 
 class _Node:
-    __slots__ = ("labels", "segments", "starts")
+    __slots__ = ("labels", "segments", "starts", "sizes")
 
     def __init__(self):
         self.labels: dict[str, _Node] = {}
         self.segments: dict[str, _Node] = {}
         self.starts: dict[str, Rule] = {}
+        self.sizes: list[int] = []  # of the keys in ``starts``, ascending
 
 
 class Trie:
@@ -53,13 +54,15 @@ class Trie:
             held = node.starts.get(rest)
             if held is None or rule.verdict == "block":
                 node.starts[rest] = rule
+                node.sizes = sorted({*node.sizes, len(rest)})
 
     def _best_path(self, node: _Node, segments: list[str]) -> Rule | None:
         best = None
         for segment in segments:
-            if node.starts:
-                for k in range(len(segment) + 1):
-                    best = node.starts.get(segment[:k], best)
+            for k in node.sizes:
+                if k > len(segment):
+                    break
+                best = node.starts.get(segment[:k], best)
             node = node.segments.get(segment)
             if node is None:
                 break

@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -47,6 +48,21 @@ def test_base_patterns(text):
         assert pii.base_spans(text) == []
 
 
+@pytest.mark.parametrize("text", ["1" * 10**6, "a" * 10**6 + "@b", "@" + "a" * 10**6, "a@" * 300_000, "1." * 500_000, "+1" + " ." * 500_000, "1 " * 500_000, "a.b@c" * 200_000])
+def test_long_runs_take_linear_time(text):
+    began = time.process_time()
+    pii.base_spans(text)
+    assert time.process_time() - began < 5
+
+
+def test_addresses_and_numbers_on_any_text():
+    """Each at sign and each run of digits is looked at once; the patterns as stated find the same."""
+    rng = np.random.default_rng(6)
+    for _ in range(4_000):
+        text = "".join(rng.choice(list("a@b.-1 +é2"), rng.integers(0, 24)))
+        assert pii.base_spans(text) == brute_base(text)
+
+
 @pytest.fixture(scope="module")
 def field(spark):
     return pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))

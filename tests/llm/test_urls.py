@@ -1,6 +1,7 @@
 """The trie against a search of all rules."""
 
 import random
+import time
 
 import pytest
 
@@ -46,3 +47,11 @@ def test_equals_brute_force(spark, seed, chars, monkeypatch):
 def test_block_stands_over_allow():
     trie = urls.Trie([urls.Rule("block", "a", "/"), urls.Rule("allow", "a", "/")])
     assert trie.find("x.a", "/y").verdict == "block"
+
+
+def test_long_paths_take_linear_time():
+    trie = urls.Trie([urls.Rule("block", "net", "/abc"), urls.Rule("allow", "net", "/aaaa"), urls.Rule("block", "net", "/a/b")])
+    began = time.process_time()
+    assert trie.find("x.net", "/" + "a" * 10**6).path == "/aaaa"
+    assert trie.find("x.net", "/b" * 500_000) is None
+    assert time.process_time() - began < 5
