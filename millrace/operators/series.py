@@ -6,14 +6,11 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.columns import col
 from millrace.quantiles import exact_quantiles
-from millrace.session import spread
 from millrace.skew import HOT_ROWS, join_back, micros, slice_of, time_slices, with_markers, with_position, with_previous
 
 
@@ -165,60 +162,3 @@ def time_series_features(df: DataFrame, key: str, ts: str, value: str, ties: Seq
 
 def ratio_percent(used: Column, total: Column) -> Column:
     return F.when(total != 0, used / total * 100)
-
-
-# --- wavelet peaks --------------------------------------------------------------------------
-
-def _ricker(points: int, width: float) -> np.ndarray:
-    x = (np.arange(points) - (points - 1) / 2) / width
-    return 2 / (math.sqrt(3 * width) * math.pi**0.25) * (1 - x**2) * np.exp(-(x**2) / 2)
-
-
-def wavelet_peak_places(x: np.ndarray, widths: int) -> np.ndarray:
-    """Places where the wavelet transform peaks at one of the widths 1..3 and stands out from the noise.
-
-    At widths this small a ridge stays in its place, so a place counts once however many widths peak
-    there. Its strength at the narrowest such width must reach the noise: the 10th percentile of the
-    narrowest transform over a twentieth of the series around it.
-    """
-    n = len(x)
-    if n == 0:
-        return np.array([], int)
-    waves = np.array([np.convolve(x, _ricker(min(10 * w, n), w)[::-1], mode="same") for w in range(1, widths + 1)])
-    waves = waves[:, :n]
-    peak = np.zeros(waves.shape, bool)
-    peak[:, 1:-1] = (waves[:, 1:-1] > waves[:, :-2]) & (waves[:, 1:-1] > waves[:, 2:])
-    half, odd = divmod(-(-n // 20), 2)
-    found = []
-    for place in np.flatnonzero(peak.any(axis=0)):
-        row = int(np.argmax(peak[:, place]))
-        noise = np.percentile(waves[0, max(place - half, 0) : min(place + half + odd, n)], 10)
-        if not abs(waves[row, place]) < abs(noise):
-            found.append(place)
-    return np.array(found, int)
-
-
-def wavelet_peaks(
-    df: DataFrame, key: str, ts: str, value: str, ties: Sequence[str] = (), widths: Sequence[int] = (2, 3),
-    max_points: int = 2_000_000,
-) -> DataFrame:
-    """Number of wavelet peaks per series, a column per largest width.
-
-    The noise is judged over a twentieth of the whole series, so a series is handled in one group;
-    lengths are checked first and one of more than ``max_points`` is refused.
-    """
-    if not set(widths) <= {1, 2, 3}:
-        raise ValueError("widths go from 1 to 3")
-    if df.groupBy(col(key)).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_points).limit(1).count():
-        raise ValueError(f"a series has more than {max_points} points")
-    order = ["__us", *ties]
-    fields = [df.schema[key], *[T.StructField(f"number_cwt_peaks_{w}", T.LongType()) for w in widths]]
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].to_numpy(float)
-        x = x[~np.isnan(x)]
-        counts = {f"number_cwt_peaks_{w}": [len(wavelet_peak_places(x, w))] for w in widths}
-        return pd.DataFrame({key: [pdf[key].iloc[0]], **counts})
-
-    rows = df.select(col(key), micros(col(ts)).alias("__us"), *[col(t) for t in ties], col(value))
-    return spread(rows, [key]).groupBy(col(key)).applyInPandas(count, T.StructType(fields))

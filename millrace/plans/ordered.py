@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.functions import dates
-from millrace.operators import alerts, series
+from millrace.operators import alerts, series, wavelets
 from millrace.plans.aggregates import rounded
 from millrace.plans.registry import query
 
@@ -102,9 +102,34 @@ def _(t):
     return rounded(out, 6, "autocorrelation_lag_2", "autocorrelation_lag_3")
 
 
-@query("ts_wavelet_peaks")
+_RICKER = "2 / (sqrt(3 * w) * power(pi(), 0.25)) * (1 - z * z) * exp(-z * z / 2)"
+
+
+@query(
+    "ts_wavelet_peaks",
+    f"""with e as (
+      select user_id, value as x, row_number() over (partition by user_id order by ts, event_id) - 1 as p, count(*) over (partition by user_id) as n from events
+    ), k as (
+      select n, w, j, {_RICKER} as h from (
+        select n, w, m, j, (j - (m - 1) / 2) / w as z from (
+          select n, w, m, unnest(range(m)) as j from (select distinct n, w, least(10 * w, n) as m from e, (values (1), (2), (3)) widths(w))))
+    ), waves as (
+      select a.user_id, a.n, a.p, k.w, sum(b.x * k.h) as wave from e a join k on k.n = a.n
+      join e b on b.user_id = a.user_id and b.p = a.p + (least(10 * k.w, a.n) - 1) // 2 - k.j group by all
+    ), peaks as (
+      select * from (select *, lag(wave) over s as before, lead(wave) over s as after from waves window s as (partition by user_id, w order by p))
+      where wave > before and wave > after
+    ), first as (select user_id, n, p, min(w) as w, abs(arg_min(wave, w)) as s from peaks group by all),
+    loud as (
+      select f.user_id, f.p, f.w from first f join waves v on v.user_id = f.user_id and v.w = 1
+        and v.p >= f.p - ceil(f.n / 20)::bigint // 2 and v.p < f.p + ceil(f.n / 20)::bigint // 2 + ceil(f.n / 20)::bigint % 2
+      group by f.user_id, f.p, f.w, f.s having f.s >= abs(quantile_cont(v.wave, 0.1))
+    )
+    select user_id, count(*) filter (w <= 2) as number_cwt_peaks_2, count(*) filter (w <= 3) as number_cwt_peaks_3
+    from (select distinct user_id from events) left join loud using (user_id) group by user_id""",
+)
 def _(t):
-    return series.wavelet_peaks(t.events, "user_id", "ts", "value", ["event_id"])
+    return wavelets.wavelet_peaks(t.events, "user_id", "ts", "value", ["event_id"])
 
 
 # --- rules ----------------------------------------------------------------------------------

@@ -125,21 +125,6 @@ def test_mean_shift(groups):
         train_mean_shift(groups, ["x"], 0)
 
 
-def test_wavelet_peaks(spark):
-    from millrace.operators.series import wavelet_peak_places, wavelet_peaks
-
-    t = np.arange(90)
-    x = sum(h * np.exp(-((t - c) ** 2) / 4) for c, h in ((15, 5), (45, 8), (75, 6))) + 0.01 * np.sin(t)
-    places = wavelet_peak_places(x, 3)
-    assert all(np.min(np.abs(places - c)) <= 1 for c in (15, 45, 75))
-    assert len(wavelet_peak_places(np.ones(3) * 0, 2)) == 0
-    df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(x)], "k string, t int, x double").withColumn("t", F.col("t").cast("timestamp"))
-    out = wavelet_peaks(df, "k", "t", "x").first()
-    assert out["number_cwt_peaks_2"] == len(wavelet_peak_places(x, 2)) and out["number_cwt_peaks_3"] >= 3
-    with pytest.raises(ValueError):
-        wavelet_peaks(df, "k", "t", "x", max_points=10)
-
-
 def test_own_models_by_record_and_back(spark, tmp_path):
     from millrace.sources.models import load_model, save_model
 
