@@ -55,13 +55,12 @@ def _linear_svc(classes: int, options: dict):
 #: (type, name) -> factory(number of classes, options) -> estimator
 REGISTRY: dict[tuple[str, str], Callable] = {
     ("classification", "LogisticRegression"): lambda k, o: LogisticRegression(**o),
-    ("classification", "SupportVectorMachines"): _linear_svc,
+    ("classification", "LinearSupportVectorMachines"): _linear_svc,
     ("classification", "GaussianNaiveBayes"): lambda k, o: NaiveBayes(**{"modelType": "gaussian", **o}),
     ("classification", "RandomForest"): lambda k, o: RandomForestClassifier(**{"seed": 1, "numTrees": 100, **o}),
     ("classification", "GradientBoosting"): _boosted_classifier,
     ("regression", "LinearRegression"): lambda k, o: LinearRegression(**o),
-    # a robust linear fit stands in for the kernel machine, whose cost is quadratic in the rows
-    ("regression", "SupportVectorRegression"): lambda k, o: LinearRegression(**{"loss": "huber", **o}),
+    ("regression", "RobustLinearRegression"): lambda k, o: LinearRegression(**{"loss": "huber", **o}),
     ("regression", "RandomForest"): lambda k, o: RandomForestRegressor(**{"seed": 1, "numTrees": 100, **o}),
     ("regression", "GradientBoosting"): lambda k, o: GBTRegressor(**{"seed": 1, "maxIter": 20, **o}),
     ("clustering", "KMeans"): lambda k, o: KMeans(**{"k": 2, "seed": 1, **o}),
@@ -73,7 +72,7 @@ def _own_models() -> dict[tuple[str, str], Callable]:
 
     Drift models keep the reference table and are applied to another one by ``transform``.
     """
-    from millrace.operators import anomaly, explain, meanshift
+    from millrace.operators import anomaly, explain, kernels, meanshift
     from millrace.operators.drift import DriftModel, ks_drift
 
     def forest(df, features, o):
@@ -85,7 +84,8 @@ def _own_models() -> dict[tuple[str, str], Callable]:
 
     return {
         ("anomaly", "IsolationForest"): forest,
-        ("anomaly", "OneClassSVM"): lambda df, features, o: anomaly.train_one_class(df, features, **o),
+        ("anomaly", "OneClassSVM"): lambda df, features, o: kernels.train_one_class_machine(df, features, **o),
+        ("anomaly", "DistanceRule"): lambda df, features, o: anomaly.train_one_class(df, features, **o),
         ("clustering", "MeanShift"): lambda df, features, o: meanshift.train_mean_shift(df, features, **o),
         ("drift", "KolmogorovSmirnov"): lambda df, features, o: DriftModel(df, tuple(features), lambda a, b: ks_drift(a, b, features, **o)),
         ("drift", "SpotDiff"): lambda df, features, o: DriftModel(df, tuple(features), lambda a, b: spot(a, b, features, **o)),
@@ -115,6 +115,14 @@ def train(df: DataFrame, algorithm: Algorithm, label: str | None = None, feature
 
         fit = train_second_order if algorithm.name == "XGBoost" else train_ordered_targets
         return fit(df, algorithm, label, feature_names(df, label, features))
+    if algorithm.name in ("SupportVectorMachines", "SupportVectorRegression"):
+        from millrace.operators.kernels import train_kernel_machine
+
+        options = dict(algorithm.input_variables)
+        if options.pop("kernel", "rbf") != "linear":
+            return train_kernel_machine(df, algorithm, label, feature_names(df, label, features))
+        linear = "LinearSupportVectorMachines" if algorithm.type == "classification" else "RobustLinearRegression"
+        algorithm = Algorithm(linear, algorithm.type, options, algorithm.scoring)
     own = _own_models()
     key = (algorithm.type, algorithm.name)
     if key in own:

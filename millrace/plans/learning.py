@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.functions.logs import parse_log
-from millrace.operators import anomaly, encode, explain, meanshift, metrics, models, scale, search, sessions, split, summary
+from millrace.operators import anomaly, encode, explain, meanshift, models, scale, search, sessions, split, summary
 from millrace.operators.joins import merge
 from millrace.operators.project import remap_anomaly
 from millrace.plans.aggregates import rounded
@@ -52,36 +52,78 @@ def _(t):
     return both.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("predictions") == F.col("want")).alias("same"))
 
 
-_CLASSIFIERS = ("LogisticRegression", "SupportVectorMachines", "GaussianNaiveBayes", "RandomForest", "GradientBoosting", "AdaBoost")
-_REGRESSORS = ("LinearRegression", "SupportVectorRegression", "BayesianRidgeRegression", "RandomForest", "GradientBoosting", "AdaBoost")
+_CLASSIFIERS = (
+    "LogisticRegression", "SupportVectorMachines", "LinearSupportVectorMachines", "GaussianNaiveBayes", "RandomForest", "GradientBoosting", "XGBoost", "CatBoost", "AdaBoost",
+)
+_REGRESSORS = ("LinearRegression", "SupportVectorRegression", "RobustLinearRegression", "BayesianRidgeRegression", "RandomForest", "GradientBoosting", "XGBoost", "CatBoost", "AdaBoost")
+#: Few rounds: what is asked for here is found early.
+_SHORT = {
+    "GradientBoosting": {"maxIter": 3}, "XGBoost": {"n_estimators": 3, "max_depth": 2}, "CatBoost": {"iterations": 3, "depth": 2, "learning_rate": 0.5},
+    "SupportVectorMachines": {"rounds": 12, "size": 64}, "RandomForest": {"numTrees": 10}, "LinearSupportVectorMachines": {"maxIter": 10},
+}
+
+
+def _parted(t, groups=2):
+    """Parts in ``groups`` clusters far from each other: place and jitter follow from the key."""
+    g = F.pmod(F.col("p_partkey"), F.lit(groups))
+    jitter = lambda k: F.floor(F.col("p_partkey") / k) % 13 / 13
+    return t.part.select("p_partkey", g.cast("int").alias("g"), (g % 2 * 10 + jitter(7)).alias("x"), (F.floor(g / 2) * 10 + (g % 2) * 3 + jitter(11)).alias("y"))
 
 
 def _named(names, column):
     return f"select unnest({list(names)}) as name, true as {column}"
 
 
-@query("classifier_families", _named(_CLASSIFIERS, "useful"))
+@query("classifier_families", f"select unnest({list(_CLASSIFIERS)}) as name, (select count(*) - (count(*) * 700 // 1000) from part) as n, 1.0::double as accuracy")
 def _(t):
-    """Every classifier on one task: none is worse than calling every document good, by more than a tenth."""
-    train, test = (materialize(part) for part in split.split_train_test(_flagged(t), "doc_id", 0.7, seed=3))
+    """Every classifier on two clusters far apart, half of the rows each: none errs on a held-out row."""
+    train, test = (materialize(part) for part in split.split_train_test(_parted(t), "p_partkey", 0.7, seed=3))
     out = None
-    good = test.agg(F.avg("quality")).scalar()
     for name in _CLASSIFIERS:
-        options = {"AdaBoost": {"n_estimators": 5}}.get(name, {})
-        algorithm = models.Algorithm(name, "classification", options)
-        scored = models.score(models.train(train, algorithm, "quality", _DOC), test, "quality")
-        row = models.score_table(scored, "quality", "classification").select(F.lit(name).alias("name"), (F.col("accuracy") >= good - 0.1).alias("useful"))
+        model = models.train(train, models.Algorithm(name, "classification", _SHORT.get(name, {})), "g", ["x", "y"])
+        scored = models.score(model, test, "g")
+        row = scored.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.avg((F.col("predictions") == F.col("g")).cast("double")).alias("accuracy"))
         out = row if out is None else out.unionByName(row)
     return out
 
 
+@query(
+    "logistic_closed_form",
+    """with c as (select avg((l_discount > 0.05)::int) filter (l_linenumber % 2 = 1) as p1, avg((l_discount > 0.05)::int) filter (l_linenumber % 2 = 0) as p0 from lineitem)
+       select round(ln(p0 / (1 - p0)), 3) as intercept, round(ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)), 3) as coefficient from c""",
+)
+def _(t):
+    """With one binary column the most likely weights are differences of log odds."""
+    df = t.lineitem.select((F.col("l_linenumber") % 2).cast("double").alias("odd"), (F.col("l_discount") > 0.05).cast("int").alias("y"))
+    model = models.train(df, models.Algorithm("LogisticRegression", "classification", {"tol": 1e-10, "maxIter": 200}), "y", ["odd"])
+    fit = model.stages[1]
+    return t.spark.createDataFrame([(round(float(fit.intercept), 3), round(float(fit.coefficients[0]), 3))], "intercept double, coefficient double")
+
+
+@query(
+    "naive_bayes_moments",
+    """select l_returnflag as class, round(ln(count(*) / (select count(*) from lineitem)), 6) as prior, round(avg(l_quantity), 6) as mean, round(var_pop(l_quantity), 4) as variance
+       from lineitem group by 1""",
+)
+def _(t):
+    """Priors, means and variances of the classes are those of the rows."""
+    model = models.train(t.lineitem.select("l_returnflag", "l_quantity"), models.Algorithm("GaussianNaiveBayes", "classification", {"smoothing": 0.0}), "l_returnflag", ["l_quantity"])
+    fit, labels = model.stages[1], model.stages[-1].getLabels()
+    rows = [(c, float(fit.pi[i]), float(fit.theta.toArray()[i][0]), float(fit.sigma.toArray()[i][0])) for i, c in enumerate(labels)]
+    out = t.spark.createDataFrame(rows, "class string, prior double, mean double, variance double")
+    return rounded(rounded(out, 6, "prior", "mean"), 4, "variance")
+
+
 @query("train_score_regression", _named(_REGRESSORS, "fits"))
 def _(t):
     """Every regressor on one task: each explains nine tenths of the held-out variance."""
     train, test = (materialize(part) for part in split.split_train_test(_prices(t), "p_partkey", 0.8, seed=3))
     out = None
     for name in _REGRESSORS:
-        options = {"AdaBoost": {"n_estimators": 5}}.get(name, {})
+        options = {
+            "AdaBoost": {"n_estimators": 5}, "XGBoost": {"n_estimators": 8, "max_depth": 4}, "CatBoost": {"iterations": 10, "depth": 4, "learning_rate": 0.5},
+            "SupportVectorRegression": {"C": 10.0, "epsilon": 5.0, "rounds": 20, "size": 64},
+        }.get(name, {})
         algorithm = models.Algorithm(name, "regression", options)
         scored = models.score(models.train(train, algorithm, "p_retailprice", ["size", "serial"]), test, "p_retailprice", "regression")
         row = models.score_table(scored, "p_retailprice", "regression").select(F.lit(name).alias("name"), (F.col("r2") > 0.9).alias("fits"))
@@ -89,27 +131,23 @@ def _(t):
     return out
 
 
-@query("train_score_clustering", "select true as bounded, true as consistent")
+@query("train_score_clustering", "select 1.0::double as homogeneity, 1.0::double as completeness, 1.0::double as v_measure, count(*) as n from part")
 def _(t):
-    """The scores of a k-means clustering lie in their bounds, and the V-measure is the mean of its two parts."""
-    df = _vectors(t)
-    model = models.train(df, models.Algorithm("KMeans", "clustering", {"k": 10}), None, _DIMS)
-    scored = models.score(model, df, "label", "clustering")
-    s = models.score_table(scored, "label", "clustering")
-    h, c, v = (F.col(x) for x in ("homogeneity", "completeness", "v_measure"))
-    entropy = (F.col("h_pred") <= F.log(F.lit(10.0)) + 1e-9) & (F.col("mutual_info") <= F.least("h_label", "h_pred") + 1e-9)
-    return s.select((h.between(0, 1) & c.between(0, 1) & entropy).alias("bounded"), (F.abs(v * (h + c) - 2 * h * c) < 1e-9).alias("consistent"))
+    """Four clusters far apart are found again, and the scores say so."""
+    df = _parted(t, 4)
+    model = models.train(df, models.Algorithm("KMeans", "clustering", {"k": 4, "initSteps": 8}), None, ["x", "y"])
+    scored = models.score(model, df, "g", "clustering")
+    s = models.score_table(scored, "g", "clustering").select("homogeneity", "completeness", "v_measure")
+    return rounded(s, 9, *s.columns).withColumn("n", scored.agg(F.count(F.lit(1))).scalar())
 
 
-@query("mean_shift", "select count(*) as n, true as numbered from orders")
+@query("mean_shift", "select p_partkey % 4 as g, count(*) as n, 1 as clusters, 4 as of from part group by 1")
 def _(t):
-    """Clusters of the order price and day, in standard units: every row has one, numbered from 0 without a gap."""
-    df = t.orders.select("o_orderkey", "o_totalprice", F.datediff("o_orderdate", F.lit("1995-01-01")).cast("double").alias("day"))
-    scaled = scale.scale(df, ["o_totalprice", "day"], "standard")
-    model = meanshift.train_mean_shift(scaled, ["o_totalprice", "day"], 1.5)
-    sizes = model.transform(scaled).groupBy("predictions").agg(F.count("*").alias("n"))
-    whole = (F.min("predictions") == 0) & (F.max("predictions") == F.count(F.lit(1)) - 1)
-    return sizes.agg(F.sum("n").alias("n"), whole.alias("numbered"))
+    """Four clusters far apart: each is one cluster, and no two are the same."""
+    df = _parted(t, 4)
+    found = meanshift.train_mean_shift(df, ["x", "y"], 3.0).transform(df)
+    every = found.agg(F.countDistinct("predictions")).scalar().cast("int")
+    return found.groupBy("g").agg(F.count("*").alias("n"), F.countDistinct("predictions").cast("int").alias("clusters")).withColumn("of", every)
 
 
 @query("score_unlabelled", "select p_partkey from part")
@@ -140,46 +178,103 @@ def _(t):
     return rounded(out.drop("l_extendedprice"), 3, "attr_l_quantity")
 
 
-@query("summarize_kmeans", "select o_orderstatus, count(*) as n, 10 as bins, 1.0::double as total from orders group by 1")
+@query("summarize_kmeans", "select o_orderstatus, (o_orderkey % 4)::double as lo, count(*) as n from orders group by all")
 def _(t):
-    """Histogram of price clusters per order status: no row is lost, shares add up."""
-    ids = models.summarize_kmeans_ids(t.orders.select("o_orderstatus", "o_totalprice"), "o_totalprice", 10)
-    bins = summary.group_histogram(ids, ["o_orderstatus"], "o_totalprice", 10)
-    return bins.groupBy("o_orderstatus").agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).cast("int").alias("bins"), F.round(F.sum("fraction"), 9).alias("total")
-    )
+    """Histogram of value clusters per order status: four groups of values far apart are the four bins."""
+    value = (F.col("o_orderkey") % 4) * 1000 + F.col("o_totalprice") % 10
+    ids = models.summarize_kmeans_ids(t.orders.select("o_orderstatus", value.alias("value")), "value", 4)
+    return ids.groupBy("o_orderstatus", F.col("value").alias("lo")).agg(F.count("*").alias("n"))
+
+
+@query("summarize_kmeans_histogram", "select o_orderstatus, count(*) as n, 4 as bins, 1.0::double as total, bool_and(true) as even from orders group by 1")
+def _(t):
+    """The same as a histogram: no row is lost, shares add up, and each bin holds the rows of one group."""
+    value = (F.col("o_orderkey") % 4) * 1000 + F.col("o_totalprice") % 10
+    base = t.orders.select("o_orderstatus", value.alias("value"))
+    bins = summary.group_histogram(models.summarize_kmeans_ids(base, "value", 4), ["o_orderstatus"], "value", 4)
+    sizes = base.groupBy("o_orderstatus", F.floor(F.col("value") / 1000).alias("v")).agg(F.count("*").alias("c"))
+    want = sizes.groupBy("o_orderstatus").agg(F.sort_array(F.collect_list("c")).alias("want"))
+    got = bins.groupBy("o_orderstatus").agg(F.sum("n").alias("n"), F.count(F.lit(1)).cast("int").alias("bins"), F.round(F.sum("fraction"), 9).alias("total"), F.sort_array(F.collect_list("n")).alias("got"))
+    return got.join(want, "o_orderstatus").select("o_orderstatus", "n", "bins", "total", (F.col("got") == F.col("want")).alias("even"))
 
 
 # --- outliers and drift ---------------------------------------------------------------------
 
-@query(
-    "isolation_scores",
-    "select predictions, n, true as apart from (select unnest([0, 1]) as predictions, unnest([count(*) - ceil(count(*) * 0.05)::bigint, ceil(count(*) * 0.05)::bigint]) as n from part)",
-)
+#: One part in a hundred lies far from all others, and from each other.
+_PLANTED = "(p_partkey % 100 = 7)::int"
+
+
+def _outlying(t):
+    far = F.col("p_partkey") % 100 == 7
+    k = F.floor(F.col("p_partkey") / 100)
+    return t.part.select(
+        "p_partkey", F.when(far, 400 + 60 * k).otherwise(F.col("p_size")).cast("double").alias("size"),
+        F.when(far, 9000 + 900 * (k % 23)).otherwise(F.col("p_retailprice")).cast("double").alias("p_retailprice"),
+    )
+
+
+@query("isolation_scores", f"select p_partkey, {_PLANTED} as predictions from part")
 def _(t):
-    """The share asked for is flagged, and no flagged row scores below one that is not."""
-    forest = anomaly.train_isolation_forest(_prices(t), "p_partkey", ["size", "p_retailprice"], trees=50, contamination=0.05)
-    flagged = remap_anomaly(forest.transform(forest.scores(_prices(t))))
-    ends = flagged.groupBy("predictions").agg(F.count("*").alias("n"), F.min("anomaly_score").alias("lo"), F.max("anomaly_score").alias("hi"))
-    least = ends.where("predictions = 1").select("lo").scalar()
-    return ends.select("predictions", "n", ((F.col("predictions") == 1) | (F.col("hi") <= least)).alias("apart"))
+    """The rows that lie far off are flagged, and no others."""
+    df = _outlying(t)
+    share = t.part.agg(F.avg((F.col("p_partkey") % 100 == 7).cast("double"))).first()[0]
+    forest = anomaly.train_isolation_forest(df, "p_partkey", ["size", "p_retailprice"], trees=50, contamination=share)
+    return remap_anomaly(forest.transform(df)).select("p_partkey", "predictions")
 
 
 @query(
     "anomaly_by_record",
-    """select unnest(['IsolationForest', 'OneClassSVM']) as name, unnest([ceil(count(*) * 0.05)::bigint, ceil(count(*) * 0.1)::bigint]) as flagged, true as same from part""",
+    f"select unnest(['IsolationForest', 'DistanceRule']) as name, unnest([n, n]) as flagged, unnest([n, n]) as planted, true as same from (select sum({_PLANTED})::bigint as n from part)",
 )
 def _(t):
-    """Outlier models trained by record, saved and loaded: rows they flag, and whether both score alike."""
+    """Outlier models trained by record, saved and loaded: rows they flag, how many of these lie far off, and whether both score alike."""
+    df = _outlying(t)
+    far = F.col("p_partkey") % 100 == 7
+    share = t.part.agg(F.avg(far.cast("double"))).first()[0]
     out = None
-    for name, options in (("IsolationForest", {"n_estimators": 50, "contamination": 0.05, "key": "p_partkey"}), ("OneClassSVM", {"nu": 0.1})):
-        model = models.train(_prices(t), models.Algorithm(name, "anomaly", options), None, ["size", "p_retailprice"])
+    for name, options in (("IsolationForest", {"n_estimators": 50, "contamination": share, "key": "p_partkey"}), ("DistanceRule", {"nu": share})):
+        model = models.train(df, models.Algorithm(name, "anomaly", options), None, ["size", "p_retailprice"])
         path = scratch_folder(t.spark, "model")
         save_model(model, path)
-        loaded, trained = (remap_anomaly(m.transform(_prices(t))).select("p_partkey", "predictions") for m in (load_model(path), model))
+        loaded, trained = (remap_anomaly(m.transform(df)).select("p_partkey", "predictions") for m in (load_model(path), model))
         both = loaded.join(trained.withColumnRenamed("predictions", "want"), "p_partkey")
-        row = both.agg(F.sum("predictions").cast("long").alias("flagged"), F.bool_and(F.col("predictions") == F.col("want")).alias("same"))
-        row = row.select(F.lit(name).alias("name"), "flagged", "same")
+        row = both.agg(
+            F.sum("predictions").cast("long").alias("flagged"), F.sum(F.when(far, F.col("predictions")).otherwise(0)).cast("long").alias("planted"),
+            F.bool_and(F.col("predictions") == F.col("want")).alias("same"),
+        )
+        row = row.select(F.lit(name).alias("name"), "flagged", "planted", "same")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(
+    "one_class_machine",
+    """select unnest(['middle', 'ring', 'away']) as place, unnest([1, 0, 1]) as predictions, round(0.1, 2) as share""",
+)
+def _(t):
+    """Parts on a ring: its middle and places off it are outside, the ring is inside, and so is all but a tenth of the rows."""
+    angle = F.col("p_partkey") * 2.399963
+    r = 10 + (F.floor(F.col("p_partkey") / 3) % 11 - 5) / 10
+    ring = t.part.select((r * F.cos(angle)).alias("x"), (r * F.sin(angle)).alias("y"))
+    model = models.train(ring, models.Algorithm("OneClassSVM", "anomaly", {"nu": 0.1, "gamma": 0.1, "rounds": 8}), None, ["x", "y"])
+    share = remap_anomaly(model.transform(ring)).agg(F.round(F.avg("predictions"), 2)).scalar()
+    asked = t.spark.createDataFrame([("middle", 0.0, 0.0), ("ring", 10.0, 0.0), ("away", 30.0, 5.0)], "place string, x double, y double")
+    return remap_anomaly(model.transform(asked)).select("place", F.col("predictions").cast("int").alias("predictions"), share.alias("share"))
+
+
+@query("kernel_rings", "select unnest(['SupportVectorMachines', 'LinearSupportVectorMachines']) as name, unnest([true, false]) as told_apart")
+def _(t):
+    """Two rings around one centre: a kernel machine tells them apart, a plane cannot."""
+    angle = F.col("p_partkey") * 2.399963
+    outer = F.col("p_partkey") % 2
+    r = 4 + 6 * outer + (F.floor(F.col("p_partkey") / 3) % 11 - 5) / 10
+    df = t.part.select("p_partkey", outer.cast("int").alias("g"), (r * F.cos(angle)).alias("x"), (r * F.sin(angle)).alias("y"))
+    train, test = (materialize(part) for part in split.split_train_test(df, "p_partkey", 0.7, seed=3))
+    out = None
+    for name, options in (("SupportVectorMachines", {"gamma": 0.1, "rounds": 20, "size": 128}), ("LinearSupportVectorMachines", {"maxIter": 10})):
+        scored = models.score(models.train(train, models.Algorithm(name, "classification", options), "g", ["x", "y"]), test, "g")
+        right = models.score_table(scored, "g", "classification").select("accuracy").first()[0]
+        row = t.spark.createDataFrame([(name, right > 0.99)], "name string, told_apart boolean")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -212,19 +307,46 @@ def _(t):
 
 # --- search and explanation -----------------------------------------------------------------
 
+def _band(t):
+    """A class that one cut cannot tell and two can: whether the serial number is in the middle."""
+    return _prices(t).select("p_partkey", "serial", F.col("serial").between(250, 749).cast("int").alias("middle"))
+
+
 @query(
     "grid_search_losses",
-    """select * from (values ('LogisticRegression', '{''maxIter'': 50, ''regParam'': 0.0}', true), ('LogisticRegression', '{''maxIter'': 50, ''regParam'': 0.1}', true),
-       ('GaussianNaiveBayes', '{}', true)) as v(name, options, useful)""",
+    """select * from (values ('RandomForest', '{''maxDepth'': 1, ''numTrees'': 5}', false), ('RandomForest', '{''maxDepth'': 4, ''numTrees'': 5}', true),
+       ('LogisticRegression', '{}', false)) as v(name, options, found)""",
 )
 def _(t):
-    """Each candidate has a loss, and none loses more than calling every document good, by more than a tenth."""
-    candidates = search.grid(models.Algorithm("LogisticRegression", "classification"), {"regParam": [0.0, 0.1], "maxIter": [50]})
-    candidates.append(models.Algorithm("GaussianNaiveBayes", "classification"))
-    docs = _flagged(t)
-    bad = docs.agg(F.avg(1 - F.col("quality"))).scalar()
-    losses = search.search(docs, candidates, "quality", "doc_id", _DOC, folds=3)
-    return losses.select("name", "options", F.col("loss").between(F.lit(0), bad + 0.1).alias("useful"))
+    """Of a stump, a deeper tree and a plane only the deeper tree finds the class, within a twentieth."""
+    candidates = search.grid(models.Algorithm("RandomForest", "classification"), {"maxDepth": [1, 4], "numTrees": [5]})
+    candidates.append(models.Algorithm("LogisticRegression", "classification"))
+    losses = search.search(_band(t), candidates, "middle", "p_partkey", ["serial"], folds=3)
+    best = search.best(losses, candidates)
+    told = (F.col("loss") < 0.05) & F.lit(best.input_variables.get("maxDepth") == 4)
+    return losses.select("name", "options", told.alias("found"))
+
+
+_PENALTIES = [0.0, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0]
+
+
+@query(
+    "search_halving",
+    f"""with u as (select p_partkey, ('0x' || substr(md5('0|' || p_partkey), 1, 8))::bigint / 4294967296.0 as u from part),
+       rung as (select unnest([0, 1]) as rung, unnest([1 / 3.0, 1.0]) as share, unnest([9, 3]) as places),
+       c as (select i, '{{''regParam'': ' || printf('%.1f', x) || '}}' as options from (select unnest({_PENALTIES}) as x, unnest(range(9)) as i))
+       select rung, options, (select count(*) from u where u.u < rung.share) as n, i = 0 and rung = 1 as best from rung, c where i < places""",
+)
+def _(t):
+    """A plane is fitted best without a penalty: the three smallest of nine penalties go on to all rows, and none wins."""
+    candidates = search.grid(models.Algorithm("LinearRegression", "regression"), {"regParam": _PENALTIES})
+    df = _prices(t)
+    rungs = search.successive_halving(df, candidates, "p_retailprice", "p_partkey", ["size", "serial"], folds=2, table=scratch_folder(t.spark, "rungs"))
+    best = str(search.best_of_rungs(rungs, candidates).input_variables)
+    u = search.hashed_share("p_partkey")
+    sizes = df.agg(F.count_if(u < 1 / 3).alias("n0"), F.count(F.lit(1)).alias("n1")).first()
+    n = F.when(F.col("rung") == 0, sizes.n0).otherwise(sizes.n1).cast("long")
+    return rungs.select("rung", "options", n.alias("n"), ((F.col("rung") == 1) & (F.col("options") == best)).alias("best"))
 
 
 @query("cv_loss", "select 'LinearRegression' as name, 0.0::double as loss")
@@ -291,17 +413,17 @@ def _(t):
 _LOG_RULES = [(1, r"(\w+) ok (\d+)", "session, amount"), (2, r"(\w+) fail (\w+)", "session, reason"), (3, r"(\w+) (\w+)", "session, reason")]
 
 
-@query("log_anomaly", "select count(distinct user_id) as sessions, ceil(count(distinct user_id) * 0.1)::bigint as flagged from events")
+@query("log_anomaly", "select 'u' || user_id as id, (user_id % 50 = 7)::int as predictions from events group by user_id")
 def _(t):
-    """How many sessions there are and how many are flagged. Lines -> sessions' feature vectors -> isolation forest -> flags against a rule of thumb."""
-    line = F.concat(
-        F.concat(F.lit("u"), F.col("user_id")), F.when(F.col("event_type") == "error", F.concat(F.lit(" fail r"), F.col("event_id") % 4))
-        .otherwise(F.concat(F.lit(" ok "), F.floor("value").cast("long")))
-    )
-    logs = parse_log(t.events.select(line.alias("value")), _LOG_RULES)
+    """Lines -> sessions' feature vectors -> isolation forest: sessions that fail over and over, each in its own way, are flagged, and no others."""
+    odd = F.col("user_id") % 50 == 7
+    user = F.concat(F.lit("u"), F.col("user_id"))
+    times = F.when(odd, F.sequence(F.lit(1), (F.floor(F.col("user_id") / 50) + 6).cast("int"))).otherwise(F.array(F.lit(1)))
+    failed = odd | (F.col("event_type") == "error")
+    line = F.when(failed, F.concat(user, F.lit(" fail r"), F.when(odd, 3).otherwise(F.col("event_id") % 4))).otherwise(F.concat(user, F.lit(" ok "), F.floor("value").cast("long")))
+    logs = parse_log(t.events.select(F.explode(times).alias("again"), line.alias("value")).select("value"), _LOG_RULES)
     vectors = sessions.session_features(logs, "session", "pattern_id", {"reason": ["r0", "r1", "r2", "r3"]}, ["amount"], patterns=3)
     names = [c for c in vectors.columns if c != "id"]
-    forest = anomaly.train_isolation_forest(vectors, "id", names, trees=50, contamination=0.1)
-    flags = remap_anomaly(forest.transform(vectors)).withColumn("label", (F.col("pattern_2") > 25).cast("int"))
-    cells = metrics.confusion_counts(flags, "label")
-    return cells.agg(F.sum("n").alias("sessions"), F.sum(F.when(F.col("prediction") == 1, F.col("n")).otherwise(0)).alias("flagged"))
+    share = t.events.select("user_id").distinct().agg(F.avg(odd.cast("double"))).first()[0]
+    forest = anomaly.train_isolation_forest(vectors, "id", names, trees=50, contamination=share)
+    return remap_anomaly(forest.transform(vectors)).select("id", "predictions")

@@ -6,6 +6,8 @@ from millrace.plans.aggregates import rounded
 from millrace.plans.registry import query
 from millrace.session import scratch_folder
 from millrace.sources import files, tables
+from millrace.sources.scripts import register_script
+from millrace.sources.sql import run_sql
 
 
 @query(
@@ -155,3 +157,31 @@ def _(t):
     t.supplier.select(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features")).write.json(path)
     found = files.read_geojson(t.spark, path, lines=True)
     return found.select(F.col("properties")["name"].alias("name"), "points", "x1", "y1", "x2", "y2")
+
+
+class _Sessions:
+    """A user's script: how many sessions a key has, parted by pauses of more than ``pause`` seconds."""
+
+    def __init__(self, pause=3600):
+        self.pause, self.key, self.last, self.n = pause, None, None, 0
+
+    def row(self, key, ts):
+        if self.last is None or (ts - self.last).total_seconds() > self.pause:
+            self.n += 1
+        self.key, self.last = key, ts
+
+    def end(self):
+        return [(self.key, self.n)]
+
+
+@query(
+    "user_script",
+    """select user_id, sum(opens)::bigint as sessions from (
+         select user_id, (lag(ts) over w is null or ts > lag(ts) over w + interval 20000 seconds)::int as opens from events window w as (partition by user_id order by ts, event_id)
+       ) group by 1 having sum(opens) > 2""",
+)
+def _(t):
+    """A class of the user's, called by name in SQL, over ordered partitions of a table."""
+    register_script(t.spark, "count_sessions", _Sessions, ["user_id", "ts"], "user_id long, sessions long", ["user_id"], ["ts", "event_id"])
+    events = t.events.select("user_id", "event_id", "ts")
+    return run_sql(t.spark, "select * from count_sessions(table(events), pause => 20000) where sessions > 2", {"events": events})

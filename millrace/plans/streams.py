@@ -8,7 +8,7 @@ from millrace.plans.ordered import COOLDOWN_SQL, METRIC_SQL, _GAP, _RULES, metri
 from millrace.plans.registry import query
 from millrace.session import scratch_folder
 from millrace.sources.files import export_by_value
-from millrace.streaming import ordered, run, sources, stateful
+from millrace.streaming import cleanup, ordered, run, sources, stateful
 from millrace.streaming.exchange import start_exchange
 
 
@@ -133,3 +133,16 @@ def _(t):
     found = t.spark.read.parquet(seen)
     once = found.groupBy("path").agg(F.count("*").alias("n")).where("n = 1")
     return once.select(F.element_at(F.split("path", "/"), -2).alias("folder")).distinct()
+
+
+@query("stream_delete_after", "select 4 as deleted, 0 as left_over, count(*) as n, count(distinct event_id) as ids from events")
+def _(t):
+    """Files of events go once their batch is committed, those of the last batch as well."""
+    folder = scratch_folder(t.spark, "drop")
+    t.events.repartition(4, "event_id").write.parquet(folder)
+    out, progress = scratch_folder(t.spark, "read"), scratch_folder(t.spark, "read-progress")
+    stream = sources.record_stream(t.spark, folder, t.events.schema, pattern="part-*", files_per_batch=3)
+    deleted = cleanup.drain_and_delete(t.spark, stream, out, progress)
+    left = [n for n in cleanup._names(t.spark, folder) if n.startswith("part-")]
+    rows = t.spark.read.schema(t.events.schema).parquet(out)
+    return rows.agg(F.lit(deleted).alias("deleted"), F.lit(len(left)).alias("left_over"), F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))

@@ -15,12 +15,13 @@ from pyspark.sql import SparkSession
 from millrace.operators.anomaly import DistanceRule, IsolationForest
 from millrace.operators.boosting import BoostedTrees
 from millrace.operators.gradient import GradientTrees, Tree
+from millrace.operators.kernels import FourierMap, KernelMachine, OneClassMachine
 from millrace.operators.meanshift import MeanShiftModel
 from millrace.operators.ordered_targets import CodedTrees
 from millrace.operators.ridge import LinearFit
 from millrace.operators.scale import Scaler
 
-_OWN = {c.__name__: c for c in (BoostedTrees, CodedTrees, DistanceRule, GradientTrees, IsolationForest, LinearFit, MeanShiftModel, Scaler, Tree)}
+_OWN = {c.__name__: c for c in (BoostedTrees, CodedTrees, DistanceRule, FourierMap, GradientTrees, IsolationForest, KernelMachine, LinearFit, MeanShiftModel, OneClassMachine, Scaler, Tree)}
 _TREES = {"classifier": DecisionTreeClassificationModel, "regressor": DecisionTreeRegressionModel}
 
 

@@ -16,7 +16,7 @@ def groups(spark):
 
 
 @pytest.mark.parametrize("name, options", [
-    ("LogisticRegression", {}), ("SupportVectorMachines", {"maxIter": 10}), ("GaussianNaiveBayes", {}),
+    ("LogisticRegression", {}), ("SupportVectorMachines", {"rounds": 8, "size": 64}), ("SupportVectorMachines", {"kernel": "linear", "maxIter": 10}), ("GaussianNaiveBayes", {}),
     ("RandomForest", {"numTrees": 5}), ("GradientBoosting", {"maxIter": 2}), ("AdaBoost", {"n_estimators": 6}),
 ])
 def test_classifiers(groups, name, options):
@@ -27,7 +27,7 @@ def test_classifiers(groups, name, options):
 
 
 @pytest.mark.parametrize("name, options, least", [
-    ("LinearRegression", {}, 0.999), ("SupportVectorRegression", {}, 0.99), ("BayesianRidgeRegression", {}, 0.999),
+    ("LinearRegression", {}, 0.999), ("RobustLinearRegression", {}, 0.99), ("BayesianRidgeRegression", {}, 0.999),
     ("RandomForest", {"numTrees": 5}, 0.7), ("GradientBoosting", {"maxIter": 5}, 0.7), ("AdaBoost", {"n_estimators": 5}, 0.7),
 ])
 def test_regressors(groups, name, options, least):
@@ -125,6 +125,61 @@ def test_mean_shift(groups):
         train_mean_shift(groups, ["x"], 0)
 
 
+def brute_shift(x, bandwidth):
+    """Every step over all pairs, from the same seeds, in plain numpy."""
+    from millrace.operators.meanshift import _Grid
+
+    cells = np.floor(x @ _Grid(x.shape[1], bandwidth).axes.T / bandwidth)
+    seeds = [x[(cells == c).all(axis=1)].mean(axis=0) for c in np.unique(cells, axis=0)]
+    rest = {}
+    for s in seeds:
+        while True:
+            near = x[((x - s) ** 2).sum(axis=1) <= bandwidth**2]
+            m = near.mean(axis=0)
+            if ((m - s) ** 2).sum() < (1e-3 * bandwidth) ** 2:
+                rest[tuple(np.round(m, 9))] = len(near)
+                break
+            s = m
+    kept = []
+    for place in sorted(rest, key=lambda p: (rest[p], *p), reverse=True):
+        if all(((np.array(place) - np.array(k)) ** 2).sum() > bandwidth**2 for k in kept):
+            kept.append(place)
+    return kept
+
+
+@pytest.mark.parametrize("width", [2, 8])
+def test_mean_shift_equals_plain_numpy(spark, width):
+    from millrace.operators.meanshift import train_mean_shift
+
+    rng = np.random.default_rng(width)
+    x = np.vstack([rng.normal(c, 1, (40, width)) for c in rng.normal(0, 6, (5, width))])
+    names = [f"c{i}" for i in range(width)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{n} double" for n in names))
+    model = train_mean_shift(df, names, 3.0)
+    want = np.array(brute_shift(x, 3.0))
+    assert len(model.centers) == len(want) and np.allclose(model.centers, want, atol=1e-6)
+    placed = np.array([r.predictions for r in model.transform(df).collect()])
+    assert (placed == ((x[:, None] - want[None]) ** 2).sum(axis=2).argmin(axis=1)).all()
+    assert model.transform(spark.createDataFrame([(None,) * width], ", ".join(f"{n} double" for n in names))).first().predictions is None
+
+
+def test_halving_goes_on_from_its_table(spark, groups, tmp_path, monkeypatch):
+    base = models.Algorithm("LogisticRegression", "classification")
+    candidates = search.grid(base, {"regParam": [0.0, 5.0, 20.0, 50.0]})
+    folder = str(tmp_path / "rungs")
+    rungs = search.successive_halving(groups, candidates, "kind", "id", ["x", "y"], folds=2, factor=2, table=folder)
+    found = [(r.rung, r.share) for r in rungs.orderBy("rung").collect()]
+    assert found == [(0, 0.5)] * 4 + [(1, 1.0)] * 2 and rungs.where("loss is null").count() == 0
+    assert search.best_of_rungs(rungs, candidates).input_variables["regParam"] == 0.0
+    calls = []
+    monkeypatch.setattr(search, "cv_loss", lambda *a, **k: calls.append(1) or 0.5)
+    again = search.successive_halving(groups, candidates, "kind", "id", ["x", "y"], folds=2, factor=2, table=folder)
+    assert not calls and sorted(map(tuple, again.collect())) == sorted(map(tuple, rungs.collect()))
+    # a spent budget ends the search after the first rung, in which every candidate has a loss
+    short = search.successive_halving(groups, candidates, "kind", "id", ["x", "y"], budget_seconds=-1, factor=2)
+    assert {r.rung for r in short.collect()} == {0} and short.count() == len(calls) == 4
+
+
 def test_own_models_by_record_and_back(spark, tmp_path):
     from millrace.sources.models import load_model, save_model
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import alerts, series
-from millrace.streaming import ordered, run, sources, stateful
+from millrace.streaming import cleanup, ordered, run, sources, stateful
 from millrace.streaming.exchange import start_exchange
 
 
@@ -154,3 +154,35 @@ def test_state_in_order_without_spark():
     a, b = pd.DataFrame({"x": [1.5, None], "s": ["é", None]}), pd.DataFrame({"x": [2.5], "s": ["z"]})
     got = ordered._unpacked(ordered._packed(a) + ordered._packed(b))
     assert got["x"].tolist()[0::2] == [1.5, 2.5] and got["s"].tolist() == ["é", None, "z"]
+
+
+def test_files_go_after_their_batch_is_committed(spark, dropped, tmp_path):
+    folder, table = dropped
+    progress, out = str(tmp_path / "progress"), str(tmp_path / "out")
+    left = lambda: sorted(f for f in os.listdir(folder) if f.endswith(".parquet"))
+    every = left()
+
+    def write(batch, number):
+        if number == 2 and fails:
+            raise ValueError("no room")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    def start():
+        stream = source(spark, folder, table).writeStream.foreachBatch(write).option("checkpointLocation", progress)
+        return stream.trigger(availableNow=True).start()
+
+    fails = True
+    with pytest.raises(Exception, match="no room"):
+        cleanup.delete_while_running(start(), spark, progress)
+    assert len(every) == 5 and len(left()) == 3 and set(left()) < set(every)
+    fails = False
+    assert cleanup.delete_while_running(start(), spark, progress) >= 3
+    assert left() == [] and spark.read.parquet(out).select("id").distinct().count() == 500 == spark.read.parquet(out).count()
+    assert cleanup.committed_files(spark, str(tmp_path / "nowhere")) == ([], -1)
+
+
+def test_drained_files_go(spark, dropped, tmp_path):
+    folder, table = dropped
+    out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+    assert cleanup.drain_and_delete(spark, source(spark, folder, table, 2), out, progress) == 5
+    assert not [f for f in os.listdir(folder) if f.endswith(".parquet")] and spark.read.parquet(out).count() == 500
