@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import narrow, pieces, raw, written
+from millrace.llm.common import narrow, pieces, raw, tidy, written
 
 #: Documents looked at for frequent units, most units sent to every task, and the longest of them.
 PILOT_DOCS, FREQUENT, FREQUENT_CHARS = 10_000, 262_144, 64
@@ -190,8 +190,18 @@ def _longest(known: Vocabulary) -> dict[str, int]:
     return most
 
 
-def _openings(spark: SparkSession, known: Vocabulary) -> DataFrame:
-    return spark.createDataFrame(list(_longest(known).items()), "opening string, most int")
+#: Characters that tell which sizes a piece can have, beyond those that need no telling.
+_OPENINGS = (3, 5)
+
+
+def _openings(spark: SparkSession, known: Vocabulary, chars: int) -> DataFrame:
+    """Sizes of the pieces that begin with ``chars`` given characters, up to where longer openings tell."""
+    until = min([c for c in _OPENINGS if c > chars], default=_LONGEST)
+    sizes: dict[str, set[int]] = {}
+    for s in known.surfaces:
+        if chars <= len(s) < until:
+            sizes.setdefault(s[:chars], set()).add(len(s))
+    return spark.createDataFrame([(s, sorted(n)) for s, n in sizes.items()], f"opening{chars} string, sizes{chars} array<int>")
 
 
 class LongUnits:
@@ -245,17 +255,20 @@ def lattice(units: DataFrame, known: Vocabulary) -> DataFrame:
     """``units(unit)``, distinct and not empty -> ``(unit, ids)``: the path of the highest sum of scores.
 
     Of paths with equal sums the one with the longest last piece is taken, place by place. A character without a piece
-    of its own is an edge of the worst score less ``UNKNOWN_COST`` and becomes its bytes' pieces. Substrings are as
-    long as the longest piece that begins like them.
+    of its own is an edge of the worst score less ``UNKNOWN_COST`` and becomes its bytes' pieces. Substrings have the
+    sizes of the pieces that begin like them.
     """
     spark = units.sparkSession
-    tail = F.substring("unit", F.col("start"), F.lit(known.longest))
-    starts = units.select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("start")).select("unit", "start", tail.alias("tail"))
-    # both tables have the size of a tokenizer's fixed vocabulary
-    bound = starts.join(F.broadcast(_openings(spark, known)), F.substring("tail", 1, 3) == F.col("opening"), "left")
-    most = F.least(F.coalesce("most", F.lit(2)), F.length("tail"))
-    lengths = bound.select("unit", "start", "tail", F.explode(F.sequence(F.lit(1), most)).alias("size"))
-    parts = lengths.select("unit", "start", "size", F.substring("tail", F.lit(1), F.col("size")).alias("surface"))
+    first, more = _OPENINGS
+    starts = units.select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("start"))
+    starts = starts.select("unit", "start", F.substring("unit", F.col("start"), F.lit(more)).alias("tail"))
+    # the tables have the size of a tokenizer's fixed vocabulary
+    bound = starts.join(F.broadcast(_openings(spark, known, more)), F.col("tail") == F.col(f"opening{more}"), "left")
+    bound = bound.join(F.broadcast(_openings(spark, known, first)), F.substring("tail", 1, first) == F.col(f"opening{first}"), "left")
+    none = F.array().cast("array<int>")
+    sizes = F.concat(F.array(*[F.lit(n) for n in range(1, first)]), *[F.coalesce(f"sizes{c}", none) for c in _OPENINGS])
+    lengths = bound.select("unit", "start", F.explode(sizes).alias("size")).where(F.col("start") + F.col("size") <= F.length("unit") + 1)
+    parts = lengths.select("unit", "start", "size", F.expr("substring(unit, start, size)").alias("surface"))
     edges = parts.join(F.broadcast(piece_table(spark, known)), "surface", "left").where(F.col("id").isNotNull() | (F.col("size") == 1))
     worst = min(known.scores, default=0.0) - UNKNOWN_COST
     end = (F.col("start") + F.col("size") - 1).cast("long")
@@ -399,17 +412,18 @@ def encode(
             body = pickle.dumps([packer.compress(part) for part in parts])
             return pa.RecordBatch.from_arrays([pa.array([[i for i, _ in held]], kinds), pa.array([body])], names=["ids", "body"])
 
-        for batch in batches:
-            kinds = pa.list_(batch.schema.field("id").type)
-            for piece in pieces(batch):
-                for id_, text in zip(piece.column("id").to_pylist(), piece.column("text").to_pylist()):
-                    held.append((id_, text or ""))
-                    size += len(held[-1][1])
-                    if size > BLOCK_CHARS or len(held) >= BLOCK_DOCS:
-                        yield out()
-                        held, size = [], 0
-        if held:
-            yield out()
+        with tidy():
+            for batch in batches:
+                kinds = pa.list_(batch.schema.field("id").type)
+                for piece in pieces(batch):
+                    for id_, text in zip(piece.column("id").to_pylist(), piece.column("text").to_pylist()):
+                        held.append((id_, text or ""))
+                        size += len(held[-1][1])
+                        if size > BLOCK_CHARS or len(held) >= BLOCK_DOCS:
+                            yield out()
+                            held, size = [], 0
+            if held:
+                yield out()
 
     def ask(batches):
         opener = zstandard.ZstdDecompressor()
