@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.columns import col
-from millrace.session import spread
+from millrace.session import materialize, spread
 from millrace.skew import HOT_ROWS, join_back, micros, time_slices
 
+#: Slices of a hot key whose exit tables are put together in one group.
+SUPER = 32
+
 RULE_SCHEMA = "rule string, metric string, denominator string, scale double, op string, threshold double"
 
 #: Fixed values: (rule, metric, denominator, scale, comparison, default limit).
@@ -102,6 +105,26 @@ def _exits(times: np.ndarray, slice_start: int, period: int) -> tuple[np.ndarray
     return times[: len(exits)][keep], exits[keep]
 
 
+def _after(entry: np.ndarray, ends: np.ndarray, last: np.ndarray, period: int) -> np.ndarray:
+    """The last firing after a slice, given the last one before it."""
+    at = np.searchsorted(entry, last + period, side="right")
+    return np.where(at < len(ends), ends[np.minimum(at, len(ends) - 1)], last) if len(ends) else last
+
+
+def composed(parts: Sequence[tuple[np.ndarray, np.ndarray]], period: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exit tables of slices in a row as the table of them all."""
+    entry, ends = np.empty(0, np.int64), np.empty(0, np.int64)
+    for first, exits in reversed(parts):
+        if not len(first):
+            continue
+        exits = _after(entry, ends, exits, period)
+        later = entry > first[-1]
+        entry, ends = np.append(first, entry[later]), np.append(exits, ends[later])
+        keep = np.append(ends[1:] != ends[:-1], True)  # last entry of each run
+        entry, ends = entry[keep], ends[keep]
+    return entry, ends
+
+
 def cooldown(
     df: DataFrame,
     keys: Sequence[str],
@@ -115,7 +138,8 @@ def cooldown(
 
     Firing depends on the firing before, so an ordinary key is walked in one group. A hot key is cut
     in time slices: each slice first works out, for every firing it could open with, the firing it
-    would end with; a walk over those short tables hands every slice its last earlier firing; then
+    would end with. Those tables are put together for ``SUPER`` slices in a row, a walk over the few tables that result
+    hands each such group its last earlier firing, and walks inside the groups do so for every slice; then
     all slices mark their firings at once.
     """
     period = period_seconds * 1_000_000
@@ -145,25 +169,40 @@ def cooldown(
         .applyInPandas(slice_exits, T.StructType([*key_fields, *_longs("__slice", "__entry", "__exit")]))
     )
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__slice", "__entry"])
-        last, rows = None, []
-        for number, part in pdf.groupby("__slice", sort=True):
-            if last is not None:
-                rows.append((number, last))
-            entry, ends = part["__entry"].to_numpy(np.int64), part["__exit"].to_numpy(np.int64)
-            at = 0 if last is None else int(np.searchsorted(entry, last + period, side="right"))
-            if at < len(ends):
-                last = int(ends[at])
-        out = pd.DataFrame(rows, columns=["__slice", "__carry"]).astype("int64")
+    def tables(pdf: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        parts = pdf.sort_values(["__slice", "__entry"]).groupby("__slice", sort=True)
+        return [(int(n), p["__entry"].to_numpy(np.int64), p["__exit"].to_numpy(np.int64)) for n, p in parts]
+
+    def with_keys(out: pd.DataFrame, pdf: pd.DataFrame, *columns: str) -> pd.DataFrame:
         for k in names:
             out[k] = pdf[k].iloc[0]
-        return out[[*names, "__slice", "__carry"]]
+        return out[[*names, *columns]]
 
-    # at most SLICES slices a key, each with the firings it can open with inside one period
-    carry = exits.groupBy(*[col(k) for k in keys]).applyInPandas(
-        walk, T.StructType([*key_fields, *_longs("__slice", "__carry")])
-    )
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        entry, ends = composed([t[1:] for t in tables(pdf)], period)
+        out = pd.DataFrame({"__entry": entry, "__exit": ends}).assign(__slice=int(pdf["__super"].iloc[0]))
+        return with_keys(out, pdf, "__slice", "__entry", "__exit")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The last firing before each slice, from ``__start``, the last one before them all."""
+        start = pdf["__start"].iloc[0]
+        last, rows = None if pd.isna(start) else int(start), []
+        for number, entry, ends in tables(pdf):
+            if last is not None:
+                rows.append((number, last))
+                last = int(_after(entry, ends, np.array([last]), period)[0])
+            elif len(ends):
+                last = int(ends[0])
+        return with_keys(pd.DataFrame(rows, columns=["__slice", "__carry"]).astype("int64"), pdf, "__slice", "__carry")
+
+    none = F.lit(None).cast("long")
+    by, walked = [col(k) for k in keys], T.StructType([*key_fields, *_longs("__slice", "__carry")])
+    if hot:
+        exits = materialize(exits.withColumn("__super", F.floor(F.col("__slice") / SUPER)))
+        groups = exits.groupBy(*by, "__super").applyInPandas(together, T.StructType([*key_fields, *_longs("__slice", "__entry", "__exit")]))
+        # at most SLICES / SUPER tables a key
+        start = groups.withColumn("__start", none).groupBy(*by).applyInPandas(walk, walked).withColumnsRenamed({"__slice": "__super", "__carry": "__start"})
+        carry = join_back(exits, start, [*keys, "__super"]).groupBy(*by, "__super").applyInPandas(walk, walked)
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(pdf["__us"].to_numpy(np.int64))
@@ -174,7 +213,7 @@ def cooldown(
             out[k] = pdf[k].iloc[0]
         return out[[*names, "__us"]]
 
-    carried = join_back(sliced, carry, [*keys, "__slice"]) if hot else sliced.withColumn("__carry", F.lit(None).cast("long"))
+    carried = join_back(sliced, carry, [*keys, "__slice"]) if hot else sliced.withColumn("__carry", none)
     fired = (
         spread(carried, [*keys, "__slice"])
         .groupBy(*[col(k) for k in keys], "__slice")

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.columns import col, require
@@ -93,32 +93,36 @@ def train_isolation_forest(
     df: DataFrame, key: str | Sequence[str], features: Sequence[str], trees: int = 100, sample: int = 256,
     contamination: float | None = None, seed: int = 1,
 ) -> IsolationForest:
-    """Each tree grows on its own small random sample; one group per tree. The key only fixes row order.
+    """Each tree grows on its own small sample, drawn by hashes of the key and the features; one group per tree.
 
     With a contamination share the threshold is that quantile of the training scores, else 0.5.
     """
     require(df, features)
     keys = [key] if isinstance(key, str) else list(key)
-    rows = df.select(*[col(k) for k in keys], *[col(f).cast("double").alias(f) for f in features]).na.drop()
-    n = rows.count()
-    # About twice as many rows as the trees need. Each draw is a row's own, so copies of one row are
-    # thinned like any others and no tree's group can grow with a repeated key.
-    if n > 4 * trees * sample:
-        share = 2 * trees * sample / n
-        drawn = rows.withColumn("__u", F.rand(seed)).where(F.col("__u") < share)
-        picked = drawn.withColumn("__tree", F.floor(F.col("__u") / share * trees).cast("long")).drop("__u")
-    else:
-        spread_rows = rows.withColumn("__tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))))
-        picked = spread_rows.where(F.rand(seed) < 2 * sample / max(n, 1))
-    picked = materialize(picked)
     names = list(features)
+    every = list(dict.fromkeys([*keys, *names]))
+    rows = df.select(*[col(c).cast("double").alias(c) if c in names else col(c) for c in every]).na.drop()
+    alike = rows.groupBy(*[col(c) for c in every]).agg(F.count(F.lit(1)).alias("__n"))
+    n = rows.count()
+    # A row takes part in a tree by a hash of the two, so the forest does not depend on how the rows lie. About twice as many come as
+    # a tree needs. Of equal rows as many come as their number asks for, so that no tree's group can grow with them.
+    expected = F.col("__n") * F.lit(min(1.0, 2 * sample / max(n, 1)))
+
+    def draw(*more: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(*[col(c) for c in every], F.lit(seed), *more), 11) / float(1 << 53)
+
+    def copies(tree: Column) -> Column:
+        return F.struct(tree.alias("tree"), (F.floor(expected) + (draw(tree) < expected - F.floor(expected)).cast("long")).alias("n"))
+
+    drawn = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long")), copies), lambda d: d["n"] > 0)
+    picked = alike.withColumn("__d", F.explode(drawn)).withColumn("__tree", F.col("__d.tree"))
+    picked = picked.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__d.n"))))
+    picked = materialize(picked.select(*[col(f) for f in names], "__tree", draw(F.col("__tree"), F.col("__copy"), F.lit(1)).alias("__u")))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         number = int(pdf["__tree"].iloc[0])
-        x = pdf.sort_values([*keys, *names])[names].to_numpy(float)
-        rng = np.random.default_rng([seed, number])
-        x = x[rng.permutation(len(x))[:sample]]
-        return pd.DataFrame({"tree": [number], "nodes": [json.dumps(grow_tree(x, rng))]})
+        x = pdf.sort_values(["__u", *names])[names].to_numpy(float)[:sample]
+        return pd.DataFrame({"tree": [number], "nodes": [json.dumps(grow_tree(x, np.random.default_rng([seed, number])))]})
 
     grown = spread(picked, ["__tree"]).groupBy("__tree").applyInPandas(build, "tree long, nodes string").orderBy("tree").collect()
     arrays = tuple(np.asarray(json.loads(r["nodes"]), float) for r in grown)

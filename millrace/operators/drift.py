@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,14 +15,20 @@ from millrace.skew import running_sums
 
 @dataclass(frozen=True)
 class DriftModel:
-    """A reference table and how another is compared with it."""
+    """A reference table, the name of the test that compares another one with it, and the test's options."""
 
     reference: DataFrame
     features: tuple[str, ...]
-    compare: Callable[[DataFrame, DataFrame], DataFrame]
+    test: str
+    options: dict
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.compare(self.reference, df)
+        if self.test == "KolmogorovSmirnov":
+            return ks_drift(self.reference, df, self.features, **self.options)
+        from millrace.operators.explain import drift_classifier
+
+        options = dict(self.options)
+        return drift_classifier(self.reference, df, options.pop("key"), list(self.features), **options)
 
 
 def ks_p_value(d: Column, n: Column, m: Column, terms: int = 100) -> Column:

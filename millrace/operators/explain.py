@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.classification import LogisticRegression
@@ -13,26 +14,31 @@ from pyspark.sql import functions as F
 from millrace.columns import col, numeric_columns, require
 from millrace.operators.scale import fit_scaler
 from millrace.quantiles import exact_quantiles
+from millrace.skew import join_back
 
-#: Rows that exchange values with each other when a column is shuffled.
-BLOCK_ROWS = 100_000
+#: Rows of a slice of the hashed order, about.
+SLICE_ROWS = 100_000
 
 
 def shuffled(df: DataFrame, key: str, features: Sequence[str], seed: int, rows: int | None = None) -> DataFrame:
     """Add ``__perm_<f>``: the feature's value of another row, a permutation of the column.
 
-    Rows fall in blocks by hashed key, stand in hashed order inside a block, and each takes the values
-    of its successor, the last those of the first. One shuffle serves all features.
+    All rows stand in one order, by a hash of the key, and each takes the values of its successor, the last those of
+    the first. The order is cut evenly into slices by the hash; the last row of a slice takes those of the first
+    row of the next one, from a table with a row for each slice. One shuffle serves all features.
     """
     n = rows if rows is not None else df.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    block = F.pmod(F.xxhash64(col(key), F.lit(-seed - 1)), F.lit(blocks))
-    w = Window.partitionBy("__block").orderBy(F.xxhash64(col(key), F.lit(seed)), col(key))
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = df.withColumn("__block", block)
+    bits = max(0, math.ceil(math.log2(max(1, n / SLICE_ROWS))))
+    order = F.struct(F.xxhash64(col(key), F.lit(seed)).alias("h"), col(key).alias("k"))
+    number = F.shiftrightunsigned("__order.h", 64 - bits) if bits else F.lit(0).cast("long")
     take = F.struct(*[col(f) for f in features])
-    out = out.withColumn("__next", F.coalesce(F.lead(take).over(w), F.first(take).over(whole)))
-    return out.withColumns({f"__perm_{f}": F.col(f"__next.`{f}`") for f in features}).drop("__block", "__next")
+    placed = df.withColumn("__order", order).withColumn("__slice", number)
+    first = placed.groupBy("__slice").agg(F.min_by(take, "__order").alias("__first"))
+    first = first.withColumn("__slice", F.pmod(F.col("__slice") - 1, F.lit(1 << bits)))
+    w = Window.partitionBy("__slice").orderBy("__order")
+    out = join_back(placed.withColumn("__next", F.lead(take).over(w)), first, ["__slice"])
+    out = out.withColumn("__next", F.coalesce("__next", "__first", take))
+    return out.withColumns({f"__perm_{f}": F.col(f"__next.`{f}`") for f in features}).drop("__order", "__slice", "__next", "__first")
 
 
 def permutation_importance(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.columns import col
-from millrace.operators.summary import group_histogram, value_list
+from millrace.operators.summary import group_histogram
 from millrace.quantiles import exact_quantiles
 from millrace.session import fitted
 from millrace.skew import join_back
@@ -26,13 +26,13 @@ def var_es(df: DataFrame, keys: Sequence[str], pnl: str, confidence: float = 0.9
 
 def var_incremental(df: DataFrame, scenario: str, asset: str, pnl: str, confidence: float = 0.99) -> DataFrame:
     """Per asset: portfolio value at risk with it, without it, and the difference."""
-    assets = value_list(df, asset)
-    per = df.groupBy(col(scenario).alias("scenario")).agg(
-        F.sum(col(pnl)).alias("total"),
-        *[F.coalesce(F.sum(F.when(col(asset) == a, col(pnl))), F.lit(0.0)).alias(f"a{i}") for i, a in enumerate(assets)],
-    )
-    without = F.array(*[F.struct(F.lit(a).alias("asset"), (F.col("total") - F.col(f"a{i}")).alias("rest")) for i, a in enumerate(assets)])
-    rest = per.select("total", F.explode(without).alias("w")).select("total", "w.asset", "w.rest")
+    each = df.groupBy(col(scenario).alias("scenario"), col(asset).alias("asset")).agg(F.sum(col(pnl)).alias("own")).where("asset is not null")
+    totals = df.groupBy(col(scenario).alias("scenario")).agg(F.sum(col(pnl)).alias("total"), F.collect_set(col(asset)).alias("held"))
+    own = join_back(each, totals.drop("held"), ["scenario"]).select("total", "asset", (F.col("total") - F.coalesce("own", F.lit(0.0))).alias("rest"))
+    # assets that a scenario says nothing of
+    every = each.agg(F.collect_set("asset")).scalar()
+    other = totals.select("total", F.explode(F.array_except(every, F.col("held"))).alias("asset"), F.col("total").alias("rest"))
+    rest = own.unionByName(other)
     q = exact_quantiles(rest, ["asset"], ["total", "rest"], [1 - confidence])
     return q.groupBy("asset").agg(
         F.max(F.when(F.col("column") == "total", F.col("q")[0])).alias("var_all"),

@@ -72,23 +72,20 @@ def _own_models() -> dict[tuple[str, str], Callable]:
 
     Drift models keep the reference table and are applied to another one by ``transform``.
     """
-    from millrace.operators import anomaly, explain, kernels, meanshift
-    from millrace.operators.drift import DriftModel, ks_drift
+    from millrace.operators import anomaly, kernels, meanshift
+    from millrace.operators.drift import DriftModel
 
     def forest(df, features, o):
         o = {"trees": o.pop("n_estimators", 100), **o}
         return anomaly.train_isolation_forest(df, o.pop("key", features), features, **o)
 
-    def spot(reference, test, features, key):
-        return explain.drift_classifier(reference, test, key, features)
-
     return {
         ("anomaly", "IsolationForest"): forest,
         ("anomaly", "OneClassSVM"): lambda df, features, o: kernels.train_one_class_machine(df, features, **o),
         ("anomaly", "DistanceRule"): lambda df, features, o: anomaly.train_one_class(df, features, **o),
         ("clustering", "MeanShift"): lambda df, features, o: meanshift.train_mean_shift(df, features, **o),
-        ("drift", "KolmogorovSmirnov"): lambda df, features, o: DriftModel(df, tuple(features), lambda a, b: ks_drift(a, b, features, **o)),
-        ("drift", "SpotDiff"): lambda df, features, o: DriftModel(df, tuple(features), lambda a, b: spot(a, b, features, **o)),
+        ("drift", "KolmogorovSmirnov"): lambda df, features, o: DriftModel(df, tuple(features), "KolmogorovSmirnov", o),
+        ("drift", "SpotDiff"): lambda df, features, o: DriftModel(df, tuple(features), "SpotDiff", o),
     }
 
 

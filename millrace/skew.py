@@ -23,8 +23,6 @@ HOT_SHARE = 65_536
 #: Most time slices of a hot key. A slice holds about a quarter of ``HOT_ROWS`` or ``1 / SLICES`` of its
 #: key's rows, whichever is more; rows of one time stay together.
 SLICES = 1_024
-#: A value range is cut at approximate quantiles (a power of two), and each piece evenly again.
-COARSE_SLICES, FINE_SLICES = 64, 64
 #: Up to this many rows one task orders a whole table as fast as slices would.
 SMALL_ROWS = 50_000
 
@@ -66,7 +64,7 @@ def micros(ts: Column) -> Column:
 
 
 def slice_of(us: Column, bounds: Column) -> Column:
-    """How many of the sorted bounds are at or below a time: by bisection."""
+    """How many of the sorted bounds (fewer than ``SLICES``) are at or below a time or value: by bisection."""
     halves = F.expr("array(" + ", ".join(str(SLICES >> i) for i in range(SLICES.bit_length())) + ")")
     place = F.aggregate(halves, F.lit(0), lambda at, h: F.when(F.get(bounds, at + h - 1) <= us, at + h).otherwise(at))
     return place.cast("long")
@@ -169,25 +167,18 @@ def with_position(
 
 
 def value_slices(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Add ``__slice``, the value's place among the pieces of its group's range.
+    """Add ``__slice``, the value's place among the quantiles of its group.
 
-    Equal values share a slice and slices follow value order, so slices can be ranked apart. The
-    coarse cuts are quantiles from mergeable sketches: one pass, map-side combined.
+    Equal values share a slice and slices follow value order, so slices can be ranked apart. The cuts come from
+    mergeable sketches (one pass, map-side combined): of a group's rows with a value of their own a slice holds about
+    ``1 / SLICES``, however the values are spread.
     """
     group = [col(k) for k in keys]
-    points = ", ".join(f"{i / COARSE_SLICES}D" for i in range(COARSE_SLICES + 1))
-    sketch = F.expr(f"percentile_approx(cast(`{value}` as double), array({points}), {COARSE_SLICES * 20})").alias("__bounds")
-    bounds = fitted(df.groupBy(*group).agg(sketch) if keys else df.agg(sketch), BROADCAST_ROWS // COARSE_SLICES)
+    points = ", ".join(f"{i / SLICES}D" for i in range(1, SLICES))
+    sketch = F.expr(f"percentile_approx(cast(`{value}` as double), array({points}), {SLICES * 20})").alias("__bounds")
+    bounds = fitted(df.groupBy(*group).agg(sketch) if keys else df.agg(sketch), BROADCAST_ROWS // SLICES)
     placed = join_back(df, bounds, keys)
-    # bisection: how many of the inner bounds lie below the value
-    x, b = col(value).cast("double"), F.col("__bounds")
-    halves = F.expr("array(" + ", ".join(str(COARSE_SLICES >> i) for i in range(1, COARSE_SLICES.bit_length())) + ")")
-    coarse = F.aggregate(halves, F.lit(0), lambda at, h: F.when(F.get(b, at + h) < x, at + h).otherwise(at))
-    placed = placed.withColumn("__coarse", coarse)
-    lo, hi = F.get(b, F.col("__coarse")), F.get(b, F.col("__coarse") + 1)
-    even = F.floor((x - lo) / (hi - lo) * FINE_SLICES)
-    fine = F.when(hi > lo, F.least(F.greatest(even, F.lit(0)), F.lit(FINE_SLICES - 1))).otherwise(0)
-    return placed.withColumn("__slice", (F.col("__coarse") * FINE_SLICES + fine).cast("long")).drop("__bounds", "__coarse")
+    return placed.withColumn("__slice", slice_of(col(value).cast("double"), F.col("__bounds"))).drop("__bounds")
 
 
 def running_sums(
@@ -214,7 +205,7 @@ def running_sums(
         sliced = value_slices(signed, keys, key)
     per = sliced.groupBy(*group, "__slice").agg(*[F.sum(col(c)).alias(c) for c in sums])
     before = Window.partitionBy(*group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    markers = per.select(*group, "__slice", *[F.sum(col(c)).over(before).alias(c) for c in sums])  # at most COARSE_SLICES * FINE_SLICES per key
+    markers = per.select(*group, "__slice", *[F.sum(col(c)).over(before).alias(c) for c in sums])  # at most SLICES per key
     stacked = with_markers(sliced, markers)
     inside = Window.partitionBy(*group, "__slice").orderBy("__marker", key).rowsBetween(Window.unboundedPreceding, 0)
     summed = stacked.withColumns({f"cum_{c}": F.sum(col(c)).over(inside) for c in sums}).where("__marker = 1")

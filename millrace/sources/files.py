@@ -67,17 +67,25 @@ def read_typed(spark: SparkSession, path: str, schema: str, sep: str = "\t", hea
     return spark.read.options(**options).schema(schema).csv(path)
 
 
-def read_regex_delimited(spark: SparkSession, path: str, regex: str = ANY_SEPARATOR) -> DataFrame:
-    """Lines split by a regular expression, quotes meaning nothing; the first line of each file names the columns."""
+def read_regex_delimited(spark: SparkSession, path: str, regex: str = ANY_SEPARATOR, rest: str | None = None) -> DataFrame:
+    """Lines split by a regular expression, quotes meaning nothing; the first line of each file names the columns.
+
+    A line with more fields than that is an error, unless ``rest`` names a column for what is left over.
+    """
     whole = spark.read.options(header=True, sep="\x01", quote="", escape="").csv(path)
-    return split_lines(whole, whole.columns[0], regex)
+    return split_lines(whole, whole.columns[0], regex, rest)
 
 
-def split_lines(lines: DataFrame, header: str, regex: str = ANY_SEPARATOR) -> DataFrame:
-    """One text column named by the header line -> the columns it names."""
+def split_lines(lines: DataFrame, header: str, regex: str = ANY_SEPARATOR, rest: str | None = None) -> DataFrame:
+    """One text column named by the header line -> the columns it names, and ``rest``, an array of further fields (NULL: none)."""
     names = re.split(regex, header.strip())
-    parts = F.split(F.trim(col(header)), regex)
-    return lines.select(parts.alias("__p")).select([F.get("__p", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    split = F.split(F.trim(col(header)), regex)
+    if rest is None:
+        more = F.concat(F.lit(f"more than {len(names)} fields in a line: "), col(header))
+        split = F.when(F.size(split) > len(names), F.raise_error(more).cast("array<string>")).otherwise(split)
+    parts = lines.select(split.alias("__p"))
+    left = [F.when(F.size("__p") > len(names), F.slice("__p", len(names) + 1, F.size("__p"))).alias(rest)] if rest else []
+    return parts.select([F.get("__p", F.lit(i)).alias(n) for i, n in enumerate(names)] + left)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -12,8 +12,10 @@ from pyspark.ml.classification import DecisionTreeClassificationModel
 from pyspark.ml.regression import DecisionTreeRegressionModel
 from pyspark.sql import SparkSession
 
+from millrace.columns import col
 from millrace.operators.anomaly import DistanceRule, IsolationForest
 from millrace.operators.boosting import BoostedTrees
+from millrace.operators.drift import DriftModel
 from millrace.operators.gradient import GradientTrees, Tree
 from millrace.operators.kernels import FourierMap, KernelMachine, OneClassMachine
 from millrace.operators.meanshift import MeanShiftModel
@@ -21,7 +23,7 @@ from millrace.operators.ordered_targets import CodedTrees
 from millrace.operators.ridge import LinearFit
 from millrace.operators.scale import Scaler
 
-_OWN = {c.__name__: c for c in (BoostedTrees, CodedTrees, DistanceRule, FourierMap, GradientTrees, IsolationForest, KernelMachine, LinearFit, MeanShiftModel, OneClassMachine, Scaler, Tree)}
+_OWN = {c.__name__: c for c in (BoostedTrees, CodedTrees, DistanceRule, DriftModel, FourierMap, GradientTrees, IsolationForest, KernelMachine, LinearFit, MeanShiftModel, OneClassMachine, Scaler, Tree)}
 _TREES = {"classifier": DecisionTreeClassificationModel, "regressor": DecisionTreeRegressionModel}
 
 
@@ -62,6 +64,11 @@ def save_model(model, path: str) -> None:
         for i, table in enumerate(model.statistics):
             table.write.mode("overwrite").parquet(f"{path}/statistics/{i}")
         model, kind = dataclasses.replace(model, statistics=(len(model.statistics),)), "coded"
+    if isinstance(model, DriftModel):  # its reference is a table
+        key = model.options.get("key")
+        columns = dict.fromkeys([*([key] if isinstance(key, str) else key or []), *model.features])
+        model.reference.select([col(c) for c in columns]).write.mode("overwrite").parquet(f"{path}/reference")
+        model, kind = dataclasses.replace(model, reference=None), "drift"
     text = json.dumps({"kind": kind, "model": _plain(model)})
     spark = SparkSession.getActiveSession()
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/own")
@@ -75,6 +82,8 @@ def load_model(path: str):
         return PipelineModel.load(path)
     record = json.loads(spark.read.text(f"{path}/own").first()[0])
     model = _restored(record["model"])
+    if record["kind"] == "drift":
+        return dataclasses.replace(model, reference=spark.read.parquet(f"{path}/reference"))
     if record["kind"] == "coded":
         return dataclasses.replace(model, statistics=tuple(spark.read.parquet(f"{path}/statistics/{i}") for i in range(model.statistics[0])))
     if record["kind"]:

@@ -199,10 +199,33 @@ def test_own_models_by_record_and_back(spark, tmp_path):
         save_model(model, f"{tmp_path}/{i}")
         one, two = (m.transform(df).select("id", F.col("predictions").cast("string")).orderBy("id").collect() for m in (model, load_model(f"{tmp_path}/{i}")))
         assert one == two and len(one) == 200
-    ks = models.train(df.where("y = 0"), models.Algorithm("KolmogorovSmirnov", "drift"), None, ["a", "b"])
-    assert {r["drift"] for r in ks.transform(df.where("y = 1")).collect()} == {1}
+    ks = models.train(df.where("y = 0"), models.Algorithm("KolmogorovSmirnov", "drift", {"p": 0.1}), None, ["a", "b"])
     spot = models.train(df.where("y = 0"), models.Algorithm("SpotDiff", "drift", {"key": "id"}), None, ["a", "b"])
-    assert spot.transform(df.where("y = 1")).first()["auc"] > 0.9
+    for name, model in (("ks", ks), ("spot", spot)):
+        save_model(model, f"{tmp_path}/{name}")
+    for one, two in ((ks, spot), tuple(load_model(f"{tmp_path}/{n}") for n in ("ks", "spot"))):
+        assert {r["drift"] for r in one.transform(df.where("y = 1")).collect()} == {1}
+        assert two.transform(df.where("y = 1")).first()["auc"] > 0.9
+
+
+def test_forest_does_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), float(a), float(b)) for i, (a, b) in enumerate(rng.normal(0, 1, (800, 2)))] + [(-1, 0.5, 0.5)] * 300
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    one, two = (anomaly.train_isolation_forest(d, "id", ["x", "y"], trees=12, sample=32) for d in (df.coalesce(1), df.repartition(7).orderBy(F.desc("x"))))
+    assert all(np.array_equal(a, b) for a, b in zip(one.trees, two.trees)) and len(one.trees) == 12
+
+
+def test_permutation_over_slices(spark, monkeypatch):
+    monkeypatch.setattr(explain, "SLICE_ROWS", 50)
+    df = spark.range(1000).select("id", F.col("id").alias("x"))
+    out = [(r["x"], r["__perm_x"]) for r in explain.shuffled(df, "id", ["x"], 3).collect()]
+    assert sorted(b for _, b in out) == list(range(1000)) and all(a != b for a, b in out)
+    # one cycle through all rows: nothing is exchanged only inside a slice
+    follow, at, steps = dict(out), 0, 1
+    while (at := follow[at]) != 0:
+        steps += 1
+    assert steps == 1000
 
 
 def test_ridge_far_from_zero(spark):

@@ -222,3 +222,34 @@ def test_adjusted_mutual_information(spark):
     assert np.isclose(metrics.adjusted_mutual_info(df, "label").first()[0], want, atol=1e-9)
     same = spark.createDataFrame([(i, i) for i in range(3)] * 4, "label int, predictions int")
     assert np.isclose(metrics.adjusted_mutual_info(same, "label").first()[0], 1.0)
+
+
+def test_exit_tables_put_together():
+    """Composed tables say what walking the slices one after another does."""
+    import numpy as np
+
+    from millrace.operators.alerts import _after, _exits, composed, firing_times
+
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        times = np.sort(rng.choice(2_000, rng.integers(1, 200), replace=False))
+        period = int(rng.integers(1, 60))
+        cuts = [0, *np.sort(rng.choice(np.arange(1, 2_000), 5, replace=False)), 2_000]
+        parts = []
+        for a, b in zip(cuts, cuts[1:]):
+            own = times[(times >= a) & (times < b)]
+            parts.append(_exits(own, int(a), period) if len(own) else (own, own))
+        entry, ends = composed(parts, period)
+        for last in rng.integers(-200, 0, 10):
+            fired = firing_times(times, period, int(last))
+            assert _after(entry, ends, np.array([last]), period)[0] == (fired[-1] if len(fired) else last)
+
+
+def test_value_slices_are_even_on_a_skewed_tail(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.skew import value_slices
+
+    df = spark.range(40_000).select(F.pow(F.lit(1.002), F.col("id") / 2).alias("v"))
+    sizes = [r[0] for r in value_slices(df, [], "v").groupBy("__slice").count().select("count").collect()]
+    assert max(sizes) < 40_000 / 200
