@@ -2,7 +2,8 @@
 
 Each record is a gzip member of its own. The reader checks the member, the version line, the headers, the
 length, the closing blank lines and the digests. Where a check fails it searches for the next gzip member or
-version line from which a whole record can be read, goes on there and logs the bytes between as a gap.
+version line from which a whole record can be read, goes on there and logs the bytes between as a gap. A member of several
+records is unpacked as a stream and salvaged in the same way inside: its good records come out, whichever of them is damaged.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ from millrace.session import scratch_folder
 
 #: Bytes after which a task opens its next archive; least payload that a later copy refers to.
 ARCHIVE_BYTES, REVISIT_BYTES = 32_000_000, 1_000
-#: Bytes asked of a file at a time, and the most that one record may hold.
+#: Bytes asked of a file at a time, and the most that one record may hold (a longer one is a gap).
 CHUNK, RECORD_BYTES = 1 << 20, 1 << 30
+#: Bytes behind the place at hand in which the next member is looked for when a long member turns out to be damaged, and bytes
+#: of records that wait for their member's end, which tells its length.
+BEHIND, WAITING = 16 << 20, 8 << 20
 
 _PAGE = "urn:page:"
 _MAGIC = b"\x1f\x8b\x08"
@@ -129,14 +133,14 @@ def write_warc(
 
 class Record(NamedTuple):
     offset: int
-    length: int
+    length: int | None  # of its bytes or its member; None: the member is damaged or long
     headers: dict[str, str]
     block: bytes
 
 
 class Gap(NamedTuple):
     offset: int
-    length: int
+    length: int | None
     reason: str
 
 
@@ -175,12 +179,54 @@ def _payload(block: bytes) -> bytes:
     return block[block.find(b"\r\n\r\n") + 4 :] if block.startswith(b"HTTP/") and b"\r\n\r\n" in block else block
 
 
+class _Unpacked:
+    """What the gzip member at the start of a reader's bytes holds, as a stream; ends at the member's end or where it is damaged."""
+
+    def __init__(self, reader: Salvage):
+        self.reader, self.at = reader, reader.base
+        self.unpack, self.out, self.failed = zlib.decompressobj(31), b"", None
+
+    def read(self, n: int) -> bytes:
+        reader = self.reader
+        while not self.out and not self.unpack.eof and not self.failed:
+            place = self.at - reader.base
+            if place >= len(reader.data) and not reader._more():
+                self.failed = "member is cut off"
+                break
+            step = reader.data[place : place + reader.chunk]
+            before = self.unpack.copy()
+            try:
+                self.out = self.unpack.decompress(step, 4 * reader.chunk)
+                self.at += len(step) - len(self.unpack.unconsumed_tail) - len(self.unpack.unused_data)
+            except zlib.error:
+                self.failed, self.out = "bad member", self._until_damage(before, step)
+            reader._drop(self.at - BEHIND - reader.base)
+        piece, self.out = self.out[:n], self.out[n:]
+        return piece
+
+    def _until_damage(self, unpack, step: bytes) -> bytes:
+        out = []
+        try:
+            for k in range(len(step)):
+                out.append(unpack.decompress(step[k : k + 1]))
+        except zlib.error:
+            pass
+        return b"".join(out)
+
+
 class Salvage:
-    """Records and gaps of one byte stream, in order; holds about one record at a time."""
+    """Records and gaps of one byte stream, in order; holds about one record at a time.
+
+    ``packed``: gzip members are looked for, not only version lines. Records out of a damaged member are handed on if they state a
+    block digest and have it; the member's bytes are a gap all the same.
+    """
 
-    def __init__(self, stream, chunk: int = CHUNK, most: int = RECORD_BYTES):
+    def __init__(self, stream, chunk: int = CHUNK, most: int = RECORD_BYTES, packed: bool = True):
         self.stream, self.chunk, self.most = stream, chunk, most
         self.data, self.base, self.over = b"", 0, False
+        self.packed, self.next = packed, _NEXT if packed else re.compile(re.escape(_VERSION))
+        self.damage: tuple[int, str] | None = None
+        self.read: set[str] = set()  # records out of the damaged member that is searched for more
 
     def _more(self) -> bool:
         if not self.over:
@@ -190,92 +236,111 @@ class Salvage:
             self.data += got
         return not self.over
 
-    def _member(self, start: int) -> tuple[bytes, int]:
-        unpack, out, at, size = zlib.decompressobj(31), [], start, 0
-        while not unpack.eof:
-            if at >= len(self.data) and not self._more():
-                raise Damage("member is cut off")
-            step = self.data[at : at + self.chunk]
-            try:
-                out.append(unpack.decompress(step))
-            except zlib.error as e:
-                raise Damage("bad member") from e
-            at += len(step)
-            size += len(out[-1])
-            if size > self.most:
-                raise Damage("record too long")
-        return b"".join(out), at - len(unpack.unused_data)
-
-    def _whole(self, data: bytes, offset: int, length: int) -> list[Record]:
-        found, at = [], 0
-        while at < len(data):
-            headers, start = _headers(data, at)
-            end = start + int(headers["content-length"])
-            if data[end : end + 4] != b"\r\n\r\n":
-                raise Damage("record does not close")
-            _checked(headers, data[start:end])
-            found.append(Record(offset, length, headers, data[start:end]))
-            at = end + 4
-        if not found:
-            raise Damage("empty member")
-        return found
-
-    def _plain(self, start: int) -> tuple[list[Record], int]:
-        while self.data.find(b"\r\n\r\n", start) < 0:
-            if len(self.data) - start > self.most or not self._more():
+    def _drop(self, n: int) -> None:
+        if n > 0:
+            self.data, self.base = self.data[n:], self.base + n
+
+    def _seek(self) -> None:
+        """On to the next place that a record could start at, or to the end."""
+        self._drop(1)
+        while (found := self.next.search(self.data)) is None:
+            if not self._more():
+                self._drop(len(self.data))
+                return
+            self._drop(len(self.data) - len(_VERSION) - max(self.chunk, 1))
+        self._drop(found.start())
+
+    def _plain(self) -> Iterator[Record]:
+        while self.data.find(b"\r\n\r\n") < 0:
+            if len(self.data) > self.most or not self._more():
                 raise Damage("headers do not end")
-        headers, at = _headers(self.data, start)
-        end = at + int(headers["content-length"]) + 4
-        if end - start > self.most:
+        headers, start = _headers(self.data, 0)
+        end = start + int(headers["content-length"])
+        if end + 4 > self.most:
             raise Damage("record too long")
-        while len(self.data) < end:
+        while len(self.data) < end + 4:
             if not self._more():
                 raise Damage("record is cut off")
-        return self._whole(self.data[start:end], self.base + start, end - start), end
-
-    def _try(self, at: int) -> tuple[list[Record], int]:
-        while len(self.data) - at < len(_VERSION) and self._more():
+        if self.data[end : end + 4] != b"\r\n\r\n":
+            raise Damage("record does not close")
+        _checked(headers, self.data[start:end])
+        if headers["warc-record-id"] in self.read:  # a member may hold its records as they are
+            raise Damage("read before")
+        found = Record(self.base, end + 4, headers, self.data[start:end])
+        self._drop(end + 4)
+        yield found
+
+    def _member(self) -> Iterator[Record | Gap]:
+        member = _Unpacked(self)
+        inside = iter(Salvage(member, self.chunk, self.most, packed=False))
+        start, held, size, first, reason = self.base, [], 0, True, ""
+        for found in inside:
+            if isinstance(found, Gap):
+                reason = found.reason
+                found = Gap(start, None, f"{reason}; bytes {found.offset} to {found.offset + found.length} of the unpacked member")
+            elif member.failed and not found.headers.get("warc-block-digest", "").startswith("sha1:"):
+                continue
+            else:
+                first, size = False, size + len(found.block)
+                found = found._replace(offset=start, length=None)
+            held.append(found)
+            if size > WAITING and not first:
+                yield from held
+                held, size = [], 0
+        if first:
+            self._back(start)
+            raise Damage(member.failed or reason or "empty member")
+        if member.failed:
+            for found in held:
+                if isinstance(found, Record):
+                    self.read.add(found.headers["warc-record-id"])
+                    yield found
+            self.damage = (start, member.failed)
+            self._back(start)
+            self._seek()
+            return
+        self.read.clear()
+        for found in held:
+            yield found._replace(length=member.at - start)
+        self._drop(member.at - self.base)
+
+    def _back(self, start: int) -> None:
+        """The bytes that are held begin at ``start`` or, if a long member had them dropped, later."""
+        if self.base < start:
+            self._drop(start - self.base)
+
+    def _here(self) -> Iterator[Record | Gap]:
+        while len(self.data) < len(_VERSION) and self._more():
             pass
-        if self.data.startswith(_MAGIC, at):
-            data, end = self._member(at)
-            return self._whole(data, self.base + at, end - at), end
-        if self.data.startswith(_VERSION, at):
-            return self._plain(at)
+        if self.packed and self.data.startswith(_MAGIC):
+            return self._member()
+        if self.data.startswith(_VERSION):
+            return self._plain()
         raise Damage("no record starts here")
 
     def __iter__(self) -> Iterator[Record | Gap]:
-        at = 0
-        while at < len(self.data) or self._more():
+        while self.data or self._more():
             try:
-                found, end = self._try(at)
+                here = self._here()
+                first = next(here)
             except Damage as e:
-                gap, reason = at, str(e)
-                found, end = [], at
-                while not found:
-                    start = _NEXT.search(self.data, end + 1)
-                    if start is None:
-                        end = max(end, len(self.data) - len(_VERSION))
-                        if not self._more():
-                            end = len(self.data)
-                            break
-                        continue
-                    end = start.start()
-                    try:
-                        found, after = self._try(end)
-                    except Damage:
-                        continue
-                yield Gap(self.base + gap, end - gap, reason)
-                if not found:
-                    return
-                end = after
-            yield from found
-            self.data, self.base, at = self.data[end:], self.base + end, 0
+                self.damage = self.damage or (self.base, str(e))
+                self._seek()
+                continue
+            if self.damage:
+                yield Gap(self.damage[0], first.offset - self.damage[0], self.damage[1])
+                self.damage = None
+            yield first
+            yield from here
+        if self.damage:
+            yield Gap(self.damage[0], self.base - self.damage[0], self.damage[1])
 
 
 def read_warc(archives: DataFrame, path_col: str = "path", payloads: bool = True) -> DataFrame:
     """Records and gaps of the archives in a column of paths.
 
-    Columns: ``path, offset, length`` (compressed bytes), ``gap`` (the failed check; null for a record),
+    Columns: ``path, offset, length`` (compressed bytes; null for records out of a damaged or long member), ``gap`` (the
+    failed check; null for a record),
     ``record_type, record_id, target, refers_to, payload_digest`` (lower-case hex SHA-1), ``payload_bytes`` (of the
     full payload, also for a revisit) and, if wanted, ``payload``. Null paths are skipped.
     """
@@ -324,9 +389,15 @@ def parts(spark: SparkSession) -> int:
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write all pages and read them back: ``(<id_col>, payload_bytes, payload_digest, record_type, refers_to)``."""
+    """Write all pages and read them back: ``(<id_col>, payload_bytes, payload_digest, record_type, refers_to)``.
+
+    A page whose record cannot be read back whole (one of over ``RECORD_BYTES``) is an error.
+    """
     archives = write_warc(pages, scratch_folder(pages.sparkSession, "warc"), id_col, url_col, html_col)
-    found = read_warc(archives, payloads=False).where("gap is null")
+    found = read_warc(archives, payloads=False)
+    # a gap in an archive just written would be a lost page
+    lost = F.raise_error(F.concat_ws(" ", F.lit("gap in"), "path", F.lit("at"), F.col("offset").cast("string"), "gap")).cast("boolean")
+    found = found.where(F.when(F.col("gap").isNotNull(), lost).otherwise(True))
     kind = narrow(pages, id=id_col).schema["id"].dataType.simpleString()
 
     def page(name: str):

@@ -51,8 +51,9 @@ def read(data, chunk):
     found = list(warc.Salvage(io.BytesIO(data), chunk=chunk))
     got = [int(r.headers["warc-record-id"].strip("<>").rsplit(":", 1)[1]) for r in found if isinstance(r, warc.Record)]
     gaps = [(g.offset, g.offset + g.length) for g in found if isinstance(g, warc.Gap)]
-    # records and gaps cover the file
-    marks = sorted({(r.offset, r.offset + r.length) for r in found})
+    # records and gaps cover the file; records out of a damaged member lie in its gap
+    marks = sorted({(r.offset, r.offset + r.length) for r in found if r.length is not None})
+    assert all(any(g[0] <= r.offset < g[1] for g in gaps) for r in found if r.length is None)
     assert not data or (marks[0][0] == 0 and marks[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(marks, marks[1:])))
     return got, gaps
 
@@ -74,7 +75,8 @@ def test_salvage(chunk, packed):
     broken[8] = b"junk \x1f\x8b\x08 WARC/1.0 junk" + broken[8]
     broken[11] = broken[11][: len(broken[11]) // 2]
     got, gaps = read(b"".join(broken), chunk)
-    assert got == [0, 1, 2, 4, 7, 8, 9, 10] and len(gaps) == 4
+    # of a member that lacks only its check sum the record, which has its digest, is taken
+    assert got == ([0, 1, 2, 4, 5, 7, 8, 9, 10] if packed else [0, 1, 2, 4, 7, 8, 9, 10]) and len(gaps) == 4
     assert read(b"no archive at all", chunk) == ([], [(0, 17)])
 
 
@@ -98,4 +100,56 @@ def test_gaps_are_logged(spark, tmp_path):
     paths = spark.createDataFrame([(str(path),), (None,)], "path string")
     rows = warc.read_warc(paths).collect()
     gaps = [r for r in rows if r.gap]
-    assert len(rows) == 5 and len(gaps) == 1 and gaps[0].offset == len(parts[0]) + len(parts[1]) and gaps[0].length == len(parts[2])
+    assert len(rows) in (5, 6) and len(gaps) == 1 and gaps[0].offset == len(parts[0]) + len(parts[1]) and gaps[0].length == len(parts[2])
+
+
+@pytest.mark.parametrize("chunk", [50, 1 << 20])
+def test_salvage_inside_a_member(chunk, monkeypatch):
+    """A member of several records loses only what is damaged, as the same bytes unpacked do."""
+    parts = records(7, 3)
+    spoiled = [p if k != 2 else p[:-40] + bytes([p[-40] ^ 1]) + p[-39:] for k, p in enumerate(parts)]
+    alone = gzip.compress(records(9, 3)[8])
+    found = list(warc.Salvage(io.BytesIO(gzip.compress(b"".join(spoiled)) + alone), chunk=chunk))
+    ids = [r.headers["warc-record-id"] for r in found if isinstance(r, warc.Record)]
+    assert [int(i.strip("<>").rsplit(":", 1)[1]) for i in ids] == [0, 1, 3, 4, 5, 6, 8]
+    (gap,) = [g for g in found if isinstance(g, warc.Gap)]
+    assert "digest differs" in gap.reason and f"bytes {len(parts[0] + parts[1])} to {len(parts[0] + parts[1] + parts[2])}" in gap.reason
+    # a damaged member that holds its records as they are: all but the one that is hit, each once
+    whole = gzip.compress(b"".join(parts), 0)
+    hurt = bytearray(whole)
+    hurt[len(whole) // 2] ^= 255
+    got, gaps = read(bytes(hurt) + alone, chunk)
+    assert got[-1] == 8 and {0, 1} <= set(got) and len(set(range(7)) - set(got)) == 1 and len(got) == 7 and gaps
+    # records of long members do not wait for its end, and its bytes are let go
+    monkeypatch.setattr(warc, "WAITING", 1_000)
+    monkeypatch.setattr(warc, "BEHIND", 500)
+    assert [r.headers["warc-record-id"] for r in warc.Salvage(io.BytesIO(whole + alone), chunk=chunk)] == [f"<urn:page:{k}>" for k in (0, 1, 2, 3, 4, 5, 6, 8)]
+
+
+def test_little_is_held_after_damage():
+    class Junk(io.RawIOBase):
+        left = 40_000_000
+
+        def read(self, n):
+            n, self.left = min(n, self.left), self.left - min(n, self.left)
+            return b"x" * n
+
+    reader, most = warc.Salvage(Junk(), chunk=1 << 16), 0
+    more = reader._more
+
+    def watched():
+        nonlocal most
+        out = more()
+        most = max(most, len(reader.data))
+        return out
+
+    reader._more = watched
+    (gap,) = list(reader)
+    assert (gap.offset, gap.length) == (0, 40_000_000) and most < 1_000_000
+
+
+def test_a_page_that_is_lost_is_an_error(spark, monkeypatch):
+    schema = "path string, offset long, gap string, record_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
+    monkeypatch.setattr(warc, "read_warc", lambda *_, **__: spark.createDataFrame([("a", 5, "record too long", *[None] * 5)], schema))
+    with pytest.raises(Exception, match="gap in a at 5 record too long"):
+        warc.round_trip(pages(spark, [(1, "u", "t")])).collect()
