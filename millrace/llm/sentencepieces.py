@@ -38,7 +38,7 @@ COUNTED, BLOCK_DOCS, BLOCK_CHARS = 200_000, 8_192, 4_000_000
 #: Tasks per shuffle partition where units are encoded: an edge list takes far more room than its unit.
 LATTICE_TASKS = 8
 #: Words that a task keeps from block to block; frequent ones come early.
-KEPT = 200_000
+KEPT = 300_000
 #: Pairs of characters below this are looked up in a table.
 NEAR = 1_024
 #: What a character without a piece costs beyond the worst piece.
@@ -287,7 +287,7 @@ def lattice(units: DataFrame, known: Vocabulary) -> DataFrame:
         table = F.array(*[F.lit(b) for b in known.byte_ids])
         return F.when(i < 0, F.transform(places, lambda k: F.get(table, value(k)))).otherwise(F.array(i))
 
-    whole = F.when(F.exists("ids", lambda i: i < 0), F.flatten(F.transform("ids", spelled))).otherwise(F.col("ids"))
+    whole = F.when(F.array_min("ids") < 0, F.flatten(F.transform("ids", spelled))).otherwise(F.col("ids"))
     return path.select("unit", whole.alias("ids"))
 
 
