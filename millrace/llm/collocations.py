@@ -250,6 +250,8 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_
     spark = docs.sparkSession
     short = frequent_hashes(docs, longest, min_count)
     sent = spark.sparkContext.broadcast((short, frequent_hashes(docs, longest, min_count, short)))
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces_of = 4 * shuffle
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, total = _WordHash(), {}, Counter()
@@ -257,9 +259,15 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, found in held.items():
-                for k in range(0, len(found), 50_000) if found else ():
-                    keys, counts = list(found)[k : k + 50_000], list(found.values())[k : k + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "a"])
+                parts: dict[int, list[bytes]] = {}
+                for phrase in found:
+                    parts.setdefault(xxhash.xxh32_intdigest(phrase) % pieces_of, []).append(phrase)
+                rows = [(lang, k, b"\n".join(own), np.array([found[p] for p in own], dtype="<i8").tobytes()) for k, own in parts.items()]
+                if rows:
+                    yield packed(rows)
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary(), pa.binary()))], names=["lang", "part", "phrases", "counts"])
 
         for lang, texts in _by_lang(batches):
             salt = xxhash.xxh64_intdigest(lang)
@@ -278,10 +286,32 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_
                 held = {}
         yield from flush()
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.nulls(len(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["lang", "phrase", "a"])
+            yield packed([(lang, -1, b"", np.array([n], dtype="<i8").tobytes()) for lang, n in total.items()])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+
+        def frequent() -> Iterator[pa.RecordBatch]:
+            lang, part = now
+            keys = [p for p, n in held.items() if part < 0 or n >= min_count]
+            phrases = pa.nulls(len(keys), pa.string()) if part < 0 else pa.array(keys, pa.binary()).cast(pa.string())
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), phrases, pa.array([held[p] for p in keys], pa.int64())], names=["lang", "phrase", "a"])
+
+        for batch in batches:
+            for lang, part, phrases, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "part", "phrases", "counts"))):
+                if (lang, part) != now:
+                    if held:
+                        yield from frequent()
+                    now, held = (lang, part), {}
+                for phrase, n in zip(phrases.split(b"\n"), np.frombuffer(counts, dtype="<i8").tolist()):
+                    held[phrase] = held.get(phrase, 0) + n
+        if held:
+            yield from frequent()
 
-    counts = docs.mapInArrow(counted, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
-    frequent = counts.where(F.col("phrase").isNull() | (F.col("a") >= min_count))
+    # counts travel packed, by language and a hash of the phrase
+    dealt = docs.mapInArrow(counted, "lang string, part int, phrases binary, counts binary").repartition(shuffle, "lang", "part").sortWithinPartitions("lang", "part")
+    frequent = dealt.mapInArrow(added, "lang string, phrase string, a long")
     out = written(frequent.select("lang", F.split("phrase", " ", -1).alias("words"), "a"), "phrases")
     sent.destroy()
     return out
