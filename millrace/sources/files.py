@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from millrace.columns import NA_SPELLINGS, col
 from millrace.functions.text import base_name, parent_folder
+from millrace.sources.ranges import numbered_lines, second_level_objects
 
 #: Fixed value: white-space run, semicolon or comma.
 ANY_SEPARATOR = r"\s+|;|,"
@@ -201,20 +202,15 @@ def read_labelled_text(
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """White-space matrix -> (i, j, value). The file is one small document, so line order is its own."""
-    text = spark.read.text(path, wholetext=True)
-    lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = text.select(F.posexplode(lines).alias("i", "line"))
-    cells = rows.select("i", F.posexplode(F.split("line", r"\s+")).alias("j", "x"))
-    return cells.select("i", "j", F.col("x").cast("double").alias("value"))
+    """White-space matrix -> (i, j, value). Lines are numbered over the whole file, which is read in byte ranges."""
+    cells = numbered_lines(spark, path).select("i", F.posexplode(F.split("line", r"\s+")).alias("j", "x"))
+    return cells.select(F.col("i").cast("int").alias("i"), "j", F.col("x").cast("double").alias("value"))
 
 
 # --- GeoJSON --------------------------------------------------------------------------------
 
-GEO_SCHEMA = (
-    "features array<struct<properties: map<string,string>, "
-    "geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
-)
+_FEATURE = "type: string, properties: map<string,string>, geometry: struct<type: string, coordinates: array<array<array<double>>>>"
+GEO_SCHEMA = f"features array<struct<{_FEATURE}>>"
 
 
 def _axis(i: int):
@@ -224,11 +220,15 @@ def _axis(i: int):
 def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row per feature: properties, outer ring, its points, and bounding box.
 
-    ``lines`` reads one collection per line, which splits; otherwise each file is one document.
+    ``lines`` reads one collection per line; otherwise each file is one document, read in byte ranges.
     """
-    docs = spark.read.option("multiLine", not lines).schema(GEO_SCHEMA).json(path)
+    if lines:
+        found = spark.read.schema(GEO_SCHEMA).json(path).select(F.explode("features").alias("f"))
+    else:
+        each = second_level_objects(spark, path).select(F.from_json("text", f"struct<{_FEATURE}>").alias("f"))
+        found = each.where((F.col("f.type") == "Feature") | F.col("f.type").isNull() & F.col("f.geometry").isNotNull())
     ring = F.col("f.geometry.coordinates")[0]
-    out = docs.select(F.explode("features").alias("f")).select(F.col("f.properties").alias("properties"), ring.alias("ring"))
+    out = found.select(F.col("f.properties").alias("properties"), ring.alias("ring"))
     axis = {"x": 0, "y": 1}
     ends = {"1": F.array_min, "2": F.array_max}
     return out.withColumn("points", F.size("ring").cast("long")).withColumns(
