@@ -1,5 +1,7 @@
 """Gradient boosting queries whose splits, leaves and codes SQL can work out."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from millrace.operators import gradient, ordered_targets
@@ -37,17 +39,22 @@ def _tree_sql(g, h):
     {_level('l0', 's0')},
     l1 as (
       select case when coalesce(l0.v[s0.f + 1] <= s0.x, s0.missing_left) then 1 else 2 end as node, l0.g, l0.h, l0.f, l0.x from l0, s0),
-    {_level('l1', 's1')}
-    select node, ['quantity', 'discount', 'tax'][f + 1] as feature, round(x, 4) as cut, missing_left::int as missing_left, null::double as weight from (from s0 union all from s1)
-    union all select 2 * node + 1, null, null, null, round(-lg / (lh + 1), 4) from s1
-    union all select 2 * node + 2, null, null, null, round(-(tg - lg) / (th - lh + 1), 4) from s1"""
+    {_level('l1', 's1')},
+    ends as (
+      select n.node, n.tg, n.th, s.lg, s.lh, s.f, s.x, s.missing_left, coalesce(s.gain > 1e-9, false) as split
+      from (from s0_node union all from s1_node) n left join (from s0 union all from s1) s using (node))
+    select node, case when split then ['quantity', 'discount', 'tax'][f + 1] end as feature, case when split then round(x, 4) end as cut,
+      case when split then missing_left::int end as missing_left, null::double as weight from ends
+    union all select 2 * node + 1, null, null, null, round(case when split then -lg / (lh + 1) else -tg / (th + 1) end, 4) from ends where node > 0
+    union all select 2 * node + 2, null, null, null, round(case when split then -(tg - lg) / (th - lh + 1) else -tg / (th + 1) end, 4) from ends where node > 0"""
 
 
 def _tree(t, target, kind):
     missing = F.when(F.col("l_orderkey") % 5 != 0, F.col("l_quantity"))
     rows = t.lineitem.select(missing.alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), target.alias("y"))
     _, ((tree,),) = gradient.fit_trees(rows, F.col("y"), _FEATURES, kind, rounds=1, depth=2, rate=1.0, base=0.0)
-    splits = [(n, _FEATURES[tree.feature[n]], float(tree.cut[n]), bool(tree.missing_left[n]), None) for n in range(3)]
+    whole = (None, None, None, None)  # a node that no split improves
+    splits = [(n, *((_FEATURES[tree.feature[n]], float(tree.cut[n]), bool(tree.missing_left[n]), None) if tree.cut[n] < math.inf else whole)) for n in range(3)]
     leaves = [(3 + n, None, None, None, float(w)) for n, w in enumerate(tree.leaf)]
     out = t.spark.createDataFrame(splits + leaves, "node long, feature string, cut double, missing_left boolean, weight double")
     return rounded(out, 4, "cut", "weight").withColumn("missing_left", F.col("missing_left").cast("int"))
