@@ -29,6 +29,18 @@ def test_covers_its_table(spark, data, key):
     assert found <= every and (found == every or key == "op7_decontaminate")
 
 
+def test_personal_data_digests(spark, data):
+    """What the query derives from the operator's spans: digests and counts of the patterns as stated, and of all spans."""
+    from test_pii import brute_base
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    for r in queries.op1_pii(spark, data).collect():
+        base = brute_base(texts[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in base) for kind in pii.KINDS]
+        assert r.n_spans == len([x for x in r.spans.split(",") if x]) >= len(base)
+
+
 def test_pipeline_by_brute_force(spark, data):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     labels = spark.read.parquet(f"{data}/labels.parquet")
