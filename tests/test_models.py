@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
+from conftest import rows
 from pyspark.sql import functions as F
 
 from millrace.operators import anomaly, explain, models, ridge, search
 from millrace.operators.scale import fit_scaler
+from millrace.plans import QUERIES
 from millrace.sources.models import load_model, save_model
 
 
@@ -234,3 +236,10 @@ def test_ridge_far_from_zero(spark):
     df = spark.createDataFrame([(float(v), float(3 * (v - 1e8) + 5)) for v in x], "x double, y double")
     fit = models.train(df, models.Algorithm("BayesianRidgeRegression", "regression"), "y", ["x"])
     assert abs(fit.coefficients["x"] - 3) < 1e-3
+
+
+def test_prices_fall_into_ten_clusters(spark, tmp_path):
+    """``summarize_kmeans`` clusters the prices themselves, ten to a histogram."""
+    made = spark.range(600).selectExpr("id as o_orderkey", "case when id % 3 = 0 then 'F' else 'O' end as o_orderstatus", "cast(id % 10 * 500 + id % 7 as double) as o_totalprice")
+    made.write.parquet(f"{tmp_path}/orders.parquet")
+    assert rows(QUERIES["summarize_kmeans"](spark, str(tmp_path))) == [("F", 200, 10, 1.0), ("O", 400, 10, 1.0)]
