@@ -1,8 +1,8 @@
 """Keyed streams in order of event time.
 
 Rows that come late, or out of order, wait in state until the watermark has passed them; then they leave in order and
-meet what their key remembers. A key's rows wait in short stretches of time, and one stretch at a time is read, so a key
-may hold many rows. What still waits when the input ends leaves when the stream is closed (``closable``).
+meet what their key remembers. Keys share lots; a lot's rows wait in short stretches of time, and a few stretches at a time are
+read, so a key may hold many rows and a stream many keys. What still waits when the input ends leaves when the stream is closed (``closable``).
 """
 
 from __future__ import annotations
@@ -13,23 +13,30 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from millrace.columns import col
-from millrace.operators.alerts import firing_times
 from millrace.session import scratch_folder
 from millrace.skew import micros
 
 #: A row of this time closes a stream.
 END = "9000-01-01 00:00:00"
 #: A delay is cut into this many stretches, in each of which rows wait together.
-STRETCHES = 64
+STRETCHES = 16
 
-#: ``step(rows in order, what the key remembers or None) -> (rows out, what to remember)``
-Step = Callable[[pd.DataFrame, float | int | None], tuple[pd.DataFrame, float | int]]
+#: Keys share this many lots. The rows and the memories of a lot are kept together, so that calls and reads of state follow
+#: the lots and stretches, not the keys.
+LOTS = 64
+#: Rows of a lot that come in one batch are put away about this many at a time; stretches that are due are read
+#: together up to this many bytes.
+AT_ONCE, BYTES = 100_000, 8_000_000
+
+#: ``step(rows, memory) -> (rows out, what the keys of these rows remember)``: rows of many keys in order of ``__key`` and, in a key,
+#: of time; ``memory`` holds what each key remembers so far
+Step = Callable[[pd.DataFrame, dict], tuple[pd.DataFrame, pd.Series]]
 
 
 def _packed(rows: pd.DataFrame) -> bytes:
@@ -48,45 +55,99 @@ def _unpacked(data: bytes) -> pd.DataFrame:
 
 
 class InOrder(StatefulProcessor):
-    """Hold a key's rows by stretches of time; hand each stretch to ``step`` once the watermark has passed it."""
+    """Hold a lot's rows by stretches of time; hand stretches to ``step`` once the watermark has passed them."""
 
-    def __init__(self, step: Step, columns: Sequence[str], order: Sequence[str], names: Sequence[str], memory: str, stretch_ms: int):
+    def __init__(self, step: Step, columns: Sequence[str], order: Sequence[str], names: Sequence[str], stretch_ms: int):
         self.step, self.columns, self.order, self.names = step, list(columns), list(order), list(names)
-        self.memory, self.stretch_ms = memory, stretch_ms
+        self.stretch_ms = stretch_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", f"last {self.memory}")
-        self.waiting = handle.getMapState("waiting", "stretch long", "rows binary")
+        self.memory = handle.getValueState("memory", "held binary")
+        self.timer = handle.getValueState("timer", "stretch long")  # the earliest that a timer is set for
+        self.waiting = handle.getMapState("waiting", "stretch long, part int", "rows binary")
+
+    def _wake_after(self, stretch: int) -> None:
+        self.handle.registerTimer((stretch + 1) * self.stretch_ms)
+        self.timer.update((stretch,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts: dict[int, int] | None = None
+        gathered: list[pd.DataFrame] = []
+
+        def put_away() -> None:
+            nonlocal parts
+            if parts is None:
+                parts = {}
+                for number, part in self.waiting.keys():
+                    parts[number] = max(parts.get(number, 0), part + 1)
+            table = pd.concat(gathered, ignore_index=True)
+            gathered.clear()
+            stretch = (table["__us"] // (self.stretch_ms * 1000)).to_numpy()
+            for number, part in table.groupby(stretch):
+                place = (int(number), parts.get(int(number), 0))
+                parts[place[0]] = place[1] + 1
+                self.waiting.updateValue(place, (_packed(part),))
+
         for chunk in rows:
             if chunk.empty:  # Spark also calls with no rows
                 continue
             chunk.columns = self.columns  # names that open with an underscore get lost on the way
-            stretch = chunk["__us"] // (self.stretch_ms * 1000)
-            for number, part in chunk.groupby(stretch.to_numpy()):
-                place = (int(number),)
-                held = self.waiting.getValue(place) if self.waiting.containsKey(place) else None
-                if held is None:
-                    self.handle.registerTimer((place[0] + 1) * self.stretch_ms)
-                self.waiting.updateValue(place, ((bytes(held[0]) if held else b"") + _packed(part),))
+            gathered.append(chunk)
+            if sum(map(len, gathered)) >= AT_ONCE:
+                put_away()
+        if gathered:
+            put_away()
+        if parts and (not self.timer.exists() or min(parts) < self.timer.get()[0]):
+            self._wake_after(min(parts))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        place = (expiredTimerInfo.getExpiryTimeInMs() // self.stretch_ms - 1,)
-        rows = _unpacked(bytes(self.waiting.getValue(place)[0])).sort_values(self.order, ignore_index=True)
-        out, memory = self.step(rows, self.last.get()[0] if self.last.exists() else None)
-        self.last.update((memory,))
-        self.waiting.removeKey(place)
-        yield out[self.names]
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) // self.stretch_ms
+        parts: dict[int, list[int]] = {}
+        for number, part in self.waiting.keys():
+            parts.setdefault(number, []).append(part)
+        due = sorted(number for number in parts if number < passed)
+        if not due:  # an earlier timer has seen to it
+            return
+        held = _unpacked(bytes(self.memory.get()[0])) if self.memory.exists() else None
+        memory = dict(zip(held["key"], held["held"])) if held is not None else {}
+        together: list[bytes] = []
+        for number in due:
+            for place in ((number, part) for part in parts.pop(number)):
+                together.append(bytes(self.waiting.getValue(place)[0]))
+                self.waiting.removeKey(place)
+            if number != due[-1] and sum(map(len, together)) < BYTES:
+                continue
+            rows = _unpacked(b"".join(together)).sort_values(["__key", *self.order], ignore_index=True)
+            together.clear()
+            out, new = self.step(rows, memory)
+            memory.update(zip(new.index, new))
+            yield out[self.names]
+        self.memory.update((_packed(pd.DataFrame({"key": list(memory), "held": list(memory.values())})),))
+        if parts:
+            self._wake_after(min(parts))
+        else:
+            self.timer.clear()
 
     def close(self) -> None:
         pass
 
 
+def _key(df: DataFrame, keys: Sequence[str]) -> Column:
+    """The keys as one text that differs where they do; nulls are equal, as in any grouping."""
+    parts = []
+    for k in keys:
+        kind, c = df.schema[k].dataType, col(k)
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            c = F.when(c == 0, F.lit(0.0)).otherwise(c)  # -0.0 is 0.0
+        plain = F.hex(c) if isinstance(kind, T.BinaryType) else F.to_json(F.struct(c)) if isinstance(kind, (T.ArrayType, T.StructType)) else c.cast("string")
+        parts.append(plain)
+    return F.to_json(F.array(*parts)) if parts else F.lit("")
+
+
 def in_order(
-    df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], step: Step, schema: T.StructType, memory: str, delay: str
+    df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], step: Step, schema: T.StructType, delay: str
 ) -> DataFrame:
     """``step`` over each key's rows in order of time and ties, whatever the order they come in.
 
@@ -97,24 +158,26 @@ def in_order(
     stretch = max(1, millis // STRETCHES)
     rows = df.withWatermark(ts, delay)
     # the row that closes the stream moves the watermark and goes no further
-    rows = rows.where(col(ts) < F.lit(END).cast("timestamp")).withColumn("__us", micros(col(ts)))
+    rows = rows.where(col(ts) < F.lit(END).cast("timestamp")).withColumn("__us", micros(col(ts))).withColumn("__key", _key(df, keys))
+    rows = rows.withColumn("__lot", F.pmod(F.xxhash64("__key"), F.lit(LOTS)).cast("int"))
     names = [f.name for f in schema]
-    work = InOrder(step, rows.columns, ["__us", *ties], names, memory, stretch)
-    return rows.groupBy(*[col(k) for k in keys]).transformWithStateInPandas(work, schema, "append", "eventTime")
+    work = InOrder(step, rows.columns, ["__us", *ties], names, stretch)
+    return rows.groupBy("__lot").transformWithStateInPandas(work, schema, "append", "eventTime")
 
 
 def ordered_gaps(df: DataFrame, keys: Sequence[str], ts: str, value: str, ties: Sequence[str] = (), delay: str = "10 minutes") -> DataFrame:
     """Add ``gap``: change since the key's row before in time, as ``rate_gap`` has it on the stored table."""
 
-    def step(rows: pd.DataFrame, last: float | None) -> tuple[pd.DataFrame, float]:
-        x = rows[value].astype(float)
+    def step(rows: pd.DataFrame, memory: dict) -> tuple[pd.DataFrame, pd.Series]:
+        x, key = rows[value].astype(float), rows["__key"]
+        opens = ~key.duplicated()
         before = x.shift(1)
-        if last is not None:
-            before.iloc[0] = last
-        return rows.assign(gap=x - before), float(x.iloc[-1])
+        before[opens] = [memory.get(k, np.nan) for k in key[opens]]
+        last = ~key.duplicated(keep="last")
+        return rows.assign(gap=x - before), x[last].set_axis(key[last])
 
     schema = T.StructType([*df.schema.fields, T.StructField("gap", T.DoubleType())])
-    return in_order(df, keys, ts, ties, step, schema, "double", delay)
+    return in_order(df, keys, ts, ties, step, schema, delay)
 
 
 def ordered_cooldown(
@@ -123,14 +186,25 @@ def ordered_cooldown(
     """Rows that fire under a cool-down, as ``cooldown`` has it on the stored table, whatever the order they come in."""
     period = period_seconds * 1_000_000
 
-    def step(rows: pd.DataFrame, last: int | None) -> tuple[pd.DataFrame, int]:
-        first = rows.drop_duplicates("__us", keep="first")
-        fired = firing_times(first["__us"].to_numpy(np.int64), period, last)
-        # nothing fired yet: as if the last firing lay far back
-        memory = int(fired[-1]) if len(fired) else last if last is not None else -(1 << 62)
-        return first[np.isin(first["__us"].to_numpy(np.int64), fired)], memory
-
-    return in_order(df, keys, ts, ties, step, df.schema, "long", delay)
+    def step(rows: pd.DataFrame, memory: dict) -> tuple[pd.DataFrame, pd.Series]:
+        first = rows.drop_duplicates(["__key", "__us"], keep="first", ignore_index=True)
+        code, names = pd.factorize(first["__key"])  # rows of a key stand together
+        us = first["__us"].to_numpy(np.int64)
+        start, span = int(us.min()), int(us.max() - us.min()) + 1
+        place = code * span + (us - start)  # rises from row to row
+        ends = np.searchsorted(code, np.arange(len(names)), side="right")
+        last = np.array([memory.get(k, -(1 << 62)) for k in names], dtype=np.int64)
+        fires, open_keys = np.zeros(len(us), bool), np.arange(len(names))
+        while len(open_keys):  # each key's next row after its silence
+            free = np.clip(last[open_keys] + period - start, -1, span - 1)
+            at = np.searchsorted(place, open_keys * span + free, side="right")
+            more = at < ends[open_keys]
+            open_keys, at = open_keys[more], at[more]
+            fires[at] = True
+            last[open_keys] = us[at]
+        return first[fires], pd.Series(last, index=names)
+
+    return in_order(df, keys, ts, ties, step, df.schema, delay)
 
 
 def closable(stream: DataFrame, ts: str) -> tuple[DataFrame, Callable[[], None]]:
