@@ -18,31 +18,34 @@ def _stream(t, *columns):
 
 
 def _late(t, *columns, batches=4):
-    """Events in files that arrive one by one, each row up to two days after newer ones, and what closes the stream."""
+    """Events that arrive in batches, each row up to two days after newer ones: the stream, what brings each batch, and what closes it.
+
+    A batch may take many files; it is brought whole before the stream goes on, as rows of its other files may be older than two days.
+    """
     events = t.events.select(*columns).withColumn("ts", F.col("ts").cast("timestamp"))
     arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(172_800_000_000))
     first, last = events.agg(F.min(arrival), F.max(arrival)).first()
     batch = F.floor((arrival - first) * batches / (last - first + 1))
     folder = scratch_folder(t.spark, "late")
-    for number in range(batches):
-        events.where(batch == number).write.mode("append").parquet(folder)
-    stream = sources.record_stream(t.spark, folder, events.schema, files_per_batch=1)
-    return ordered.closable(stream, "ts")
+    events.limit(0).write.parquet(folder)
+    feeds = [lambda number=number: events.where(batch == number).write.mode("append").parquet(folder) for number in range(batches)]
+    stream, close = ordered.closable(sources.record_stream(t.spark, folder, events.schema), "ts")
+    return stream, feeds, close
 
 
 @query("stream_gap_late", _GAP)
 def _(t):
     """Rows that come out of order wait until the watermark has passed them."""
-    stream, close = _late(t, "event_id", "user_id", "ts", "value")
+    stream, feeds, close = _late(t, "event_id", "user_id", "ts", "value")
     gaps = ordered.ordered_gaps(stream, ["user_id"], "ts", "value", ["event_id"], "2 days")
-    return rounded(run.drain(t.spark, gaps, "late-gap", close), 6, "gap").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return rounded(run.drain(t.spark, gaps, "late-gap", close, feeds), 6, "gap").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("stream_cooldown_late", COOLDOWN_SQL)
 def _(t):
-    stream, close = _late(t, "event_id", "user_id", "ts", "value")
+    stream, feeds, close = _late(t, "event_id", "user_id", "ts", "value")
     fired = ordered.ordered_cooldown(stream.where((F.col("value") > 10) | (F.col("ts") >= ordered.END)).drop("value"), ["user_id"], "ts", 86_400, ["event_id"], "2 days")
-    return run.drain(t.spark, fired, "late-cooldown", close).select("user_id", "event_id")
+    return run.drain(t.spark, fired, "late-cooldown", close, feeds).select("user_id", "event_id")
 
 
 @query("stream_gap", _GAP)
@@ -116,9 +119,9 @@ def _(t):
 )
 def _(t):
     """Every window: those still open at the end of the input come out when the stream is closed."""
-    stream, close = _late(t, "event_id", "event_type", "ts", "value")
+    stream, feeds, close = _late(t, "event_id", "event_type", "ts", "value")
     means = stateful.hop_average(stream, ["event_type"], "ts", "value", "30 minutes", "10 minutes", "2 days")
-    out = run.drain(t.spark, means, "late-hops", close)
+    out = run.drain(t.spark, means, "late-hops", close, feeds)
     return rounded(out.select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "average"), 6, "average")
 
 

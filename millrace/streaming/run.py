@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,14 +65,19 @@ def start_fanout(
         return writer.trigger(**trigger(polling_minutes)).start()
 
 
-def drain(spark: SparkSession, stream: DataFrame, stem: str = "stream", close: Callable[[], None] | None = None) -> DataFrame:
+def drain(
+    spark: SparkSession, stream: DataFrame, stem: str = "stream", close: Callable[[], None] | None = None, feeds: Sequence[Callable[[], None]] = ()
+) -> DataFrame:
     """Run a stream over all input present, then return its output as a table.
 
+    With ``feeds`` each of them brings more input, and the stream takes it before the next one is called.
     With ``close`` (from ``ordered.closable``) the stream then ends: waiting rows and open windows come out as well.
     """
     path, checkpoint = scratch_folder(spark, stem), scratch_folder(spark, f"{stem}-progress")
-    start_table(stream, path, checkpoint).awaitTermination()
-    if close:
-        close()
+    steps = [*feeds, *([close] if close else [])]
+    if not feeds:
+        start_table(stream, path, checkpoint).awaitTermination()
+    for step in steps:
+        step()
         start_table(stream, path, checkpoint).awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)

@@ -2,12 +2,15 @@
 
 import os
 import time
+from types import SimpleNamespace
 
+import numpy as np
 import pandas as pd
 import pytest
 from conftest import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators import alerts, series
 from millrace.streaming import cleanup, ordered, run, sources, stateful
@@ -156,6 +159,49 @@ def test_state_in_order_without_spark():
     assert got["x"].tolist()[0::2] == [1.5, 2.5] and got["s"].tolist() == ["é", None, "z"]
 
 
+def test_a_late_batch_of_many_files_loses_no_row(spark, tmp_path):
+    """Events written by several tasks: each batch of the late stream then has several files."""
+    from millrace.plans import QUERIES
+
+    made = spark.range(0, 400, 1, 4).selectExpr("id as event_id", "id % 7 as user_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, pmod(xxhash64(id), 2592000)) as ts", "cast(id as double) as value")
+    made.write.parquet(f"{tmp_path}/events.parquet")
+    late, stored = (QUERIES[name](spark, str(tmp_path)) for name in ("stream_gap_late", "rate_gap"))
+    assert late.count() == 400 and rows(late.select("event_id", "gap")) == rows(stored.select("event_id", "gap"))
+
+
+class Kept:
+    """A state that lives in this process and counts the calls made of it."""
+
+    calls = 0
+
+    def __init__(self):
+        self.held = {}
+
+    def __getattr__(self, name):
+        Kept.calls += 1
+        one = {"get": lambda: self.held[0], "update": lambda v: self.held.update({0: v}), "exists": lambda: 0 in self.held, "clear": self.held.clear}
+        many = {"keys": lambda: list(self.held), "getValue": self.held.get, "updateValue": lambda k, v: self.held.update({k: v}), "removeKey": self.held.pop}
+        return (one | many)[name]
+
+
+def test_many_keys_share_the_calls_of_their_lot(monkeypatch):
+    """Two hundred keys of a lot, their rows in ten stretches: the calls follow the stretches, and each key keeps its own memory."""
+    states, timers, found = {}, [], {}
+    handle = SimpleNamespace(getValueState=lambda n, _: states.setdefault(n, Kept()), getMapState=lambda n, *_: states.setdefault(n, Kept()), registerTimer=timers.append)
+    monkeypatch.setattr(ordered, "in_order", lambda df, keys, ts, ties, step, *_: found.setdefault("step", step))
+    ordered.ordered_gaps(SimpleNamespace(schema=T.StructType([])), ["key"], "ts", "x")
+    work = ordered.InOrder(found["step"], ["id", "x", "__us", "__key"], ["__us", "id"], ["id", "gap"], 1000)
+    work.init(handle)
+    rows = pd.DataFrame({"id": range(2000), "x": [float(i * i) for i in range(2000)], "__us": [i // 200 * 1_000_000 for i in range(2000)], "__key": [str(i % 200) for i in range(2000)]})
+    clock = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms, getExpiryTimeInMs=lambda: ms)
+    Kept.calls = 0
+    list(work.handleInputRows((0,), iter([rows.iloc[::-1].iloc[:1200].copy(), rows.iloc[::-1].iloc[1200:].copy()]), None))
+    got = [r for ms in (3000, 10_000) for part in work.handleExpiredTimer((0,), clock(ms), clock(ms)) for r in part.itertuples(index=False)]
+    assert Kept.calls < 60 and len(timers) == 2 and not states["waiting"].held
+    gaps = dict(got)
+    assert len(gaps) == 2000 and all(np.isnan(gaps[i]) if i < 200 else gaps[i] == i * i - (i - 200) ** 2 for i in range(2000))
+
+
 def test_files_go_after_their_batch_is_committed(spark, dropped, tmp_path):
     folder, table = dropped
     progress, out = str(tmp_path / "progress"), str(tmp_path / "out")
