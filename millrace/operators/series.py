@@ -6,11 +6,15 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.columns import col
 from millrace.quantiles import exact_quantiles
+from millrace.session import spread
 from millrace.skew import HOT_ROWS, join_back, micros, slice_of, time_slices, with_markers, with_position, with_previous
 
 
@@ -46,18 +50,51 @@ def window_average(
     sliced, hot = time_slices(df, keys, ts, hot_rows, min_seconds=seconds)
     us = micros(col(ts))
 
-    def average(*more: str) -> Column:
-        over = Window.partitionBy(*[col(k) for k in keys], *more).orderBy(us)
-        return F.avg(col(value)).over(over.rangeBetween(-seconds * 1_000_000, Window.currentRow))
-
-    if not hot:
-        return df.withColumn("window_avg", average())
-    reach = F.coalesce(slice_of(us + seconds * 1_000_000, F.col("__bounds")), F.col("__slice"))
-    reach = F.when(F.col("__slice") < 0, F.col("__slice")).otherwise(reach)
-    cut = F.col("__slice").isNotNull()
-    copies = sliced.withColumn("__in", F.explode(F.when(cut, F.sequence("__slice", reach)).otherwise(F.array("__slice"))))
-    out = copies.withColumn("window_avg", average("__in")).where(F.col("__in").eqNullSafe(F.col("__slice")))
-    return out.drop("__in", "__slice", "__bounds")
+    kind = df.select(F.avg(col(value)).alias("a")).schema["a"].dataType
+    home = F.col("__slice")
+    if hot:
+        reach = F.coalesce(slice_of(us + seconds * 1_000_000, F.col("__bounds")), home)
+        reach = F.when(home < 0, home).otherwise(reach)
+        sliced = sliced.withColumn("__in", F.explode(F.when(home.isNotNull(), F.sequence(home, reach)).otherwise(F.array(home))))
+    else:
+        sliced = sliced.withColumn("__in", home)
+    sliced = sliced.withColumns({"__home": home, "__us": us, "__x": col(value).cast("double")}).drop("__bounds").withColumn("__slice", F.col("__in")).drop("__in")
+    schema = T.StructType([*df.schema.fields, T.StructField("window_avg", T.DoubleType())])
+    names = df.columns
+
+    def averaged(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[("__us", "ascending")], null_placement="at_start"))
+        own = pc.fill_null(pc.equal(table.column("__home"), table.column("__slice")), True)
+        x = table.column("__x").combine_chunks()
+        mean = _sliding_means(table.column("__us").combine_chunks(), x, seconds * 1_000_000)
+        return table.select(names).append_column("window_avg", mean).filter(own)
+
+    groups = spread(sliced, [*keys, "__slice"]).groupBy(*[col(k) for k in keys], "__slice")
+    return groups.applyInArrow(averaged, schema).withColumn("window_avg", F.col("window_avg").cast(kind))
+
+
+def _sliding_means(us: pa.Array, x: pa.Array, reach: int) -> pa.Array:
+    """Mean of ``x`` over the rows up to ``reach`` before each row, in sorted times; rows without a time come first, together.
+
+    A window is put together from stretches of 1, 2, 4, ... rows, whose sums are each made once: the work grows with the rows and
+    the logarithm of a window's, and nothing is subtracted, so no value leaves a trace outside its windows.
+    """
+    n, none = len(us), us.null_count
+    times = us.slice(none).to_numpy(zero_copy_only=False)
+    lo = np.concatenate([np.zeros(none, np.int64), none + np.searchsorted(times, times - reach, side="left")])
+    hi = np.concatenate([np.full(none, none, np.int64), none + np.searchsorted(times, times, side="right")])
+    sums, counts = pc.fill_null(x, 0.0).to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.is_valid(x).to_numpy(zero_copy_only=False))])
+    total, left, size = np.zeros(n), hi - lo, 1
+    with np.errstate(invalid="ignore", over="ignore"):
+        while size <= (left.max() if n else 0):
+            odd = (left & size) > 0
+            total[odd] += sums[lo[odd]]
+            lo = lo + np.where(odd, size, 0)
+            sums = sums[:-size] + sums[size:] if len(sums) > size else sums
+            size *= 2
+        seen = counts[hi] - counts[hi - left]
+        mean = total / np.maximum(seen, 1)
+    return pa.array(mean, pa.float64(), mask=seen == 0)
 
 
 def average_alerts(df: DataFrame, keys: Sequence[str], ts: str, value: str, limit: float = 70.0, seconds: int = 10, scale: float = 100.0, **options) -> DataFrame:

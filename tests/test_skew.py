@@ -253,3 +253,17 @@ def test_value_slices_are_even_on_a_skewed_tail(spark):
     df = spark.range(40_000).select(F.pow(F.lit(1.002), F.col("id") / 2).alias("v"))
     sizes = [r[0] for r in value_slices(df, [], "v").groupBy("__slice").count().select("count").collect()]
     assert max(sizes) < 40_000 / 200
+
+
+def test_sliding_means_take_each_row_a_few_times():
+    """Windows of thousands of rows, nulls and an infinite value: as summed row by row, in work that follows the rows."""
+    import time
+
+    import pyarrow as pa
+    from millrace.operators.series import _sliding_means
+
+    us, x = [None, None, 0, 0, 5, 9, 10, 20], [1.0, 3.0, 2.0, None, 4.0, float("inf"), 6.0, None]
+    assert _sliding_means(pa.array(us, pa.int64()), pa.array(x), 9).to_pylist() == [2.0, 2.0, 2.0, 2.0, 3.0, float("inf"), float("inf"), None]
+    n, begun = 400_000, time.process_time()
+    got = _sliding_means(pa.array(range(n), pa.int64()), pa.array([1.0] * n), 100_000).to_pylist()
+    assert got[0] == got[-1] == 1.0 and time.process_time() - begun < 20
