@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from millrace.columns import col
 from millrace.operators.gradient import encoded
 from millrace.quantiles import exact_quantiles
-from millrace.session import materialize
+from millrace.session import dealt, materialize
 
 #: Cosines, rounds of the optimiser, rows mapped at a time, and how far a loss with a kink is rounded off around it.
 SIZE, ROUNDS, STEP, ROUND_OFF = 256, 60, 4_096, 0.05
@@ -64,12 +64,12 @@ def fourier_map(df: DataFrame, features: Sequence[str], gamma: float | str = "sc
 
 
 def _rows(df: DataFrame, features: Sequence[str], target: Column | None = None) -> DataFrame:
-    """``(x, y)`` of the rows without a missing value, written once."""
+    """``(x, y)`` of the rows without a missing value, dealt out evenly and written once."""
     x = [col(f).cast("double") for f in features]
     whole = F.array(*x)
     y = F.lit(0.0) if target is None else target.cast("double")
     full = F.forall(whole, lambda v: v.isNotNull() & ~F.isnan(v))
-    return materialize(df.where(full & y.isNotNull()).select(whole.alias("x"), y.alias("y")))
+    return materialize(dealt(df.where(full & y.isNotNull()).select(whole.alias("x"), y.alias("y"))))
 
 
 def _batches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -241,12 +241,13 @@ class OneClassMachine:
     offset: float
 
     def scores(self, df: DataFrame, out: str) -> DataFrame:
-        def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def apply(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             for batch in batches:
-                x = np.array([[np.nan if v is None else v for v in row] for row in batch], dtype=float).reshape(len(batch), len(self.map.features))
-                yield pd.Series(self.map(x) @ self.weights)
+                x = np.column_stack([v.to_numpy(float) for v in batch])
+                yield pd.Series(np.concatenate([x[:0, 0], *[self.map(x[k : k + STEP]) @ self.weights for k in range(0, len(x), STEP)]]))
 
-        return df.withColumn(out, F.pandas_udf(apply, "double")(F.array(*[col(f).cast("double") for f in self.map.features])))
+        score = F.pandas_udf(apply, "double")
+        return df.withColumn(out, score(*[col(f).cast("double") for f in self.map.features]))
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``predictions``: -1 outside, 1 inside; a row with a missing feature is outside."""
@@ -271,10 +272,14 @@ def train_one_class_machine(
     if not n:
         raise ValueError("no row has all features")
     w = _summed(rows, lambda x, y: phi(x).sum(axis=0), size) / n
-    spread_out = rows.select(*[F.get("x", F.lit(i)).alias(f) for i, f in enumerate(features)])
 
     def quantile(w: np.ndarray) -> float:
-        scored = OneClassMachine(phi, w, 0.0).scores(spread_out, "__s").select("__s")
+        def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for x, _ in _batches(batch):
+                    yield pa.RecordBatch.from_arrays([pa.array(phi(x) @ w)], names=["__s"])
+
+        scored = materialize(rows.mapInArrow(scores, "__s double"))  # a quantile reads them several times
         return float(exact_quantiles(scored, [], ["__s"], [nu]).first()["q"][0])
 
     for step in range(rounds):

@@ -96,3 +96,15 @@ def test_saved_and_odd_input(spark, tmp_path):
         models.train(df, models.Algorithm("SupportVectorMachines", "classification", {"degree": 3}), "ring", ["x", "y"])
     with pytest.raises(ValueError, match="no row"):
         models.train(df.where("false"), models.Algorithm("SupportVectorRegression", "regression"), "x", ["y"])
+
+
+def test_rows_read_in_one_piece_are_dealt_out(spark, monkeypatch):
+    """A table small in bytes comes in one piece: its cosines are not one task's work, and scores are made once per step."""
+    df = rings(spark, 400).coalesce(1)
+    parts = [len(p) for p in kernels._rows(df, ["x", "y"]).rdd.glom().collect()]
+    assert len(parts) >= 8 and max(parts) < 100 and sum(parts) == 400
+    read, real = [], kernels.exact_quantiles
+    monkeypatch.setattr(kernels, "exact_quantiles", lambda scored, *a, **b: (read.append(scored._jdf.queryExecution().optimizedPlan().toString()), real(scored, *a, **b))[1])
+    model = kernels.train_one_class_machine(df, ["x", "y"], nu=0.1, gamma=0.5, rounds=2)
+    assert len(read) == 3 and not any("Python" in plan or "Arrow" in plan for plan in read)
+    assert abs(model.transform(df).where("predictions = -1").count() - 40) <= 1
