@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.columns import col
-from millrace.session import materialize
+from millrace.session import dealt, materialize
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,7 @@ def train_adaboost(df: DataFrame, algorithm, label: str, features: Sequence[str]
     else:
         kept = kept.withColumn("__label", col(label).cast("double"))
     data = VectorAssembler(inputCols=list(features), outputCol="__features").transform(kept).select("__features", "__label")
-    state = materialize(data.withColumn("__w", F.lit(1.0)))
+    state = materialize(dealt(data).withColumn("__w", F.lit(1.0)))
     common = {"featuresCol": "__features", "labelCol": "__label", "weightCol": "__w", "predictionCol": "__p", "seed": 1, "maxDepth": depth}
     trees, says = [], []
     for _ in range(rounds):

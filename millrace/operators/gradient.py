@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.columns import col
-from millrace.session import materialize
+from millrace.session import dealt, materialize
 
 #: Rounds after which the margins are written out, so that plans stay short.
 KEEP = 4
@@ -191,7 +191,7 @@ def fit_trees(
         base = (df.agg(F.avg(target)).first()[0] or 0.0) if kind == "number" else 0.0
     start = tuple([float(base)] * outputs)
     binned = F.array(*[_bin(_number(f), c).cast("int") for f, c in zip(features, cuts)])
-    state = materialize(df.select(binned.alias("bins"), target.cast("double").alias("y"), F.array(*[F.lit(b) for b in start]).alias("m")))
+    state = materialize(dealt(df.select(binned.alias("bins"), target.cast("double").alias("y"), F.array(*[F.lit(b) for b in start]).alias("m"))))
     width = max(map(len, cuts), default=0) + 1
     trees = []
     for turn in range(rounds):

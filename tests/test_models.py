@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from conftest import rows
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from millrace.operators import anomaly, explain, models, ridge, search
@@ -243,3 +244,23 @@ def test_prices_fall_into_ten_clusters(spark, tmp_path):
     made = spark.range(600).selectExpr("id as o_orderkey", "case when id % 3 = 0 then 'F' else 'O' end as o_orderstatus", "cast(id % 10 * 500 + id % 7 as double) as o_totalprice")
     made.write.parquet(f"{tmp_path}/orders.parquet")
     assert rows(QUERIES["summarize_kmeans"](spark, str(tmp_path))) == [("F", 200, 10, 1.0), ("O", 400, 10, 1.0)]
+
+
+@pytest.mark.parametrize("name, options", [("AdaBoost", {"n_estimators": 2}), ("XGBoost", {"n_estimators": 2, "max_depth": 2}), ("CatBoost", {"iterations": 2, "depth": 2}), ("LinearRegression", {})])
+def test_a_table_in_one_piece_is_trained_in_all_tasks(spark, monkeypatch, name, options):
+    """Small files are read in a piece or two; a pass over the rows is to be shared by the tasks all the same."""
+    from millrace.operators import boosting, gradient
+
+    seen = []
+
+    def sizes(df):
+        seen.append([n for n in df.rdd.glom().map(len).collect() if n])
+        return df
+
+    for module in (boosting, gradient):
+        monkeypatch.setattr(module, "materialize", lambda df, kept=module.materialize: sizes(kept(df)))
+    fit = LinearRegression.fit
+    monkeypatch.setattr(LinearRegression, "fit", lambda self, df: fit(self, sizes(df)))
+    df = spark.range(800).selectExpr("cast(id as double) as x", "cast(id * 3 % 17 as double) as z", "cast(id % 50 as double) as y").coalesce(1)
+    models.train(df, models.Algorithm(name, "regression", options), "y", ["x", "z"])
+    assert seen and all(len(s) >= 8 and max(s) <= 200 for s in seen)
