@@ -4,11 +4,13 @@ A text is taken with a space in front and cut into *units* at places that no pie
 cross; the best path through a unit's pieces is then a part of the best path through the text. Units are
 encoded once each: substrings of bounded length are exploded, equi-joined to the piece table, the edges found
 are grouped by unit, and a fold over the edges (``aggregate``) finds the path of the highest sum of scores.
+A piece that scores less than its own characters cut otherwise is on no best path and makes no edges (``useful``).
 A unit of more than ``UNIT_CHARS`` characters is not exploded: the task that holds its text finds the same path
 in one go over the characters, with a byte for each place to trace it back.
 
 Units that a bounded look at the corpus shows to be frequent are encoded first and sent to every task. The
-rest meet their encodings by shuffle. Which unit goes which way has no bearing on the result.
+rest meet their encodings by shuffle. Which unit goes which way has no bearing on the result. Between the two a
+text is a list of numbers: of its words, and for each distinct word of a block those of its units.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ import hashlib
 import pickle
 from array import array
 from collections import Counter
-from dataclasses import dataclass, field
-from itertools import chain
+from dataclasses import dataclass, field, replace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,6 @@ NEAR = 1_024
 UNKNOWN_COST = 10.0
 
 
-
 @dataclass(frozen=True)
 class Vocabulary:
     """Pieces with a space where the model writes U+2581, so a text may hold that character as itself."""
@@ -56,6 +57,7 @@ class Vocabulary:
     byte_ids: list[int]  # by byte value; empty: characters without a piece become ``unknown``
     unknown: int
     pairs: frozenset = field(default_factory=frozenset)  # neighbouring characters in pieces
+    worst: float = -UNKNOWN_COST  # the score of a character without a piece
 
     @property
     def longest(self) -> int:
@@ -74,12 +76,41 @@ def load(path: str) -> Vocabulary:
 
 
 def vocabulary(surfaces: list[str], ids: list[int], scores: list[float], byte_ids: list[int], unknown: int) -> Vocabulary:
-    pairs = frozenset(a + b for s in surfaces for a, b in zip(s, s[1:]))
+    pairs = _pairs(surfaces)
     if max(map(len, surfaces), default=0) >= _LONGEST:
         raise ValueError(f"a piece has {_LONGEST} or more characters")
     if any(p[1] == " " and p != "  " for p in pairs):
         raise ValueError("a piece goes on over a space; words cannot be cut there")
-    return Vocabulary(surfaces, ids, scores, byte_ids, unknown, pairs)
+    return Vocabulary(surfaces, ids, scores, byte_ids, unknown, pairs, min(scores, default=0.0) - UNKNOWN_COST)
+
+
+def _pairs(surfaces: list[str]) -> frozenset:
+    return frozenset(a + b for s in surfaces for a, b in zip(s, s[1:]))
+
+
+def useful(known: Vocabulary) -> Vocabulary:
+    """The pieces that can be on a best path; paths and ties stay as they are with all pieces.
+
+    Sums of scores do not depend on what stands around a piece, so one that scores less than the best other cut of its
+    characters is worse than that cut wherever it stands. Pieces of equal score are kept, and so are those that come
+    nearer than what sums along a unit can be rounded by.
+    """
+    scores: dict[str, float] = {}
+    for s, score in zip(known.surfaces, known.scores):
+        scores[s] = max(score, scores.get(s, score))
+    largest = max(map(abs, [known.worst, *known.scores]))
+    margin = 2 * (known.longest + 1) * max(UNIT_CHARS, FREQUENT_CHARS) * largest * np.finfo(float).eps
+
+    def other(s: str) -> float:
+        best = [0.0]
+        for end in range(1, len(s) + 1):
+            cuts = [(best[start], scores.get(s[start:end], known.worst if end == start + 1 else None)) for start in range(end == len(s), end)]
+            best.append(max(before + score for before, score in cuts if score is not None))
+        return best[-1]
+
+    kept = [k for k, (s, score) in enumerate(zip(known.surfaces, known.scores)) if len(s) < 2 or not other(s) > score + margin]
+    surfaces, ids, of_kept = ([column[k] for k in kept] for column in (known.surfaces, known.ids, known.scores))
+    return replace(known, surfaces=surfaces, ids=ids, scores=of_kept, pairs=_pairs(surfaces))
 
 
 class Units:
@@ -93,21 +124,23 @@ class Units:
         self.far = np.sort(np.append(codes[~small, 0] << 21 | codes[~small, 1], -1))
 
     @staticmethod
-    def words(text: str) -> list[str]:
-        """Words without the space before each. Of several spaces the others stay with the word that follows."""
-        if not text:
-            return []
-        found = text.split(" ")
-        if "" not in found:
-            return found
-        out, gap = [], ""
-        for word in found:
-            if word:
-                out.append(gap + word)
-                gap = ""
-            else:
-                gap += " "
-        return [*out, gap[1:]] if gap else out
+    def words(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct words without the space before each, how many words a text has, and the numbers of all words in a row.
+
+        Of several spaces the others stay with the word that follows.
+        """
+        found = [b" " + t.encode() for t in texts if t]
+        data = np.frombuffer(b"".join(found), dtype=np.uint8)
+        bounds = np.cumsum([0, *map(len, found)])
+        space = data == ord(" ")
+        cut = space.copy()
+        cut[1:] &= ~space[:-1]
+        cut[bounds[:-1]] = True
+        places = np.append(np.flatnonzero(cut), len(data))
+        words = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
+        counts = np.zeros(len(texts), dtype=np.int64)
+        counts[[k for k, t in enumerate(texts) if t]] = np.diff(np.searchsorted(places, bounds))
+        return pc.utf8_slice_codeunits(words.dictionary, 1), counts, words.indices.to_numpy()
 
     def of(self, words: list[str]) -> tuple[list[str], list[int]]:
         """Units of all words in a row, and how many each word has.
@@ -138,12 +171,12 @@ def piece_table(spark: SparkSession, known: Vocabulary) -> DataFrame:
     return spark.createDataFrame(list(zip(known.surfaces, known.ids, known.scores)), "surface string, id int, score double")
 
 
-#: An edge is a number and a score. The number holds its end, 255 less its size, and its piece id plus one.
-_END, _SIZE, _LONGEST = 40, 32, 255
+#: No piece is as long; edges are ordered by their end and 255 less their size.
+_LONGEST = 255
 
 
 def _path(edges: Column) -> Column:
-    """Fold edges ``(code, score)``, sorted, to the best edge into each place: ``(score, start, id)``.
+    """Fold edges ``(place, score, end, start, id)``, sorted, to the best edge into each place: ``(score, start, id)``.
 
     The place at hand stands beside those that are done; a character without a piece has the id -1.
     """
@@ -154,16 +187,13 @@ def _path(edges: Column) -> Column:
         return F.array_append(s.done, F.struct(s.score.alias("score"), s.start.alias("start"), s.id.alias("id")))
 
     def step(s: Column, e: Column) -> Column:
-        end = F.shiftright(e.code, _END).cast("int")
-        start = end - _LONGEST + F.shiftright(e.code, _SIZE).bitwiseAND(F.lit(_LONGEST)).cast("int")
-        id_ = e.code.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int") - 1
-        score = F.when(start == s.end, s.score).otherwise(F.get(s.done, start).score) + e.score
+        score = F.when(e.start == s.end, s.score).otherwise(F.get(s.done, e.start).score) + e.score
 
         def place(done: Column) -> Column:
-            return F.struct(done.alias("done"), end.alias("end"), score.alias("score"), start.alias("start"), id_.alias("id"))
+            return F.struct(done.alias("done"), e.end.alias("end"), score.alias("score"), e.start.alias("start"), e.id.alias("id"))
 
         # the longest edge into a place comes first
-        return F.when(end != s.end, place(closed(s))).when(score > s.score, place(s.done)).otherwise(s)
+        return F.when(e.end != s.end, place(closed(s))).when(score > s.score, place(s.done)).otherwise(s)
 
     return F.aggregate(edges, begin, step, closed)
 
@@ -212,7 +242,7 @@ class LongUnits:
         self.scores = dict(zip(known.surfaces, known.scores))
         self.ids = dict(zip(known.surfaces, known.ids))
         self.most = _longest(known)
-        self.worst = min(known.scores, default=0.0) - UNKNOWN_COST
+        self.worst = known.worst
 
     def __call__(self, unit: str) -> bytes:
         score_of, most, worst, n = self.scores.get, self.most.get, self.worst, len(unit)
@@ -270,10 +300,11 @@ def lattice(units: DataFrame, known: Vocabulary) -> DataFrame:
     lengths = bound.select("unit", "start", F.explode(sizes).alias("size")).where(F.col("start") + F.col("size") <= F.length("unit") + 1)
     parts = lengths.select("unit", "start", "size", F.expr("substring(unit, start, size)").alias("surface"))
     edges = parts.join(F.broadcast(piece_table(spark, known)), "surface", "left").where(F.col("id").isNotNull() | (F.col("size") == 1))
-    worst = min(known.scores, default=0.0) - UNKNOWN_COST
-    end = (F.col("start") + F.col("size") - 1).cast("long")
-    code = F.shiftleft(end, _END) + F.shiftleft((F.lit(_LONGEST) - F.col("size")).cast("long"), _SIZE) + F.coalesce(F.col("id") + 1, F.lit(0))
-    edge = F.struct(code.alias("code"), F.coalesce("score", F.lit(worst)).alias("score"))
+    end = F.col("start") + F.col("size") - 1
+    # a fold runs over each edge: what it needs is spelled out before
+    place = F.shiftleft(end, 8) + F.lit(_LONGEST) - F.col("size")
+    columns = [place.alias("place"), F.coalesce("score", F.lit(known.worst)).alias("score"), end.alias("end"), (F.col("start") - 1).alias("start")]
+    edge = F.struct(*columns, F.coalesce("id", F.lit(-1)).alias("id"))
     grouped = edges.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
     best = grouped.select("unit", _path(F.sort_array("edges")).alias("best"))
     path = best.select("unit", _back(F.col("best")).alias("ids"))
@@ -310,8 +341,9 @@ def _counted(docs: DataFrame, known: Vocabulary) -> DataFrame:
 
         for batch in batches:
             for piece in pieces(batch):
-                for text in raw(piece):
-                    words.update(Units.words(text.decode()))
+                listed, _, order = cutter.words([text.decode() for text in raw(piece)])
+                for word, n in zip(listed.to_pylist(), np.bincount(order, minlength=len(listed)).tolist()):
+                    words[word] += n
                 if len(words) > COUNTED:
                     yield out()
         if words:
@@ -320,7 +352,30 @@ def _counted(docs: DataFrame, known: Vocabulary) -> DataFrame:
     return docs.join(F.broadcast(some), "id").select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def frequent(docs: DataFrame, known: Vocabulary) -> dict[str, bytes]:
+@dataclass(frozen=True)
+class Paths:
+    """Ids of units, one unit after another, and where those of each unit begin and how many they are."""
+
+    codes: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+
+    def __add__(self, other: Paths) -> Paths:
+        codes, sizes = np.concatenate([self.codes, other.codes]), np.concatenate([self.sizes, other.sizes])
+        return Paths(codes, np.concatenate([self.starts, len(self.codes) + other.starts]), sizes)
+
+
+def paths(codes: np.ndarray, sizes: np.ndarray) -> Paths:
+    return Paths(codes.astype(np.int32), np.cumsum(sizes, dtype=np.int64) - sizes, sizes.astype(np.int64))
+
+
+def _taken(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of ``codes`` in a row."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return codes[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def frequent(docs: DataFrame, known: Vocabulary) -> tuple[list[str], Paths]:
     """At most ``FREQUENT`` units with their ids, those that a bounded look finds most often."""
     counted = written(_counted(docs, known), "units")
     sizes = counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("units")).collect()  # <= 10,000 rows
@@ -333,7 +388,9 @@ def frequent(docs: DataFrame, known: Vocabulary) -> dict[str, bytes]:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     units = counted.where(F.col("n") >= least).select("unit").repartition(LATTICE_TASKS * parts, "unit")
     found = lattice(units, known).toArrow()  # <= FREQUENT units of <= FREQUENT_CHARS
-    return {u: np.array(i, dtype=np.int32).tobytes() for u, i in zip(found.column("unit").to_pylist(), found.column("ids").to_pylist())}
+    lists = found.column("ids").combine_chunks()
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return found.column("unit").to_pylist(), paths(lists.flatten().to_numpy(zero_copy_only=False), sizes)
 
 
 def _pack(batches):
@@ -356,8 +413,8 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([pa.array(blocks[order][cuts[:-1]], pa.int64()), pa.array(parts, pa.binary())], names=["block", "part"])
 
 
-def _unpacked(part: bytes) -> tuple[np.ndarray, bytes, np.ndarray]:
-    """Places, ids of four bytes each, and where each list of them ends in bytes."""
+def _unpacked(part: bytes) -> list[np.ndarray]:
+    """Places, how many ids each has, and the ids."""
     n, *wide = np.frombuffer(part, dtype="<u4", count=4).tolist()
     at, columns = 16, []
     for k, w in enumerate(wide):
@@ -365,7 +422,26 @@ def _unpacked(part: bytes) -> tuple[np.ndarray, bytes, np.ndarray]:
         count = n if k < 2 else -1
         columns.append(np.frombuffer(part, dtype=kind, count=count, offset=at) if n else np.empty(0, dtype=kind))
         at += columns[-1].nbytes
-    return columns[0], columns[2].astype(np.int32).tobytes(), np.cumsum(columns[1], dtype=np.int64) * 4
+    return columns
+
+
+def _found(parts: list[bytes], units: int) -> Paths:
+    """Paths of a block's own units, each of which has one, by their places."""
+    columns = [np.concatenate(c) for c in zip(*map(_unpacked, parts))] or [np.empty(0, dtype=np.int64)] * 3
+    order = np.argsort(columns[0], kind="stable")
+    if not np.array_equal(columns[0][order], np.arange(units)):
+        raise ValueError("a unit has no path")
+    read = paths(columns[2], columns[1])
+    return Paths(read.codes, read.starts[order], read.sizes[order])
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """All first bytes of the numbers, then all second ones, and so on: they pack better."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
 def encode(
@@ -382,34 +458,58 @@ def encode(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = narrow(docs, id=id_col, text=text_col)
     kind = source.schema["id"].dataType.simpleString()
-    common = spark.sparkContext.broadcast(frequent(source, known))  # <= FREQUENT units
-    vocabulary_ = spark.sparkContext.broadcast(known)  # a tokenizer's fixed vocabulary
+    live = useful(known)
+    units_, paths_ = frequent(source, live)
+    numbered = spark.sparkContext.broadcast(dict(zip(units_, range(len(units_)))))  # <= FREQUENT units
+    common = spark.sparkContext.broadcast(paths_)
+    vocabulary_ = spark.sparkContext.broadcast((known, live))  # a tokenizer's fixed vocabulary
     names = ["id", "ids", *["text"] * decoded, *["decoded_sha256"] * digest]
-    pairs = known.pairs
+    pairs = live.pairs
 
     def scan(batches):
-        """Blocks of documents: ids, and packed texts with the units in them that are not frequent."""
-        hot, cutter, plain = common.value, Units(pairs), set()
+        """Blocks of documents: ids, the units in them that are not frequent, and their texts as numbers of words.
+
+        Of each distinct word the numbers of its units are written: first come the frequent units, then those of the
+        block, then those that are not exploded.
+        """
+        hot, cutter = numbered.value, Units(pairs)
+        # words of frequent units alone need no second look: their units stand in ``arena``
+        kept, arena, begins, lengths = {}, *[np.empty(0, dtype=np.int64)] * 3
         packer = zstandard.ZstdCompressor(level=1)
         held, size = [], 0
 
+        def number(keys, of):
+            return np.fromiter(map(of.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
+
         def out():
-            texts = [cutter.words(t) for _, t in held]
-            counts = list(map(len, texts))
-            listed = list(dict.fromkeys(chain.from_iterable(texts)))  # in order of appearance
-            numbers = dict(zip(listed, range(len(listed))))
-            order = np.fromiter(map(numbers.__getitem__, chain.from_iterable(texts)), dtype="<u4", count=sum(counts))
-            words = list(numbers.keys() - plain)
-            units, sizes = cutter.of(words)
-            rare = np.array([u not in hot for u in units], dtype=bool)
-            missing = sorted({units[k] for k in np.flatnonzero(rare) if len(units[k]) <= UNIT_CHARS})
-            if len(plain) < KEPT:  # words without a rare unit need no second look
-                found = np.add.reduceat(rare, np.cumsum([0, *sizes[:-1]])) if words else []
-                plain.update(words[k] for k in np.flatnonzero(np.logical_not(found)))
-            # of the numbers all first bytes are packed together, then all second ones, and so on
-            places = order.view(np.uint8).reshape(-1, 4).T.tobytes()
-            parts = [pickle.dumps(missing), pickle.dumps((listed, counts)), places]
+            nonlocal arena, begins, lengths
+            listed, counts, order = cutter.words([t for _, t in held])
+            words = listed.to_pylist()
+            at = number(words, kept)
+            new = np.flatnonzero(at < 0)
+            fresh = [words[k] for k in new.tolist()]
+            units, sizes = cutter.of(fresh)
+            numbers, sizes = number(units, hot), np.array(sizes, dtype=np.int64)
+            ends = np.cumsum(sizes)
+            rare = np.flatnonzero(numbers < 0)
+            others = [units[k] for k in rare.tolist()]
+            distinct = set(others)
+            missing = sorted(u for u in distinct if len(u) <= UNIT_CHARS)
+            long = sorted(u for u in distinct if len(u) > UNIT_CHARS)
+            numbers[rare] = len(hot) + number(others, {u: k for k, u in enumerate(missing + long)})
+            at[new] = len(begins) + np.arange(len(fresh))
+            codes, firsts, each = np.concatenate([arena, numbers]), np.concatenate([begins, len(arena) + ends - sizes]), np.concatenate([lengths, sizes])
+            spelled = _taken(codes, firsts[at], each[at])
+            parts = [pickle.dumps(missing), pickle.dumps((len(missing), long)), *map(_planes, (spelled, each[at], counts, order))]
             body = pickle.dumps([packer.compress(part) for part in parts])
+            if len(kept) < KEPT:
+                plain = np.ones(len(fresh), dtype=bool)
+                plain[np.searchsorted(ends, rare, side="right")] = False
+                whole = np.flatnonzero(plain)
+                kept.update(zip([fresh[k] for k in whole.tolist()], range(len(begins), len(begins) + len(whole))))
+                begins = np.concatenate([begins, len(arena) + np.cumsum(sizes[whole]) - sizes[whole]])
+                arena = np.concatenate([arena, _taken(numbers, (ends - sizes)[whole], sizes[whole])])
+                lengths = np.concatenate([lengths, sizes[whole]])
             return pa.RecordBatch.from_arrays([pa.array([[i for i, _ in held]], kinds), pa.array([body])], names=["ids", "body"])
 
         with tidy():
@@ -435,51 +535,35 @@ def encode(
                     yield pa.RecordBatch.from_arrays(columns, names=["block", "place", "unit"])
 
     def join(batches):
-        """Ids of each document of a block, from frequent units and those the block has got."""
-        hot, cutter, kept = common.value, Units(pairs), {}
+        """Ids of each document of a block, from the paths of frequent units and of those the block has got."""
+        hot = common.value
         opener = zstandard.ZstdDecompressor()
-        long = None
-        decoder = Decoder(vocabulary_.value) if decoded or digest else None
+        search = None
+        decoder = Decoder(vocabulary_.value[0]) if decoded or digest else None
 
-        for batch in batches:
-            for ids, body, found in zip(*[batch.column(c) for c in ("ids", "body", "found")]):
-                missing, listed, places = map(opener.decompress, pickle.loads(body.as_py()))
-                missing, (words, counts) = pickle.loads(missing), pickle.loads(listed)
-                order = np.frombuffer(places, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
-                own = {}
-                for part in found.as_py() or ():
-                    places, codes, ends = _unpacked(part)
-                    at = 0
-                    for place, end in zip(places.tolist(), ends.tolist()):
-                        own[missing[place]] = codes[at:end]
-                        at = end
-                fresh = [w for w in words if w not in kept]
-                units, sizes = cutter.of(fresh)
-                encoded = list(map(hot.get, units))
-                for k, ids_ in enumerate(encoded):
-                    if ids_ is None and len(units[k]) > UNIT_CHARS:
-                        long = long or LongUnits(vocabulary_.value)
-                        encoded[k] = long(units[k])
-                    elif ids_ is None:
-                        encoded[k] = own[units[k]]
-                mine, at = {}, 0
-                for word, n in zip(fresh, sizes):
-                    mine[word] = encoded[at] if n == 1 else b"".join(encoded[at : at + n])
-                    at += n
-                spelled = [kept[w] if w in kept else mine[w] for w in words]
-                if len(kept) < KEPT:
-                    kept.update(mine)
-                # the ids of all words of the block, one document after another
-                codes = np.frombuffer(b"".join(spelled), dtype=np.int32)
-                sizes = np.array([len(x) for x in spelled], dtype=np.int64) // 4
-                each = sizes[order]
-                ends = np.cumsum(each)
-                starts = (np.cumsum(sizes) - sizes)[order] - (ends - each)
-                values = codes[np.repeat(starts, each) + np.arange(int(ends[-1]) if len(ends) else 0)]
-                bounds = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
-                for k in range(0, len(counts), 500):
-                    last = min(k + 500, len(counts))
-                    yield rows_of(ids.values.slice(k, last - k), values[bounds[k] : bounds[last]], bounds[k : last + 1] - bounds[k], decoder)
+        with tidy():
+            for batch in batches:
+                for ids, body, found in zip(*[batch.column(c) for c in ("ids", "body", "found")]):
+                    own, *planes = map(opener.decompress, pickle.loads(body.as_py())[1:])
+                    numbers, sizes, counts, order = map(_numbers, planes)
+                    missing, long = pickle.loads(own)
+                    known_here = hot + _found(found.as_py() or [], missing)
+                    if long:
+                        search = search or LongUnits(vocabulary_.value[1])
+                        alone = [np.frombuffer(search(u), dtype=np.int32) for u in long]
+                        known_here += paths(np.concatenate(alone), np.array(list(map(len, alone))))
+                    # the ids of all words of the block, one after another
+                    each = known_here.sizes[numbers]
+                    codes = _taken(known_here.codes, known_here.starts[numbers], each)
+                    of_word = np.add.reduceat(each, np.cumsum(sizes, dtype=np.int64) - sizes) if len(sizes) else each
+                    begins = np.cumsum(of_word) - of_word
+                    # and those of all documents
+                    taken = of_word[order]
+                    values = _taken(codes, begins[order], taken)
+                    bounds = np.concatenate([[0], np.cumsum(taken)])[np.cumsum([0, *counts.tolist()])]
+                    for k in range(0, len(counts), 500):
+                        last = min(k + 500, len(counts))
+                        yield rows_of(ids.values.slice(k, last - k), values[bounds[k] : bounds[last]], bounds[k : last + 1] - bounds[k], decoder)
 
     def rows_of(ids, values, bounds, decoder):
         columns = [ids, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))]
@@ -496,7 +580,7 @@ def encode(
     asked = asked.where("unit is not null and block is not null").repartition(LATTICE_TASKS * parts, "unit")
     # counting the other columns, too, lets both uses read one shuffle
     uses = asked.groupBy("unit").agg(F.count("block").alias("blocks"), F.count("place").alias("places"))
-    encoded = lattice(uses.where("blocks > 0 and places > 0").select("unit"), known)
+    encoded = lattice(uses.where("blocks > 0 and places > 0").select("unit"), live)
     # both sides are dealt alike, and a task's share of the encodings fits a hash table: no need to sort
     packed = asked.join(encoded.hint("shuffle_hash"), "unit").select("block", "place", "ids").mapInArrow(_pack, "block long, part binary")
     found = packed.groupBy("block").agg(F.collect_list("part").alias("found"))

@@ -115,3 +115,32 @@ def test_both_ways_of_search_agree(documents, monkeypatch):
     for chars in (0, 5, 4096):
         monkeypatch.setattr(sp, "UNIT_CHARS", chars)
         assert {r.doc_id: list(r.ids) for r in sp.encode(documents(rows), known).collect()} == want
+
+
+def test_pieces_on_no_best_path_make_no_edges(known):
+    """A piece worse than another cut of its characters is left out; paths, ties and unknown characters stay."""
+    rng = random.Random(4)
+    for _ in range(60):
+        surfaces = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 25))})
+        every = sp.vocabulary(surfaces, list(range(1, len(surfaces) + 1)), [-float(rng.randint(1, 9)) for _ in surfaces], [], 0)
+        some = sp.useful(every)
+        assert some.worst == every.worst == min(every.scores) - sp.UNKNOWN_COST
+        assert {s for s in surfaces if len(s) == 1} <= set(some.surfaces)
+        found, found_in_some = sp.LongUnits(every), sp.LongUnits(some)
+        texts = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 40))) for _ in range(20)]
+        assert [found(t) for t in texts] == [found_in_some(t) for t in texts]
+    tied = sp.useful(sp.vocabulary(["a", "b", "ab", "abb", "abab"], [1, 2, 3, 4, 5], [-2.0, -2.0, -4.0, -7.0, -8.0], [], 0))
+    assert tied.surfaces == ["a", "b", "ab", "abab"]  # "abb" is worse than "ab", "b"
+    assert len(sp.useful(known).surfaces) < len(known.surfaces) // 2
+    assert sp.useful(sp.vocabulary([], [], [], [], 0)).surfaces == []
+
+
+def test_words_of_texts_in_a_row():
+    """Of several spaces the others stay with the word that follows; an empty text has no words."""
+    texts = ["", "a b", "  a  b ", "   ", " ", "é 日本 é", "", "b  ", "x\u00a0y\n z"]
+    want = [[], ["a", "b"], ["  a", " b", ""], ["   "], [" "], ["é", "日本", "é"], [], ["b", " "], ["x\u00a0y\n", "z"]]
+    listed, counts, order = sp.Units.words(texts)
+    assert counts.tolist() == list(map(len, want))
+    assert [listed.to_pylist()[k] for k in order.tolist()] == [w for words in want for w in words]
+    assert len(set(listed.to_pylist())) == len(listed)
+    assert [len(x) for x in sp.Units.words(["", ""])] == [0, 2, 0]
