@@ -557,13 +557,14 @@ def encode(
                     codes = _taken(known_here.codes, known_here.starts[numbers], each)
                     of_word = np.add.reduceat(each, np.cumsum(sizes, dtype=np.int64) - sizes) if len(sizes) else each
                     begins = np.cumsum(of_word) - of_word
-                    # and those of all documents
-                    taken = of_word[order]
-                    values = _taken(codes, begins[order], taken)
-                    bounds = np.concatenate([[0], np.cumsum(taken)])[np.cumsum([0, *counts.tolist()])]
+                    # and those of its documents, some at a time
+                    ends = np.cumsum([0, *counts.tolist()])
                     for k in range(0, len(counts), 500):
                         last = min(k + 500, len(counts))
-                        yield rows_of(ids.values.slice(k, last - k), values[bounds[k] : bounds[last]], bounds[k : last + 1] - bounds[k], decoder)
+                        here = order[ends[k] : ends[last]]
+                        taken = of_word[here]
+                        bounds = np.concatenate([[0], np.cumsum(taken)])[ends[k : last + 1] - ends[k]]
+                        yield rows_of(ids.values.slice(k, last - k), _taken(codes, begins[here], taken), bounds, decoder)
 
     def rows_of(ids, values, bounds, decoder):
         columns = [ids, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))]
