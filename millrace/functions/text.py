@@ -14,7 +14,7 @@ FALSE_WORDS = ("n", "no", "f", "false", "off", "0")
 
 def split_ids(text: Column) -> Column:
     """Ids separated by single spaces; empty ones are left out."""
-    return F.filter(F.split(text, " "), lambda x: x != "")
+    return F.array_remove(F.split(text, " "), "")
 
 
 def explode_ids(df: DataFrame, column: str, out: str = "id") -> DataFrame:

@@ -129,7 +129,7 @@ def train_isolation_forest(
     forest = IsolationForest(tuple(features), arrays, min(sample, n))
     if contamination is None:
         return forest
-    scored = forest.scores(rows, "__score")
+    scored = materialize(forest.scores(rows, "__score").select("__score"))
     cut = exact_quantiles(scored, [], ["__score"], [1 - contamination]).first()["q"][0]
     return IsolationForest(forest.features, forest.trees, forest.sample, float(cut))
 

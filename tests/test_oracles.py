@@ -5,7 +5,7 @@ from check_oracle import differences, duck
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from millrace.operators import anomaly, meanshift, models, search
+from millrace.operators import anomaly, meanshift, models, search, sessions
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 FITTED = {
@@ -74,3 +74,25 @@ def test_random_flags_turn_rows_red(spark, monkeypatch, key):
 def test_one_cluster_for_all_turns_rows_red(spark, monkeypatch):
     monkeypatch.setattr(meanshift, "train_mean_shift", lambda *_, **__: Constant(0))
     assert differences(QUERIES["mean_shift"](spark, FITTED_DATA).toPandas(), duck(FITTED_DATA).sql(ORACLES["mean_shift"]).df()) is not None
+
+
+def test_log_lines_are_parsed_once(spark, tmp_path, monkeypatch):
+    """Sessions are few and lines are many: the vectors that a forest reads again and again are made once."""
+    events = [(i, i % 120, "error" if i % 7 == 0 else "click", float(i % 90)) for i in range(1_200)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    seen, real = spark.sparkContext.accumulator(0), sessions.session_features
+
+    def counted(*args, **options):
+        df = real(*args, **options)
+
+        def note(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(note, df.schema)
+
+    monkeypatch.setattr(sessions, "session_features", counted)
+    flags = QUERIES["log_anomaly"](spark, str(tmp_path)).collect()
+    assert {r["id"] for r in flags if r["predictions"]} == {"u7", "u57", "u107"} and len(flags) == 120
+    assert seen.value == 120
